@@ -119,3 +119,13 @@ def shingles(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, n
         part = words[np.minimum(at + j, last)]
         h = np.where(left > j, mix(h * _P + part + np.uint64(j + 1)), h)
     return h, soff
+
+
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, so long texts don't add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+    """A batch's strings; null counts as empty."""
+    return batch.column(name).fill_null("").to_pylist()

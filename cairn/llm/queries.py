@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import op8_line_dedup
 from .sharding import op4_sharding
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op8_line_dedup)}
 
 ORACLE_SQL = {"op8_line_dedup": LINE_DEDUP_SQL}
