@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch_dir, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
@@ -58,7 +60,8 @@ def keep_runs(runs: Column, n_lines: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """_doc, _text and _runs (dropped runs) for each document that loses lines."""
-    rows = line_rows(docs, id_col, text_col, min_chars)
+    spark = docs.sparkSession
+    rows = stored(line_rows(docs, id_col, text_col, min_chars), scratch_dir(spark))  # read three times: range bounds and two uses
     ranged = rows.repartitionByRange("_h", "_g", "_doc").sortWithinPartitions("_h", "_g", F.desc("_doc"), "_pos")
     per_doc = ranged.groupBy("_h", "_g", "_doc").agg(F.lit(1).alias("_one"))
     hashes = per_doc.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_keeper")).where(F.col("_docs") >= min_docs)
