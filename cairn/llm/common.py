@@ -14,6 +14,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -65,40 +66,54 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (white space [\\x20\\x09-\\x0D] between, A-Z lowered) of all rows, and word offsets by row.
+_POWERS: list[np.ndarray] = []
 
-    A word of bytes b0..bk hashes to mix(sum b_i * p^i) modulo 2^64, by prefix sums over
-    the batch, so the cost per byte is a few array operations.
-    """
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    inside = ~WHITE[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    rows = off[:-1][off[:-1] < n]
-    start[rows] = inside[rows]
-    s = np.flatnonzero(start)
-    stop = inside.copy()
-    stop[:-1] &= ~inside[1:] | start[1:]
-    e = np.flatnonzero(stop) + 1
-    # powers by position inside the word keep the hash free of where the word stands
-    local = np.arange(n, dtype=np.int64)
-    if len(s) == 0:
+
+def _powers(n: int) -> list[np.ndarray]:
+    """p^i and p^-i modulo 2^64, for i below n at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = (n | 0xFFFFF) + 1
+        up, down = np.full(n, _P, np.uint64), np.full(n, _P_INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS
+
+
+class Rolling:
+    """Hashes of any byte ranges of a buffer, by prefix sums of b_i * p^i modulo 2^64."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        up, self.down = _powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+    def all(self, k: int) -> np.ndarray:
+        """The hash of the k bytes from each place on."""
+        m = max(0, len(self.sums) - k)
+        return mix((self.sums[k:] - self.sums[:m]) * self.down[:m])
+
+
+def word_bounds(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true, which no row boundary (off) is inside of."""
+    n = len(inside)
+    cut = np.zeros(n + 1, bool)
+    cut[off] = True
+    start, stop = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | cut[1:n]
+    stop[:-1] &= ~inside[1:] | cut[1:n]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (runs of bytes that aren't white, A-Z lowered) of all rows, and word offsets by row."""
+    if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    length = e - s
-    at = np.repeat(s, length)
-    idx = np.flatnonzero(inside)
-    k = (local[idx] - at).astype(np.int64)
-    top = int(length.max())
-    powers = np.ones(top, np.uint64)
-    np.multiply.accumulate(np.full(top, _P, np.uint64), out=powers) if top else None
-    v = (LOWER[data[idx]].astype(np.uint64) + np.uint64(1)) * powers[k]
-    first = np.zeros(len(s), np.int64)
-    np.cumsum(length[:-1], out=first[1:])
-    h = mix(np.add.reduceat(v, first))
-    return h, np.searchsorted(s, off).astype(np.int64)
+    s, e = word_bounds(~white[data], off)
+    return Rolling(LOWER[data])(s, e), np.searchsorted(s, off).astype(np.int64)
 
 
 def shingles(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +136,7 @@ def shingles(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, n
     return h, soff
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
+def small_batches(spark: SparkSession, mb: int = 4) -> None:
     """Bound the Arrow batches that Python workers get by bytes, so long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
@@ -129,3 +144,32 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A batch's strings; null counts as empty."""
     return batch.column(name).fill_null("").to_pylist()
+
+
+def longs(x: np.ndarray) -> pa.Array:
+    """64-bit values, unsigned ones with the same bits, as a column of long."""
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
+
+
+def schema_of(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+
+
+def row_groups(off: np.ndarray, most: int = 4096):
+    """Consecutive row ranges of at most so many rows."""
+    for a in range(0, len(off) - 1, most):
+        yield a, min(len(off) - 1, a + most)
+
+
+#: Bits of a token that go with the row in one sort key.
+TOKEN_BITS = 52
+
+
+def distinct_tokens(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct tokens (52 bits of the hash) in order, their rows, and row offsets; at most 4,096 rows."""
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
+    key = np.sort(row << np.uint64(TOKEN_BITS) | h >> np.uint64(64 - TOKEN_BITS))
+    if len(key):
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    row = (key >> np.uint64(TOKEN_BITS)).astype(np.int64)
+    return key & np.uint64((1 << TOKEN_BITS) - 1), row, np.searchsorted(row, np.arange(len(off))).astype(np.int64)

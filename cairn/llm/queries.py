@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from . import jaccard_join, line_dedup
 from .bpe import op5_byte_bpe
-from .line_dedup import ORACLE as LINE_DEDUP_SQL
+from .jaccard_join import op10_jaccard_join
 from .line_dedup import op8_line_dedup
 from .sharding import op4_sharding
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op8_line_dedup, op10_jaccard_join)}
 
-ORACLE_SQL = {"op8_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
