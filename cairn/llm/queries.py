@@ -9,7 +9,8 @@ from .jaccard_join import op10_jaccard_join
 from .lang_id import op1_language_id
 from .line_dedup import op8_line_dedup
 from .sharding import op4_sharding
+from .suffix_dedup import op7_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_decontamination, op4_sharding, op5_byte_bpe, op8_line_dedup, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_decontamination, op4_sharding, op5_byte_bpe, op7_suffix_dedup, op8_line_dedup, op10_jaccard_join)}
 
 ORACLE_SQL = {"op3_decontamination": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
