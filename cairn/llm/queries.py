@@ -12,7 +12,8 @@ from .lang_id import op1_language_id
 from .line_dedup import op8_line_dedup
 from .sharding import op4_sharding
 from .suffix_dedup import op7_suffix_dedup
+from .webp import op6_lossless_webp
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_decontamination, op4_sharding, op5_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_quality_classifier, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_decontamination, op4_sharding, op5_byte_bpe, op6_lossless_webp, op7_suffix_dedup, op8_line_dedup, op9_quality_classifier, op10_jaccard_join)}
 
 ORACLE_SQL = {"op3_decontamination": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
