@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -43,8 +44,10 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of finished, unreferenced stages now, not whenever the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # a JVM object is free only once Python's reference to it has been dropped
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
