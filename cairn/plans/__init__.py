@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import claims, events, graph, memory, mining, retrieval, texts  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """Which documents are nearest to a document, and what words do they agree on?"""
+    return QUERIES["consensus_words"](spark, sf_dir)
