@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches, texts_of
 
@@ -249,7 +250,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, *, text_col: str =
     def run(batches):
         bpe = _tokenizer(path, pattern)
         for batch in batches:
-            ids = bpe.encode(texts_of(batch, "_text"))
+            ids = bpe.encode(texts_of(batch, len(keep)))
             cols = [batch.column(i) for i in range(len(keep))] + [pa.array([len(x) // 4 for x in ids], pa.int64())]
             if digests:
                 cols += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids])]
@@ -257,7 +258,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, *, text_col: str =
                 cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *made])
 
-    return df.select(*keep, df[text_col].alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def decode_documents(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

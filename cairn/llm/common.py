@@ -151,7 +151,7 @@ def small_batches(spark: SparkSession, mb: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+def texts_of(batch: pa.RecordBatch, name: str | int = "text") -> list[str]:
     """A batch's strings; null counts as empty."""
     return batch.column(name).fill_null("").to_pylist()
 

@@ -174,8 +174,8 @@ def _shuffled_search(rows, signature, items, item_id, item_text, k, num, den):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that contain no item."""
-    found = contained(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    found = contained(docs, items, id_col=id_col, **options).select("doc_id").distinct()
+    return docs.join(found, docs[id_col].cast("long") == found["doc_id"], "left_anti")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

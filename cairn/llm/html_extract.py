@@ -417,7 +417,7 @@ def extract(pages: DataFrame, model: Labeller, *, html_col: str = "html") -> Dat
     def run(batches):
         model, cache = shared.value, {}
         for batch in batches:
-            found = [blocks(x or "") for x in batch.column("_html").to_pylist()]
+            found = [blocks(x or "") for x in batch.column(len(keep)).to_pylist()]
             texts = [" ".join(b[1] for b, q in zip(page, label, strict=True) if q > 0.5) for page, label in zip(found, model.predict(found, cache), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 

@@ -9,10 +9,14 @@ The choice minimises postings plus expected verifications, both estimated from t
 token counts.
 
 Sets that are equal form a class, and only its least document takes part. Tokens with
-more than one document first link all their documents to one pivot (a star, so a group
-of N near copies makes N pairs, not N^2). What these links don't join yet is then
-enumerated only between different components: the documents outside a token's largest
-component against all documents of that token. Every pair is verified with whole sets.
+many documents first link these to one pivot (a star, so a group of N near copies makes
+N pairs, not N^2). What these links don't join is then enumerated, but only between
+different components: the documents outside a token's largest component against all
+documents of that token. At tokens with more than ``CROWD`` documents the prefixes
+themselves are compared inside the join, so that no pair comes out that they rule out:
+of the document whose prefix ends first, all prefix tokens that the other's prefix lacks are
+missing from the other. Every pair is verified with whole sets, which are made again
+from the texts of the documents that have such pairs.
 
 Edge cases: null text, empty text or no words: empty set, linked with nothing, its own
 component; fewer words than n: the whole sequence is one token; repeated rows are equal
@@ -28,13 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_tokens, longs, mix, row_groups, scratch_dir, shingles, small_batches, stored, string_buffers, word_hashes
+from .common import distinct_tokens, longs, mix, release, row_groups, scratch_dir, shingles, small_batches, stored, string_buffers, word_hashes
 from .components import components
 
-#: Occurrences in one part of the corpus from which a token is reported, tokens of such a part, tokens that the order singles out at most, and the largest l.
-LOCAL, PART, ORDERED, MOST = 3, 4_000_000, 1 << 18, 4
-#: Cost of verifying a pair over the cost of a posting.
-VERIFY = 8.0
+#: Occurrences in one part of the corpus from which a token is reported, tokens of such a part, and tokens that the order singles out at most.
+LOCAL, PART, ORDERED = 3, 4_000_000, 1 << 18
+#: The values of l to choose from; cost of verifying a pair over that of a posting; other documents expected to hold a token that wasn't reported.
+CHOICES, VERIFY, OTHERS = (1, 2, 4, 8, 16), 8.0, 0.5
+MOST = CHOICES[-1]
+#: Documents of a token from which they are linked to a pivot first, and from which prefixes are compared inside the join.
+STAR, CROWD = 8, 32
+#: Bits of the fixed-size filter that keeps most texts without pairs from being made into sets again.
+FILTER_BITS = 1 << 23
+
+
+PREFIX = ["id", "n", "l", "one", "lc", "lt", "tokens"]
 
 
 def _token_sets(batch: pa.RecordBatch, k: int):
@@ -87,7 +99,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _ordered_prefixes(tokens, row, off, hot, hot_count, num, den):
-    """For each row: the tokens of its prefix, in order, with counts per row, and its l."""
+    """For each row: the tokens of its prefix, in order, with counts per row, its l, the size of its prefix for l = 1, and its last token with its count."""
     rows = len(off) - 1
     n = np.diff(off)
     base = n - -(-n * num // den)
@@ -110,18 +122,22 @@ def _ordered_prefixes(tokens, row, off, hot, hot_count, num, den):
         place[order] = n_cold[r] + np.arange(len(r)) - start
     inside = (place >= 0) & (place < (base + MOST)[row])
     best, which = np.full(rows, np.inf), np.ones(rows, np.int64)
-    for m in range(1, MOST + 1):
+    others = np.where(count > 0, count, OTHERS)
+    for m in CHOICES:
         part = inside & (place < (base + m)[row])
-        cost = np.bincount(row[part], np.maximum(count[part] - 1, 0), rows) * (1 + VERIFY / m)
+        cost = np.bincount(row[part], others[part], rows) * (1 + VERIFY / m)
         better = (cost < best) & ((m == 1) | (n >= base + m))
         best[better], which[better] = cost[better], m
     keep = np.flatnonzero(inside & (place < (base + which)[row]))
     keep = keep[np.lexsort((place[keep], row[keep]))]
-    return tokens[keep], np.bincount(row[keep], minlength=rows), which
+    size = np.bincount(row[keep], minlength=rows)
+    last = keep[np.maximum(np.cumsum(size) - 1, 0)] if len(keep) else np.zeros(rows, np.int64)
+    ends = (count[last], tokens[last]) if len(keep) else (last, last)
+    return tokens[keep], size, which, base + 1, ends
 
 
 def prefix_rows(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, hot_count: np.ndarray) -> DataFrame:
-    """id, n, l, tokens (the prefix) for each document that has tokens."""
+    """id, n, l, one (size of the prefix for l = 1), lc and lt (count and token that end the prefix) and tokens (the prefix) for each document that has tokens."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, hot_count))
 
     def run(batches):
@@ -129,29 +145,46 @@ def prefix_rows(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, ho
         for batch in batches:
             ids = batch.column("id")
             for a, b, tokens, row, off in _token_sets(batch, k):
-                got, count, most = _ordered_prefixes(tokens, row, off, hot, hot_count, num, den)
+                got, count, most, one, (lc, lt) = _ordered_prefixes(tokens, row, off, hot, hot_count, num, den)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), longs(got))
-                full = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(off), pa.int64()), pa.array(most, pa.int64()), lists], names=["id", "n", "l", "tokens"])
+                full = pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(off), pa.int64()), pa.array(most, pa.int64()), pa.array(one, pa.int64()), longs(lc), longs(lt), lists], names=PREFIX)
                 yield full.filter(pa.array(count > 0))
 
-    return docs.mapInArrow(run, "id long, n long, l long, tokens array<long>")
+    return docs.mapInArrow(run, "id long, n long, l long, one long, lc long, lt long, tokens array<long>")
 
 
-def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id and its sorted tokens as bytes."""
+def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id and its sorted tokens as bytes, for the documents of ids (a column id).
+
+    A bitmap of FILTER_BITS bits, of hashes of ids, goes to the tasks that read the texts, so
+    the texts needn't be shuffled; what passes it by chance falls to the join.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    maps = ids.select((slot + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
+    bits = np.zeros(FILTER_BITS + 32_768, bool)
+    for r in maps.collect():  # FILTER_BITS / 32,768 rows of 4 KB at most
+        own = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
+        bits[(r.k - 1) * 32_768 : (r.k - 1) * 32_768 + len(own)] = own
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
+        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            ids = batch.column("id")
+            batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy()]))
+            own = batch.column("id")
             for a, b, tokens, _, off in _token_sets(batch, k):
                 sets = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(off * 8), pa.py_buffer(tokens)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), sets], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([own.slice(a, b - a), sets], names=["id", "tokens"])
 
-    return docs.mapInArrow(run, "id long, tokens binary")
+    made = docs.where("id is not null").select("id", slot.alias("slot"), "text").mapInArrow(run, "id long, tokens binary")
+    return made.join(ids, "id", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have den * intersection >= num * union."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, path: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets have den * intersection >= num * union; their sets are written to path."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stored(whole_sets(docs, ids, k), path)
+    release(docs.sparkSession)
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
 
     def run(batches):
@@ -180,31 +213,43 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = sets.where("n > 0 and id is not null").groupBy("s", "g").agg(F.min("id").alias("rep"))
     prefixes = prefix_rows(docs, k, num, den, hot.s.to_numpy(np.int64).view(np.uint64), hot.n.to_numpy(np.int64))
     least = classes.select(F.col("rep").alias("id")).distinct()
-    posts = prefixes.join(least, "id", "left_semi").select("id", "n", "l", F.explode("tokens").alias("token"))
-    posts = stored(posts, f"{top}/posts")
-    # the pivot is the document with the largest l, then the least id: few tokens of its own, so likely the one the others were made from
-    pivots = posts.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.struct("l", -F.col("id"))).alias("p")).where("first <> last")
-    shared = stored(posts.join(pivots.select("token", (-F.col("p.col2")).alias("pivot")), "token"), f"{top}/shared")
-    near = shared.select("id").distinct()
-    whole = stored(whole_sets(docs.join(near, "id", "left_semi").select("id", "text"), k), f"{top}/sets")
-    sizes = shared.select("id", "n", "l").distinct()
-    fits = lambda df: df.where(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    stars = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").distinct()
-    stars = stored(fits(stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a")).select("a", "b").distinct(), f"{top}/stars")
-    links = stored(verified(stars, whole, num, den), f"{top}/links")
+    prefixes = stored(prefixes.join(least, "id", "left_semi"), f"{top}/prefixes")
+    posts = prefixes.select("id", "n", "l", "one", F.posexplode("tokens").alias("at", "token")).select("id", "n", "l", (F.col("at") < F.col("one")).alias("early"), "token")
+    counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
+    shared = stored(posts.join(counts, "token"), f"{top}/shared")
+    release(spark)
+    fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
+    # the pivot is the document with the fewest prefix tokens of its own: likely the one the others were made from
+    own = shared.groupBy("id").agg(F.count(F.lit(1)).alias("k")).join(prefixes.select("id", F.size("tokens").alias("p")), "id").select("id", (F.col("k") - F.col("p")).alias("score"))
+    many = shared.where(f"w >= {STAR}")
+    pivots = many.join(own, "id").groupBy("token").agg(F.max(F.struct("score", -F.col("id"), "n", "l")).alias("p"))
+    stars = many.join(pivots.select("token", (-F.col("p.col2")).alias("pivot"), F.col("p.n").alias("m"), F.col("p.l").alias("lp")), "token").where(f"id <> pivot and {fits}")
+    stars = stars.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "lp")).alias("need"))
+    stars = stored(stars.where("k >= need").select("a", "b"), f"{top}/stars")
+    links = stored(verified(stars, docs, k, num, den, f"{top}/star_sets"), f"{top}/links")
     found = stored(components(links), f"{top}/found")
     # between components
-    there = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "l", F.coalesce("component", "id").alias("c"))
+    there = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "l", "early", "w", F.coalesce("component", "id").alias("c"))
     there = stored(there, f"{top}/there")
+    release(spark)
     tally = there.groupBy("token", "c").agg(F.count(F.lit(1)).alias("w"))
     mixed = tally.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("w", "c")).alias("top")).where("k > 1").select("token", F.col("top.c").alias("main"))
     open_ = there.join(mixed, "token")
-    minor = open_.where("c <> main").select("token", F.col("id").alias("i"), F.col("n").alias("m"), F.col("l").alias("li"), F.col("c").alias("ci"))
-    pairs = minor.join(open_, "token").where("c <> ci and (c = main or id < i)")
-    pairs = fits(pairs).select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"), F.least("l", "li").alias("need"))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"), F.min("need").alias("need")).where("w >= need").select("a", "b")
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(verified(pairs.join(tried, ["a", "b"], "left_anti"), whole, num, den), f"{top}/more")
+    other = lambda df: df.where("c <> main").select("token", *[F.col(c).alias(f"{c}_") for c in df.columns if c not in ("token", "main", "w", "early")])
+    between = f"c <> c_ and (c = main or id < id_) and {fits.replace('m)', 'n_)')}"
+    plain = open_.where(f"w <= {CROWD}")
+    pairs = other(plain).join(plain, "token").where(between).groupBy(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "l_")).alias("need")).where("k >= need").select("a", "b")
+    crowd = open_.where(f"w > {CROWD} and early").join(prefixes.select("id", "lc", "lt", "tokens"), "id")
+    overlap = f"ceil({num} * (n + n_) / {num + den})"
+    ends_first = "(lc < lc_ or (lc = lc_ and lt <= lt_))"
+    lacks = lambda n, l: f"({overlap} - ceil({num} * {n} / {den}) + {l})"
+    enough = f"size(array_intersect(tokens, tokens_)) >= case when {ends_first} then {lacks('n', 'l')} else {lacks('n_', 'l_')} end"
+    dense = other(crowd).join(crowd, "token").where(f"{between} and {enough}").select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
+    pairs = stored(pairs.union(dense).distinct().join(stars, ["a", "b"], "left_anti"), f"{top}/pairs")
+    release(spark)
+    more = stored(verified(pairs, docs, k, num, den, f"{top}/sets"), f"{top}/more")
+    release(spark)
     final = components(links.union(more))
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s", "g", F.coalesce("component", "rep").alias("c"))
     out = sets.join(by_class, ["s", "g"], "left")
@@ -214,8 +259,8 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the least of their component (one document of each group of near copies)."""
     made = linked_components(docs, id_col=id_col, text_col=text_col, **options)
-    lost = made.where("component_id <> id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(lost, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    lost = made.where("component_id <> id").select("id").distinct()
+    return docs.join(lost, docs[id_col].cast("long") == lost["id"], "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

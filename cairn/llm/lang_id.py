@@ -175,8 +175,8 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     def run(batches):
         model = shared.value
         for batch in batches:
-            data, off = string_buffers(batch.column("_text"))
-            known = batch.column("_letters").to_numpy(zero_copy_only=False)
+            data, off = string_buffers(batch.column(len(keep) + 1))
+            known = batch.column(len(keep)).to_numpy(zero_copy_only=False)
             if model.langs:
                 best, score, ambiguous = model.decode(model.margins(data, off))
                 lang = np.where(known, np.array(model.langs, object)[best], "und")

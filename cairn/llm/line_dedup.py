@@ -72,12 +72,14 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with n_lines, n_dropped and keep: array of (start, length) runs of kept line positions."""
     lost = dropped_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
-    own = docs.withColumn("_h_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = own.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_h_text") == F.col("_text")), "left")
-    n_lines = F.size(lines_of(F.col(text_col)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the row goes along as one value, so its names meet none of those used here
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_h"))
+    joined = own.join(lost, F.col("_i").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_text")), "left")
+    n_lines = F.size(lines_of(F.col("_row")[text_col]))
     runs = F.coalesce(F.col("_runs"), F.array().cast("array<struct<s:int,e:int>>"))
     n_dropped = F.aggregate(runs, F.lit(0), lambda a, r: a + r["e"] - r["s"])
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep")]
+    keep = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep")]
     return joined.select(*keep, n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), keep_runs(runs, n_lines).alias("keep"))
 
 
@@ -91,7 +93,7 @@ def apply_bitmaps(docs: DataFrame, *, text_col: str = "text", **options) -> Data
     """docs with the dropped lines gone from the text; a null text stays null."""
     marked = keep_bitmaps(docs, text_col=text_col, **options)
     text = F.when(F.col(text_col).isNull(), F.col(text_col)).when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(kept_text(F.col(text_col), F.col("keep")))
-    return marked.withColumn(text_col, text).drop("keep")
+    return marked.select(*[text.alias(c) if c == text_col else c for c in marked.columns if c != "keep"])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -84,15 +84,19 @@ def shuffle_shards(
     n_buckets = max(1, -(-df.count() // bucket_rows))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(n_buckets))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text), "_bucket": bucket})
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col, "text_crc32", "size")) - 1
+    # the row goes along as one value, so its names meet none of those used here
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.octet_length(text).cast("long").alias("_size"), F.crc32(text).alias("_crc"), bucket.alias("_bucket"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col("_row")[id_col], "_crc", "_size")) - 1
     ranked = rows.withColumn("_rank", rank)
     buckets = bucket_table(df.select(bucket.alias("_bucket")), seed, chunk_rows)
     chunk = F.floor(F.col("_rank") / chunk_rows).cast("int")
-    moved = F.col("_offset") + chunk * chunk_rows + F.get(F.get("_perms", chunk), F.col("_rank") % chunk_rows)
+    at = F.col("_offset") + chunk * chunk_rows + F.get(F.get("_perms", chunk), F.col("_rank") % chunk_rows)
     keep = [c for c in df.columns if c not in ("shard", "slot", "size", "text_crc32")]
-    placed = ranked.join(buckets, "_bucket").select(*keep, "size", "text_crc32", moved.alias("_at"))
-    return placed.select(*keep, "size", "text_crc32", (F.col("_at") % n_shards).cast("int").alias("shard"), F.floor(F.col("_at") / n_shards).cast("long").alias("slot"))
+    placed = ranked.join(buckets, "_bucket").select("_row", "_size", "_crc", at.alias("_at"))
+    return placed.select(
+        *[F.col("_row")[c].alias(c) for c in keep], (F.col("_size") + 1).alias("size"), F.col("_crc").alias("text_crc32"),
+        (F.col("_at") % n_shards).cast("int").alias("shard"), F.floor(F.col("_at") / n_shards).cast("long").alias("slot"),
+    )
 
 
 def write_shards(df: DataFrame, n_shards: int, path: str, *, parts_per_shard: int = 16, **options) -> None:

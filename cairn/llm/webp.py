@@ -875,7 +875,7 @@ def store_texts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            raw = [(x or "").encode() for x in batch.column("_text").to_pylist()]
+            raw = [(x or "").encode() for x in batch.column(len(keep)).to_pylist()]
             distinct = list(dict.fromkeys(raw))
             made = dict(zip(distinct, encode_bytes([pad(x) for x in distinct]), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([len(x) for x in raw], pa.int64()), pa.array([made[x] for x in raw], pa.binary())], names=[*keep, "n_bytes", "media"])
@@ -892,7 +892,7 @@ def read_media(df: DataFrame, *, media_col: str = "media", digests: bool = False
 
     def run(batches):
         for batch in batches:
-            media = batch.column("_media").to_pylist()
+            media = batch.column(len(keep)).to_pylist()
             distinct = [x for x in dict.fromkeys(media) if x is not None]
             found = dict(zip(distinct, decode_bytes(distinct), strict=True))
             rows = []
