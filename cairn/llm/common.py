@@ -82,7 +82,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """p^i and p^-i modulo 2^64, for i below n at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = (n | 0xFFFFF) + 1
+        n = (n | 0x3FFFF) + 1
         up, down = np.full(n, _P, np.uint64), np.full(n, _P_INVERSE, np.uint64)
         up[0] = down[0] = 1
         _POWERS[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -146,7 +146,7 @@ def shingles(words: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, n
     return h, soff
 
 
-def small_batches(spark: SparkSession, mb: int = 4) -> None:
+def small_batches(spark: SparkSession, mb: int = 2) -> None:
     """Bound the Arrow batches that Python workers get by bytes, so long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 

@@ -36,7 +36,7 @@ from .common import distinct_tokens, longs, mix, release, row_groups, scratch_di
 from .components import components
 
 #: Occurrences in one part of the corpus from which a token is reported, tokens of such a part, and tokens that the order singles out at most.
-LOCAL, PART, ORDERED = 3, 4_000_000, 1 << 18
+LOCAL, PART, ORDERED = 3, 2_000_000, 1 << 18
 #: The values of l to choose from; cost of verifying a pair over that of a posting; other documents expected to hold a token that wasn't reported.
 CHOICES, VERIFY, OTHERS = (1, 2, 4, 8, 16), 8.0, 0.5
 MOST = CHOICES[-1]

@@ -870,7 +870,7 @@ def feature(samples: np.ndarray) -> str:
 
 def store_texts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """df without the text, with n_bytes and media: the text as a lossless WebP file."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 4)  # more lanes for a step
     keep = [c for c in df.columns if c not in (text_col, "n_bytes", "media")]
 
     def run(batches):
@@ -886,7 +886,7 @@ def store_texts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def read_media(df: DataFrame, *, media_col: str = "media", digests: bool = False) -> DataFrame:
     """df without the media, with payload (the bytes read back), or with its size, digests and features and those of the media."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 4)  # more lanes for a step
     made = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"} if digests else {"payload": "binary"}
     keep = [c for c in df.columns if c not in made and c != media_col]
 
