@@ -50,6 +50,12 @@ def analogy(a: Column, b: Column, c: Column) -> Column:
     return bind(bind(c, a), b)
 
 
+def majority3(a: Column, b: Column, c: Column) -> Column:
+    """The bundle of three vectors: each bit that two of them have."""
+    two = F.zip_with(a, b, lambda x, y: F.struct(x.bitwiseAND(y).alias("both"), x.bitwiseOR(y).alias("one")))
+    return F.zip_with(two, c, lambda p, z: p["both"].bitwiseOR(p["one"].bitwiseAND(z)))
+
+
 def bundle(rows: DataFrame, keys: list[str], hv: str = "hv", lanes: int = SMALL) -> DataFrame:
     """keys, hv, n: the bit majority per group. Partial sums meet, so a group may be any size.
 
