@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANE_BITS = 60
 #: Lanes of the engine's vectors (10,020 bits) and of small ones that SQL checks.
@@ -69,7 +70,7 @@ def bundle(rows: DataFrame, keys: list[str], hv: str = "hv", lanes: int = SMALL)
     return packed.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list("_lw")), lambda x: x["w"]).alias("hv"))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def text_vector(words: pd.Series) -> pd.Series:
     """Bundle of the atoms of a row's words at the engine's full width, in numpy."""
     import hashlib

@@ -1 +1,143 @@
-"""Queries."""
+"""Queries over claims: extraction from sentences, counts, comparison, chains, conflicts.
+
+The sentences are literals, the same in a query and its SQL: the tables hold invented words
+that no rule matches.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import claims as cl
+from .registry import query, table
+
+SENTENCES = [
+    "Maria Rossi was born in 1870. Maria Rossi was an Italian physicist.",
+    "Carl Braun was born in Hamburg. Carl Braun was a German composer.",
+    "Hamburg is the capital of Nordland. Nordland is a small country.",
+    "The Silver Song was composed by Carl Braun. Carl Braun died in 1931.",
+    "Ana Silva wrote Blue River. Ana Silva was born in Lisbon.",
+    "Ana Silva was born on 3 May in 1902. Ana Silva was a poet.",
+    "Carl Braun never painted Red House. ",
+    "Peter Novak invented Steam Loom. Peter Novak was born in 1850. Peter Novak was an astrophysicist.",
+    "Lisbon is the capital of Portugal.",
+    "Maria Rossi died in 1934. Maria Rossi discovered Rossium.",
+    "no claim is here",
+    "Maria Rossi was born in 1870.",
+]
+
+
+def _literals() -> str:
+    return "(VALUES " + ", ".join(f"({i}, '" + s.replace("'", "''") + "')" for i, s in enumerate(SENTENCES)) + ") AS t(id, s)"
+
+
+def _claims_sql() -> str:
+    parts = []
+    for i, r in enumerate(cl.RULES):
+        p = r.pattern.replace("'", "''")
+        verb = f"'{r.verb}'" if isinstance(r.verb, str) else f"CASE regexp_extract(m, '{p}', {r.verb}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cl.CANONICAL.items()) + f" ELSE regexp_extract(m, '{p}', {r.verb}) END"
+        parts.append(f"SELECT id, k - 1 + {1000 * i} AS pos, regexp_extract(m, '{p}', {r.subject}) AS subj, {verb} AS verb, regexp_extract(m, '{p}', {r.object}) AS obj FROM (SELECT id, unnest(regexp_extract_all(s, '{p}')) AS m, generate_subscripts(regexp_extract_all(s, '{p}'), 1) AS k FROM ok)")
+    negation = cl.tx.NEGATION.replace("'", "''")
+    return f"WITH ok AS (SELECT id, s FROM {_literals()} WHERE NOT regexp_matches(s, '{negation}')), every AS ({' UNION ALL '.join(parts)}), claims AS (SELECT id, min(pos) AS pos, subj, verb, obj FROM every WHERE length(obj) >= 2 GROUP BY id, subj, verb, obj)"
+
+
+_CLAIMS = _claims_sql()
+
+
+def _claims(spark):
+    rows = spark.createDataFrame(list(enumerate(SENTENCES)), "id int, s string")
+    return cl.extract(rows, F.col("s"), ["id"])
+
+
+@query(_CLAIMS + " SELECT id, CAST(pos AS INT) AS pos, subj, verb, obj FROM claims")
+def extracted_claims(spark, sf):
+    return _claims(spark)
+
+
+@query(_CLAIMS + " SELECT DISTINCT subj FROM claims WHERE verb = 'is' AND contains(lower(obj), 'physicist')")
+def distinct_enumeration(spark, sf):
+    return cl.subjects(_claims(spark), "is", "physicist")
+
+
+@query(_CLAIMS + """, p AS (SELECT DISTINCT subj FROM claims WHERE verb = 'is' AND contains(lower(obj), 'composer')), b AS (SELECT DISTINCT subj FROM claims WHERE verb = 'born' AND obj = 'Hamburg')
+SELECT p.subj FROM p WHERE p.subj IN (SELECT subj FROM b) OR regexp_extract(p.subj, '(\\S+)$', 1) IN (SELECT regexp_extract(subj, '(\\S+)$', 1) FROM b)""")
+def semi_join_with_fallback(spark, sf):
+    """Composers born in Hamburg, by full name or surname: two equi joins, not one with OR."""
+    c = _claims(spark)
+    p = cl.subjects(c, "is", "composer")
+    b = c.where("verb = 'born' and obj = 'Hamburg'").select("subj").distinct()
+    by_surname = p.withColumn("k", cl.surname(F.col("subj"))).join(b.select(cl.surname(F.col("subj")).alias("k")).distinct(), "k", "left_semi").select("subj")
+    return p.join(b, "subj", "left_semi").union(by_surname).distinct()
+
+
+@query(_CLAIMS + " SELECT a.subj, a.obj AS mid, b.subj AS obj FROM (SELECT DISTINCT subj, obj FROM claims WHERE verb = 'born') a JOIN (SELECT DISTINCT subj, obj FROM claims WHERE verb = 'has_capital') b ON a.obj = b.obj")
+def two_hop_join(spark, sf):
+    """The country whose capital a person was born in."""
+    c = _claims(spark)
+    inverse = c.where("verb = 'has_capital'").select("id", "pos", F.col("obj").alias("subj"), F.lit("capital_of").alias("verb"), F.col("subj").alias("obj"))
+    return cl.two_hop(c.unionByName(inverse), "born", "capital_of")
+
+
+_YEARS = ", y AS (SELECT subj, arg_min(CAST(obj AS INT), (id, pos)) AS year FROM claims WHERE verb = 'born_year' AND regexp_matches(obj, '^\\d{1,4}$') GROUP BY subj)"
+
+
+@query(_CLAIMS + _YEARS + " SELECT a.subj AS a, b.subj AS b, CASE WHEN a.year < b.year THEN a.subj WHEN a.year > b.year THEN b.subj ELSE b.subj END AS older, abs(a.year - b.year) AS gap FROM y a JOIN y b ON a.subj < b.subj")
+def compare_first_match(spark, sf):
+    """Each two people with a birth year, and who is older; equal years make it the second."""
+    y = cl.years(_claims(spark), "born_year")
+    own = y.select(F.array_sort(F.array(F.struct("subj", "year"))).alias("x"))
+    all_ = own.agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))  # the people of twelve sentences
+    pairs = all_.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("q"))
+    older = F.when(F.col("p.year") < F.col("q.year"), F.col("p.subj")).otherwise(F.col("q.subj"))
+    return pairs.select(F.col("p.subj").alias("a"), F.col("q.subj").alias("b"), older.alias("older"), F.abs(F.col("p.year") - F.col("q.year")).alias("gap"))
+
+
+@query(_CLAIMS + ", d AS (SELECT subj, arg_min(CAST(obj AS INT), (id, pos)) AS died FROM claims WHERE verb = 'died_year' GROUP BY subj)" + _YEARS + " SELECT y.subj, d.died - y.year AS years FROM y JOIN d USING (subj)")
+def lifespan(spark, sf):
+    c = _claims(spark)
+    return cl.years(c, "born_year").join(cl.years(c, "died_year").withColumnRenamed("year", "died"), "subj").select("subj", (F.col("died") - F.col("year")).alias("years"))
+
+
+@query(_CLAIMS + " SELECT verb, count(*) AS claims, count(DISTINCT subj) AS subjects, count(DISTINCT obj) AS objects FROM claims GROUP BY verb")
+def claim_counts(spark, sf):
+    return _claims(spark).groupBy("verb").agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("subj").alias("subjects"), F.count_distinct("obj").alias("objects"))
+
+
+FACTS = ["My name is Ada Byron. Hello", "I am a software engineer", "I'm an early bird", "i live in New Town", "I'm from Old Town!", "I have two black cats", "I like green tea, really", "I work for Acme & Sons", "remember that the key is red", "Is my name is Bob?", "nothing"]
+
+
+def _facts_sql() -> str:
+    rows = ", ".join(f"({i}, '" + s.replace("'", "''") + "')" for i, s in enumerate(FACTS))
+    parts = []
+    for r in cl.USER_FACTS:
+        p, (before, after) = r.pattern.replace("'", "''"), r.template.replace("'", "''").split("%s")
+        parts.append(f"SELECT id, '{r.kind}' AS kind, '{before}' || rtrim(trim(v), '.,!?') || '{after}' AS fact FROM (SELECT id, unnest(regexp_extract_all(s, '{p}', 1)) AS v FROM t WHERE NOT regexp_matches(trim(s), '\\?$'))")
+    return f"WITH t AS (SELECT * FROM (VALUES {rows}) AS t(id, s)) {' UNION ALL '.join(parts)}"
+
+
+@query(_facts_sql())
+def user_fact_rules(spark, sf):
+    return cl.user_facts(spark.createDataFrame(list(enumerate(FACTS)), "id int, s string"), F.col("s"), ["id"])
+
+
+@query("""WITH v AS (SELECT o_custkey AS slot, o_orderstatus AS value, o_orderpriority AS source, (o_orderdate, o_orderkey) AS moment FROM orders),
+g AS (SELECT slot, arg_max(value, moment) AS newest, list_sort(list_distinct(list(value))) AS all_, count(DISTINCT source) AS s FROM v GROUP BY slot)
+SELECT slot, newest, array_to_string(list_filter(all_, lambda x: x <> newest), ',') AS others FROM g WHERE len(all_) > 1 AND s > 1""")
+def conflict_detection(spark, sf):
+    """Customers whose orders of different priorities tell different statuses; the newest wins."""
+    v = table(spark, sf, "orders").select(F.col("o_custkey").alias("slot"), F.col("o_orderstatus").alias("value"), F.col("o_orderpriority").alias("source"), F.struct("o_orderdate", "o_orderkey").alias("moment"))
+    return cl.conflicts(v, "slot", "value", "source", "moment")
+
+
+@query("""SELECT c_mktsegment AS thing, CASE WHEN count(*) = 0 THEN 'none' WHEN count(*) = 1 THEN 'one: ' || min(c_name) WHEN count(*) <= 12 THEN count(*) || ': ' || string_agg(c_name, ', ' ORDER BY c_name)
+  ELSE count(*) || ', such as ' || array_to_string(list_sort(list(c_name))[1:12], ', ') END AS answer FROM customer GROUP BY 1""")
+def count_dispatch(spark, sf):
+    """A count in words: one, a list of up to twelve, or the first twelve of more."""
+    from ..functions.hv import top_k
+
+    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("thing"), "c_name")
+    n = c.groupBy("thing").agg(F.count(F.lit(1)).alias("n"))
+    names = top_k(c, ["thing"], [F.col("c_name")], 12).groupBy("thing").agg(F.array_sort(F.collect_list("c_name")).alias("names"))
+    joined = F.array_join("names", ", ")
+    text = F.when(F.col("n") == 1, F.concat(F.lit("one: "), joined)).when(F.col("n") <= 12, F.concat(F.col("n").cast("string"), F.lit(": "), joined)).otherwise(F.concat(F.col("n").cast("string"), F.lit(", such as "), joined))
+    return n.join(names, "thing").select("thing", text.alias("answer"))

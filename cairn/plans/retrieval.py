@@ -111,7 +111,7 @@ def hybrid_rerank(spark, sf):
     return retrieve.rerank(evidence, 5).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-_TYPOS = ["FRANCEE", "GERMNAY", "INDA", "CHNA", "BRAZIL", "RUSIA", "XXXXXX", "IRAM", "JAPN", "KENYAA"]
+_TYPOS = ["NATION_1O", "NATON_24", "NATIN_3", "NATION_", "XXXXXX", "NAION_17", "NATIO_9", "NATION_22"]
 
 
 @query(f"WITH w AS (SELECT unnest([{', '.join(repr(t) for t in _TYPOS)}]) AS word), d AS (SELECT word, n_name AS name, levenshtein(word, n_name) AS d FROM w, nation), m AS (SELECT word, min(d) AS m FROM d WHERE d <= 2 GROUP BY word) SELECT word, min(name) AS name, CAST(min(m) AS INT) AS distance FROM d JOIN m USING (word) WHERE d = m GROUP BY word HAVING count(*) = 1")
