@@ -12,8 +12,8 @@ from ..operators import claims as cl
 from .registry import query, table
 
 SENTENCES = [
-    "Maria Rossi was born in 1870. Maria Rossi was an Italian physicist.",
-    "Carl Braun was born in Hamburg. Carl Braun was a German composer.",
+    "Maria Rossi was born in 1870. Maria Rossi was a keen physicist.",
+    "Carl Braun was born in Hamburg. Carl Braun was a famous composer.",
     "Hamburg is the capital of Nordland. Nordland is a small country.",
     "The Silver Song was composed by Carl Braun. Carl Braun died in 1931.",
     "Ana Silva wrote Blue River. Ana Silva was born in Lisbon.",
