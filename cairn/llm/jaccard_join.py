@@ -240,12 +240,15 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     plain = open_.where(f"w <= {CROWD}")
     pairs = other(plain).join(plain, "token").where(between).groupBy(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
     pairs = pairs.agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "l_")).alias("need")).where("k >= need").select("a", "b")
-    crowd = open_.where(f"w > {CROWD} and early").join(prefixes.select("id", "lc", "lt", "tokens"), "id")
+    crowd = open_.where(f"w > {CROWD} and early")
+    crowd = crowd.join(crowd.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("crowded")), "id").join(prefixes.select("id", "lc", "lt", "tokens"), "id")
     overlap = f"ceil({num} * (n + n_) / {num + den})"
     ends_first = "(lc < lc_ or (lc = lc_ and lt <= lt_))"
     lacks = lambda n, l: f"({overlap} - ceil({num} * {n} / {den}) + {l})"
     enough = f"size(array_intersect(tokens, tokens_)) >= case when {ends_first} then {lacks('n', 'l')} else {lacks('n_', 'l_')} end"
-    dense = other(crowd).join(crowd, "token").where(f"{between} and {enough}").select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
+    # each pair comes out once: at the first of the crowded tokens that both have
+    first = "get(array_intersect(crowded, crowded_), 0) = token"
+    dense = other(crowd).join(crowd, "token").where(f"{between} and {enough} and {first}").select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
     pairs = stored(pairs.union(dense).distinct().join(stars, ["a", "b"], "left_anti"), f"{top}/pairs")
     release(spark)
     more = stored(verified(pairs, docs, k, num, den, f"{top}/sets"), f"{top}/more")
