@@ -12,10 +12,13 @@ Sets that are equal form a class, and only its least document takes part. Tokens
 many documents first link these to one pivot (a star, so a group of N near copies makes
 N pairs, not N^2). What these links don't join is then enumerated, but only between
 different components: the documents outside a token's largest component against all
-documents of that token. At tokens with more than ``CROWD`` documents the prefixes
+documents of that token. A pair shares a token of both prefixes for l = 1 at least. At such
+tokens with more than ``CROWD`` documents the prefixes
 themselves are compared inside the join, so that no pair comes out that they rule out:
 of the document whose prefix ends first, all prefix tokens that the other's prefix lacks are
-missing from the other. Every pair is verified with whole sets, which are made again
+missing from the other. The other pairs meet at tokens with fewer documents; where those
+alone are less than l, the crowded ones may make up the rest, and the prefixes are
+compared too. Every pair is verified with whole sets, which are made again
 from the texts of the documents that have such pairs.
 
 Edge cases: null text, empty text or no words: empty set, linked with nothing, its own
@@ -229,17 +232,20 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = stored(verified(stars, docs, k, num, den, f"{top}/star_sets"), f"{top}/links")
     found = stored(components(links), f"{top}/found")
     # between components
-    there = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "l", "early", "w", F.coalesce("component", "id").alias("c"))
+    crowds = shared.where(f"w > {CROWD}").groupBy("id").agg(F.count(F.lit(1)).alias("q"))  # crowded tokens of a prefix
+    there = shared.join(found.withColumnRenamed("node", "id"), "id", "left").join(crowds, "id", "left")
+    there = there.select("token", "id", "n", "l", "early", "w", F.coalesce("component", "id").alias("c"), F.coalesce("q", F.lit(0)).alias("q"))
     there = stored(there, f"{top}/there")
     release(spark)
     tally = there.groupBy("token", "c").agg(F.count(F.lit(1)).alias("w"))
     mixed = tally.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("w", "c")).alias("top")).where("k > 1").select("token", F.col("top.c").alias("main"))
     open_ = there.join(mixed, "token")
-    other = lambda df: df.where("c <> main").select("token", *[F.col(c).alias(f"{c}_") for c in df.columns if c not in ("token", "main", "w", "early")])
+    other = lambda df: df.where("c <> main").select("token", *[F.col(c).alias(f"{c}_") for c in df.columns if c not in ("token", "main", "w")])
     between = f"c <> c_ and (c = main or id < id_) and {fits.replace('m)', 'n_)')}"
     plain = open_.where(f"w <= {CROWD}")
-    pairs = other(plain).join(plain, "token").where(between).groupBy(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "l_")).alias("need")).where("k >= need").select("a", "b")
+    met = other(plain).join(plain, "token").where(between).groupBy(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
+    met = met.agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "l_")).alias("need"), F.min(F.least("q", "q_")).alias("q"), F.max(F.expr("early and early_")).alias("early"))
+    met = stored(met.where("early and k + q >= need").select("a", "b", (F.col("k") < F.col("need")).alias("short")), f"{top}/met")
     crowd = open_.where(f"w > {CROWD} and early")
     crowd = crowd.join(crowd.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("crowded")), "id").join(prefixes.select("id", "lc", "lt", "tokens"), "id")
     overlap = f"ceil({num} * (n + n_) / {num + den})"
@@ -248,8 +254,11 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     enough = f"size(array_intersect(tokens, tokens_)) >= case when {ends_first} then {lacks('n', 'l')} else {lacks('n_', 'l_')} end"
     # each pair comes out once: at the first of the crowded tokens that both have
     first = "get(array_intersect(crowded, crowded_), 0) = token"
+    ends = prefixes.select("id", "n", "l", "lc", "lt", "tokens")
+    left, right = ends.withColumnRenamed("id", "a"), ends.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_") for c in ends.columns[1:]])
+    short = met.where("short").join(left, "a").join(right, "b").where(enough).select("a", "b")
     dense = other(crowd).join(crowd, "token").where(f"{between} and {enough} and {first}").select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
-    pairs = stored(pairs.union(dense).distinct().join(stars, ["a", "b"], "left_anti"), f"{top}/pairs")
+    pairs = stored(met.where("not short").select("a", "b").union(short).union(dense).distinct().join(stars, ["a", "b"], "left_anti"), f"{top}/pairs")
     release(spark)
     more = stored(verified(pairs, docs, k, num, den, f"{top}/sets"), f"{top}/more")
     release(spark)

@@ -77,3 +77,18 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (205, 200), (200, 203)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 200: 200, 203: 200, 205: 200}
+
+
+@pytest.mark.parametrize("few,many", [(30, 33), (32, 33), (31, 40)])
+def test_passages_on_both_sides_of_crowd(spark, few, many):
+    """Two texts (45 of 55 words shared) whose early shared words few documents hold and whose other shared prefix words a crowd holds."""
+    rng = random.Random(few)
+    a, b, c = ([f"{x}{i}" for i in range(m)] for x, m in (("a", 6), ("b", 7), ("c", 32)))
+    texts = [[f"{x}{i}" for i in range(5)] + a + b + c for x in "pq"]
+    texts += [a + rng.sample(c, 24) for _ in range(few - 2)] + [b + rng.sample(c, 23) for _ in range(many - 2)]
+    texts += [c + [f"r{j}_{i}" for i in range(20)] for j in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want, _ = brute(rows, 1, 80, 100)
+    assert want[0] == want[1] == 0 and set(want[i] for i in range(2, len(rows))).isdisjoint({0})
+    got = linked_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k=1, num=80, den=100).collect()
+    assert {r.id: r.component_id for r in got} == want
