@@ -19,7 +19,9 @@ case, punctuation and white space don't hide an item.
 Edge cases: a null or empty text, or one without words, contains nothing; an item with
 fewer words than a shingle is one shingle of all its words; items without words match
 nothing; repeated rows give repeated pairs of a document row and an item once each;
-an empty table gives no rows; an item table with repeated ids counts each row's text.
+an empty table gives no rows; an item table with repeated ids counts each row's text, and
+of the texts of one id that a document row contains the one that shares most gives the
+row (the shorter of two that share as much).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, row_groups, shingles, small_batches, string_buffers, word_bounds, word_hashes
+from .common import longs, row_groups, scratch_dir, shingles, small_batches, stored, string_buffers, word_bounds, word_hashes
 
 #: Signature rows (32 bytes each) and bytes of item texts that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 1 << 20, 1 << 26
@@ -43,12 +45,18 @@ def _shingles(column: pa.Array, k: int, a: int, b: int):
     return shingles(*word_hashes(data, off, PARTING), k)
 
 
-def item_shingles(items: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """item, width (words of a shingle), hash, n (distinct shingles of the item), rank of the hash in the item."""
+def numbered(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """number, item, text: each text of an item once, with a number of its own; stored, so that the numbers stay."""
+    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    return stored(rows.select(F.monotonically_increasing_id().alias("number"), "item", "text"), f"{scratch_dir(items.sparkSession)}/items")
+
+
+def item_shingles(items: DataFrame, k: int) -> DataFrame:
+    """number, width (words of a shingle), hash, n (distinct shingles of the item), rank of the hash in the item."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("item")
+            ids = batch.column("number")
             data, off = string_buffers(batch.column("text"))
             words, woff = word_hashes(data, off, PARTING)
             h, soff = shingles(words, woff, k)
@@ -56,10 +64,9 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, k: int) -> DataF
             for i in range(batch.num_rows):
                 own = np.unique(h[soff[i] : soff[i + 1]])
                 m = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * m, pa.int64()), longs(np.full(m, width[i])), longs(np.sort(own)), longs(np.full(m, m)), longs(np.arange(m))], names=["item", "width", "hash", "n", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * m, pa.int64()), longs(np.full(m, width[i])), longs(np.sort(own)), longs(np.full(m, m)), longs(np.arange(m))], names=["number", "width", "hash", "n", "rank"])
 
-    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "item long, width long, hash long, n long, rank long")
+    return items.select("number", "text").mapInArrow(run, "number long, width long, hash long, n long, rank long")
 
 
 def _words(text: str) -> list[bytes]:
@@ -80,29 +87,35 @@ def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
     """doc_id, item_id, n_shingles (of the item), n_shared: one row for each document row and item that it contains."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = item_shingles(items, item_id, item_text, k)
+    given = numbered(items, item_id, item_text)
+    parts = item_shingles(given, k)
     need = F.floor((F.col("n") * num + den - 1) / den).cast("long")
     signature = parts.where(F.col("rank") <= F.col("n") - need)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if signature.count() <= broadcast_rows and size <= BROADCAST_BYTES:
-        sig = signature.select("item", "width", "hash", "n").toPandas()
-        wanted = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null").toPandas()
-        shared = spark.sparkContext.broadcast((*(sig[c].to_numpy(np.int64) for c in ("item", "width", "hash", "n")), dict(zip(wanted.item.tolist(), wanted.text.fillna("").tolist(), strict=True))))
+        sig = signature.select("number", "width", "hash", "n").toPandas()
+        wanted = given.toArrow()
+        number, item, text = (wanted[c].to_pylist() for c in ("number", "item", "text"))
+        shared = spark.sparkContext.broadcast((*(sig[c].to_numpy(np.int64) for c in ("number", "width", "hash", "n")), dict(zip(number, zip(item, text, strict=True), strict=True))))
         return rows.mapInArrow(_local_search(shared, k, num, den), "doc_id long, item_id long, n_shingles long, n_shared long")
-    return _shuffled_search(rows, signature, items, item_id, item_text, k, num, den)
+    return _shuffled_search(rows, signature, given, k, num, den)
 
 
 def _verify(text: str, found, wanted: dict, k: int, num: int, den: int):
-    """(item, n, shared) of the candidate (item, width) pairs that hold."""
+    """(item, n, shared) of the candidate (number, width) pairs that hold, once for each item: of its texts the one that shares most, then the shorter."""
     own: dict[int, set] = {}
-    for item, width in found:
+    best: dict = {}
+    for number, width in found:
         if width not in own:
             own[width] = _exact(text, width, k)
-        shingle = _exact(wanted[item], width, k)
+        item, item_text = wanted[number]
+        shingle = _exact(item_text, width, k)
         both = len(shingle & own[width])
         if shingle and den * both >= num * len(shingle):
-            yield item, len(shingle), both
+            best[item] = max(best.get(item, (0, 0)), (both, -len(shingle)))
+    for item, (both, less) in best.items():
+        yield item, -less, both
 
 
 def _local_search(shared, k, num, den):
@@ -145,7 +158,7 @@ def _local_search(shared, k, num, den):
     return run
 
 
-def _shuffled_search(rows, signature, items, item_id, item_text, k, num, den):
+def _shuffled_search(rows, signature, given, k, num, den):
     """The same with the signatures joined by a shuffle, for large item tables."""
     widths = [r[0] for r in signature.select("width").distinct().collect()]  # 1 to k
 
@@ -162,14 +175,17 @@ def _shuffled_search(rows, signature, items, item_id, item_text, k, num, den):
     def check(batches):
         for batch in batches:
             out = []
-            for doc, text, item, width, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "item", "width", "wanted")), strict=True):
-                out += [(doc, *hit) for hit in _verify(text or "", [(item, width)], {item: wanted or ""}, k, num, den)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shingles", "n_shared"])
-
-    found = rows.mapInArrow(hashes, "doc long, width long, hash long").join(signature, ["width", "hash"]).select("doc", "item", "width").distinct()
-    full = found.join(rows, "doc").join(items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("wanted")), "item")
-    return full.mapInArrow(check, "doc_id long, item_id long, n_shingles long, n_shared long")
+            for row, doc, text, number, item, width, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "doc", "text", "number", "item", "width", "wanted")), strict=True):
+                out += [(row, doc, *hit) for hit in _verify(text or "", [(number, width)], {number: (item, wanted)}, k, num, den)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "doc_id", "item_id", "n_shingles", "n_shared"])
+
+    found = rows.mapInArrow(hashes, "doc long, width long, hash long").join(signature, ["width", "hash"]).select(F.col("doc").alias("doc_"), "number", "width").distinct()
+    each = rows.withColumn("row", F.monotonically_increasing_id())
+    full = found.join(each, F.col("doc_").eqNullSafe(F.col("doc"))).join(given.withColumnRenamed("text", "wanted"), "number")
+    hits = full.mapInArrow(check, "row long, doc_id long, item_id long, n_shingles long, n_shared long")
+    best = hits.groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("n_shared", (-F.col("n_shingles")).alias("less"))).alias("best"))
+    return best.select("doc_id", "item_id", (-F.col("best.less")).alias("n_shingles"), F.col("best.n_shared").alias("n_shared"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -48,3 +48,23 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert drop_contaminated(empty_docs(spark), items).count() == 0
     assert contained(docs, items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 0])
+def test_repeated_item_ids(spark, rows):
+    """Each text of a repeated item_id counts, and a document row has an item once, whichever path is taken."""
+    rng = random.Random(5)
+    one, two, three, four = (words(rng, n) for n in (12, 20, 9, 3))
+    items = [(7, one), (7, two), (7, two), (8, three), (8, four), (9, one), (None, three)]
+    docs = [(1, f"x {one} y"), (2, f"x {two} y"), (3, f"{one} {two} {three}"), (3, f"{one} {two} {three}"), (4, f"{four} z"), (5, "none of them"), (None, f"a {two}")]
+    best = {}
+    for at, doc in enumerate(docs):
+        for item in items:
+            for i, j, n, both in brute([doc], [item]):
+                best[at, i, j] = max(best.get((at, i, j), (0, 0)), (both, -n))
+    want = sorted(((i, j, -less, both) for (_, i, j), (both, less) in best.items()), key=str)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    t = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    got = contained(d, t, broadcast_rows=rows).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert {(1, 7), (2, 7), (4, 8)} <= {(r.doc_id, r.item_id) for r in got}
