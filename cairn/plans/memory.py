@@ -90,18 +90,38 @@ def rows_per_kind(spark, sf):
     return memories(spark, sf).groupBy(store.kind(F.col("source")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
-def _pieces(col):
-    """The texts between capitals, 40 characters of each at most."""
-    return F.transform(F.split(col, r"(?=\p{Lu})"), lambda x: F.left(x, F.lit(40)))
+_WORD = r"[\p{L}\p{N}_-]+"
+
+
+def _inner_words(col):
+    """The words with other characters before and after them: whole words of any text that holds col."""
+    return F.array_distinct(F.regexp_extract_all(col, F.lit(rf"(?<=[^\p{{L}}\p{{N}}_-]){_WORD}(?=[^\p{{L}}\p{{N}}_-])"), F.lit(0)))
+
+
+def occurrences(items, rows):
+    """item_id, id, source: each row of items (item_id, wanted) with each row of rows (id, text, source) whose text contains it.
+
+    They meet at the item's inner word that the fewest rows hold; items without inner words
+    are compared with every row.
+    """
+    texts = items.where("wanted is not null").select("wanted").distinct().withColumn("inner", _inner_words(F.col("wanted")))
+    inner = texts.select("wanted", F.explode("inner").alias("word"))
+    words = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word"))
+    words = words.join(inner.select("word").distinct(), "word", "left_semi")
+    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    anchor = inner.join(often, "word", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))["word"].alias("word"))
+    near = words.join(anchor, "word").select(F.col("id").alias("id_"), "wanted").distinct()
+    found = near.join(rows, F.col("id_").eqNullSafe(F.col("id"))).where(F.contains("text", F.col("wanted"))).select("wanted", "id", "source")
+    short = texts.where(F.size("inner") == 0).select("wanted")
+    rest = rows.join(F.broadcast(short), F.contains("text", F.col("wanted"))).select("wanted", "id", "source")
+    return found.union(rest).join(items, "wanted").select("item_id", "id", "source")
 
 
 @query(f"SELECT b.item_id, count(*) AS n, min(m.id) AS id, arg_min(m.source, m.id) AS source FROM benchmark b JOIN ({_MEM}) m ON contains(m.text, b.text) GROUP BY b.item_id")
 def provenance_lookup(spark, sf):
-    """Where each benchmark text occurs whole: its first row and source. Candidates meet by what stands between the text's first two capitals."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("wanted")).withColumn("head", F.get(_pieces("wanted"), F.lit(0)))
-    m = memories(spark, sf)
-    found = m.select("id", "text", "source", F.explode(F.array_distinct(_pieces("text"))).alias("head")).join(b, "head").where(F.contains("text", F.col("wanted")))
-    return found.groupBy("item_id").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.min_by("source", "id").alias("source"))
+    """Where each benchmark text occurs whole: its first row and source."""
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("wanted"))
+    return occurrences(b, memories(spark, sf)).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min_by("source", "id").alias("source"))
 
 
 @query("SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, md5(CAST(p_partkey AS VARCHAR) || 'seed') AS h FROM part WHERE length(p_name) BETWEEN 5 AND 240) ORDER BY h, p_partkey LIMIT 1")
