@@ -45,9 +45,9 @@ def best_next(counts: DataFrame) -> DataFrame:
 
 def cooccurrence(rows: DataFrame, words: Column, window: int) -> DataFrame:
     """a, b, n: pairs of different words at most so many words apart, counted in both directions."""
-    own = held(rows, [], w=words).select("w", F.posexplode("w").alias("i", "a"))
-    after = F.slice("w", F.col("i") + 2, window)
-    one = own.select("a", F.explode(after).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    near = lambda i: F.slice("w", i, F.lit(window + 1))  # noqa: E731 (a word and those after it, so that no row holds a whole text)
+    own = held(rows, [], w=words).where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), near)).alias("g"))
+    one = own.select(F.element_at("g", 1).alias("a"), F.explode(F.slice("g", 2, window)).alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return one.union(one.select(F.col("b"), F.col("a"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import answer as an
 from ..operators import mine, retrieve
 from .claims import _CLAIMS, _claims
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 from .retrieval import _knn_sql, _vectors
 
 QUESTIONS = ["When was Maria Rossi born?", "who composed The Silver Song?", "What did Peter Novak invent?", "What is the capital of Portugal?", "Who was Ana Silva?", "when did Carl Braun die", "12 * (3 + 4)", "how many rivers are there", "who is older, A or B?", "tell me a story", "remember the key"]
@@ -79,8 +79,16 @@ _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')"
 s AS (SELECT c, n, k / sum(k) OVER (PARTITION BY c) AS p FROM b), u AS (SELECT t AS n, count(*) / sum(count(*)) OVER () AS p FROM (SELECT unnest({_TOK}) AS t FROM benchmark) GROUP BY t),
 x AS (SELECT n, p FROM s WHERE c = 'the') SELECT coalesce(x.n, u.n) AS next, round(0.5 * coalesce(x.p, 0) + 0.5 * coalesce(u.p, 0), 6) AS p FROM x FULL OUTER JOIN u ON x.n = u.n""")
 def outer_join_blend(spark, sf):
+    return _blend(table(spark, sf, "benchmark"))
+
+
+@query(ORACLE_SQL["outer_join_blend"].replace("FROM benchmark", "FROM documents"))
+def outer_join_blend_documents(spark, sf):
+    return _blend(table(spark, sf, "documents"))
+
+
+def _blend(b):
     """Half the share after "the", half the overall share, for every word that has either."""
-    b = table(spark, sf, "benchmark")
     t = mine.transitions(b, tx.lower_tokens(F.col("text")), 1).where("context = 'the'")
     one = t.join(F.broadcast(t.agg(F.sum("n").alias("s"))), F.lit(True)).select("next", (F.col("n") / F.col("s")).alias("p"))
     w = b.select(F.explode(tx.lower_tokens(F.col("text"))).alias("next")).groupBy("next").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from ..functions import numeric as num
 from ..functions import text as tx
 from ..functions.hv import top_k
 from ..operators import mine
-from .registry import query, sql_list, table
+from .registry import ORACLE_SQL, query, sql_list, table
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')"
 _CASED = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_-]+')"
@@ -117,6 +117,37 @@ def cross_validated_pairs(spark, sf):
     return mine.cross_validated(mine.typed_triples(table(spark, sf, "benchmark"), tx.tokens(F.col("text"))))
 
 
+def _over_documents(name: str, table_name: str = "benchmark") -> str:
+    """The SQL of a query on a smaller table, on documents."""
+    return ORACLE_SQL[name].replace(f"FROM {table_name}", "FROM documents")
+
+
+@query(_over_documents("cooccurrence_window"))
+def cooccurrence_window_documents(spark, sf):
+    return mine.cooccurrence(_docs(spark, sf), _words(), 4)
+
+
+@query(_over_documents("phrase_patterns"))
+def phrase_patterns_documents(spark, sf):
+    return mine.phrase_patterns(_docs(spark, sf), tx.tokens(F.col("text")))
+
+
+@query(_over_documents("typed_windows", "conversations"))
+def typed_windows_documents(spark, sf):
+    return mine.typed_windows(_docs(spark, sf), tx.tokens(F.col("text")))
+
+
+@query()
+def typed_triples_documents(spark, sf):
+    """Without SQL: DuckDB's upper makes one letter of the sharp s in a label, Spark's two."""
+    return mine.typed_triples(_docs(spark, sf), tx.tokens(F.col("text")))
+
+
+@query(_over_documents("cross_validated_pairs"))
+def cross_validated_pairs_documents(spark, sf):
+    return mine.cross_validated(mine.typed_triples(_docs(spark, sf), tx.tokens(F.col("text"))))
+
+
 @query(f"""WITH p AS (SELECT lang, source, unnest(w[1:6]) AS w, generate_subscripts(w[1:6], 1) - 1 AS pos FROM (SELECT lang, source, {_CASED} AS w FROM documents))
 SELECT lang, source, pos, count(DISTINCT w) AS n FROM p GROUP BY 1, 2, 3 HAVING count(DISTINCT w) > 1 AND bool_and(NOT list_contains({_FW}, lower(w)))""")
 def slot_detection(spark, sf):
