@@ -104,7 +104,17 @@ def cross_validated(triples: DataFrame, least: int = 2) -> DataFrame:
     return pair.groupBy("s", "o").agg(F.count_distinct("label").alias("labels")).where(F.col("labels") >= least)
 
 
-def slots(rows: DataFrame, group: list[str], words: Column, width: int) -> DataFrame:
-    """group, pos, n: places (of the first ``width``) where the words of a group's rows differ and all are content words."""
-    p = rows.select(*group, F.posexplode(F.slice(words, 1, width)).alias("pos", "w"))
+def slots(rows: DataFrame, group: list[str], words: Column, width: int | None = None) -> DataFrame:
+    """group, pos, n: places where the words of a group's rows differ and all are content words.
+
+    Places run to the end of the group's shortest row, or over the first ``width`` of each row where that is given.
+    """
+    if width is None:
+        w = held(rows, group, w=words)
+        least = w.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.min(F.size("w")).alias("_least"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+        w = w.join(least, same).select(*group, F.slice("w", F.lit(1), F.col("_least")).alias("w"))
+    else:
+        w = rows.select(*group, F.slice(words, 1, width).alias("w"))
+    p = w.select(*group, F.posexplode("w").alias("pos", "w"))
     return p.groupBy(*group, "pos").agg(F.count_distinct("w").alias("n"), F.bool_and(~F.lower("w").isin(tx.FUNCTION_WORDS)).alias("free")).where("n > 1 and free").drop("free")

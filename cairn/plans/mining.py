@@ -154,6 +154,12 @@ def slot_detection(spark, sf):
     return mine.slots(_docs(spark, sf), ["lang", "source"], tx.tokens(F.col("text")), 6).select("lang", "source", F.col("pos").cast("long").alias("pos"), "n")
 
 
+@query()
+def slot_detection_whole(spark, sf):
+    """The places of slot_detection up to the end of each group's shortest text (slot_detection and its SQL read six words)."""
+    return mine.slots(_docs(spark, sf), ["lang", "source"], tx.tokens(F.col("text"))).select("lang", "source", F.col("pos").cast("long").alias("pos"), "n")
+
+
 @query(f"""WITH w AS (SELECT doc_id, lang, list_distinct({_TOK}) AS w FROM documents), r AS (SELECT lang, t, doc_id FROM (SELECT doc_id, lang, unnest(w) AS t FROM w)), q AS (SELECT * FROM r WHERE doc_id % 100 = 0),
 c AS (SELECT q.doc_id AS qid, r.doc_id AS id, count(*) AS k FROM q JOIN r ON q.t = r.t AND q.doc_id <> r.doc_id GROUP BY 1, 2)
 SELECT qid, id, round(k / (len(a.w) + len(b.w) - k), 6) AS jaccard FROM c JOIN w a ON a.doc_id = qid JOIN w b ON b.doc_id = id WHERE k / (len(a.w) + len(b.w) - k) >= 0.5""")

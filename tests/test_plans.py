@@ -84,3 +84,19 @@ def test_mining_of_documents(spark, tmp_path):
     blend = {x: round(0.5 * after[x] / after.total() + 0.5 * n / words.total(), 6) for x, n in words.items()}
     assert dict(run("outer_join_blend_documents")) == pytest.approx(blend, abs=2e-6)
     assert any(len(v) >= 3 for v in patterns.values()) and triples and max(typed.values()) >= 2
+
+
+def test_slots_up_to_the_shortest_text(spark, tmp_path):
+    """Slots after the sixth word count, and places beyond a group's shortest text don't."""
+    rows = [("en", "a", "we saw the old house near Bern Alpha and Rome"), ("en", "a", "we saw the old house near Basel Beta and Oslo today"), ("en", "b", "red fox runs far"), ("en", "b", "blue cat"), (None, "b", "red one"), (None, "b", "blue two"), ("de", "c", None), ("de", "c", "allein hier")]
+    sf = _documents(spark, tmp_path, rows, "lang string, source string, text string")
+    want = []
+    for g in {r[:2] for r in rows}:
+        texts = [_tokens(t) for *k, t in rows if tuple(k) == g]
+        for pos in range(min(map(len, texts))):
+            at = [t[pos] for t in texts]
+            if len(set(at)) > 1 and not any(x.lower() in tx.FUNCTION_WORDS for x in at):
+                want.append((*g, pos, len(set(at))))
+    got = [tuple(r) for r in QUERIES["slot_detection_whole"](spark, sf).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {("en", "a", 6, 2), ("en", "a", 7, 2), ("en", "a", 9, 2)} <= set(got) and not any(r[1] == "b" and r[2] > 1 for r in got)
