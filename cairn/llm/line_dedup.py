@@ -1,24 +1,25 @@
 """Line deduplication across documents that returns keep bitmaps, not text.
 
-Lines become (hash, document, position) rows. They are range-partitioned by hash and
-document and sorted by hash, document descending and position, so that one hash may
-spread over several partitions: a line that a third of all documents hold is no hot
-task. Each partition streams its sorted rows into one row per hash and document and
-then one row per hash; only those partial counts meet per hash. A hash found in at
-least ``min_docs`` documents drops everywhere but in the largest document id. What
-comes back is, for each document, the run-length-compressed bitmap of kept line
+Lines become (hash, document, position) rows. They are range-partitioned by hash and sorted
+by hash, document descending and position; each partition streams its sorted rows, where
+the first document of a hash is the one that keeps its lines, and a hash that goes on to
+``min_docs`` documents loses the lines of all others. A hash that more than one in
+``4 x partitions`` of all lines has would make a partition too large: such hashes (as
+their share implies, less than four for each partition) are left out of the stream, counted by hash and
+document in partial sums, and decided by a join with those totals, which are broadcast. Both give the same result.
+What comes back is, for each document, the run-length-compressed bitmap of kept line
 positions (array of start and length).
 
 Edge cases: a null or empty text is one empty line; keys shorter than ``min_chars``
 code points never drop; rows that repeat a doc_id count as one document and, with
 equal texts, get equal bitmaps; a null doc_id is a document of its own that is below
-all others; an empty table gives no rows; extra columns are carried by
-``apply_bitmaps`` and don't clash with the names used here.
+all others; an empty table gives no rows; extra columns are carried, ``keep_bitmaps``
+replaces those named n_lines, n_dropped and keep, ``apply_bitmaps`` none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, stored
@@ -58,29 +59,55 @@ def keep_runs(runs: Column, n_lines: Column) -> Column:
     return F.filter(both, lambda r: r["length"] > 0)
 
 
+def heavy_hashes(rows: DataFrame, parts: int) -> DataFrame:
+    """_h, _g of the hashes with more than one in 4 * parts of all lines: less than 4 * parts rows."""
+    most = rows.count() // (4 * parts) + 1
+    return rows.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_h", "_g")
+
+
+def lost_in_stream(rows: DataFrame, parts: int, min_docs: int) -> DataFrame:
+    """The rows that drop, decided inside partitions of a range of hashes, in sorted order."""
+    ranged = rows.repartitionByRange(parts, "_h", "_g").sortWithinPartitions("_h", "_g", F.desc("_doc"), "_pos")
+    one = Window.partitionBy("_h", "_g")
+    ranked = ranged.withColumn("_rank", F.dense_rank().over(one.orderBy(F.desc("_doc"))))
+    whole = one.orderBy(F.desc("_doc")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return ranked.withColumn("_docs", F.max("_rank").over(whole)).where((F.col("_rank") > 1) & (F.col("_docs") >= min_docs))
+
+
+def lost_by_totals(rows: DataFrame, min_docs: int) -> DataFrame:
+    """The same for a few hashes, by counts that meet as partial sums."""
+    totals = rows.groupBy("_h", "_g", "_doc").agg(F.lit(1).alias("_one")).groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_keeper"))
+    return rows.join(F.broadcast(totals.where(F.col("_docs") >= min_docs)), ["_h", "_g"]).where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
+
+
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """_doc, _text and _runs (dropped runs) for each document that loses lines."""
     spark = docs.sparkSession
-    rows = stored(line_rows(docs, id_col, text_col, min_chars), scratch_dir(spark))  # read three times: range bounds and two uses
-    ranged = rows.repartitionByRange("_h", "_g", "_doc").sortWithinPartitions("_h", "_g", F.desc("_doc"), "_pos")
-    per_doc = ranged.groupBy("_h", "_g", "_doc").agg(F.lit(1).alias("_one"))
-    hashes = per_doc.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_docs"), F.max("_doc").alias("_keeper")).where(F.col("_docs") >= min_docs)
-    lost = ranged.join(hashes, ["_h", "_g"]).where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
+    top, parts = scratch_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(line_rows(docs, id_col, text_col, min_chars), f"{top}/rows")  # read for the counts, the range bounds and both ways
+    heavy = F.broadcast(stored(heavy_hashes(rows, parts), f"{top}/heavy"))
+    names = ["_doc", "_text", "_pos"]
+    light = lost_in_stream(rows.join(heavy, ["_h", "_g"], "left_anti"), parts, min_docs).select(*names)
+    lost = light.unionAll(lost_by_totals(rows.join(heavy, ["_h", "_g"], "left_semi"), min_docs).select(*names))
     return lost.groupBy("_doc", "_text").agg(F.array_sort(F.collect_set("_pos")).alias("_pos")).select("_doc", "_text", drop_runs(F.col("_pos")).alias("_runs"))
 
 
-def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with n_lines, n_dropped and keep: array of (start, length) runs of kept line positions."""
-    lost = dropped_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
+def _marked(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """_row (a row of docs as one value, so its names meet none of those used here), _n_lines, _n_dropped and _keep."""
+    lost = dropped_lines(docs, id_col=id_col, text_col=text_col, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # the row goes along as one value, so its names meet none of those used here
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_h"))
     joined = own.join(lost, F.col("_i").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_text")), "left")
     n_lines = F.size(lines_of(F.col("_row")[text_col]))
     runs = F.coalesce(F.col("_runs"), F.array().cast("array<struct<s:int,e:int>>"))
     n_dropped = F.aggregate(runs, F.lit(0), lambda a, r: a + r["e"] - r["s"])
-    keep = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep")]
-    return joined.select(*keep, n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), keep_runs(runs, n_lines).alias("keep"))
+    return joined.select("_row", n_lines.cast("long").alias("_n_lines"), n_dropped.cast("long").alias("_n_dropped"), keep_runs(runs, n_lines).alias("_keep"))
+
+
+def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with n_lines, n_dropped and keep: array of (start, length) runs of kept line positions."""
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep")]
+    return _marked(docs, id_col, text_col, **options).select(*own, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_keep").alias("keep"))
 
 
 def kept_text(text: Column, keep: Column) -> Column:
@@ -89,11 +116,15 @@ def kept_text(text: Column, keep: Column) -> Column:
     return F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
 
 
-def apply_bitmaps(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """docs with the dropped lines gone from the text; a null text stays null."""
-    marked = keep_bitmaps(docs, text_col=text_col, **options)
-    text = F.when(F.col(text_col).isNull(), F.col(text_col)).when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(kept_text(F.col(text_col), F.col("keep")))
-    return marked.select(*[text.alias(c) if c == text_col else c for c in marked.columns if c != "keep"])
+def apply_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, **options) -> DataFrame:
+    """docs, all its columns, with the dropped lines gone from the text; a null text stays null. chars_col, if it is there, follows the text."""
+    text = F.col("_row")[text_col]
+    cut = F.when(text.isNull() | (F.col("_n_dropped") == 0), text).otherwise(kept_text(text, F.col("_keep")))
+    marked = _marked(docs, id_col, text_col, **options).select("_row", "_n_dropped", cut.alias("_cut"))
+    changed = {text_col: F.col("_cut")}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(F.col("_n_dropped") > 0, F.char_length("_cut").cast(docs.schema[chars_col].dataType)).otherwise(F.col("_row")[chars_col])
+    return marked.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
