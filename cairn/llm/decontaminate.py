@@ -1,27 +1,32 @@
 """Size-partitioned MinHash containment search of short items in long documents, verified exactly.
 
 An item is contained in a document if the document holds at least num/den of the item's
-distinct word shingles. Items are partitioned by size; an item of n shingles may miss
-n - ceil(n num / den) of them, so its signature is its n - ceil(n num / den) + 1 smallest
-hashes (a bottom-k MinHash whose k its size partition sets): a document that contains the
-item holds one of them at least, however long it is. Banded signatures of whole documents
-can't do this: a passage of 30 shingles in 20,000 words has a Jaccard similarity of
-0.0015. A document takes part in the size partitions whose items are no larger than its own
-set allows. Candidates are verified with all the item's shingles, as words.
+distinct word shingles. Items are partitioned by size (1, 2-3, 4-7, ... shingles). An item of n
+shingles may miss m = n - ceil(n num / den) of them, so a document that contains it holds one at least
+of the item's m + 1 smallest hashes: these are its MinHash signature. A document's sketch
+for a partition is all its hashes up to the largest that a signature of the partition has
+(a MinHash of fixed threshold, so it grows with the document and serves a passage of
+30 shingles in 20,000 words as well as one in 40). Signatures that meet a sketch, of documents with as many
+shingles as the item needs, are candidates; no item is missed, whatever its place. Candidates are verified with all of
+the item's shingles, compared as words.
+
+Banded signatures of a fixed length can't do the middle step: that passage has a Jaccard
+similarity of 0.0015 with its document.
 
 The items' signatures and texts are broadcast while they have at most ``broadcast_rows``
-rows and BROADCAST_BYTES bytes; beyond that, the documents' shingles are joined with them
-by a shuffle.
+rows and BROADCAST_BYTES bytes; beyond that, the documents' sketches are joined with them
+by a shuffle. Both give the same rows.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lowered, so changes of
 case, punctuation and white space don't hide an item.
 
 Edge cases: a null or empty text, or one without words, contains nothing; an item with
 fewer words than a shingle is one shingle of all its words; items without words match
-nothing; repeated rows give repeated pairs of a document row and an item once each;
-an empty table gives no rows; an item table with repeated ids counts each row's text, and
+nothing; repeated rows give repeated pairs of a document row and an item once each; a null
+doc_id or item_id is a value like others; an empty table gives no rows; an item table with repeated ids counts each row's text, and
 of the texts of one id that a document row contains the one that shares most gives the
-row (the shorter of two that share as much).
+row (the shorter of two that share as much). ``drop_contaminated`` decides by row, not by id, and
+carries all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,8 +56,8 @@ def numbered(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(rows.select(F.monotonically_increasing_id().alias("number"), "item", "text"), f"{scratch_dir(items.sparkSession)}/items")
 
 
-def item_shingles(items: DataFrame, k: int) -> DataFrame:
-    """number, width (words of a shingle), hash, n (distinct shingles of the item), rank of the hash in the item."""
+def signatures(items: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """number, width (words of a shingle), part (of the item's size), hash, n (distinct shingles of the item): a row for each hash of a signature."""
 
     def run(batches):
         for batch in batches:
@@ -63,10 +68,12 @@ def item_shingles(items: DataFrame, k: int) -> DataFrame:
             width = np.minimum(np.diff(woff), k)
             for i in range(batch.num_rows):
                 own = np.unique(h[soff[i] : soff[i + 1]])
+                n = len(own)
+                own = own[: n + 1 - -(-n * num // den)]
                 m = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * m, pa.int64()), longs(np.full(m, width[i])), longs(np.sort(own)), longs(np.full(m, m)), longs(np.arange(m))], names=["number", "width", "hash", "n", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * m, pa.int64()), longs(np.full(m, width[i])), longs(np.full(m, n.bit_length())), longs(own), longs(np.full(m, n))], names=["number", "width", "part", "hash", "n"])
 
-    return items.select("number", "text").mapInArrow(run, "number long, width long, hash long, n long, rank long")
+    return items.select("number", "text").mapInArrow(run, "number long, width long, part long, hash long, n long")
 
 
 def _words(text: str) -> list[bytes]:
@@ -85,21 +92,110 @@ def _exact(text: str, width: int, k: int) -> set[tuple[bytes, ...]]:
 
 def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_shingles (of the item), n_shared: one row for each document row and item that it contains."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    given = numbered(items, item_id, item_text)
-    parts = item_shingles(given, k)
-    need = F.floor((F.col("n") * num + den - 1) / den).cast("long")
-    signature = parts.where(F.col("rank") <= F.col("n") - need)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if signature.count() <= broadcast_rows and size <= BROADCAST_BYTES:
-        sig = signature.select("number", "width", "hash", "n").toPandas()
-        wanted = given.toArrow()
-        number, item, text = (wanted[c].to_pylist() for c in ("number", "item", "text"))
-        shared = spark.sparkContext.broadcast((*(sig[c].to_numpy(np.int64) for c in ("number", "width", "hash", "n")), dict(zip(number, zip(item, text, strict=True), strict=True))))
-        return rows.mapInArrow(_local_search(shared, k, num, den), "doc_id long, item_id long, n_shingles long, n_shared long")
-    return _shuffled_search(rows, signature, given, k, num, den)
+    search = Search(items, item_id, item_text, k, num, den, broadcast_rows)
+    if search.shared is None:
+        return search.shuffled(rows).select("doc_id", "item_id", "n_shingles", "n_shared")
+
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column("doc"), []
+            for r, hits in search.local(batch.column("text")):
+                doc = ids[r].as_py()
+                out += [(doc, *hit) for hit in hits]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shingles", "n_shared"])
+
+    return rows.mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_shared long")
+
+
+class Search:
+    """A search for items; shared holds their signatures and texts where those may be broadcast."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, broadcast_rows: int = BROADCAST_ROWS):
+        spark = items.sparkSession
+        small_batches(spark)
+        given = numbered(items, id_col, text_col)
+        signature = stored(signatures(given, k, num, den), f"{scratch_dir(spark)}/signatures")
+        # the sketches' thresholds, unsigned, by size partition and width: a few rows
+        limit = F.max(F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))).alias("most")
+        self.sketches = [(r.part, r.width, r.most ^ -(1 << 63), r.least) for r in signature.groupBy("part", "width").agg(limit, F.min("n").alias("least")).collect()]
+        self.k, self.num, self.den, self.shared = k, num, den, None
+        size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        if signature.count() <= broadcast_rows and size <= BROADCAST_BYTES:
+            sig = signature.toPandas()
+            wanted = given.toArrow()
+            number, item, text = (wanted[c].to_pylist() for c in ("number", "item", "text"))
+            by = {}
+            for part, width, *_ in self.sketches:
+                own = sig[(sig.part == part) & (sig.width == width)]
+                h = own.hash.to_numpy(np.int64).view(np.uint64)
+                o = np.argsort(h, kind="stable")
+                by[part, width] = (h[o], own.number.to_numpy()[o], own.n.to_numpy()[o])
+            self.shared = spark.sparkContext.broadcast((by, dict(zip(number, zip(item, text, strict=True), strict=True))))
+        else:
+            self.given, self.signature = given, signature
+
+    def __getstate__(self):
+        return {x: y for x, y in self.__dict__.items() if x not in ("given", "signature")}
+
+    def sketched(self, words: np.ndarray, woff: np.ndarray):
+        """(part, width, hashes, their rows) of the rows' sketches, for rows with as many shingles and words as the partition's smallest item needs."""
+        made = {x: shingles(words, woff, x) for x in {width for _, width, *_ in self.sketches}}
+        for part, width, most, least in self.sketches:
+            h, soff = made[width]
+            enough = (np.diff(soff) >= -(-least * self.num // self.den)) & (np.diff(woff) >= width)
+            row = np.repeat(np.arange(len(woff) - 1), np.diff(soff))
+            at = np.flatnonzero((h <= np.uint64(most & (1 << 64) - 1)) & enough[row])
+            yield part, width, h[at], row[at]
+
+    def local(self, texts: pa.Array):
+        """(row, hits) of the rows that contain items; hits: (item, n, shared)."""
+        by, wanted = self.shared.value
+        data, off = string_buffers(texts)
+        for a, b in row_groups(off):
+            words, woff = word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], PARTING)
+            found: dict[int, set] = {}
+            for part, width, own, row in self.sketched(words, woff):
+                sh, si, sn = by[part, width]
+                lo, hi = np.searchsorted(sh, own), np.searchsorted(sh, own, "right")
+                for at in np.flatnonzero(hi > lo).tolist():
+                    found.setdefault(int(row[at]), set()).update((i, width) for i in si[lo[at] : hi[at]].tolist())
+            for r in sorted(found):
+                hits = list(_verify(texts[a + r].as_py(), sorted(found[r]), wanted, self.k, self.num, self.den))
+                if hits:
+                    yield a + r, hits
+
+    def shuffled(self, rows: DataFrame) -> DataFrame:
+        """doc_id, _t, _u (with doc_id the key of a row: rows equal in it are copies), item_id, n_shingles, n_shared, by joins."""
+        sketched, k, num, den = self.sketched, self.k, self.num, self.den
+        keyed = rows.select("doc", "text", F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(1), "text").alias("_u"))
+
+        def hashes(batches):
+            for batch in batches:
+                data, off = string_buffers(batch.column("text"))
+                words, woff = word_hashes(data, off, PARTING)
+                for part, width, h, row in sketched(words, woff):
+                    key = np.unique(np.stack([row, h.view(np.int64)]), axis=1)
+                    n, take = key.shape[1], pa.array(key[0])
+                    own = [batch.column(c).take(take) for c in ("doc", "_t", "_u")]
+                    yield pa.RecordBatch.from_arrays([*own, longs(np.full(n, part)), longs(np.full(n, width)), longs(key[1])], names=["d", "t", "u", "part", "width", "hash"])
+
+        def check(batches):
+            for batch in batches:
+                out = []
+                for row, doc, t, u, text, number, item, width, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "doc", "_t", "_u", "text", "number", "item", "width", "wanted")), strict=True):
+                    out += [(row, doc, t, u, *hit) for hit in _verify(text or "", [(number, width)], {number: (item, wanted)}, k, num, den)]
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "doc_id", "_t", "_u", "item_id", "n_shingles", "n_shared"])
+
+        found = keyed.mapInArrow(hashes, "d long, t long, u long, part long, width long, hash long").join(self.signature, ["part", "width", "hash"]).select("d", "t", "u", "number", "width").distinct()
+        each = keyed.withColumn("row", F.monotonically_increasing_id())
+        same = F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("_t")) & (F.col("u") == F.col("_u"))
+        full = found.join(each, same).join(self.given.withColumnRenamed("text", "wanted"), "number")
+        hits = full.mapInArrow(check, "row long, doc_id long, _t long, _u long, item_id long, n_shingles long, n_shared long")
+        best = hits.groupBy("row", "doc_id", "_t", "_u", "item_id").agg(F.max(F.struct("n_shared", (-F.col("n_shingles")).alias("less"))).alias("best"))
+        return best.select("doc_id", "_t", "_u", "item_id", (-F.col("best.less")).alias("n_shingles"), F.col("best.n_shared").alias("n_shared"))
 
 
 def _verify(text: str, found, wanted: dict, k: int, num: int, den: int):
@@ -118,80 +214,22 @@ def _verify(text: str, found, wanted: dict, k: int, num: int, den: int):
         yield item, -less, both
 
 
-def _local_search(shared, k, num, den):
-    def run(batches):
-        item, width, h, n, wanted = shared.value
-        by = {}
-        for x in np.unique(width).tolist():  # hashes in order, for each width of a shingle
-            at = np.flatnonzero(width == x)
-            at = at[np.argsort(h[at].view(np.uint64), kind="stable")]
-            by[x] = (h[at].view(np.uint64), item[at], n[at])
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            ids, texts = batch.column("doc"), batch.column("text")
-            data, off = string_buffers(texts)
-            for a, b in row_groups(off):
-                words, woff = word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], PARTING)
-                cand = set()
-                for x, (sh, si, sn) in by.items():
-                    own, soff = shingles(words, woff, x)
-                    if not len(own):
-                        continue
-                    lo = np.searchsorted(sh, own)
-                    lo[lo == len(sh)] = 0
-                    for at in np.flatnonzero(sh[lo] == own).tolist():
-                        r = int(np.searchsorted(soff, at, "right")) - 1
-                        j = int(lo[at])
-                        while j < len(sh) and sh[j] == own[at]:
-                            if soff[r + 1] - soff[r] >= -(-sn[j] * num // den) and woff[r + 1] - woff[r] >= x:
-                                cand.add((r, int(si[j]), x))
-                            j += 1
-                rows: dict[int, list] = {}
-                for r, i, x in sorted(cand):
-                    rows.setdefault(r, []).append((i, x))
-                for r, found in rows.items():
-                    doc = ids[a + r].as_py()
-                    out += [(doc, *hit) for hit in _verify(texts[a + r].as_py(), found, wanted, k, num, den)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shingles", "n_shared"])
-
-    return run
-
-
-def _shuffled_search(rows, signature, given, k, num, den):
-    """The same with the signatures joined by a shuffle, for large item tables."""
-    widths = [r[0] for r in signature.select("width").distinct().collect()]  # 1 to k
-
-    def hashes(batches):
-        for batch in batches:
-            data, off = string_buffers(batch.column("text"))
-            words, woff = word_hashes(data, off, PARTING)
-            for x in widths:
-                h, soff = shingles(words, woff, x)
-                r = np.repeat(np.arange(len(off) - 1), np.diff(soff))
-                key = np.unique(np.stack([r, h.view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(key[0])), pa.array(np.full(key.shape[1], x), pa.int64()), longs(key[1])], names=["doc", "width", "hash"])
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, num: int = 80, den: int = 100, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that contain no item."""
+    search = Search(items, item_id, item_text, k, num, den, broadcast_rows)
+    if search.shared is None:
+        lost = search.shuffled(docs.select(F.lit(None).cast("long").alias("doc"), F.col(text_col).alias("text"))).select("_t", "_u").distinct()
+        text = F.coalesce(docs[text_col], F.lit(""))  # a row without text contains nothing, nor does an empty one
+        return docs.join(lost, (F.xxhash64(text) == lost["_t"]) & (F.xxhash64(F.lit(1), text) == lost["_u"]), "left_anti")
+    at = docs.columns.index(text_col)
 
-    def check(batches):
+    def run(batches):
         for batch in batches:
-            out = []
-            for row, doc, text, number, item, width, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "doc", "text", "number", "item", "width", "wanted")), strict=True):
-                out += [(row, doc, *hit) for hit in _verify(text or "", [(number, width)], {number: (item, wanted)}, k, num, den)]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "doc_id", "item_id", "n_shingles", "n_shared"])
-
-    found = rows.mapInArrow(hashes, "doc long, width long, hash long").join(signature, ["width", "hash"]).select(F.col("doc").alias("doc_"), "number", "width").distinct()
-    each = rows.withColumn("row", F.monotonically_increasing_id())
-    full = found.join(each, F.col("doc_").eqNullSafe(F.col("doc"))).join(given.withColumnRenamed("text", "wanted"), "number")
-    hits = full.mapInArrow(check, "row long, doc_id long, item_id long, n_shingles long, n_shared long")
-    best = hits.groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("n_shared", (-F.col("n_shingles")).alias("less"))).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.less")).alias("n_shingles"), F.col("best.n_shared").alias("n_shared"))
+            clean = np.ones(batch.num_rows, bool)
+            clean[[r for r, _ in search.local(batch.column(at))]] = False
+            yield batch.filter(pa.array(clean))
 
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that contain no item."""
-    found = contained(docs, items, id_col=id_col, **options).select("doc_id").distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["doc_id"], "left_anti")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
