@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, stored
+from .common import discard, scratch_dir, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,6 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         k += 1
         edges = stored(_star(_star(edges, True), False), f"{top}/{k}")
+        discard(links.sparkSession, f"{top}/{k - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -18,8 +18,10 @@ themselves are compared inside the join, so that no pair comes out that they rul
 of the document whose prefix ends first, all prefix tokens that the other's prefix lacks are
 missing from the other. The other pairs meet at tokens with fewer documents; where those
 alone are less than l, the crowded ones may make up the rest, and the prefixes are
-compared too. Every pair is verified with whole sets, which are made again
-from the texts of the documents that have such pairs.
+compared too. Crowded tokens are compared ``SPREAD`` documents at a time, so no task gets all of a
+token. Every pair is verified with whole sets, which are made again
+from the texts of the documents that have such pairs. Sets are of 52-bit hashes of n-grams: two
+n-grams of a pair of texts with n each are mistaken for one with a chance of n^2 / 2^52.
 
 Edge cases: null text, empty text or no words: empty set, linked with nothing, its own
 component; fewer words than n: the whole sequence is one token; repeated rows are equal
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_tokens, longs, mix, release, row_groups, scratch_dir, shingles, small_batches, stored, string_buffers, word_hashes
+from .common import discard, distinct_tokens, longs, mix, row_groups, scratch_dir, shingles, small_batches, stored, string_buffers, word_hashes
 from .components import components
 
 #: Occurrences in one part of the corpus from which a token is reported, tokens of such a part, and tokens that the order singles out at most.
@@ -45,6 +47,8 @@ CHOICES, VERIFY, OTHERS = (1, 2, 4, 8, 16), 8.0, 0.5
 MOST = CHOICES[-1]
 #: Documents of a token from which they are linked to a pivot first, and from which prefixes are compared inside the join.
 STAR, CROWD = 8, 32
+#: Documents of a crowded token that are compared in one task.
+SPREAD = 128
 #: Bits of the fixed-size filter that keeps most texts without pairs from being made into sets again.
 FILTER_BITS = 1 << 23
 
@@ -187,7 +191,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, path
     """The pairs (a, b) whose whole sets have den * intersection >= num * union; their sets are written to path."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = stored(whole_sets(docs, ids, k), path)
-    release(docs.sparkSession)
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
 
     def run(batches):
@@ -200,7 +203,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, path
                 good[i] = den * both >= num * (len(x) + len(y) - both) and both > 0
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # a may be the pivot of a third of all documents: its set comes last, so that it goes through no shuffle with
+    # each pair; Spark splits the pairs of such a key and reads its set once for each part
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -220,23 +225,23 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     posts = prefixes.select("id", "n", "l", "one", F.posexplode("tokens").alias("at", "token")).select("id", "n", "l", (F.col("at") < F.col("one")).alias("early"), "token")
     counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
     shared = stored(posts.join(counts, "token"), f"{top}/shared")
-    release(spark)
     fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     # the pivot is the document with the fewest prefix tokens of its own: likely the one the others were made from
     own = shared.groupBy("id").agg(F.count(F.lit(1)).alias("k")).join(prefixes.select("id", F.size("tokens").alias("p")), "id").select("id", (F.col("k") - F.col("p")).alias("score"))
     many = shared.where(f"w >= {STAR}")
     pivots = many.join(own, "id").groupBy("token").agg(F.max(F.struct("score", -F.col("id"), "n", "l")).alias("p"))
     stars = many.join(pivots.select("token", (-F.col("p.col2")).alias("pivot"), F.col("p.n").alias("m"), F.col("p.l").alias("lp")), "token").where(f"id <> pivot and {fits}")
-    stars = stars.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "lp")).alias("need"))
-    stars = stored(stars.where("k >= need").select("a", "b"), f"{top}/stars")
-    links = stored(verified(stars, docs, k, num, den, f"{top}/star_sets"), f"{top}/links")
+    stars = stars.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "lp")).alias("need"), F.max("pivot").alias("p"))
+    stars = stored(stars.where("k >= need").select("a", "b", "p"), f"{top}/stars")
+    from_pivot = stars.select(F.col("p").alias("a"), F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    links = stored(verified(from_pivot, docs, k, num, den, f"{top}/star_sets"), f"{top}/links")
+    discard(spark, f"{top}/star_sets")
     found = stored(components(links), f"{top}/found")
     # between components
     crowds = shared.where(f"w > {CROWD}").groupBy("id").agg(F.count(F.lit(1)).alias("q"))  # crowded tokens of a prefix
     there = shared.join(found.withColumnRenamed("node", "id"), "id", "left").join(crowds, "id", "left")
     there = there.select("token", "id", "n", "l", "early", "w", F.coalesce("component", "id").alias("c"), F.coalesce("q", F.lit(0)).alias("q"))
     there = stored(there, f"{top}/there")
-    release(spark)
     tally = there.groupBy("token", "c").agg(F.count(F.lit(1)).alias("w"))
     mixed = tally.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("w", "c")).alias("top")).where("k > 1").select("token", F.col("top.c").alias("main"))
     open_ = there.join(mixed, "token")
@@ -257,11 +262,15 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ends = prefixes.select("id", "n", "l", "lc", "lt", "tokens")
     left, right = ends.withColumnRenamed("id", "a"), ends.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_") for c in ends.columns[1:]])
     short = met.where("short").join(left, "a").join(right, "b").where(enough).select("a", "b")
-    dense = other(crowd).join(crowd, "token").where(f"{between} and {enough} and {first}").select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
-    pairs = stored(met.where("not short").select("a", "b").union(short).union(dense).distinct().join(stars, ["a", "b"], "left_anti"), f"{top}/pairs")
-    release(spark)
+    # a crowded token is dealt out in SPREAD documents at a time: its documents outside the main component go to each part
+    salt = lambda x: F.pmod(F.xxhash64("id"), x)
+    spread = F.ceil(F.col("w") / SPREAD).cast("long")
+    outside = other(crowd.withColumn("salts", F.sequence(F.lit(0).cast("long"), spread - 1))).withColumn("salt", F.explode("salts_"))
+    dense = outside.join(crowd.withColumn("salt", salt(spread)), ["token", "salt"]).where(f"{between} and {enough} and {first}").select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b"))
+    pairs = stored(met.where("not short").select("a", "b").union(short).union(dense).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), f"{top}/pairs")
+    discard(spark, *[f"{top}/{x}" for x in ("prefixes", "shared", "stars", "found", "there", "met")])
     more = stored(verified(pairs, docs, k, num, den, f"{top}/sets"), f"{top}/more")
-    release(spark)
+    discard(spark, f"{top}/sets", f"{top}/pairs")
     final = components(links.union(more))
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s", "g", F.coalesce("component", "rep").alias("c"))
     out = sets.join(by_class, ["s", "g"], "left")

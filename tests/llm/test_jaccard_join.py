@@ -53,6 +53,7 @@ def near_copies(seed, groups=12, most=30):
 def test_matches_brute_force(spark, monkeypatch, k, num, den, crowd):
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     monkeypatch.setattr(jaccard_join, "STAR", 4 if crowd == 32 else 3)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 128 if crowd == 32 else 3)
     rows = near_copies(k * 7 + crowd)
     want, sizes = brute(rows, k, num, den)
     got = linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k=k, num=num, den=den).collect()
@@ -92,3 +93,13 @@ def test_passages_on_both_sides_of_crowd(spark, few, many):
     assert want[0] == want[1] == 0 and set(want[i] for i in range(2, len(rows))).isdisjoint({0})
     got = linked_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k=1, num=80, den=100).collect()
     assert {r.id: r.component_id for r in got} == want
+
+
+def test_one_token_in_many_unlike_documents(spark):
+    """A passage that 2,000 documents share, which links none of them, and two that are linked."""
+    rng = random.Random(9)
+    passage = words(rng, 6)
+    rows = [(i, f"{passage} {words(rng, 12)}") for i in range(2000)]
+    rows.append((2000, rows[7][1] + " end"))
+    got = linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=3, num=85, den=100).collect()
+    assert {r.id: r.component_id for r in got} == {i: 7 if i == 2000 else i for i in range(2001)}
