@@ -19,18 +19,15 @@ from cairn.llm.line_dedup import apply_bitmaps
 
 def language_id(spark, docs, sf_dir):
     """Documents without letters, or too near to two languages to tell, go; lang becomes the predicted one."""
-    marked = predict(docs.withColumn("_kept_text", F.col("text")), learn(docs))
+    # the row goes along as one value, so its names meet none of the operator's
+    marked = predict(docs.select("text", F.struct(*docs.columns).alias("_row")), learn(docs))
     kept = marked.where("lang_pred <> 'und' and not ambiguous")
-    return kept.withColumn("lang", F.col("lang_pred")).withColumnRenamed("_kept_text", "text").select(*docs.columns)
+    return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark, docs, sf_dir):
     """Lines of 20 characters or more that three documents hold stay in one of them only; n_chars follows the text."""
-    cut = apply_bitmaps(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return apply_bitmaps(docs, chars_col="n_chars")
 
 
 def jaccard_join(spark, docs, sf_dir):
