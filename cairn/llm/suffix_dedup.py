@@ -8,7 +8,7 @@ document with a smaller id. Whole suffix arrays don't shard, so suffixes meet by
    equal places. An anchor's context is the 80 bytes that all windows around it cover.
    Each batch sends a row for an anchor and context of its smallest document only; the
    others of the batch are covered whole already.
-2. Rows meet by anchor. Of equal contexts, all documents but the smallest are covered
+2. Rows meet by anchor, sorted by anchor, context and document, and stream by. Of equal contexts, all documents but the smallest are covered
    whole. What then is left of an anchor with several contexts and documents goes on.
 3. The text of those contexts is cut out of the documents and meets again by anchor
    (by anchor and 15 bytes on either side where an anchor has many contexts: any window
@@ -18,8 +18,11 @@ document with a smaller id. Whole suffix arrays don't shard, so suffixes meet by
    of equal windows, and the smallest document of each run.
 4. The covered spans of a document are joined to its text, merged and cut out.
 
+Anchors and contexts are compared by 64-bit hashes each (two contexts that differ pass for equal with a
+chance of 2^-64 among those of one anchor); the texts of what is left are compared as bytes.
+
 Edge cases: a null or empty text, or one under 50 bytes, loses nothing; rows that repeat a
-doc_id are copies of one document (their texts must be equal) and get equal results; a
+doc_id, with equal or other texts, take nothing from each other, as neither id is smaller, and each gets its own result; a
 null doc_id takes no part and loses nothing; an empty table gives no rows; further
 columns are ignored.
 """
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, longs, mix, release, scratch_dir, small_batches, stored, string_buffers
+from .common import Rolling, discard, longs, mix, scratch_dir, small_batches, stored, string_buffers
 
 GRAM = 20
 #: Bytes of text for each part of a shuffle, contexts of an anchor from which it is split, bytes of contexts sorted at once.
@@ -167,91 +170,120 @@ def _covered(h, c, doc):
     return o, doc > least
 
 
-def merge(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The spans of each document, sorted, those that touch or overlap joined."""
+def merge(doc: np.ndarray, u: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of each text (doc, u), sorted, those that touch or overlap joined."""
     if not len(s):
-        return doc, s, e
-    o = np.lexsort((s, doc))
-    doc, s, e = doc[o], s[o], e[o]
-    number = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+        return doc, u, s, e
+    o = np.lexsort((s, u, doc))
+    doc, u, s, e = doc[o], u[o], s[o], e[o]
+    number = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (u[1:] != u[:-1]))))
     shift = number * (int(e.max()) + 2)
     reach = np.maximum.accumulate(e + shift)
     first = np.concatenate(([True], (s + shift)[1:] > reach[:-1]))
     at = np.flatnonzero(first)
-    return doc[at], s[at], (reach - shift)[np.append(at[1:] - 1, len(s) - 1)]
+    return doc[at], u[at], s[at], (reach - shift)[np.append(at[1:] - 1, len(s) - 1)]
 
 
-FIELDS = "h long, c long, doc long, at int, stop int, many boolean"
-NAMES = ["h", "c", "doc", "at", "stop", "many"]
+FIELDS = "h long, c long, doc long, u long, at int, stop int, many boolean"
+NAMES = ["h", "c", "doc", "u", "at", "stop", "many"]
 
 
-def _rows(h, c, doc, at, stop, many=None):
+def _rows(h, c, doc, u, at, stop, many=None):
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if x is None else longs(x) for x in (h, c)] + [longs(doc), pa.array(at, pa.int32()), pa.nulls(n, pa.int32()) if stop is None else pa.array(stop, pa.int32()), pa.array(np.zeros(n, bool) if many is None else many)], names=NAMES)
+    ints = [pa.array(x, pa.int32()) for x in (at, stop)]
+    return pa.RecordBatch.from_arrays([longs(h), pa.nulls(n, pa.int64()) if c is None else longs(c), longs(doc), longs(u), *ints, pa.array(np.zeros(n, bool) if many is None else many)], names=NAMES)
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Rows of anchors (h, c, doc, at; stop: where the text ends for contexts near it) and of spans covered within a batch (h: a hash of the row, c null)."""
+    """Rows of anchors (h, c, doc, u, at; stop: where the text ends for contexts near it) and of spans covered within a batch (h: a hash of the row, c null)."""
 
     def run(batches):
         for batch in batches:
             data, off = string_buffers(batch.column("text"))
-            ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, key = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("doc", "u"))
             h, r, at, c = anchors(data, off, length)
             o, gone = _covered(h, c, ids[r])
             h, r, at, c = h[o], r[o], at[o], c[o]
             s, e = context(at[gone], off[r[gone]], off[r[gone] + 1], length)
-            d, s, e = merge(ids[r[gone]], s - off[r[gone]], e - off[r[gone]])
-            yield _rows(mix((d ^ s).view(np.uint64)), None, d, s, e)
+            d, u, s, e = merge(ids[r[gone]], key[r[gone]], s - off[r[gone]], e - off[r[gone]])
+            yield _rows(mix((u ^ s).view(np.uint64)), None, d, u, s, e)
             go = ~gone
             # the context's end, unless the text goes on beyond it
             end = np.minimum(off[r[go] + 1] - at[go], length)
-            yield _rows(h[go], c[go], ids[r[go]], at[go] - off[r[go]], end)
+            yield _rows(h[go], c[go], ids[r[go]], key[r[go]], at[go] - off[r[go]], end)
 
     return docs.mapInArrow(run, FIELDS)
 
 
+def _decided(x: list[np.ndarray], known: int | None):
+    """The rows of whole anchors that go on: those with several documents, or of the anchor that is known to; many: with many contexts."""
+    h, c, doc, u, at, stop, sent = x
+    if not len(h):
+        return
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    group = np.cumsum(first) - 1
+    begin = np.flatnonzero(first)
+    several = np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin)
+    many = np.diff(np.append(begin, len(h))) > MANY
+    if known is not None and h[0] == known:
+        several[0] = many[0] = True
+    keep = several[group] & ~sent
+    yield _rows(h[keep], c[keep], doc[keep], u[keep], at[keep], stop[keep], many[group[keep]])
+
+
 def meet(rows: DataFrame, length: int) -> DataFrame:
-    """Spans (c null) and the anchors still to be compared (c not null; many: of an anchor with many contexts)."""
+    """Spans (c null) and the anchors still to be compared (c not null; many: of an anchor with many contexts), from rows sorted by h, c, doc.
+
+    Only the rows of the anchor that a batch ends in are held: those that no smaller document covers, and
+    of an anchor with over MANY of them in several documents only the last.
+    """
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        is_span = t.column("c").is_null().to_numpy()
-        yield from t.filter(pa.array(is_span)).combine_chunks().to_batches()
-        t = t.filter(pa.array(~is_span))
-        h, c = (t.column(x).to_numpy().view(np.uint64) for x in "hc")
-        doc, at, stop = (t.column(x).to_numpy().astype(np.int64) for x in ("doc", "at", "stop"))
-        o, gone = _covered(h, c, doc)
-        h, c, doc, at, stop = h[o], c[o], doc[o], at[o], stop[o]
-        yield _spans(doc[gone], at[gone], stop[gone], length)
-        h, c, doc, at, stop = (x[~gone] for x in (h, c, doc, at, stop))
-        if not len(h):
-            return
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        group = np.cumsum(first) - 1
-        begin = np.flatnonzero(first)
-        several = np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin)
-        count = np.diff(np.append(begin, len(h)))
-        keep = several[group]
-        yield _rows(h[keep], c[keep], doc[keep], at[keep], stop[keep], (count > MANY)[group[keep]])
+        held, known = None, None  # the open anchor's rows, and its hash where its rows have begun to go on
+        for batch in batches:
+            is_span = batch.column("c").is_null().to_numpy(zero_copy_only=False)
+            if is_span.any():
+                yield batch.filter(pa.array(is_span))
+                batch = batch.filter(pa.array(~is_span))
+            if not batch.num_rows:
+                continue
+            x = [batch.column(k).to_numpy().astype(np.int64) for k in NAMES[:-1]] + [np.zeros(batch.num_rows, bool)]
+            if held is not None:
+                x = [np.concatenate(p) for p in zip(held, x, strict=True)]
+            h, c, doc, u, at, stop, _ = x
+            first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            run_of = np.cumsum(first) - 1
+            gone = doc > doc[np.flatnonzero(first)][run_of]  # the first of a run is the smallest
+            yield _spans(doc[gone], u[gone], at[gone], stop[gone], length)
+            x = [y[~gone] for y in x]
+            open_ = int(np.argmax(x[0] == x[0][-1]))  # where the last anchor begins
+            yield from _decided([y[:open_] for y in x], known)
+            held = [y[open_:] for y in x]
+            if open_:
+                known = None
+            if known is not None or (len(held[0]) > MANY and held[2].min() != held[2].max()):
+                known = int(held[0][0])
+                yield from _decided(held, known)
+                last = np.flatnonzero(held[1] == held[1][-1])[:1]  # what may cover rows to come
+                held = [y[last] for y in held]
+                held[-1] = np.ones(1, bool)
+        if held is not None:
+            yield from _decided(held, known)
 
     return rows.mapInArrow(run, FIELDS)
 
 
-def _spans(doc, at, stop, length):
-    d, s, e = merge(doc, np.maximum(at - (length - GRAM), 0), at + stop)
-    return _rows(np.zeros(len(d), np.int64), None, d, s, e)
+def _spans(doc, u, at, stop, length):
+    d, u, s, e = merge(doc, u, np.maximum(at - (length - GRAM), 0), at + stop)
+    return _rows(np.zeros(len(d), np.int64), None, d, u, s, e)
 
 
 # --- contexts -----------------------------------------------------------------
 
 
 def cut_contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """key, doc, start (of the context in the document) and piece (its bytes) for each place."""
-    listed = places.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "many")).alias("p"))
+    """key, doc, u, start (of the context in the text) and piece (its bytes) for each place."""
+    listed = places.groupBy("doc", "u").agg(F.collect_list(F.struct("h", "at", "many")).alias("p"))
 
     def run(batches):
         for batch in batches:
@@ -274,20 +306,21 @@ def cut_contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
             offsets = np.append(0, np.cumsum(size))
             byte = np.arange(offsets[-1]) + np.repeat(lo - offsets[:-1], size)
             pieces = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[byte] if len(byte) else b"")])
-            yield pa.RecordBatch.from_arrays([longs(np.concatenate((key, other))), batch.column("doc").take(pa.array(r)), pa.array(lo - off[r], pa.int32()), pieces], names=["key", "doc", "start", "piece"])
+            ids = [batch.column(x).take(pa.array(r)) for x in ("doc", "u")]
+            yield pa.RecordBatch.from_arrays([longs(np.concatenate((key, other))), *ids, pa.array(lo - off[r], pa.int32()), pieces], names=["key", "doc", "u", "start", "piece"])
 
-    return docs.join(listed, "doc").select("doc", "text", "p").mapInArrow(run, "key long, doc long, start int, piece binary")
+    return docs.join(listed, ["doc", "u"]).select("doc", "u", "text", "p").mapInArrow(run, "key long, doc long, u long, start int, piece binary")
 
 
-def compare(pieces: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The merged spans of the windows of the pieces that a smaller document's piece holds too."""
+def compare(pieces: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The merged spans (doc, u, start, end) of the windows of the pieces that a smaller document's piece holds too."""
     data, off = string_buffers(pieces.column("piece"))
-    doc, start = pieces.column("doc").to_numpy(), pieces.column("start").to_numpy().astype(np.int64)
+    doc, u, start = (pieces.column(x).to_numpy().astype(np.int64) for x in ("doc", "u", "start"))
     r = np.repeat(np.arange(len(doc)), np.diff(off))
     order = suffix_array(data, length)
     order = order[order + length <= off[r[order] + 1]]
     if not len(order):
-        return doc[:0], start[:0], start[:0]
+        return doc[:0], u[:0], start[:0], start[:0]
     shared = common_prefixes(words_at(data), order, length) >= length
     first = np.flatnonzero(np.concatenate(([True], ~shared)))
     own = doc[r[order]]
@@ -295,15 +328,15 @@ def compare(pieces: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     gone = own > np.minimum.reduceat(own, first)[run]
     at = order[gone]
     s = at - off[r[at]] + start[r[at]]
-    return merge(own[gone], s, s + length)
+    return merge(own[gone], u[r[at]], s, s + length)
 
 
 def compared(contexts: DataFrame, length: int) -> DataFrame:
-    """doc, at, stop: spans, from contexts that come sorted by key."""
+    """doc, u, at, stop: spans, from contexts that come sorted by key."""
 
     def out(rows):
-        d, s, e = compare(pa.Table.from_batches(rows), length)
-        return pa.RecordBatch.from_arrays([longs(d), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc", "at", "stop"])
+        d, u, s, e = compare(pa.Table.from_batches(rows), length)
+        return pa.RecordBatch.from_arrays([longs(d), longs(u), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc", "u", "at", "stop"])
 
     def run(batches):
         held, size = [], 0
@@ -321,32 +354,33 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return contexts.mapInArrow(run, "doc long, at int, stop int")
+    return contexts.mapInArrow(run, "doc long, u long, at int, stop int")
 
 
 # --- the operator -------------------------------------------------------------
 
 
 def covered_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
-    """doc and spans (array of start and stop, not yet merged) of the documents (doc, text) that lose bytes."""
+    """doc, u and spans (array of start and stop, not yet merged) of the texts (doc, u: a hash that tells the texts of a doc apart, text) that lose bytes."""
     spark = docs.sparkSession
     small_batches(spark)
     top = scratch_dir(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size) // PART_BYTES)
-    found = stored(meet(anchor_rows(docs, length).repartition(parts, "h"), length), f"{top}/found")
-    release(spark)
-    contexts = cut_contexts(docs, found.where("c is not null").select("h", "doc", "at", "many"), length)
+    sorted_ = anchor_rows(docs, length).repartition(parts, "h").sortWithinPartitions("h", "c", "doc")
+    found = stored(meet(sorted_, length), f"{top}/found")
+    contexts = cut_contexts(docs, found.where("c is not null").select("h", "doc", "u", "at", "many"), length)
     contexts = contexts.repartition(parts, "key").sortWithinPartitions("key")
     more = stored(compared(contexts, length), f"{top}/more")
-    release(spark)
-    spans = found.where("c is null").select("doc", "at", "stop").union(more)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("at", "stop")).alias("spans"))
+    spans = found.where("c is null").select("doc", "u", "at", "stop").union(more)
+    spans = stored(spans.groupBy("doc", "u").agg(F.collect_list(F.struct("at", "stop")).alias("spans")), f"{top}/spans")
+    discard(spark, f"{top}/found", f"{top}/more")
+    return spans
 
 
 def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row of docs."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).withColumn("u", F.xxhash64("doc", "text"))
     spans = covered_spans(own.where("doc is not null and octet_length(text) >= " + str(length)), length=length)
 
     def run(batches):
@@ -357,7 +391,8 @@ def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 raw = (texts[i].as_py() or "").encode()
                 own = p[i].values
                 s, e = (own.field(x).to_numpy().astype(np.int64) for x in ("at", "stop")) if own is not None else (np.zeros(0, np.int64),) * 2
-                _, s, e = merge(np.zeros(len(s), np.int64), s, e)
+                same = np.zeros(len(s), np.int64)
+                _, _, s, e = merge(same, same, s, e)
                 ends = [0, *e.tolist()]
                 sizes.append(len(raw))
                 removed.append(int((e - s).sum()))
@@ -365,7 +400,7 @@ def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*s.tolist(), len(raw)], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return own.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return own.join(spans, ["doc", "u"], "left").select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from cairn.llm import suffix_dedup
 from cairn.llm.suffix_dedup import common_prefixes, cut_documents, suffix_array, words_at
 
-from .cases import edge_docs, edge_rows, empty_docs, words
+from .cases import COLUMNS, HARD, edge_rows, empty_docs, hard_rows, words
 
 
 def test_suffix_array_and_prefixes():
@@ -22,22 +22,29 @@ def test_suffix_array_and_prefixes():
 
 
 def brute(rows):
-    raw = {i: (t or "").encode() for i, t in rows}
+    """(n_bytes, n_removed, n_spans, bytes left) of each row, in order; a null id takes no part."""
+    raw = [(i, (t or "").encode()) for i, t in rows]
     first = {}
-    for i in sorted(raw):
-        for k in range(len(raw[i]) - 49):
-            first.setdefault(raw[i][k : k + 50], i)
-    out = {}
-    for i, b in raw.items():
-        gone = np.zeros(len(b), bool)
+    for i, b in sorted((x for x in raw if x[0] is not None), key=lambda x: x[0]):
         for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    out = []
+    for i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49 if i is not None else 0):
             if first[b[k : k + 50]] < i:
                 gone[k : k + 50] = True
         runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(b) else 0
-        out[i] = (len(b), int(gone.sum()), runs, bytes(x for x, g in zip(b, gone, strict=True) if not g))
+        out.append((len(b), int(gone.sum()), runs, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return out
 
 
+def check(docs, rows):
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut_documents(docs).collect()), key=str)
+    assert got == sorted(((i, *x) for (i, _), x in zip(rows, brute(rows), strict=True)), key=str)
+    return sum(r[2] for r in got)
+
+
 @pytest.mark.parametrize("many,part", [(4096, 1 << 23), (2, 2000)])
 def test_matches_brute_force(spark, monkeypatch, many, part):
     monkeypatch.setattr(suffix_dedup, "MANY", many)
@@ -50,15 +57,13 @@ def test_matches_brute_force(spark, monkeypatch, many, part):
         parts = [words(rng, rng.randint(0, 30)) + (" " + rng.choice(passages)[rng.randint(0, 5) :] if rng.random() < 0.7 else "") for _ in range(rng.randint(1, 4))]
         rows.append((i, " ".join(parts) + ("ab" * rng.randint(0, 60) if rng.random() < 0.2 else "")))
     rows += [(200, rows[3][1]), (201, rows[3][1]), (-5, rows[3][1][10:])]
-    want = brute(rows)
-    for r in cut_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect():
-        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
-    assert sum(x[1] for x in want.values()) > 1000
+    rows += [(7, rows[3][1] + " other"), (7, passages[0]), (0, passages[1]), (0, passages[1] + passages[2]), (None, passages[0] * 2)]
+    rows += [(300 + i, f"{i:03} " + passages[3][:28] + f" {i * 7:04} {words(rng, 9)}") for i in range(30)] + [(400, "z" * 9000), (401, "y" + "z" * 400)]
+    assert check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows) > 1000
 
 
-def test_edges(spark):
-    want = brute([(r[0], r[1]) for r in edge_rows()])
-    got = cut_documents(edge_docs(spark)).collect()
-    assert len(got) == len(edge_rows())
-    assert all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in got)
+@pytest.mark.parametrize("make,schema", [(edge_rows, COLUMNS), (hard_rows, HARD)])
+def test_edges(spark, make, schema):
+    rows = make()
+    assert check(spark.createDataFrame(rows, schema).repartition(3), [r[:2] for r in rows]) > 0
     assert cut_documents(empty_docs(spark)).count() == 0
