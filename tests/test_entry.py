@@ -26,7 +26,7 @@ sys.path.insert(0, {str(REPO)!r})
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("cairn.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert e.queries() and not [k for k in e.queries() if k.startswith("op") or k == "pipeline"]
