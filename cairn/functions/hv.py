@@ -8,13 +8,13 @@ majority of each bit (a tie is 0). Two scales of similarity keep their names apa
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LANE_BITS = 60
 #: Lanes of the engine's vectors (10,020 bits) and of small ones that SQL checks.
@@ -70,72 +70,173 @@ def bundle(rows: DataFrame, keys: list[str], hv: str = "hv", lanes: int = SMALL)
     return packed.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list("_lw")), lambda x: x["w"]).alias("hv"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def text_vector(words: pd.Series) -> pd.Series:
-    """Bundle of the atoms of a row's words at the engine's full width, in numpy."""
-    import hashlib
-    from functools import lru_cache
+def md5_atoms(words: list[str], lanes: int) -> np.ndarray:
+    """The atoms of ``atom``: words x lanes."""
+    return np.array([[int(hashlib.md5(f"{w}#{i}".encode()).hexdigest()[:15], 16) for i in range(lanes)] for w in words], np.int64).reshape(-1, lanes)
 
-    @lru_cache(maxsize=20_000)
-    def bits(word: str) -> np.ndarray:
-        seed = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
-        return np.random.default_rng(seed).integers(0, 2, LANES * LANE_BITS, dtype=np.int8)
 
-    weight = (1 << np.arange(LANE_BITS, dtype=np.int64)).astype(np.int64)
+def wide_atoms(words: list[str], lanes: int) -> np.ndarray:
+    """Atoms of many lanes: a 64-bit seed from one md5, the lanes from it by a counter and a mixing function."""
+    seed = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words), "<u8")
+    x = seed[:, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - LANE_BITS)).view(np.int64)
 
-    def one(own) -> list[int]:
-        if own is None or len(own) == 0:
-            return [0] * LANES
-        total = np.zeros(LANES * LANE_BITS, np.int32)
-        for w in own:
-            total += bits(w)
-        return (((2 * total > len(own)).reshape(LANES, LANE_BITS)) * weight).sum(1).tolist()
 
-    return words.map(one)
+#: Words of a row that are added up at once, and such pieces of rows that are held at once.
+PIECE, PIECES = 256, 512
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, *, block: int = 2048) -> DataFrame:
+def _add(planes: np.ndarray, more: np.ndarray) -> None:
+    """Add numbers to counters, both held as bit planes: plane j has bit j of each, and the last ones take the carry."""
+    carry = np.zeros_like(more[0])
+    for j, plane in enumerate(planes):
+        own = more[j] if j < len(more) else 0
+        both = plane & own | carry & (plane ^ own)
+        plane ^= own ^ carry
+        carry = both
+
+
+def majority(atoms: np.ndarray, word: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each row (words off[i] to off[i + 1], as numbers of atoms) the strict majority of each bit of its words' atoms.
+
+    Rows are cut into pieces. The k-th words of all pieces are added at once to counters held as bit planes, so
+    an addition is a few exclusive ors and ands of whole lanes; then the k-th pieces of all rows are.
+    """
+    n, lanes = len(off) - 1, atoms.shape[1]
+    count = np.diff(off)
+    pieces = -(-count // PIECE)
+    row = np.repeat(np.arange(n), pieces)
+    nth = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+    begin = off[row] + nth * PIECE
+    size = np.minimum(off[row + 1] - begin, PIECE)
+    order = np.argsort(-size, kind="stable")  # the long ones first, so those with a k-th word are a prefix
+    row, nth, begin, size = row[order], nth[order], begin[order], size[order]
+    planes = np.zeros((int(size.max(initial=0)).bit_length(), len(row), lanes), np.int64)
+    for k in range(int(size.max(initial=0))):
+        m = int(np.searchsorted(-size, -k))  # pieces of more than k words
+        carry = atoms[word[begin[:m] + k]]
+        for plane in planes[: (k + 1).bit_length()]:
+            own = plane[:m]
+            own ^= carry
+            carry &= ~own
+    total = np.zeros((int(count.max(initial=0)).bit_length(), n, lanes), np.int64)
+    for k in range(int(pieces.max(initial=0))):
+        at = np.flatnonzero(nth == k)
+        part = total[:, row[at]]
+        _add(part, planes[:, at])
+        total[:, row[at]] = part
+    over, same = np.zeros((n, lanes), np.int64), np.full((n, lanes), -1, np.int64)
+    for j in range(len(total) - 1, -1, -1):  # which counters are over half the count, from the highest bit down
+        half = -(count // 2 >> j & 1)[:, None]
+        over |= same & total[j] & ~half
+        same &= ~(total[j] ^ half)
+    return over & ((1 << LANE_BITS) - 1)
+
+
+def text_vectors(rows: DataFrame, *, lanes: int = LANES, atoms=wide_atoms) -> DataFrame:
+    """id, hv of rows (id, words): the bundle of the atoms of a row's words, zeros without words."""
+
+    def run(batches):
+        for batch in batches:
+            off = np.append(0, np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy()))
+            group = np.cumsum(np.diff(off) // PIECE + 1) // PIECES
+            for a in np.searchsorted(group, np.unique(group)).tolist():
+                part = batch.slice(a, int(np.searchsorted(group, group[a], "right")) - a)
+                lists = part.column("words")
+                flat = lists.flatten().dictionary_encode()
+                own = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))
+                hv = majority(atoms(flat.dictionary.to_pylist(), lanes), flat.indices.to_numpy(), own)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(np.arange(len(hv) + 1, dtype=np.int32) * lanes, hv.ravel())], names=["id", "hv"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "words").mapInArrow(run, "id long, hv array<long>")
+
+
+#: Bytes of queries that a pass over the rows takes along.
+QUERY_BYTES = 1 << 26
+
+
+def knn(rows: DataFrame, queries: DataFrame, k: int, *, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """qid, id, distance, rank of each query's k nearest rows (id, hv), ties to the lower id, all exact.
 
-    The stated query set is dealt in blocks of bounded size; a block is broadcast and each
-    part of the rows sends its k best per query only, so neither side is ever multiplied
-    out. Rows and queries have the columns (id, hv) and (qid, hv).
+    The stated query set goes along with one pass over the rows while it has at most ``query_bytes`` bytes
+    (50,000 queries of the full width); beyond, each such block has a pass of its own. Each part of the rows sends its k best
+    per query only, so neither side is ever multiplied out. Rows and queries have the columns (id, hv) and (qid, hv).
     """
-    out = None
-    for part in query_blocks(queries, block):
-        ids = np.array([r.qid for r in part], np.int64)
-        mat = np.array([r.hv for r in part], np.int64)
-        found = rows.select("id", "hv").mapInPandas(_nearest(ids, mat, k), "qid long, id long, distance long")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "qid long, id long, distance long")
+
+    def distance(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.stack([np.bitwise_count(v ^ x).sum(1, dtype=np.int64) for x in q])
+
+    out = nearest(rows.select("id", F.col("hv").alias("v")), queries.select("qid", F.col("hv").alias("v")), k, distance, np.int64, "distance long", query_bytes)
     return top_k(out, ["qid"], [F.col("distance"), F.col("id")], k)
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    rows = queries.toLocalIterator()
-    part: list = []
-    for r in rows:
-        part.append(r)
-        if len(part) == block:
-            yield part
-            part = []
-    if part:
-        yield part
+def matrix(column: pa.Array, dtype) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(n, -1) if n else np.zeros((0, 0), dtype)
+
+
+def query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[list]:
+    """The queries in lists of so many bytes."""
+    held, size = [], 0
+    for r in queries.toLocalIterator(prefetchPartitions=True):
+        held.append(r)
+        size += 16 + 8 * len(r[1])
+        if size >= query_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
-    def run(frames):
-        for frame in frames:
-            if not len(frame):
+def nearest(rows: DataFrame, queries: DataFrame, k: int, distance, dtype, out: str, query_bytes: int, keep_self: bool = True) -> DataFrame:
+    """qid, id, distance: for each part of rows (id, v) its k rows of least distance for each query (qid, v).
+
+    distance(queries, rows) gives a matrix; a query's own row is left out unless keep_self.
+    """
+    spark, found = rows.sparkSession, None
+    for block in query_blocks(queries, query_bytes):
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], dtype)))
+        part = rows.mapInArrow(_best(shared, k, distance, dtype, keep_self, out.split()[0]), f"qid long, id long, {out}")
+        found = part if found is None else found.unionAll(part)
+    return spark.createDataFrame([], f"qid long, id long, {out}") if found is None else found
+
+
+def _best(shared, k: int, distance, dtype, keep_self: bool, name: str):
+    def run(batches):
+        qids, q = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = []  # of each chunk of queries: distances and ids, k at most for each
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            own = np.array(frame["hv"].tolist(), np.int64)
-            row = frame["id"].to_numpy()
-            for a in range(0, len(ids), 64):
-                d = np.stack([np.bitwise_count(own ^ q).sum(1, dtype=np.int64) for q in queries[a : a + 64]])
-                best = np.stack([np.lexsort((row, x))[:k] for x in d])
-                n = best.shape[1]
-                yield pd.DataFrame({"qid": np.repeat(ids[a : a + 64], n), "id": row[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+            ids, v = batch.column("id").to_numpy().astype(np.int64), matrix(batch.column("v"), dtype)
+            for i, a in enumerate(range(0, len(qids), 64)):
+                d = distance(q[a : a + 64], v)
+                own = np.broadcast_to(ids, d.shape)
+                if not keep_self:
+                    d = np.where(own == qids[a : a + 64, None], np.inf, d)
+                if i < len(best):
+                    d, own = np.concatenate((best[i][0], d), 1), np.concatenate((best[i][1], own), 1)
+                if d.shape[1] > k:  # only what is as near as the k-th can be among the best
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    picks = []
+                    for x, y, e in zip(d, own, edge[:, 0], strict=True):
+                        near = np.flatnonzero(x <= e)
+                        picks.append(near[np.lexsort((y[near], x[near]))[:k]])
+                    pick = np.stack(picks)
+                    d, own = np.take_along_axis(d, pick, 1), np.take_along_axis(own, pick, 1)
+                if i < len(best):
+                    best[i] = (d, own)
+                else:
+                    best.append((d, own))
+        for i, (d, own) in enumerate(best):
+            n = d.shape[1]
+            t = pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[i * 64 : i * 64 + 64], n)), pa.array(own.ravel()), pa.array(d.ravel())], names=["qid", "id", name])
+            yield t if keep_self else t.filter(pa.array(np.isfinite(d.ravel())))
 
     return run
 

@@ -1,50 +1,67 @@
 """Retrieval: dense nearest neighbours, votes, candidates by words, reranking.
 
-Searches take a stated query set against all rows. The set is dealt in blocks that are
-broadcast; each part of the rows sends its k best per query, and only those meet.
+Searches take a stated query set against all rows: one pass over the rows with all queries, or one for each block
+of ``query_bytes`` bytes; each part of the rows sends its k best per query, and only those meet.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hv import query_blocks, top_k
+from ..functions import hv
+from ..functions.hv import top_k
 
 
-def cosine_knn(rows: DataFrame, queries: DataFrame, k: int, *, block: int = 2048, keep_self: bool = False) -> DataFrame:
+def cosine_knn(rows: DataFrame, queries: DataFrame, k: int, *, query_bytes: int = hv.QUERY_BYTES, keep_self: bool = False) -> DataFrame:
     """qid, id, sim (cosine, 9 decimals), rank; rows (id, v), queries (qid, v); ties to the lower id."""
-    out = None
-    for part in query_blocks(queries, block):
-        ids = np.array([r.qid for r in part], np.int64)
-        q = np.array([r.v for r in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        found = rows.select("id", "v").mapInPandas(_nearest(ids, q, k, keep_self), "qid long, id long, sim double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "qid long, id long, sim double")
-    return top_k(out, ["qid"], [F.desc("sim"), F.col("id")], k)
-
-
-def _nearest(ids: np.ndarray, q: np.ndarray, k: int, keep_self: bool):
-    def run(frames):
-        for frame in frames:
-            if not len(frame):
-                continue
-            v = np.array(frame["v"].tolist(), np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            row = frame["id"].to_numpy()
-            for a in range(0, len(ids), 256):
-                sim = np.round(q[a : a + 256] @ v.T, 9)
-                if not keep_self:
-                    sim[ids[a : a + 256, None] == row] = -2
-                best = np.stack([np.lexsort((row, -x))[:k] for x in sim])
-                top = np.take_along_axis(sim, best, 1)
-                n = best.shape[1]
-                out = pd.DataFrame({"qid": np.repeat(ids[a : a + 256], n), "id": row[best].ravel(), "sim": top.ravel()})
-                yield out[out.sim > -2]
+
+    def distance(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return -np.round(unit(q) @ unit(v).T, 9)
+
+    out = hv.nearest(rows.select("id", "v"), queries.select("qid", "v"), k, distance, np.float64, "d double", query_bytes, keep_self)
+    return top_k(out.select("qid", "id", (-F.col("d")).alias("sim")), ["qid"], [F.desc("sim"), F.col("id")], k)
+
+
+def set_neighbours(rows: DataFrame, queries: DataFrame, least: float, *, query_bytes: int = hv.QUERY_BYTES) -> DataFrame:
+    """qid, id, both, either: rows (id, h: distinct 64-bit hashes) whose Jaccard similarity with a query (qid, h) is ``least`` or more.
+
+    A block of queries goes along with a pass over the rows as an inverted index (hash to queries). A row
+    counts the queries of each of its hashes, so the work is that of the shared words, not of the pairs.
+    """
+    spark, found = rows.sparkSession, None
+    for block in hv.query_blocks(queries.select("qid", "h"), query_bytes):
+        size = np.array([len(r[1]) for r in block], np.int64)
+        flat = np.concatenate([np.array(r[1], np.int64) for r in block])
+        owner = np.repeat(np.arange(len(block)), size)
+        order = np.argsort(flat, kind="stable")
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), size, flat[order], owner[order]))
+        part = rows.select("id", "h").mapInArrow(_counted(shared, least), "qid long, id long, both long, either long")
+        found = part if found is None else found.unionAll(part)
+    return spark.createDataFrame([], "qid long, id long, both long, either long") if found is None else found
+
+
+def _counted(shared, least: float):
+    def run(batches):
+        qids, size, flat, owner = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                lists, ids = part.column("h"), part.column("id").to_numpy().astype(np.int64)
+                n = lists.value_lengths().fill_null(0).to_numpy()
+                h, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+                lo, hi = np.searchsorted(flat, h), np.searchsorted(flat, h, "right")
+                times = hi - lo
+                at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                key, both = np.unique(np.repeat(row, times) * len(qids) + owner[at], return_counts=True)
+                r, q = key // len(qids), key % len(qids)
+                either = n[r] + size[q] - both
+                ok = (both >= least * either) & (ids[r] != qids[q])
+                cols = (qids[q[ok]], ids[r[ok]], both[ok].astype(np.int64), either[ok].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["qid", "id", "both", "either"])
 
     return run
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as num
 from ..functions import text as tx
 from ..functions.hv import top_k
-from ..operators import mine
+from ..operators import mine, retrieve
 from .registry import ORACLE_SQL, query, sql_list, table
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')"
@@ -164,21 +164,11 @@ def slot_detection_whole(spark, sf):
 c AS (SELECT q.doc_id AS qid, r.doc_id AS id, count(*) AS k FROM q JOIN r ON q.t = r.t AND q.doc_id <> r.doc_id GROUP BY 1, 2)
 SELECT qid, id, round(k / (len(a.w) + len(b.w) - k), 6) AS jaccard FROM c JOIN w a ON a.doc_id = qid JOIN w b ON b.doc_id = id WHERE k / (len(a.w) + len(b.w) - k) >= 0.5""")
 def jaccard_neighbours(spark, sf):
-    """Documents whose word sets have a Jaccard similarity of 0.5 or more with a query document's (ids divisible by 100).
-
-    The queries' words meet the documents' words by an inverted join, cut to prefixes: of two
-    sets with similarity t, the rarest n - ceil(t n) + 1 words of either share one.
-    """
-    d = _docs(spark, sf).select("doc_id", F.array_distinct(_words()).alias("w"))
-    df = mine.document_frequency(_docs(spark, sf), _words())
-    own = d.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("token")).join(df, "token")
-    ordered = own.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-    prefix = ordered.select("doc_id", "n", F.explode(F.slice(F.col("s.token"), F.lit(1), F.greatest(F.col("n") - F.ceil(F.col("n") * 0.5) + 1, F.lit(1)).cast("int"))).alias("token"))
-    q = prefix.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("n").alias("m"), "token")
-    pairs = q.join(prefix, "token").where("qid <> doc_id and least(n, m) >= 0.5 * greatest(n, m)").select("qid", F.col("doc_id").alias("id")).distinct()
-    sets = d.select(F.col("doc_id").alias("id"), "w")
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("qid"), F.col("w").alias("v")), "qid")
-    return both.select("qid", "id", F.round(tx.jaccard(F.col("v"), F.col("w")), 6).alias("jaccard")).where("jaccard >= 0.5")
+    """Documents whose word sets have a Jaccard similarity of 0.5 or more with a query document's (ids divisible by 100), by 64-bit hashes of the words."""
+    own = mine.held(_docs(spark, sf), ["doc_id"], w=F.array_distinct(_words()))
+    d = own.select(F.col("doc_id").alias("id"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    near = retrieve.set_neighbours(d, d.where("id % 100 = 0").withColumnRenamed("id", "qid"), 0.5)
+    return near.select("qid", "id", F.round(F.col("both") / F.col("either"), 6).alias("jaccard"))
 
 
 @query(f"SELECT lang, token, df FROM (SELECT lang, t AS token, count(*) AS df FROM (SELECT lang, unnest(list_distinct({_TOK})) AS t FROM documents) GROUP BY 1, 2) WHERE df >= 2 AND length(token) >= 5")

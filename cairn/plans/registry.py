@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read, spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -20,8 +22,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables of texts, where the work on a row is much more than moving it.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = read(spark, sf_dir, name)
+    return spread(rows) if name in TEXTS else rows
 
 
 def sql_list(words) -> str:

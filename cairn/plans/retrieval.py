@@ -159,8 +159,28 @@ def hamming_knn(spark, sf):
     return k.select("qid", "id", "distance", F.col("rank").cast("long").alias("rank"), F.round(hv.sim_pm1(F.col("distance"), hv.SMALL), 6).alias("sim_pm1"))
 
 
-@query(None)
+def _document_words(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.lower_tokens(F.col("text")).alias("words"))
+
+
+@query()
 def document_vectors_knn(spark, sf):
     """The three documents nearest to each query document (ids divisible by 100) by full-width bundles of their words."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), hv.text_vector(F.array_distinct(tx.lower_tokens(F.col("text")))).alias("hv"))
-    return hv.knn(d, d.where("id % 100 = 0").withColumnRenamed("id", "qid"), 3)
+    d = _document_words(spark, sf)
+    return hv.knn(hv.text_vectors(d), hv.text_vectors(d.where("id % 100 = 0")).withColumnRenamed("id", "qid"), 3)
+
+
+_SMALL_VECTORS = rf"""WITH w AS (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_-]+')) AS t FROM documents) GROUP BY 1, 2),
+a AS (SELECT t, i, ('0x' || substr(md5(t || '#' || i), 1, 15))::BIGINT AS x FROM (SELECT DISTINCT t FROM w), range(0, {hv.SMALL}) r(i)),
+b AS (SELECT doc_id, i, j, 2 * sum(k * ((x >> j) & 1)) > sum(k) AS bit FROM w JOIN a USING (t), range(0, {hv.LANE_BITS}) s(j) GROUP BY 1, 2, 3),
+v AS (SELECT d.doc_id, i, coalesce(x, 0) AS x FROM (SELECT doc_id, i FROM documents, range(0, {hv.SMALL}) r(i)) d LEFT JOIN (SELECT doc_id, i, CAST(sum(CASE WHEN bit THEN 1::BIGINT << j ELSE 0 END) AS BIGINT) AS x FROM b GROUP BY 1, 2) USING (doc_id, i)),
+p AS (SELECT q.doc_id AS qid, r.doc_id AS id, CAST(sum(bit_count(xor(q.x, r.x))) AS BIGINT) AS distance FROM v q JOIN v r ON q.i = r.i WHERE q.doc_id % 100 = 0 GROUP BY 1, 2)
+SELECT qid, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM p) WHERE rank <= 3"""
+
+
+@query(_SMALL_VECTORS)
+def document_vectors_small_knn(spark, sf):
+    """The same with vectors of 120 bits, whose atoms SQL can make."""
+    d = _document_words(spark, sf)
+    made = lambda rows: hv.text_vectors(rows, lanes=hv.SMALL, atoms=hv.md5_atoms)
+    return hv.knn(made(d), made(d.where("id % 100 = 0")).withColumnRenamed("id", "qid"), 3)

@@ -1,8 +1,10 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairn.functions import hv
 from cairn.functions import numeric as num
 from cairn.functions import text as tx
+from cairn.operators import retrieve
 
 
 def one(spark, column):
@@ -43,7 +45,7 @@ def test_algebra(spark):
 
 def test_knn_is_exact(spark):
     rows = spark.range(200).select("id", hv.atom((F.col("id") % 90).cast("string")).alias("hv")).repartition(5)
-    got = hv.knn(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "qid"), 3, block=2).collect()
+    got = hv.knn(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "qid"), 3, query_bytes=60).collect()
     local = {r.id: r.hv for r in rows.collect()}
     for q in (0, 50, 100, 150):
         want = sorted((sum((x ^ y).bit_count() for x, y in zip(local[q], v, strict=True)), i) for i, v in local.items())[:3]
@@ -65,3 +67,27 @@ def test_numbers(spark):
     assert one(spark, num.age(date(1900, 5, 2), date(1950, 5, 1))) == 49
     assert one(spark, num.gain_loss(F.lit(5).cast("long"), F.expr("array(-9L, 3L)"))) == 3
     assert one(spark, num.lookup(F.lit("km"), num.LENGTH)) == 1000.0
+
+
+def test_text_vectors(spark):
+    """Bundles of words against counting bits, for rows of no, one, tied, repeated and many words."""
+    rng = np.random.default_rng(3)
+    words = [[], ["a"], ["a", "b"], ["a", "a", "b"], None, [f"w{i}" for i in rng.integers(0, 40, 257)], [f"w{i}" for i in rng.integers(0, 90, 3000)], [f"w{i}" for i in rng.integers(0, 9, 256)]]
+    for lanes, atoms in ((2, hv.md5_atoms), (5, hv.wide_atoms)):
+        got = {r.id: r.hv for r in hv.text_vectors(spark.createDataFrame(list(enumerate(words)), "id long, words array<string>").repartition(2), lanes=lanes, atoms=atoms).collect()}
+        for i, own in enumerate(words):
+            want = [0] * lanes
+            for lane in range(lanes if own else 0):
+                column = [int(x) for x in atoms(own, lanes)[:, lane]]
+                want[lane] = sum(1 << j for j in range(60) if 2 * sum(x >> j & 1 for x in column) > len(own))
+            assert got[i] == want
+    assert hv.md5_atoms(["a"], 2).tolist() == [one(spark, hv.atom(F.lit("a"), 2))]
+
+
+def test_set_neighbours(spark):
+    rng = np.random.default_rng(4)
+    sets = [sorted(set(rng.integers(0, 30, n).tolist())) for n in (0, 3, 9, 20, 20, 40, 40, 40)] + [[1, 2, 3], [1, 2, 3, 4]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, h array<long>").repartition(3)
+    got = retrieve.set_neighbours(rows, rows.where("id % 2 = 0").withColumnRenamed("id", "qid"), 0.5, query_bytes=100).collect()
+    want = {(q, i, len(set(a) & set(b)), len(set(a) | set(b))) for q, a in enumerate(sets) for i, b in enumerate(sets) if q % 2 == 0 and q != i and set(a) & set(b) and len(set(a) & set(b)) >= 0.5 * len(set(a) | set(b))}
+    assert {tuple(r) for r in got} == want and want
