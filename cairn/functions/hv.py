@@ -51,6 +51,71 @@ def analogy(a: Column, b: Column, c: Column) -> Column:
     return bind(bind(c, a), b)
 
 
+def permuted(hv: Column, steps: Column | int, lanes: int = SMALL) -> Column:
+    """The vector rolled by so many bits: bit k goes to k + steps, the last bits come round to the front."""
+    k = F.pmod(F.lit(steps) if isinstance(steps, int) else steps, F.lit(lanes * LANE_BITS))
+    whole, part = F.floor(k / LANE_BITS).cast("int"), (k % LANE_BITS).cast("int")
+    at = lambda i: F.get(hv, F.pmod(i - whole, F.lit(lanes)))
+    rolled = lambda i: F.call_function("shiftleft", at(i), part).bitwiseAND(F.lit((1 << LANE_BITS) - 1)).bitwiseOR(F.call_function("shiftright", at(i - 1), F.lit(LANE_BITS) - part))
+    return F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)), rolled)
+
+
+def packed(on: Column, lanes: int = SMALL) -> Column:
+    """The vector whose bits stand in an array of numbers."""
+    word = lambda i: F.aggregate(F.filter(on, lambda k: F.floor(k / LANE_BITS) == i), F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (k % LANE_BITS).cast("int"))))
+    return F.array(*[word(F.lit(i)) for i in range(lanes)])
+
+
+def balanced_atom(label: Column, lanes: int = SMALL) -> Column:
+    """A vector with exactly half its bits on: those whose md5(label # bit) come first; zeros for an empty label."""
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(lanes * LANE_BITS - 1)), lambda k: F.struct(F.md5(F.concat(label, F.lit("#"), k.cast("string")).cast("binary")).alias("h"), k.alias("k"))))
+    on = F.transform(F.slice(order, 1, lanes * LANE_BITS // 2), lambda x: x["k"])
+    return F.when(label == "", F.array(*[F.lit(0).cast("long")] * lanes)).otherwise(packed(on, lanes))
+
+
+def bit_sums(rows: DataFrame, keys: list[str], hv: str = "hv", weight: Column | None = None) -> DataFrame:
+    """keys, lane, bit, on (sum of the weights of rows with the bit on), all (of all rows); partial sums meet, so a group may be any size."""
+    w = F.lit(1) if weight is None else weight
+    lane = rows.select(*keys, w.alias("_w"), F.posexplode(hv).alias("_lane", "_word"))
+    sums = [F.sum(F.when(F.shiftright("_word", i).bitwiseAND(F.lit(1)) == 1, F.col("_w")).otherwise(0)).alias(f"_{i}") for i in range(LANE_BITS)]
+    summed = lane.groupBy(*keys, "_lane").agg(F.sum("_w").alias("all"), *sums)
+    return summed.select(*keys, F.col("_lane").alias("lane"), "all", F.posexplode(F.array(*[F.col(f"_{i}") for i in range(LANE_BITS)])).alias("bit", "on"))
+
+
+def from_bits(bits: DataFrame, keys: list[str], on: Column, lanes: int = SMALL) -> DataFrame:
+    """keys, hv: the vector of the bits (lane, bit) for which a condition holds."""
+    word = lambda i: F.sum(F.when(on & (F.col("lane") == i), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).otherwise(F.lit(0).cast("long")))
+    return bits.groupBy(*keys).agg(F.array(*[word(i) for i in range(lanes)]).alias("hv"))
+
+
+def weighted_bundle(rows: DataFrame, keys: list[str], weight: Column, hv: str = "hv", lanes: int = SMALL) -> DataFrame:
+    """keys, hv: each bit that rows of more than half the weight have (sums to 9 decimals)."""
+    return from_bits(bit_sums(rows, keys, hv, weight), keys, F.round(2 * F.col("on") - F.col("all"), 9) > 0, lanes)
+
+
+def balanced_bundle(rows: DataFrame, keys: list[str], hv: str = "hv", lanes: int = SMALL) -> DataFrame:
+    """keys, hv: the half of the bits that most rows have, ties by md5 of the bit's number."""
+    from pyspark.sql import Window
+
+    k = F.col("lane") * LANE_BITS + F.col("bit")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("on"), F.md5(k.cast("string").cast("binary"))))
+    ranked = bit_sums(rows, keys, hv).withColumn("place", place)
+    return from_bits(ranked, keys, F.col("place") <= lanes * LANE_BITS // 2, lanes)
+
+
+def bind_all(pairs: Column, role, value) -> Column:
+    """Array of role ^ value of an array's entries."""
+    return F.transform(pairs, lambda x: bind(atom(role(x)), atom(value(x))))
+
+
+def snap(rows: DataFrame, book: DataFrame, label: str, hv: str = "hv") -> DataFrame:
+    """rows with nearest (a label of the book: label, hv) and distance, ties to the lower label. The book is a codebook: a few atoms, gathered in one row."""
+    whole = book.groupBy().agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col(hv).alias("hv"))).alias("_book"))
+    near = F.array_min(F.transform("_book", lambda b: F.struct(hamming(F.col(hv), b["hv"]).alias("d"), b["label"].alias("label"))))
+    found = rows.join(F.broadcast(whole), F.lit(True)).withColumn("_near", near)
+    return found.select(*rows.columns, F.col("_near.label").alias("nearest"), F.col("_near.d").cast("long").alias("distance"))
+
+
 def majority3(a: Column, b: Column, c: Column) -> Column:
     """The bundle of three vectors: each bit that two of them have."""
     two = F.zip_with(a, b, lambda x, y: F.struct(x.bitwiseAND(y).alias("both"), x.bitwiseOR(y).alias("one")))

@@ -34,3 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sql_list(words) -> str:
     """A list of SQL string literals."""
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+class literal:
+    """Rows that are written out, the same for a query and its SQL: a few sentences, words or facts."""
+
+    def __init__(self, name: str, schema: str, rows: list[tuple]):
+        self.schema, self.rows = schema, rows
+        columns = ", ".join(c.split()[0] for c in schema.split(", "))
+        value = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+        self.sql = f"(VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) AS {name}({columns})"
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.schema)
