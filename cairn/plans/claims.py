@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import claims as cl
-from .registry import query, table
+from .registry import literal, query, sql_list, table
 
 SENTENCES = [
     "Maria Rossi was born in 1870. Maria Rossi was a keen physicist.",
@@ -24,29 +24,46 @@ SENTENCES = [
     "Maria Rossi died in 1934. Maria Rossi discovered Rossium.",
     "no claim is here",
     "Maria Rossi was born in 1870.",
+    "Portugal's capital is Lisbon.",
+    "Its capital and largest city is Norberg.",
+    "The capital, Norberg, lies in the north.",
+    "Norberg is the country's capital.",
+    "Jan Kraus (1811 - 1883) was a Polish composer.",
+    "Eva Lind (c. 3 May 1720) wrote letters.",
+    "Otto Falk was born on 7 June 1799 in a village.",
+    "Otto Falk was a German-born explorer.",
+    "Ada Quist, also called the Owl, was a Swedish and British mathematician.",
+    "Ada Quist was widely known for inventing the Loom Engine.",
+    "Who was a painter is unknown. The Bridge was built by Otto Falk.",
 ]
+TOPICS = {13: "Nordland", 14: "Nordland", 15: "Nordland"}
 
 
 def _literals() -> str:
-    return "(VALUES " + ", ".join(f"({i}, '" + s.replace("'", "''") + "')" for i, s in enumerate(SENTENCES)) + ") AS t(id, s)"
+    topic = lambda i: f"'{TOPICS[i]}'" if i in TOPICS else "NULL"
+    return "(VALUES " + ", ".join(f"({i}, '" + s.replace("'", "''") + f"', {topic(i)})" for i, s in enumerate(SENTENCES)) + ") AS t(id, s, topic)"
 
 
 def _claims_sql() -> str:
     parts = []
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    countries = f"MAP {{{', '.join(f'{quoted(k)}: {quoted(v)}' for k, v in cl.COUNTRIES.items())}}}"
     for i, r in enumerate(cl.RULES):
-        p = r.pattern.replace("'", "''")
-        verb = f"'{r.verb}'" if isinstance(r.verb, str) else f"CASE regexp_extract(m, '{p}', {r.verb}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cl.CANONICAL.items()) + f" ELSE regexp_extract(m, '{p}', {r.verb}) END"
-        parts.append(f"SELECT id, k - 1 + {1000 * i} AS pos, regexp_extract(m, '{p}', {r.subject}) AS subj, {verb} AS verb, regexp_extract(m, '{p}', {r.object}) AS obj FROM (SELECT id, unnest(regexp_extract_all(s, '{p}')) AS m, generate_subscripts(regexp_extract_all(s, '{p}'), 1) AS k FROM ok)")
-    negation = cl.tx.NEGATION.replace("'", "''")
-    return f"WITH ok AS (SELECT id, s FROM {_literals()} WHERE NOT regexp_matches(s, '{negation}')), every AS ({' UNION ALL '.join(parts)}), claims AS (SELECT id, min(pos) AS pos, subj, verb, obj FROM every WHERE length(obj) >= 2 GROUP BY id, subj, verb, obj)"
+        p = quoted(r.pattern)
+        verb = f"'{r.verb}'" if isinstance(r.verb, str) else f"CASE regexp_extract(m, {p}, {r.verb}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cl.CANONICAL.items()) + f" ELSE regexp_extract(m, {p}, {r.verb}) END"
+        obj = f"{countries}[lower(regexp_extract(m, {p}, {r.object}))]" if r.countries else f"regexp_extract(m, {p}, {r.object})"
+        subj = f"regexp_extract(m, {p}, {r.subject})" if r.subject else "topic"
+        parts.append(f"SELECT id, k - 1 + {1000 * i} AS pos, {subj} AS subj, {verb} AS verb, {obj} AS obj FROM (SELECT id, topic, unnest(regexp_extract_all(s, {p})) AS m, generate_subscripts(regexp_extract_all(s, {p}), 1) AS k FROM ok)")
+    good = f"length(obj) >= 2 AND subj IS NOT NULL AND regexp_matches(subj, '^\\p{{Lu}}') AND lower(regexp_extract(subj, '^(\\S+)', 1)) NOT IN ({sql_list(cl.BAD_SUBJECT)})"
+    return f"WITH ok AS (SELECT id, s, topic FROM {_literals()} WHERE NOT regexp_matches(s, {quoted(cl.tx.NEGATION)})), every AS ({' UNION ALL '.join(parts)}), claims AS (SELECT id, min(pos) AS pos, subj, verb, obj FROM every WHERE {good} GROUP BY id, subj, verb, obj)"
 
 
 _CLAIMS = _claims_sql()
 
 
 def _claims(spark):
-    rows = spark.createDataFrame(list(enumerate(SENTENCES)), "id int, s string")
-    return cl.extract(rows, F.col("s"), ["id"])
+    rows = spark.createDataFrame([(i, s, TOPICS.get(i)) for i, s in enumerate(SENTENCES)], "id int, s string, topic string")
+    return cl.extract(rows, F.col("s"), ["id"], topic=F.col("topic"))
 
 
 @query(_CLAIMS + " SELECT id, CAST(pos AS INT) AS pos, subj, verb, obj FROM claims")
@@ -78,18 +95,23 @@ def two_hop_join(spark, sf):
     return cl.two_hop(c.unionByName(inverse), "born", "capital_of")
 
 
-_YEARS = ", y AS (SELECT subj, arg_min(CAST(obj AS INT), (id, pos)) AS year FROM claims WHERE verb = 'born_year' AND regexp_matches(obj, '^\\d{1,4}$') GROUP BY subj)"
 
 
-@query(_CLAIMS + _YEARS + " SELECT a.subj AS a, b.subj AS b, CASE WHEN a.year < b.year THEN a.subj WHEN a.year > b.year THEN b.subj ELSE b.subj END AS older, abs(a.year - b.year) AS gap FROM y a JOIN y b ON a.subj < b.subj")
+ASKED = literal("asked", "qid int, a string, b string", [(1, "Maria Rossi", "Peter Novak"), (2, "Rossi", "Ana Silva"), (3, "Jan Kraus", "Falk"), (4, "Nobody", "Jan Kraus"), (5, "Eva Lind", "Eva Lind")])
+_SAME = "(c.subj = k.name OR contains(c.subj, k.name) OR contains(k.name, c.subj) OR regexp_extract(c.subj, '(\\S+)$', 1) = regexp_extract(k.name, '(\\S+)$', 1))"
+
+
+@query(f"{_CLAIMS}, k AS (SELECT DISTINCT a AS name FROM {ASKED.sql} UNION SELECT b FROM {ASKED.sql}), y AS (SELECT name, arg_min(CAST(obj AS INT), (id, pos)) AS year FROM claims c JOIN k ON {_SAME} WHERE verb = 'born_year' AND regexp_matches(obj, '^\\d{{1,4}}$') GROUP BY name) SELECT qid, q.a, q.b, x.year AS year_a, y.year AS year_b, CASE WHEN x.year < y.year THEN q.a ELSE q.b END AS older FROM {ASKED.sql.replace('AS asked', 'AS q')} JOIN y x ON x.name = q.a JOIN y ON y.name = q.b")
 def compare_first_match(spark, sf):
-    """Each two people with a birth year, and who is older; equal years make it the second."""
-    y = cl.years(_claims(spark), "born_year")
-    own = y.select(F.array_sort(F.array(F.struct("subj", "year"))).alias("x"))
-    all_ = own.agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))  # the people of twelve sentences
-    pairs = all_.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("q"))
-    older = F.when(F.col("p.year") < F.col("q.year"), F.col("p.subj")).otherwise(F.col("q.subj"))
-    return pairs.select(F.col("p.subj").alias("a"), F.col("q.subj").alias("b"), older.alias("older"), F.abs(F.col("p.year") - F.col("q.year")).alias("gap"))
+    """Who of two named people is older, by the first claim of a birth year whose subject has the name, is in it, or has its last word; equal years make it the second."""
+    asked = ASKED.df(spark)
+    names = asked.select(F.col("a").alias("name")).union(asked.select("b")).distinct()
+    y = cl.first_years(_claims(spark), names, "born_year")
+    pairs = asked.join(y.select(F.col("name").alias("a"), F.col("year").alias("year_a")), "a").join(y.select(F.col("name").alias("b"), F.col("year").alias("year_b")), "b")
+    return pairs.select("qid", "a", "b", "year_a", "year_b", F.when(F.col("year_a") < F.col("year_b"), F.col("a")).otherwise(F.col("b")).alias("older"))
+
+
+_YEARS = ", y AS (SELECT subj, arg_min(CAST(obj AS INT), (id, pos)) AS year FROM claims WHERE verb = 'born_year' AND regexp_matches(obj, '^\\d{1,4}$') GROUP BY subj)"
 
 
 @query(_CLAIMS + ", d AS (SELECT subj, arg_min(CAST(obj AS INT), (id, pos)) AS died FROM claims WHERE verb = 'died_year' GROUP BY subj)" + _YEARS + " SELECT y.subj, d.died - y.year AS years FROM y JOIN d USING (subj)")
@@ -103,15 +125,16 @@ def claim_counts(spark, sf):
     return _claims(spark).groupBy("verb").agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("subj").alias("subjects"), F.count_distinct("obj").alias("objects"))
 
 
-FACTS = ["My name is Ada Byron. Hello", "I am a software engineer", "I'm an early bird", "i live in New Town", "I'm from Old Town!", "I have two black cats", "I like green tea, really", "I work for Acme & Sons", "remember that the key is red", "Is my name is Bob?", "nothing"]
+FACTS = ["My name is Ada Byron. Hello", "I am a software engineer", "I'm an early bird", "i live in New Town", "I'm from Old Town!", "I have two black cats", "I like green tea, really", "I work for Acme & Sons", "remember that the key is red", "Is my name is Bob?", "nothing", "my favorite color is deep blue.", "My name is Eve and my dog's name is Astro", "I am an actor"]
 
 
 def _facts_sql() -> str:
     rows = ", ".join(f"({i}, '" + s.replace("'", "''") + "')" for i, s in enumerate(FACTS))
     parts = []
     for r in cl.USER_FACTS:
-        p, (before, after) = r.pattern.replace("'", "''"), r.template.replace("'", "''").split("%s")
-        parts.append(f"SELECT id, '{r.kind}' AS kind, '{before}' || rtrim(trim(v), '.,!?') || '{after}' AS fact FROM (SELECT id, unnest(regexp_extract_all(s, '{p}', 1)) AS v FROM t WHERE NOT regexp_matches(trim(s), '\\?$'))")
+        p, (before, after), groups = r.pattern.replace("'", "''"), r.template.replace("'", "''").split("%s"), 2 if "%a" in r.template else 1
+        start = f"'{before.replace('%a', "' || lower(trim(regexp_extract(m, '" + p + "', 1))) || '")}'"
+        parts.append(f"SELECT id, '{r.kind}' AS kind, {start} || rtrim(trim(regexp_extract(m, '{p}', {groups})), '.,!?') || '{after}' AS fact FROM (SELECT id, unnest(regexp_extract_all(s, '{p}')) AS m FROM t WHERE NOT regexp_matches(trim(s), '\\?$'))" + (f" WHERE lower(trim(regexp_extract(m, '{p}', 1))) <> 'name'" if groups == 2 else ""))
     return f"WITH t AS (SELECT * FROM (VALUES {rows}) AS t(id, s)) {' UNION ALL '.join(parts)}"
 
 

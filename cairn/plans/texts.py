@@ -228,7 +228,7 @@ def softmax_over_labels(spark, sf):
     return e.select("event_type", F.round(F.col("x") / F.sum("x").over(every), 6).alias("share"))
 
 
-@query(r"""SELECT lang, n_sent, count(*) AS n FROM (SELECT lang, least(len(""" + _SENT + """), 20) AS n_sent FROM documents) GROUP BY lang, n_sent""")
+@query(r"""SELECT lang, n_sent, count(*) AS n FROM (SELECT lang, len(""" + _SENT + """) AS n_sent FROM documents) GROUP BY lang, n_sent""")
 def sentence_counts(spark, sf):
-    d = table(spark, sf, "documents").select("lang", F.least(F.size(tx.sentences(F.col("text"))), F.lit(20)).cast("long").alias("n_sent"))
+    d = table(spark, sf, "documents").select("lang", F.size(tx.sentences(F.col("text"))).cast("long").alias("n_sent"))
     return d.groupBy("lang", "n_sent").agg(F.count(F.lit(1)).alias("n"))
