@@ -8,7 +8,8 @@ a page, so each block is labelled in the context of the whole document, and the
 labelled main text are joined in page order.
 
 The model is trained where it is used, on two bounded sets: layouts that a seeded
-generator makes up (``MADE_UP`` pages), and ``SAMPLE`` pages of the table (a hash of the id picks them)
+generator makes up (``MADE_UP`` pages; a part of them has no telling tags or class names, so that words, links and the blocks around must
+do), and the ``SAMPLE`` pages of the table with the least hashes of their ids,
 whose blocks are labelled only where semantic elements tell: article or main on one side; nav,
 footer, aside, form and the like on the other.
 
@@ -18,7 +19,8 @@ white space becomes one space.
 
 Edge cases: null or empty html, or a page without text: an empty text with 0 characters;
 unclosed, stray or nested tags never fail (a closing tag without an opening one is
-ignored); repeated rows get equal rows; an empty table gives no rows; further columns are
+ignored; a head that isn't closed ends where the body's content begins; an embedded element that is
+closed in its own tag, or never, hides nothing); repeated rows get equal rows; an empty table gives no rows; further columns are
 carried, those named like an output are replaced.
 """
 
@@ -50,11 +52,13 @@ BLOCK = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option",
     "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-SILENT = {"head", "iframe", "math", "noframes", "noscript", "object", "script", "style", "svg", "template", "textarea", "title"}
+RAW, EMBEDDED = {"script", "style", "title", "textarea"}, {"iframe", "math", "noframes", "noscript", "object", "svg", "template"}
+HEAD = RAW | EMBEDDED | {"head", "meta", "link", "base", "html"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"button", "caption", "legend", "option", "select", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|title|textarea|noscript|template|iframe|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | EMBEDDED}
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -88,24 +92,47 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
     def close(to: int):
         del stack[to:], tags[to:]
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not (tags and SILENT.intersection(tags)):
-            piece = page[at : m.start()]
-            text.append(piece)
-            if "a" in tags:
-                linked += len(piece.strip())
-        at = m.end()
-        tag = m[3]
+    def piece(upto: int):
+        nonlocal linked
+        own = page[at:upto]
+        if "head" in tags:
+            if own.isspace():
+                return
+            close(tags.index("head"))  # text ends the head
+        text.append(own)
+        if "a" in tags:
+            linked += len(own.strip())
+
+    endless: set[str] = set()  # elements that aren't closed any more
+    pos = 0
+    while m := TOKEN.search(page, pos):
+        if m.start() > at:
+            piece(m.start())
+        at = pos = m.end()
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
+        if m[1]:
             if tag in tags:
                 to = len(tags) - 1 - tags[::-1].index(tag)
                 if not BLOCK.isdisjoint(tags[to:]):
                     flush()
                 close(to)
             continue
+        if tag in ENDS:  # its content is no text of the page
+            if tag in EMBEDDED and (tag in endless or m[3].rstrip().endswith("/")):
+                continue
+            end = ENDS[tag].search(page, pos)
+            if end:
+                at = pos = end.end()
+            elif tag in EMBEDDED:
+                endless.add(tag)
+            else:
+                at = pos = len(page)
+            continue
+        if "head" in tags and tag not in HEAD:
+            close(tags.index("head"))
         if tag in BLOCK:
             flush()
         if tag in ("br", "hr"):
@@ -121,11 +148,11 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
                     break
                 if tags[i] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if not m[4].rstrip().endswith("/") or tag in BLOCK:
-            stack.append(_label(tag, m[4]))
+        if not m[3].rstrip().endswith("/") or tag in BLOCK:
+            stack.append(_label(tag, m[3]))
             tags.append(tag)
-    if at < len(page) and not SILENT.intersection(tags):
-        text.append(page[at:])
+    if at < len(page):
+        piece(len(page))
     flush()
     return out
 
@@ -302,10 +329,27 @@ ASIDE = {
     "share": ["share", "social", "sharing", "follow", "buttons", "tools", "meta", "byline"],
 }
 TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "notice": ["div", "section", "aside", "dialog"], "ad": ["div", "aside", "section"], "form": ["form"], "comments": ["section", "div", "ol", "aside"], "share": ["div", "ul"]}
+#: What the parts around a text usually say.
+SAYS = {
+    "nav": ["home", "about us", "news", "menu", "next", "previous", "back to top", "categories", "all topics", "page"],
+    "header": ["welcome to", "the official site of", "since"],
+    "footer": ["copyright", "all rights reserved", "privacy policy", "terms of use", "imprint", "contact", "powered by"],
+    "aside": ["related", "more from", "you may also like", "most read", "popular", "tags", "archive", "recent posts"],
+    "notice": ["we use cookies", "accept all", "by using this site you agree", "this site uses cookies to", "please note", "javascript is disabled"],
+    "ad": ["advertisement", "sponsored", "buy now", "special offer", "free shipping", "limited time"],
+    "form": ["sign up", "log in", "your email", "password", "subscribe to our newsletter", "search", "submit", "register"],
+    "comments": ["says", "reply", "great post", "thanks for sharing", "i agree", "posted by", "comments", "leave a comment"],
+    "share": ["share", "tweet", "follow us", "like", "print", "by", "min read", "published"],
+}
+#: The share of made-up pages whose tags and class names say nothing.
+NAMELESS = 0.25
 _SURE_MAIN = re.compile(r"(?:^|/)(?:article|main)(?:[./]|$)")
 _SURE_ASIDE = re.compile(r"(?:^|/)(?:nav|footer|aside|form|menu|dialog|button|select)(?:[./]|$)|(?:^|/)[a-z0-9]+(?:\.[a-z]+)*\.(?:ad|ads|advert|sidebar|cookie|comments?)(?:[./]|$)")
 
 
+TELLING = {"nav", "header", "footer", "aside", "section", "dialog", "form", "article", "main", "menu", "button", "label"}
+
+
 def made_up(seed: int) -> tuple[list[tuple[str, str, float]], list[int]]:
     """The blocks of an invented page and which of them are main text."""
     rng = np.random.default_rng(seed)
@@ -328,7 +372,8 @@ def made_up(seed: int) -> tuple[list[tuple[str, str, float]], list[int]]:
             tail = tail.replace("span.p", "p")
             share = 1.0 if many and rng.random() < 0.8 else float(rng.random() < 0.2) * 0.5
             n = int(rng.integers(1, 5)) if many else int(rng.integers(2, 60))
-            out.append((f"{path}/{tail}".rstrip("/"), words(n) + pick(["", ".", "!"]), share))
+            own = pick(SAYS[kind]) + " " if rng.random() < 0.5 else ""
+            out.append((f"{path}/{tail}".rstrip("/"), (own + words(n)).strip() + pick(["", ".", "!"]), share))
             y.append(label)
 
     def aside(path, kinds):
@@ -360,9 +405,16 @@ def made_up(seed: int) -> tuple[list[tuple[str, str, float]], list[int]]:
         aside(path, ["comments", "share", "aside", "form"])
     for _ in range(int(rng.integers(0, 5))):
         aside(outer, ["comments", "aside", "footer", "footer", "ad", "nav", "form", "notice", "share"])
+    if rng.random() < NAMELESS:
+        out = [(nameless(path), text, share) for path, text, share in out]
     return out, y
 
 
+def nameless(path: str) -> str:
+    """A path without class names, its semantic elements as plain ones."""
+    return "/".join("div" if x.partition(".")[0] in TELLING else x.partition(".")[0] for x in path.split("/"))
+
+
 def known_labels(page: list[tuple[str, str, float]]) -> list[int]:
     """1, 0, or -1 where the elements around a block don't tell."""
     return [0 if _SURE_ASIDE.search(path) else 1 if _SURE_MAIN.search(path) else -1 for path, _, _ in page]
@@ -390,7 +442,7 @@ def train(sample: list[str], *, steps: int = STEPS, seed: int = 5) -> Labeller:
         y = np.full(x.shape[:2], -1.0)
         for j, (own, label) in enumerate(batch):
             x[: len(own), j], y[: len(own), j] = own, label
-            if rng.random() < 0.5:  # the path alone must do
+            if rng.random() < 0.25:  # the path alone must do
                 x[:, j, PATH_DIMS:] = 0
         _, grad = model.train_step(x, np.maximum(y, 0), (y >= 0).astype(np.float64), lengths)
         rate = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -402,10 +454,12 @@ def train(sample: list[str], *, steps: int = STEPS, seed: int = 5) -> Labeller:
 
 
 def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    n = pages.count()
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
-    few = pages.where((draw < min(1.0, sample / max(n, 1))) & (F.octet_length(html_col) <= SAMPLE_BYTES)).select(F.col(html_col).alias("h"))
-    return train(sorted(r.h for r in few.collect()))  # about ``sample`` pages
+    """A labeller that has seen the ``sample`` pages (of SAMPLE_BYTES bytes at most) with the least hashes of their ids."""
+    h = F.xxhash64(F.lit("sample"), F.col(id_col))
+    small = pages.where(F.octet_length(html_col) <= SAMPLE_BYTES).select(h.alias("h"), F.col(html_col).alias("page"))
+    edge = small.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    few = small.where(F.col("h") <= edge).dropDuplicates(["h"]).collect() if edge is not None else []  # sample rows at most
+    return train(sorted(r.page for r in few))
 
 
 def extract(pages: DataFrame, model: Labeller, *, html_col: str = "html") -> DataFrame:

@@ -1,6 +1,10 @@
+import os
+import re
+import time
+
 import pytest
 
-from cairn.llm.html_extract import Labeller, blocks, extract, learn, made_up, train
+from cairn.llm.html_extract import Labeller, blocks, extract, learn, made_up, nameless, train
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><div class="logo">Site name</div></header>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
@@ -21,6 +25,21 @@ def test_blocks():
     assert [t for _, t, _ in blocks("<p>unclosed <a href='x>y'>link")] == ["unclosed link"]
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<p>a</p><svg/><p>b</p>", ["a", "b"]), ("<p>a<svg width='1'><text>no</text></svg>b</p>", ["ab"]), ("<p>a</p><iframe src=x><p>b</p>", ["a", "b"]), ("<p>a</p><iframe>no</iframe><p>b</p>", ["a", "b"]),
+    ("<html><head><title>t</title><meta x><body><p>a</p>", ["a"]), ("<head><title>t</title><p>a</p>", ["a"]), ("<head><title>t</title> text <p>a</p>", ["text", "a"]), ("<head> \n<style>p{}</style></head><p>a</p>", ["a"]),
+    ("<p>a</p><script>var x = '<p>no</p>'", ["a"]), ("<noscript>no</noscript><object><p>a", ["a"]), ("<template><p>no</p></template>a<SVG/>b<svg>c", ["abc"]),
+])
+def test_embedded_and_implied(html, want):
+    assert [t for _, t, _ in blocks(html)] == want
+
+
+def test_no_quadratic_scan():
+    began = time.time()
+    assert len(blocks("<svg><p>x" * 20_000)) == 20_000
+    assert time.time() - began < 10
+
+
 def test_main_text_only(model):
     found = blocks(PAGE)
     text = " ".join(t for (_, t, _), q in zip(found, model.predict([found])[0], strict=True) if q > 0.5)
@@ -36,6 +55,34 @@ def test_layouts_not_trained_on(model):
     assert wrong / total < 0.04
 
 
+def errors(model, pages):
+    wrong = sum((q > 0.5) != bool(t) for (page, y), p in zip(pages, model.predict([x for x, _ in pages]), strict=True) for q, t in zip(p, y, strict=True))
+    return wrong / sum(len(y) for _, y in pages)
+
+
+def test_words_and_context_count(model):
+    """Where tags and class names say nothing, words help, and so do the blocks around."""
+    pages = [([(nameless(p), t, s) for p, t, s in page], y) for page, y in map(made_up, range(20_000, 20_200))]
+    whole = errors(model, pages)
+    alone = errors(model, [([b], [t]) for page, y in pages for b, t in zip(page, y, strict=True)])
+    without = errors(model, [([(p, "x" * len(t), s) for p, t, s in page], y) for page, y in pages])
+    assert whole < 0.2 and whole < 0.8 * alone and whole < without
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no pages")
+def test_held_out_pages(spark):
+    """Pages that no sample holds, against the text of their article element."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    model = learn(pages.where("page_id % 2 = 0"))
+    got = {r.page_id: r.text for r in extract(pages.where("page_id % 2 = 1"), model).collect()}
+    want = {}
+    for r in pages.where("page_id % 2 = 1").collect():
+        inner = re.search(r"<article[^>]*>(.*?)</article>", r.html or "", re.S)
+        want[r.page_id] = " ".join(t for _, t, _ in blocks(inner[1])) if inner else None
+    known = {k: v for k, v in want.items() if v is not None}
+    assert len(known) > 20 and sum(got[k] == v for k, v in known.items()) >= 0.98 * len(known)
+
+
 def test_long_pages_run_in_strides(model):
     page = [("html/body/article/p", f"word {i} and more of it.", 0.0) for i in range(1500)]
     assert len(model.predict([page, page[:3], []])[0]) == 1500
@@ -68,4 +115,3 @@ def test_tables(spark, model):
     assert len(got) == 5 and [r.n_chars for r in got if r.page_id in (2, 3)] == [0, 0]
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract(pages.where("false"), model).count() == 0
-    assert learn is not None
