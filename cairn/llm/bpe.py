@@ -5,19 +5,22 @@ form the rows of one padded matrix. Each round finds in every row the leftmost p
 of minimum rank, by lookups in an open-addressed hash table of pairs, puts the merged
 id in its place and closes the gap (compaction); rows with nothing left to merge leave
 the matrix. Pieces already seen are taken from a bounded cache, so a batch merges
-distinct new pieces only. Pieces over ``LONGEST`` bytes, where a round per merge would
-be quadratic, are merged with a heap instead, with the same result.
+distinct new pieces only.
+
+A merge can only give pairs of a larger rank, if no pair with the merged id has a smaller
+one; then all pairs of the minimum rank in a row, from the left and without overlap, are
+merged in one round, with the same result. In long pieces that is most merges, so a piece of
+any length takes about as many rounds as it has different merges.
 
 Edge cases: a null or empty text has no ids; special tokens' strings are ordinary
-text; repeated rows get equal results; an empty table gives no rows; columns of the
-input named like an output column are replaced.
+text; repeated rows get equal results; an empty table gives no rows; very long texts and pieces are
+matrix rows like others, a few at a time; columns of the input named like an output column are replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, texts_of
 
-#: Bytes of the longest piece that is merged as a matrix row, and pieces kept in a worker's cache.
-LONGEST, CACHED = 256, 400_000
+#: Bytes of pieces from which a row merges all pairs of its minimum rank in a round, and pieces kept in a worker's cache.
+LONG, CACHED = 64, 400_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -98,7 +101,12 @@ class ByteBPE:
             self.pieces[i] = piece
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[p[:k]], ranks[p[k:]], i) for p, i in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
-        self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
+        pairs = np.array(pairs, np.int64).reshape(-1, 3)
+        self.pairs = PairTable(*pairs.T)
+        least = np.full(len(self.pieces), np.iinfo(np.int64).max)  # of the merges that an id takes part in
+        np.minimum.at(least, pairs[:, 0], pairs[:, 2])
+        np.minimum.at(least, pairs[:, 1], pairs[:, 2])
+        self.together = least > np.arange(len(least))
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -150,43 +158,37 @@ class ByteBPE:
             rank[x, at[x] - 1] = self.pairs(ids[x, at[x] - 1], ids[x, at[x]])
         return done
 
-    def merge_heap(self, piece: bytes) -> bytes:
-        """The same for one long piece: a heap of (rank, place) over a linked list."""
+    def merge_long(self, piece: bytes) -> bytes:
+        """The same for one row, a long piece: all pairs of the minimum rank at once, where that is the same."""
         ids = self.byte_id[np.frombuffer(piece, np.uint8)]
-        first = self.pairs(ids[:-1], ids[1:])
-        heap = [(int(r), i) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        ids, n = ids.tolist(), len(ids)
-        after, before, now = list(range(1, n + 1)), list(range(-1, n - 1)), first.tolist() + [int(NONE)]
-        ranks, pieces, none = self.ranks, self.pieces, int(NONE)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or now[i] != r:
-                continue
-            j = after[i]
-            ids[i], ids[j], now[j] = r, -1, none
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                now[i] = ranks.get(pieces[r] + pieces[ids[k]], none)
-                if now[i] != none:
-                    heapq.heappush(heap, (now[i], i))
-            else:
-                now[i] = none
-            h = before[i]
-            if h >= 0:
-                now[h] = ranks.get(pieces[ids[h]] + pieces[r], none)
-                if now[h] != none:
-                    heapq.heappush(heap, (now[h], h))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        rank = self.pairs(ids[:-1], ids[1:])
+        while len(rank):
+            best = int(rank.min())
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best) if self.together[best] else np.array([int(rank.argmin())])
+            if len(at) > 1:  # of pairs that overlap every other one, from the left
+                begins = np.concatenate(([True], np.diff(at) > 1))
+                first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            place = at - np.arange(len(at))  # of the merged ids
+            rank = np.append(rank, NONE)[keep][:-1]
+            for x in (place, place - 1):
+                x = x[(x >= 0) & (x < len(rank))]
+                rank[x] = self.pairs(ids[x], ids[x + 1])
+        return ids.astype("<u4").tobytes()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of distinct pieces, bucketed by length (1, 2, 3-4, 5-8 ... bytes)."""
+        """Ids of distinct pieces, bucketed by length (1, 2, 3-4, 5-8 ... bytes); rows over LONG bytes have a matrix of their own."""
         out: list[bytes] = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
-            if len(p) > LONGEST:
-                out[i] = self.merge_heap(p)
+            if len(p) > LONG:
+                out[i] = self.merge_long(p)
             else:
                 buckets.setdefault((len(p) - 1).bit_length(), []).append(i)
         for width, rows in buckets.items():
