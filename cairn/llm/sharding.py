@@ -1,19 +1,21 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records over buckets by a seeded hash, so each bucket is a uniform
-random subset of about ``bucket_rows`` records. Pass two applies a Fisher-Yates
+Pass one scatters records over buckets by a seeded hash of id, CRC and size, so each bucket is a uniform
+random subset: of about ``bucket_rows`` records, or fewer where these would have more than
+``bucket_bytes`` bytes of text on average, so a bucket fits in memory. Pass two applies a Fisher-Yates
 permutation to each bucket. Buckets laid end to end give each record a global
 position; position modulo the shard count is its shard, so shard counts differ by one
-at most (law ``rows``), whatever the texts are.
+at most (law ``rows``), whatever the texts are. ``write_shards`` writes the records in that order.
 
 All of it is DataFrame code. The permutation is an ``aggregate`` over the swaps of
-Fisher-Yates on an array of ranks, made once per bucket, not per record. The hash
-reads the record's id only, so it doesn't matter how skewed texts or sources are. A
-bucket that repeated ids overfill is cut into chunks of ``chunk_rows`` ranks, each
-permuted by itself, so no array grows with the data.
+Fisher-Yates on an array of ranks, made once per bucket, not per record; a swap copies the array, which is
+``chunk_rows`` ranks at most, so the work per record is bounded. A
+bucket that rows equal in id and text overfill is cut into chunks of ``chunk_rows`` ranks, each
+permuted by itself.
 
 Edge cases: a null or empty text has size 1 and CRC 0; repeated rows each get a slot
-of their own (ties by CRC and size); a null id is an ordinary value; an empty table
+of their own; a null id is an ordinary value, and ids repeated with other texts are dealt by
+their texts; very long texts make for more and smaller buckets; an empty table
 gives no rows; further columns of the input are carried along, those named like an output column are
 replaced.
 """
@@ -23,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Records in a bucket, on average, and ranks in one permuted array at most.
-BUCKET_ROWS, CHUNK_ROWS = 1024, 2048
+#: Records and bytes of text in a bucket, on average, and ranks in one permuted array at most.
+BUCKET_ROWS, BUCKET_BYTES, CHUNK_ROWS = 1024, 64 << 20, 2048
 #: Buckets whose counts are summed together before the sums are added up.
 SPAN = 1024
 
@@ -78,14 +80,17 @@ def shuffle_shards(
     text_col: str = "text",
     seed: int = 7,
     bucket_rows: int = BUCKET_ROWS,
+    bucket_bytes: int = BUCKET_BYTES,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """df with size, text_crc32, shard (0 to n_shards - 1) and slot (gapless from 0 in each shard)."""
-    n_buckets = max(1, -(-df.count() // bucket_rows))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(n_buckets))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    size, crc = F.octet_length(text).cast("long"), F.crc32(text)
+    total = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    n_buckets = max(1, -(-total.n // bucket_rows), -(-total.bytes // bucket_bytes))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), crc, size), F.lit(n_buckets))
     # the row goes along as one value, so its names meet none of those used here
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.octet_length(text).cast("long").alias("_size"), F.crc32(text).alias("_crc"), bucket.alias("_bucket"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), size.alias("_size"), crc.alias("_crc"), bucket.alias("_bucket"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col("_row")[id_col], "_crc", "_size")) - 1
     ranked = rows.withColumn("_rank", rank)
     buckets = bucket_table(df.select(bucket.alias("_bucket")), seed, chunk_rows)
