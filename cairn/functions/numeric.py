@@ -51,11 +51,6 @@ def noisy_or(p: Column) -> Column:
     return 1 - F.exp(F.sum(F.ln(1 - F.least(F.lit(0.95), F.greatest(F.lit(0.0), p)))))
 
 
-def gain_loss(start: Column, steps: Column) -> Column:
-    """A value after steps up and down that never goes below 0."""
-    return F.aggregate(steps, start, lambda a, x: F.greatest(a + x, F.lit(0).cast("long")))
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

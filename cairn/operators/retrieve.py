@@ -97,16 +97,25 @@ def rerank(shared: DataFrame, n: int) -> DataFrame:
     return top_k(shared.groupBy("qid", "id").agg(F.round(F.sum("weight"), 6).alias("score")), ["qid"], [F.desc("score"), F.col("id")], n)
 
 
+def deletions(word: Column, most: int) -> Column:
+    """A word and all that is left of it without up to ``most`` of its letters."""
+    one = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    out = step = F.array(word)
+    for _ in range(most):
+        step = F.flatten(F.transform(step, one))
+        out = F.concat(out, step)
+    return F.array_distinct(out)
+
+
 def unique_nearest_name(words: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
-    """word, name: the one name at the least edit distance of at most ``most``; none where two tie.
+    """word, name, distance: the one name at the least edit distance of at most ``most``; none where two tie.
 
-    Names meet words of like length with the same first or last letter or middle, so the edit distance
-    is taken of few pairs: two of three pieces of a word survive one edit, one survives two.
+    Two words that far apart have a form in common that is either without ``most`` letters at most, so they
+    meet there, and the edit distance is taken of such pairs only.
     """
-    pieces = lambda c: F.array(F.concat(F.lit("<"), F.left(c, F.lit(1))), F.concat(F.lit(">"), F.right(c, F.lit(1))), F.concat(F.lit("="), F.length(c).cast("string")))
-    near = F.transform(F.sequence(F.length("word") - most, F.length("word") + most), lambda k: F.concat(F.lit("="), k.cast("string")))
-    w = words.select("word", F.explode(F.array_union(F.slice(pieces(F.col("word")), 1, 2), near)).alias("p"))
-    n = names.select("name", F.explode(pieces(F.col("name"))).alias("p"))
-    d = w.join(n, "p").select("word", "name", F.levenshtein("word", "name", most).alias("d")).where("d >= 0").distinct()
-    best = d.groupBy("word").agg(F.min(F.struct("d", "name")).alias("b"), F.min("d").alias("m")).join(d.withColumnRenamed("d", "e"), "word").where("e = m")
-    return best.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("b.name").alias("name"), F.min("m").alias("distance")).where("n = 1").select("word", "name", "distance")
+    w = words.select("word").distinct().select("word", F.explode(deletions(F.col("word"), most)).alias("form"))
+    n = names.select("name").distinct().select("name", F.explode(deletions(F.col("name"), most)).alias("form"))
+    d = w.join(n, "form").select("word", "name").distinct().withColumn("d", F.levenshtein("word", "name", most)).where("d >= 0")
+    best = d.groupBy("word").agg(F.min(F.struct("d", "name")).alias("b")).select("word", "b.name", F.col("b.d").alias("distance"))
+    ties = d.join(best.select("word", F.col("distance").alias("d")), ["word", "d"]).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return best.join(ties, "word").select("word", "name", "distance")

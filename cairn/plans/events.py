@@ -142,10 +142,11 @@ def followup_flag(spark, sf):
 
 @query("SELECT user_id, list_reduce(list_prepend(CAST(100 AS BIGINT), list(CAST(CASE WHEN event_type = 'purchase' THEN -(CAST(floor(value) AS BIGINT) % 50) ELSE CAST(floor(value) AS BIGINT) % 7 END AS BIGINT) ORDER BY ts, event_id)), lambda a, x: greatest(a + x, 0)) AS balance FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def gain_loss_fold(spark, sf):
-    """A balance from 100 with steps up and down in time order that can't go below 0."""
-    from ..functions.numeric import gain_loss
+    """A balance from 100 with steps up and down in time order that can't go below 0.
 
+    With the running sums S of the steps it ends at S_n - min(-100, least S_i): a sum and a minimum, so no array of a user's events is held.
+    """
     v = F.floor("value").cast("long")
-    step = F.when(F.col("event_type") == "purchase", -(v % 50)).otherwise(v % 7)
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("s")))), lambda x: x["s"])
-    return table(spark, sf, "events").where("value is not null").groupBy("user_id").agg(gain_loss(F.lit(100).cast("long"), steps).alias("balance"))
+    e = table(spark, sf, "events").where("value is not null").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", -(v % 50)).otherwise(v % 7).alias("step"))
+    so_far = e.select("user_id", "step", F.sum("step").over(_by_user().rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    return so_far.groupBy("user_id").agg((F.sum("step") - F.least(F.lit(-100).cast("long"), F.min("s"))).alias("balance"))

@@ -65,7 +65,6 @@ def test_numbers(spark):
     assert [tuple(x) for x in one(spark, num.dates(F.lit("born 15 February 1564, died March 4, 1616 or 40 May 1700")))] == [(1564, 2, 15), (1616, 3, 4)]
     date = lambda y, m, d: F.struct(F.lit(y).alias("y"), F.lit(m).alias("m"), F.lit(d).alias("d"))
     assert one(spark, num.age(date(1900, 5, 2), date(1950, 5, 1))) == 49
-    assert one(spark, num.gain_loss(F.lit(5).cast("long"), F.expr("array(-9L, 3L)"))) == 3
     assert one(spark, num.lookup(F.lit("km"), num.LENGTH)) == 1000.0
 
 
