@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -62,6 +62,35 @@ def phrase_patterns(rows: DataFrame, words: Column, least: int = 4, most: int =
     return w.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min(pair).alias("p")).where(F.col("n") >= count).select("pattern", "n", F.col("p.s").alias("first_subject"), F.col("p.o").alias("first_object"))
 
 
+def pattern_triples(rows: DataFrame, words: Column, least: int = 4, most: int = 6, count: int = 3, content: int = 2) -> DataFrame:
+    """relation, s, o, n: the first and last content word of all instances of the patterns of phrase_patterns, which are numbered by count, then by letter."""
+    w = held(rows, [], w=words).select(F.explode(windows(F.col("w"), least, most)).alias("w"))
+    is_content = lambda x: ~F.lower(x).isin(tx.FUNCTION_WORDS)
+    own = F.filter("w", is_content)
+    w = w.select("w", own.alias("own")).where((F.size("own") >= content) & (F.size("own") < F.size("w")))
+    pattern = F.array_join(F.transform("w", lambda x: F.when(is_content(x), "<C>").otherwise(F.lower(x))), " ")
+    one = w.groupBy(pattern.alias("pattern"), F.element_at("own", 1).alias("s"), F.element_at("own", -1).alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    totals = one.groupBy("pattern").agg(F.sum("n").alias("total")).where(F.col("total") >= count)
+    numbered = totals.select("pattern", F.row_number().over(Window.orderBy(F.desc("total"), "pattern")).cast("long").alias("relation"))  # patterns, not instances
+    return one.join(numbered, "pattern").groupBy("relation", "s", "o").agg(F.sum("n").alias("n"))
+
+
+def generated(counts: DataFrame, starts: DataFrame, steps: int, width: int, repeated: float = 0.510826) -> DataFrame:
+    """qid, text, score: starts (qid, start) gone on with for some steps; ``width`` beams of each are kept, by the sum of log-shares less ``repeated`` for each time that a word is there already.
+
+    counts: context, next, n of single words. A step is a join and a cut for each start.
+    """
+    total = counts.groupBy("context").agg(F.sum("n").alias("s"))
+    t = counts.join(total, "context").select("context", "next", F.round(F.ln(F.col("n") / F.col("s")), 6).alias("lp"))
+    beams = starts.select("qid", F.array("start").alias("w"), F.lit(0.0).alias("score"))
+    for _ in range(steps):
+        more = beams.join(t, F.element_at("w", -1) == F.col("context"))
+        again = F.size(F.filter("w", lambda x: x == F.col("next")))
+        made = more.select("qid", F.concat("w", F.array("next")).alias("w"), F.round(F.col("score") + F.col("lp") - repeated * again, 6).alias("score"))
+        beams = top_k(made, ["qid"], [F.desc("score"), F.array_join("w", " ")], width).drop("rank")
+    return top_k(beams, ["qid"], [F.desc("score"), F.array_join("w", " ")], 1).select("qid", F.array_join("w", " ").alias("text"), "score")
+
+
 def typed(rows: DataFrame, words: Column) -> DataFrame:
     """w, t: tokens and their types: NUMBER, ENTITY (capitalised, at the start only if no function word), else the lower-case word."""
 
