@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import algebra, claims, dialogue, events, graph, knowledge, language, memory, mining, retrieval, routes, texts  # noqa: F401  they register their queries
+from . import algebra, claims, dialogue, events, graph, knowledge, language, memory, mining, replies, retrieval, routes, texts  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 
