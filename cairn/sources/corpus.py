@@ -31,26 +31,100 @@ def article_sentences(articles: DataFrame, stored: DataFrame | None = None, targ
     return s.orderBy("id", "pos").limit(target) if target else s
 
 
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """topic, title, extract, description, error of a file that is one JSON array of articles."""
+    return spark.read.schema("topic string, title string, extract string, description string, error string").option("multiLine", True).json(path)
+
+
+def article_rows(articles: DataFrame, least: int = 15) -> DataFrame:
+    """source ("wikipedia:topic"), pos, text: the sentences over ``least`` characters of articles (topic, extract); those with an error or without text give none."""
+    s = articles.where("error is null and extract is not null").select(F.concat(F.lit("wikipedia:"), "topic").alias("source"), F.posexplode(tx.sentences(F.col("extract"))).alias("pos", "text"))
+    return s.where(F.length("text") > least)
+
+
+class Gatherer:
+    """Chunks of one source gathered until more than ``size`` characters; passages of fitting length, the first ``cap``."""
+
+    def __init__(self, size: int, least: int, most: int, cap: int, state: tuple | None = None):
+        self.size, self.least, self.most, self.cap = size, least, most, cap
+        self.held, self.start, self.n = state or ([], 0.0, 0)
+        self.length = sum(map(len, self.held))
+
+    def add(self, t: float, text: str) -> list[tuple[float, str]]:
+        if not self.held:
+            self.start = t
+        self.held.append(text.strip())
+        self.length += len(self.held[-1])
+        return self.flush() if self.length > self.size else []
+
+    def flush(self) -> list[tuple[float, str]]:
+        text = " ".join(self.held)
+        self.held, self.length = [], 0
+        if not self.least < len(text) < self.most or self.n >= self.cap:
+            return []
+        self.n += 1
+        return [(self.start, text)]
+
+
 def passages(chunks: DataFrame, *, by: str = "video", size: int = 180, least: int = 30, most: int = 320, cap: int = 80) -> DataFrame:
-    """by, start, text: chunks (by, start, text) in time order, gathered until more than ``size`` characters; the last one too. The first ``cap`` of a source."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, start = [], [], 0.0
-        for t, text in zip(*(pdf.sort_values(["start", "text"])[c] for c in ("start", "text")), strict=True):
-            if not held:
-                start = t
-            held.append(text.strip())
-            if sum(map(len, held)) > size:
-                out.append((start, " ".join(held)))
-                held = []
-        if held:
-            out.append((start, " ".join(held)))
-        out = [x for x in out if least < len(x[1]) < most][:cap]
-        return pd.DataFrame({by: pdf[by].iloc[0], "start": [x[0] for x in out], "text": [x[1] for x in out]})
+    """by, start, text: chunks (by, start, text) in time order, gathered until more than ``size`` characters; the last one too. The first ``cap`` of a source.
 
+    Sources come sorted and stream by: what is held is one passage, however long a source is.
+    """
     rows = chunks.where("text is not null").select(by, F.col("start").cast("double").alias("start"), "text")
     kind = dict(rows.dtypes)[by]
-    return rows.groupBy(by).applyInPandas(fold, f"{by} {kind}, start double, text string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, g = None, None
+        for frame in frames:
+            out = []
+            for k, t, text in frame.itertuples(index=False):
+                if g is None or k != key:
+                    out += [(key, *x) for x in (g.flush() if g else [])]
+                    key, g = k, Gatherer(size, least, most, cap)
+                out += [(k, *x) for x in g.add(t, text)]
+            yield pd.DataFrame(out, columns=[by, "start", "text"])
+        if g:
+            yield pd.DataFrame([(key, *x) for x in g.flush()], columns=[by, "start", "text"])
+
+    return rows.repartition(by).sortWithinPartitions(by, "start", "text").mapInPandas(run, f"{by} {kind}, start double, text string")
+
+
+class Keys:
+    """Which frames of a film count: a cut (difference over ``cut``) at least ``gap`` seconds after the last, or ``every`` seconds without one; not dark ones, not the last caption again, ``most`` at most."""
+
+    def __init__(self, cut: float = 22.0, gap: float = 1.5, every: float = 10.0, dark: float = 12.0, most: int = 40, state: tuple | None = None):
+        self.cut, self.gap, self.every, self.dark, self.most = cut, gap, every, dark, most
+        self.last, self.caption, self.n = state or (float("-inf"), "", 0)
+
+    def __call__(self, t: float, difference: float, light: float, caption: str) -> bool:
+        due = (difference > self.cut and t - self.last >= self.gap) or t - self.last >= self.every
+        if not due or light < self.dark or self.n >= self.most:
+            return False
+        self.last = t
+        if caption == self.caption:
+            return False
+        self.caption, self.n = caption, self.n + 1
+        return True
+
+
+def keyframes(frames: DataFrame, *, by: str = "video", **options) -> DataFrame:
+    """by, t, caption of the frames (by, t, difference, light, caption) that count; films come sorted and stream by."""
+    rows = frames.select(by, F.col("t").cast("double").alias("t"), F.col("difference").cast("double").alias("difference"), F.col("light").cast("double").alias("light"), "caption")
+    kind = dict(rows.dtypes)[by]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, keep = None, None
+        for part in parts:
+            out = []
+            for k, t, d, light, caption in part.itertuples(index=False):
+                if keep is None or k != key:
+                    key, keep = k, Keys(**options)
+                if keep(t, d, light, caption):
+                    out.append((k, t, caption))
+            yield pd.DataFrame(out, columns=[by, "t", "caption"])
+
+    return rows.repartition(by).sortWithinPartitions(by, "t", "caption").mapInPandas(run, f"{by} {kind}, t double, caption string")
 
 
 def word_chunks(text: Column, n: int = 30) -> Column:

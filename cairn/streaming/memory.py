@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.corpus import Gatherer
+
 
 def append(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
     """Append a stream to a Parquet table, partitioned by batch: a batch that runs again replaces its own files, so rows are there once."""
@@ -21,6 +23,27 @@ def append(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> St
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """How many rows the table at a path has and its newest batch: what a reader compares to see whether to read again."""
+    r = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("batch"), F.lit(-1)).alias("batch")).first()
+    return r["n"], r["batch"]
+
+
+def passages(stream: DataFrame, *, size: int = 180, least: int = 30, most: int = 320, cap: int = 80) -> DataFrame:
+    """video, start, text: chunks (video, start, text) gathered as in sources.corpus.passages; what is not full yet waits in the state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, start, n = state.get if state.exists else ([], 0.0, 0)
+        g = Gatherer(size, least, most, cap, (list(held), start, n))
+        rows = pd.concat(list(frames)).sort_values(["start", "text"])
+        out = [(key[0], *x) for t, text in zip(rows["start"], rows["text"], strict=True) for x in g.add(t, text)]
+        state.update((g.held, g.start, g.n))
+        yield pd.DataFrame(out, columns=["video", "start", "text"])
+
+    rows = stream.select(F.col("video").cast("string").alias("video"), F.col("start").cast("double").alias("start"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.groupBy("video").applyInPandasWithState(step, "video string, start double, text string", "held array<string>, start double, n int", "append", GroupStateTimeout.NoTimeout)
+
+
 def running_df(stream: DataFrame, words: Column) -> DataFrame:
     """token, df of all rows so far, for output mode update or complete."""
     return stream.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
