@@ -12,7 +12,7 @@ from .claims import _CLAIMS, _claims
 from .registry import ORACLE_SQL, query, table
 from .retrieval import _knn_sql, _vectors
 
-QUESTIONS = ["When was Maria Rossi born?", "who composed The Silver Song?", "What did Peter Novak invent?", "What is the capital of Portugal?", "Who was Ana Silva?", "when did Carl Braun die", "12 * (3 + 4)", "how many rivers are there", "who is older, A or B?", "tell me a story", "remember the key"]
+QUESTIONS = ["When was Maria Rossi born?", "who composed The Silver Song?", "What did Peter Novak invent?", "What is the capital of Portugal?", "Who was Ana Silva?", "when did Carl Braun die", "12 * (3 + 4)", "how many rivers are there", "who is older, A or B?", "tell me a story", "remember the key", "The Silver Song was composed by whom?", "Where was Carl Braun born?", "what's Portugal's capital?", "Who has invented the Steam Loom?", "What is the capital of the Nordland."]
 _Q = "(VALUES " + ", ".join(f"({i}, '" + q.replace("'", "''") + "')" for i, q in enumerate(QUESTIONS)) + ") AS t(qid, text)"
 
 
@@ -28,7 +28,7 @@ def _parsed_sql() -> str:
         for s in slots:
             slot, _, fixed = s.partition("=")
             group += not fixed
-            fill[slot] = f"'{fixed}'" if fixed else f"regexp_extract(trim(text), '{p}', {group})"
+            fill[slot] = f"'{fixed}'" if fixed else f"regexp_replace(trim(regexp_replace(regexp_extract(trim(text), '{p}', {group}), '[?.]+\\s*$', '')), '(?i)^(?:the|an?)\\s+', '')"
         for k, v in fill.items():
             cases[k].append(f"WHEN regexp_matches(trim(text), '{p}') THEN {v}")
     past = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in an.PAST.items())

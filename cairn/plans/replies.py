@@ -12,7 +12,7 @@ from ..operators import claims as cl
 from ..operators import replies as re_
 from ..operators import retrieve, route as ro
 from .claims import _CLAIMS, _claims
-from .dialogue import _parsed_sql, _questions
+from .dialogue import _Q, _parsed_sql, _questions
 from .registry import literal, query, sql_list, table
 from .retrieval import _knn_sql, _vectors
 from .routes import MEMORY, QUESTIONS
@@ -253,7 +253,7 @@ def fused_rows(spark, sf):
 
 
 @query(f"""{_CLAIMS}, p AS ({_parsed_sql()}), h AS (SELECT qid, c.obj AS answer, id, pos FROM p JOIN claims c ON p.subj IS NOT NULL AND c.subj = p.subj AND c.verb = p.verb UNION ALL SELECT qid, c.subj, id, pos FROM p JOIN claims c ON p.obj IS NOT NULL AND c.obj = p.obj AND c.verb = p.verb),
-s AS (SELECT qid, arg_min(answer, (id, pos)) AS answer FROM h GROUP BY qid), e AS (SELECT qid, CASE WHEN text LIKE 'remember%' THEN 'noted' END AS answer FROM (VALUES {', '.join(f"({i}, '{q}')" for i, q in enumerate(__import__('cairn.plans.dialogue', fromlist=['QUESTIONS']).QUESTIONS))}) AS t(qid, text)),
+s AS (SELECT qid, arg_min(answer, (id, pos)) AS answer FROM h GROUP BY qid), e AS (SELECT qid, CASE WHEN text LIKE 'remember%' THEN 'noted' END AS answer FROM (VALUES {_Q[len('(VALUES ') :]}),
 a AS (SELECT qid, 0 AS prio, 'memory' AS route, answer FROM e WHERE answer IS NOT NULL UNION ALL SELECT qid, 1, 'structured', answer FROM s UNION ALL SELECT qid, 2, 'fallback', 'I do not know.' FROM e) SELECT qid, arg_min(route, prio) AS route, arg_min(answer, prio) AS answer FROM a GROUP BY qid""")
 def cascade_answers(spark, sf):
     """The first route that has an answer, for all questions at once: commands, structured facts, else a fallback."""
