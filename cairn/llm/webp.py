@@ -9,12 +9,15 @@ done, so a batch of small images costs array operations, not a Python loop per p
 The encoder writes any image with the transforms asked for, and, by a vectorised path, columns of
 bytes: each byte is the green sample of a pixel, rows of ``WIDTH`` pixels, strips of ``STRIP``
 rows, each with prefix codes of its own and runs as back-references; several strips are
-the frames of one animated file. Encoding depends on the bytes alone.
+the frames of one animated file. A strip of few different bytes gets a palette (two, four or eight bytes
+to a pixel), one whose bytes go on from their left or upper neighbours a predictor, where that is estimated to be
+smaller. Cross-colour, subtract-green and the colour cache gain nothing where only one channel
+has content: the encoder of columns does without them. Encoding depends on the bytes alone.
 
 Edge cases: null or empty text: one row of bytes 255; texts of any length (strips follow each other);
 repeated rows get equal rows; an empty table gives no rows; a stream that isn't lossless WebP or that is
-cut short raises ValueError; further columns are ignored by the query's operator and carried by
-none of the functions on bytes.
+cut short raises ValueError; further columns are carried by ``store_texts`` and ``read_media``, those named like
+an output are replaced.
 """
 
 from __future__ import annotations
@@ -773,12 +776,60 @@ def to_file(chunks: list[tuple[int, int, bytes]], width: int, height: int) -> by
     return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body
 
 
+def _estimate(samples: np.ndarray) -> float:
+    """About how many bytes prefix codes for these samples take."""
+    n = np.bincount(samples.ravel(), minlength=256)
+    n = n[n > 0]
+    bits = (n * np.log2(n.sum() / n)).sum()
+    return float((max(bits, n.sum()) if len(n) > 1 else 0) / 8 + 0.6 * len(n))  # a code has one bit at least
+
+
+#: Bytes that a palette or predictor costs besides its pixels, about.
+COST = 24
+ACROSS, DOWN = 1, 2
+
+
+def _transformed(samples: np.ndarray, w: Writer) -> tuple[np.ndarray, int]:
+    """Write the transform that makes a strip smallest, if one does; the samples left to code, and the alpha of all pixels."""
+    x = samples.reshape(-1, WIDTH)
+    best, least = None, _estimate(x)
+    if np.count_nonzero(np.bincount(samples, minlength=256)) <= 16:
+        argb = BLACK | x.astype(np.uint32) << np.uint32(8)
+        colours = np.unique(argb)
+        indices = (do_palette(argb, colours) >> np.uint32(8)).astype(np.uint8)
+        if _estimate(indices) + COST + len(colours) < least:
+            best, least = (colours, indices), _estimate(indices) + COST + len(colours)
+    across, down = np.diff(x, axis=1, prepend=x[:, :1]), np.diff(x, axis=0, prepend=x[:1])
+    across[:, 0], down[0] = down[:, 0], across[0]  # borders have their own mode
+    across[0, 0] = down[0, 0] = x[0, 0]
+    for mode, rest in ((ACROSS, across), (DOWN, down)):
+        if _estimate(rest) + COST < least:
+            best, least = (mode, rest), _estimate(rest) + COST
+    if best is None:
+        w(0, 1)
+        return samples, 255
+    kind, rest = best
+    if isinstance(kind, int):
+        w(1 | PREDICTOR << 1, 3)
+        w(9 - 2, 3)  # blocks of 512 pixels
+        _entropy_image(w, np.full((_blocks(len(x), 9), _blocks(WIDTH, 9)), BLACK | np.uint32(kind << 8)))
+        alpha = 0
+    else:
+        w(1 | PALETTE << 1, 3)
+        w(len(kind) - 1, 8)
+        _entropy_image(w, packed(np.diff(channels(kind[None, :]), axis=1, prepend=np.zeros((1, 1, 4), np.uint8))))
+        alpha = 255
+    w(0, 1)
+    return rest.ravel(), alpha
+
+
 def _strip(samples: np.ndarray) -> tuple[Writer, np.ndarray, np.ndarray]:
-    """The header of a strip, and the bits of its pixels (values, numbers): literals, and runs as back-references to the pixel before."""
-    n = len(samples)
+    """The header of a strip with its transform, and the bits of its pixels (values, numbers): literals, and runs as back-references to the pixel before."""
     w = Writer()
-    w(0x2F | (WIDTH - 1) << 8 | (n // WIDTH - 1) << 22 | 1 << 36, 40)
-    w(0, 3)  # no transforms, no colour cache, one group of codes
+    w(0x2F | (WIDTH - 1) << 8 | (len(samples) // WIDTH - 1) << 22 | 1 << 36, 40)
+    samples, alpha = _transformed(samples, w)
+    n = len(samples)
+    w(0, 2)  # no colour cache, one group of codes
     edge = np.flatnonzero(samples[1:] != samples[:-1]) + 1
     begin = np.append(0, edge)
     run = np.diff(np.append(begin, n))
@@ -802,7 +853,7 @@ def _strip(samples: np.ndarray) -> tuple[Writer, np.ndarray, np.ndarray]:
     green, values = write_code(w, np.bincount(symbol, minlength=280))
     w(0b0001, 4)  # red 0
     w(0b0001, 4)  # blue 0
-    w(0b101 | 255 << 3, 11)  # alpha 255
+    w(0b0001, 4) if alpha == 0 else w(0b101 | alpha << 3, 11)
     w(0b0001 | 1 << 3, 4)  # distance symbol 1: value 2, the pixel to the left
     bits, size = values[symbol], green[symbol]
     if at:
@@ -870,7 +921,7 @@ def feature(samples: np.ndarray) -> str:
 
 def store_texts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """df without the text, with n_bytes and media: the text as a lossless WebP file."""
-    small_batches(df.sparkSession, 4)  # more lanes for a step
+    small_batches(df.sparkSession, 3)  # more lanes for a step
     keep = [c for c in df.columns if c not in (text_col, "n_bytes", "media")]
 
     def run(batches):
@@ -886,7 +937,7 @@ def store_texts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def read_media(df: DataFrame, *, media_col: str = "media", digests: bool = False) -> DataFrame:
     """df without the media, with payload (the bytes read back), or with its size, digests and features and those of the media."""
-    small_batches(df.sparkSession, 4)  # more lanes for a step
+    small_batches(df.sparkSession, 3)  # more lanes for a step
     made = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"} if digests else {"payload": "binary"}
     keep = [c for c in df.columns if c not in made and c != media_col]
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from cairn.llm.webp import BLACK, decode_bytes, decode_files, decode_images, encode_bytes, encode_image, pad, palette_bits, read_media, store_texts, to_file
+from cairn.llm.webp import BLACK, PALETTE, PREDICTOR, _open, decode_bytes, decode_files, decode_images, encode_bytes, encode_image, frames, pad, palette_bits, read_media, store_texts, to_file
 
 from .cases import edge_docs, edge_rows, empty_docs
 
@@ -58,6 +58,29 @@ def test_lanes_and_frames():
     assert encode_bytes([]) == [] and decode_bytes([]) == []
 
 
+def test_strips_choose_transforms():
+    """Palettes and predictors where they make the file smaller, none for plain prose, and the same bytes back."""
+    rng = np.random.default_rng(4)
+    row = rng.integers(0, 256, 576)
+    cases = {
+        PALETTE: bytes(rng.choice(list(b"AB "), 576 * 20, p=(0.94, 0.04, 0.02)).astype(np.uint8)),
+        PREDICTOR: (np.cumsum(rng.integers(0, 3, 576 * 30)) & 255).astype(np.uint8).tobytes(),
+        "down": np.concatenate([(row + i + rng.integers(0, 2, 576)) & 255 for i in range(16)]).astype(np.uint8).tobytes(),
+        None: bytes(rng.choice(list(b"etaoin shrdlu cmfwyp vbgkjq"), 576 * 16).astype(np.uint8)),
+    }
+    for want, raw in cases.items():
+        file = encode_bytes([raw])[0]
+        assert decode_bytes([file]) == [raw]
+        kinds = {t[0] for _, _, c in frames(file)[1] for t in _open(c)[1]}
+        assert kinds == (set() if want is None else {PREDICTOR if want == "down" else want})
+        assert len(file) < len(raw) * (0.3 if want == PALETTE else 0.9)
+
+
+def test_very_long_text():
+    raw = pad(" ".join(f"word{i % 7919}" for i in range(300_000)).encode())
+    assert decode_bytes(encode_bytes([raw])) == [raw]
+
+
 def test_broken_files_are_refused():
     good = encode_bytes([pad(b"some text " * 90)])[0]
     for bad in (b"", b"RIFF", good[:40], good[:12] + b"JUNK" + good[16:], to_file([(0, 1, b"\x2f\0\0\0\0")], 1, 1)):
