@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import any_of
+
 # --- fixed values: word lists and patterns that results depend on ---------------
 
 FUNCTION_WORDS = """
@@ -125,7 +127,8 @@ def quality_score(text: Column) -> Column:
     opener = F.lit(False)
     for o in JUNK_OPENERS:
         opener = opener | F.startswith(low, F.lit(o))
-    marks = F.length(F.regexp_replace(t, r"[^{}\[\]()<>=/\\]", ""))
+    marks = F.length(t) - F.length(F.translate(t, "{}[]()<>=/\\", ""))
+    has = lambda c, *what: any_of([F.contains(c, F.lit(x)) for x in what])  # noqa: E731 (cheap tests first: few texts come to the patterns)
     cost = lambda cond, x: F.when(cond, F.lit(x)).otherwise(0.0)
     total = (
         cost(t.rlike(r"^[-*•>#]"), 0.3)
@@ -133,10 +136,10 @@ def quality_score(text: Column) -> Column:
         + cost((occurrences(t, " - ") >= 2) | (occurrences(t, "•") >= 2), 0.3)
         + cost(occurrences(t, "?") >= 2, 0.5)
         + cost(F.endswith(t, F.lit("?")), 0.6)
-        + cost(F.size(F.regexp_extract_all(t, F.lit(r"(?i)\b(?:What is|How does|Why is)\b"), F.lit(0))) >= 2, 0.5)
+        + cost(has(low, "what is", "how does", "why is") & (F.size(F.regexp_extract_all(t, F.lit(r"(?i)\b(?:What is|How does|Why is)\b"), F.lit(0))) >= 2), 0.5)
         + cost(marks / F.greatest(F.length(t), F.lit(1)) > 0.05, 0.2)
         + cost(t.rlike(r"^\p{Ll}"), 0.2)
-        + cost(t.rlike(r"\b1/c\d|\bE\s*=\s*m|\^\d"), 0.2)
+        + cost(has(t, "1/c", "=", "^") & t.rlike(r"\b1/c\d|\bE\s*=\s*m|\^\d"), 0.2)
     )
     return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - total)))
 
