@@ -58,3 +58,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def clock_answer(question: Column, now: Column | None = None) -> Column:
+    """The time, date, weekday or year that a question asks for; null for other questions. now: the session's time if not given."""
+    t = F.current_timestamp() if now is None else now
+    low = F.lower(question)
+    return F.when(low.rlike(r"\bwhat time\b|\bthe time\b"), F.date_format(t, "HH:mm")).when(low.rlike(r"\bwhat day\b|\bweekday\b"), F.date_format(t, "EEEE")).when(low.rlike(r"\bwhat year\b"), F.date_format(t, "yyyy")).when(low.rlike(r"\bdate\b|\btoday\b"), F.date_format(t, "d MMMM yyyy"))

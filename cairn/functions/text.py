@@ -30,6 +30,23 @@ if because while during since before after until now still ever never always oft
 one two three first second last next four five six seven eight nine ten
 """.split()
 
+RICH_FUNCTION_WORDS = """
+the a an is was were are be been being has have had of in on at by to from with for into onto through across and or but not nor yet
+this that these those such it its they their them he she his her him i we us our you your my mine as than then also both either neither
+which who whom whose what where when why how so very more most much many some any all each every
+if because while during since before after until now still ever never always often sometimes quite just only even too
+one two three first second last next four five six seven eight nine ten between among over under above below near
+born made known named called said told do did does done will would can could may might should shall must about without within
+""".split()
+MONTH_WORDS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec century centuries millennium decade era period".split()
+ORG_SUFFIXES = "inc corp corporation ltd limited university college school institute foundation association society union club party company co sa bv".split()
+PERSON_TITLES = "sir dame lord lady mr mrs ms dr professor prof president king queen emperor empress duke duchess general admiral captain saint st".split()
+LOCATION_PREPS = "in at from to near across within throughout outside inside between among".split()
+LETTER_SOUNDS = {
+    "a": "AE", "b": "B", "c": "K", "d": "D", "e": "EH", "f": "F", "g": "G", "h": "HH", "i": "IH", "j": "JH", "k": "K", "l": "L", "m": "M",
+    "n": "N", "o": "OW", "p": "P", "q": "K", "r": "R", "s": "S", "t": "T", "u": "AH", "v": "V", "w": "W", "x": "K", "y": "Y", "z": "Z",
+}
+
 JUNK_OPENERS = (
     "here are", "given this", "for example", "examples:", "some initial prompts", "initial prompts", "example:", "bullet points", "instructions:",
     "as an ai", "as a language model", "i'm sorry", "i am sorry", "the following is", "here's a list",

@@ -103,6 +103,32 @@ def typed(rows: DataFrame, words: Column) -> DataFrame:
     return held(once, ["w"], t=F.transform("w", tag))
 
 
+def rich_types(words: Column) -> Column:
+    """A type for each word: DATE, NUMBER, ORG (capitalised, with a company's or school's word among it and the three after it), PLACE (after a preposition of place), PERSON_NAME (after a title or such a name), ENTITY, else the lower-case word."""
+    cap = lambda w: w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(*tx.PERSON_TITLES, *tx.RICH_FUNCTION_WORDS, *tx.MONTH_WORDS)
+    number = lambda w: w.rlike(r"^\p{N}+s?$")
+
+    def step(done: Column, i: Column) -> Column:
+        w, before = F.get(words, i), F.element_at(done, -1)
+        org = F.exists(F.slice(words, i + 1, F.lit(4)), lambda x: F.lower(x).isin(*tx.ORG_SUFFIXES))
+        named = F.when(org, "ORG").when(F.coalesce(before, F.lit("")).isin(*tx.LOCATION_PREPS), "PLACE").when(F.coalesce(before, F.lit("")).isin("PERSON_NAME", *tx.PERSON_TITLES), "PERSON_NAME").otherwise("ENTITY")
+        year = w.rlike(r"^(?:1[0-9]{3}|20[0-9]{2}|2100)s?$")
+        return F.concat(done, F.array(F.when(year, "DATE").when(number(w), "NUMBER").when(F.lower(w).isin(*tx.MONTH_WORDS), "DATE").when(cap(w), named).otherwise(F.lower(w))))
+
+    none = F.array().cast("array<string>")
+    return F.when(F.size(words) > 0, F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), none, step)).otherwise(none)
+
+
+RICH = ("ENTITY", "PERSON_NAME", "PLACE", "ORG", "DATE", "NUMBER")
+
+
+def rich_windows(rows: DataFrame, words: Column, least: int = 4, most: int = 7, count: int = 3, slots: int = 2) -> DataFrame:
+    """pattern, n: recurring windows of rich types with at least so many typed places."""
+    t = held(held(rows, [], w=words), [], t=rich_types(F.col("w")))
+    w = t.select(F.explode(windows(F.col("t"), least, most)).alias("w")).where(F.size(F.filter("w", lambda x: x.isin(*RICH))) >= slots)
+    return w.groupBy(F.array_join("w", " ").alias("pattern")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
+
+
 def typed_windows(rows: DataFrame, words: Column, least: int = 4, most: int = 7, count: int = 2, entities: int = 2) -> DataFrame:
     """pattern, n: recurring windows of types with at least so many entities."""
     w = typed(rows, words).select(F.explode(windows(F.col("t"), least, most)).alias("w"))

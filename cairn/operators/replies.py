@@ -133,3 +133,42 @@ def surroundings(rows: DataFrame, words: Column, most: int = 3) -> DataFrame:
     w = rows.select(words.alias("w")).where(F.size("w") >= 3).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, F.lit(3)))).alias("g"))
     pair = w.groupBy(F.col("g")[1].alias("word"), F.col("g")[0].alias("a"), F.col("g")[2].alias("b")).agg(F.count(F.lit(1)).alias("n"))
     return top_k(pair, ["word"], [F.desc("n"), F.col("a"), F.col("b")], most).select("word", "rank", F.concat_ws(" ", "a", F.lit("_"), "b").alias("sense"), "n")
+
+
+def composed(picked: DataFrame, memory: DataFrame, connectors: list[str], most: int = 520) -> DataFrame:
+    """qid, body: the facts picked for a question (qid, id, score) as a paragraph: those over 25 characters in plain words, one shaped like a definition first, then by score, joined by connectors that a hash of the question picks; the first two where it is over ``most`` characters. Less than two give none."""
+    from .route import simplified
+
+    plain = picked.join(memory.select("id", simplified(F.col("text")).alias("s")), "id").where(F.length("s") > 25)
+    order = F.struct(F.when(F.col("s").rlike(r"^[A-Z][^,.]{1,60} (?:is|are|was|were) (?:an?|the) "), 0).otherwise(1).alias("d"), (-F.col("score")).alias("far"), "id", "s")
+    g = plain.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(order)), 1, 3).alias("l")).where(F.size("l") >= 2)  # the picks of a question
+    at = F.conv(F.substring(F.md5(F.col("qid").cast("string").cast("binary")), 1, 6), 16, 10).cast("int")
+    links = F.array(*map(F.lit, connectors))
+    part = lambda x, i: F.when(i == 0, x["s"]).otherwise(F.concat(F.element_at(links, ((at + i) % len(connectors) + 1).cast("int")), x["s"]))
+    parts = F.transform("l", part)
+    whole = F.array_join(parts, " ")
+    return g.select("qid", F.when(F.length(whole) > most, F.array_join(F.slice(parts, 1, 2), " ")).otherwise(whole).alias("body"))
+
+
+def phonemes(words: DataFrame, known: DataFrame) -> DataFrame:
+    """word, units, stress: a word's sounds from a dictionary (word, units), else letter by letter; the stresses are the digits at the ends of vowels."""
+    d = known.select(F.lower("word").alias("k"), F.col("units").alias("own"))
+    sounds = F.create_map(*[F.lit(x) for p in tx.LETTER_SOUNDS.items() for x in p])
+    spelled = F.array_join(F.filter(F.transform(F.split(F.lower("word"), ""), lambda c: sounds[c]), lambda x: x.isNotNull()), " ")
+    w = words.join(d, F.lower("word") == F.col("k"), "left").select("word", F.coalesce("own", spelled).alias("units"))
+    return w.select("word", F.regexp_replace("units", "[0-9]", "").alias("units"), F.array_join(F.regexp_extract_all("units", F.lit("[0-9]"), F.lit(0)), "").alias("stress"))
+
+
+def pools(related: DataFrame, kinds: list[str], *, least: int = 4, most: int = 10, per: int = 2000) -> DataFrame:
+    """kind, word: words of a fitting length whose hypernym is one of some kinds, the first ``per`` of a kind by letter, each word for its first kind only."""
+    w = related.where((F.col("relation") == "hypernym") & F.col("target").isin(kinds)).select(F.col("target").alias("kind"), F.lower(F.trim("word")).alias("word"))
+    w = w.where(F.col("word").rlike("^[a-z]+$") & F.length("word").between(least, most)).distinct()
+    return top_k(w, ["kind"], [F.col("word")], per).groupBy("word").agg(F.min("kind").alias("kind")).select("kind", "word")
+
+
+def to_learn(questions: DataFrame, answered: DataFrame, attempted: DataFrame) -> DataFrame:
+    """topic, qid: what to look up: the topics of unanswered questions that weren't tried before, each once."""
+    from .words import topics
+
+    t = questions.join(answered.select("qid"), "qid", "left_anti").select("qid", F.explode(topics(F.col("question"))).alias("topic"))
+    return t.join(attempted.select("topic"), "topic", "left_anti").groupBy("topic").agg(F.min("qid").alias("qid"))

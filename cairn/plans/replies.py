@@ -284,3 +284,47 @@ def word_senses(spark, sf):
     """The three most frequent surroundings of each word: previous and next word observed."""
     s = re_.surroundings(table(spark, sf, "benchmark"), tx.lower_tokens(F.col("text")))
     return s.select("word", "sense", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def rich_windows(spark, sf):
+    """Recurring windows of dates, places, people and organisations. Without SQL; tested against a loop."""
+    from ..operators import mine
+
+    return mine.rich_windows(table(spark, sf, "conversations"), tx.tokens(F.col("text")))
+
+
+CONNECTORS = ["Also, ", "Besides, ", "And "]
+
+
+@query()
+def composed_answers(spark, sf):
+    """Paragraphs of several facts. Without SQL; tested against a loop."""
+    return re_.composed(agreed_rows(spark, sf), MEMORY.df(spark), CONNECTORS)
+
+
+SOUNDS = literal("d", "word string, units string", [("river", "R IH1 V ER0"), ("stone", "S T OW1 N")])
+SPOKEN = literal("w", "word string", [("River",), ("stone",), ("qat",), ("x-ray",), ("",)])
+
+
+@query(f"""WITH m AS (SELECT word, coalesce(units, array_to_string(list_filter(list_transform(regexp_extract_all(lower(word), '.'), lambda c: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in tx.LETTER_SOUNDS.items())}}}[c]), lambda x: x IS NOT NULL), ' ')) AS units FROM {SPOKEN.sql} LEFT JOIN (SELECT word AS k, units FROM {SOUNDS.sql}) ON lower(word) = k)
+SELECT word, regexp_replace(units, '[0-9]', '', 'g') AS units, array_to_string(regexp_extract_all(units, '[0-9]'), '') AS stress FROM m""")
+def phoneme_units(spark, sf):
+    return re_.phonemes(SPOKEN.df(spark), SOUNDS.df(spark))
+
+
+KINDS = literal("r", "word string, relation string, target string", [("Wolf", "hypernym", "animal"), ("wolf", "hypernym", "hunter"), ("ox", "hypernym", "animal"), ("otter", "hypernym", "animal"), ("sea lion", "hypernym", "animal"), ("hawk", "hypernym", "hunter"), ("oak", "hypernym", "plant"), ("otter", "synonym", "animal")])
+
+
+@query(f"SELECT min(target) AS kind, lower(trim(word)) AS word FROM {KINDS.sql} WHERE relation = 'hypernym' AND target IN ('animal', 'hunter') AND regexp_matches(lower(trim(word)), '^[a-z]+$') AND length(trim(word)) BETWEEN 4 AND 10 GROUP BY 2")
+def hypernym_pools(spark, sf):
+    return re_.pools(KINDS.df(spark), ["animal", "hunter"])
+
+
+@query()
+def topics_to_learn(spark, sf):
+    """What unanswered questions are about and wasn't tried. Without SQL; tested against a loop."""
+    from ..operators import route as ro_
+
+    m, q = MEMORY.df(spark), QUESTIONS.df(spark)
+    return re_.to_learn(q, ro_.semantic_answers(q, m), spark.createDataFrame([("Mongolia",)], "topic string"))

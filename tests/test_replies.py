@@ -1,18 +1,21 @@
 """Queries without SQL against loops, and laws of small operators."""
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.operators import answer, facts, replies, retrieve, words
+from cairn.functions import numeric
+from cairn.functions import text as tx
+from cairn.operators import answer, facts, mine, replies, retrieve, words
 from cairn.plans import ORACLE_SQL, QUERIES
 
 
 def test_every_query_is_checked():
     """What has no SQL is named here and has a test of its own."""
     without = {n for n in QUERIES if n not in ORACLE_SQL}
-    assert without == {"document_vectors_knn", "diverse_hits", "arithmetic_answers", "typed_triples_documents", "slot_detection_whole", "morphemes", "stitched_turns", "nonrepeating_picks", "agreed_rows"}
+    assert without == {"document_vectors_knn", "diverse_hits", "arithmetic_answers", "typed_triples_documents", "slot_detection_whole", "morphemes", "stitched_turns", "nonrepeating_picks", "agreed_rows", "rich_windows", "composed_answers", "topics_to_learn"}
 
 
 def test_picks(spark):
@@ -133,3 +136,57 @@ def test_diverse(spark):
         want |= {(q, i, k + 1) for k, i in enumerate(chosen)}
     got = answer.diverse(spark.createDataFrame(hits, "qid long, id long, sim double"), spark.createDataFrame(list(v.items()), "id long, v array<double>")).collect()
     assert {(r.qid, r.id, r.pick) for r in got} == want
+
+
+def rich(w):
+    out = []
+    for i, x in enumerate(w):
+        low = x.lower()
+        if re.fullmatch(r"(1\d{3}|20\d\d|2100)s?", x):
+            out.append("DATE")
+        elif re.fullmatch(r"\d+s?", x):
+            out.append("NUMBER")
+        elif low in tx.MONTH_WORDS:
+            out.append("DATE")
+        elif low in tx.PERSON_TITLES or low in tx.RICH_FUNCTION_WORDS or not x[0].isupper():
+            out.append(low)
+        elif any(y.lower() in tx.ORG_SUFFIXES for y in w[i : i + 4]):
+            out.append("ORG")
+        elif out and out[-1] in tx.LOCATION_PREPS:
+            out.append("PLACE")
+        else:
+            out.append("PERSON_NAME" if out and out[-1] in ("PERSON_NAME", *tx.PERSON_TITLES) else "ENTITY")
+    return out
+
+
+def test_rich_windows(spark):
+    texts = ["In May 1999 Dr Ana Maria Silva met Otto in Bern near Alpha Beta Company", "In June 1850s Dr Tom Reed met Ida in Rome near Old Mill School", "The King Carl saw 12 of them from Lima", None, "", "In July 2001 Dr Eva Lind met Kai in Oslo near New Sea Club"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.t for r in rows.select("id", mine.rich_types(tx.tokens(F.col("text"))).alias("t")).collect()}
+    assert got == {i: rich(re.findall(r"[\w-]+", t or "")) for i, t in enumerate(texts)}
+    want = Counter(" ".join(t[i : i + n]) for t in got.values() for n in range(4, 8) for i in range(len(t) - n + 1) if sum(x in mine.RICH for x in t[i : i + n]) >= 2)
+    found = {r.pattern: r.n for r in mine.rich_windows(rows, tx.tokens(F.col("text")), count=2).collect()}
+    assert found == {k: n for k, n in want.items() if n >= 2} and found
+
+
+def test_composed(spark):
+    memory = [(1, "The loom is a machine that weaves cloth (fast)."), (2, "Looms were built in many old towns"), (3, "short"), (4, "A loom needs " + "very much " * 60 + "care and time"), (5, "Nobody knows who made it first of all.")]
+    picked = [(7, 2, 0.9), (7, 1, 0.8), (7, 3, 0.7), (8, 3, 0.9), (8, 1, 0.5), (9, 4, 0.9), (9, 2, 0.8), (9, 5, 0.7)]
+    got = {r.qid: r.body for r in replies.composed(spark.createDataFrame(picked, "qid int, id int, score double"), spark.createDataFrame(memory, "id int, text string"), ["Also, ", "And "]).collect()}
+    assert set(got) == {7, 9}
+    assert re.fullmatch(r"The loom is a machine that weaves cloth\. (Also, |And )Looms were built in many old towns\.", got[7])
+    assert got[9].startswith("A loom needs very much") and "Nobody" in got[9] and len(got[9]) < 520
+
+
+def test_topics_to_learn(spark):
+    q = spark.createDataFrame([(1, "Who wrote 'Blue River' then?"), (2, "Tell me about Old Denmark"), (3, "Who made 'Blue River'?")], "qid int, question string")
+    got = replies.to_learn(q, spark.createDataFrame([(2,)], "qid int"), spark.createDataFrame([("wrote",)], "topic string")).collect()
+    assert ("Blue River", 1) in {tuple(r) for r in got} and all(r.topic != "wrote" and "Denmark" not in r.topic for r in got)
+    assert len({r.topic for r in got}) == len(got)
+
+
+def test_clock(spark):
+    now = F.lit("2024-03-05 14:07:00").cast("timestamp")
+    cases = {"What time is it?": "14:07", "what day is it": "Tuesday", "what year is it": "2024", "today's date?": "5 March 2024", "who are you": None}
+    got = spark.createDataFrame([(k,) for k in cases], "q string").select("q", numeric.clock_answer(F.col("q"), now).alias("a"), numeric.clock_answer(F.col("q")).alias("b")).collect()
+    assert {r.q: r.a for r in got} == cases and all((r.a is None) == (r.b is None) for r in got)
