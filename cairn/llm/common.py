@@ -183,10 +183,13 @@ def schema_of(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
 
-def row_groups(off: np.ndarray, most: int = 4096):
-    """Consecutive row ranges of at most so many rows."""
-    for a in range(0, len(off) - 1, most):
-        yield a, min(len(off) - 1, a + most)
+def row_groups(off: np.ndarray, most: int = 4096, size: int = 1 << 18):
+    """Consecutive row ranges of at most so many rows, and of so many bytes unless they are one row."""
+    a, n = 0, len(off) - 1
+    while a < n:
+        b = min(n, a + most, max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1))
+        yield a, b
+        a = b
 
 
 #: Bits of a token that go with the row in one sort key.

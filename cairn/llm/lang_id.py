@@ -15,7 +15,7 @@ N-grams: single bytes, pairs, and hashed triples of the UTF-8 text with A-Z lowe
 every other ASCII byte a space.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and not ambiguous;
-repeated rows get equal rows; no labelled text at all makes every text ``und``; a single
+repeated rows get equal rows; texts labelled ``und`` are not learned from; no labelled text at all makes every text ``und``; a single
 learned language is predicted with score 1; an empty table gives no rows; further
 columns are carried, those named like an output are replaced.
 """
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, schema_of, small_batches, string_buffers
+from .common import LOWER, row_groups, schema_of, small_batches, string_buffers
 
 #: Labelled texts of a language that are learned from, at most (on average), and hash bits of triples.
 PER_LANG, TRIPLE_BITS = 2000, 16
 EXHAUSTIVE = 6
+#: Languages that a model can have: a worker holds a few longs for each feature and language (1 MB), and the code has a bit for each few.
+LANGUAGES = 1000
 #: A text is ambiguous if the second nearest codeword has more than this share of the nearest one's weight.
 AMBIGUOUS = 0.8
 
@@ -75,9 +77,11 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _per_row(x: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(x) + 1, *x.shape[1:]), np.float64)
-    np.cumsum(x, axis=0, out=total[1:])
-    return total[off[1:]] - total[off[:-1]]
+    out = np.zeros((len(off) - 1, *x.shape[1:]))
+    some = off[1:] > off[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(x, off[:-1][some], axis=0, dtype=np.float64)
+    return out
 
 
 class Model:
@@ -94,16 +98,17 @@ class Model:
         self.weights[32] = 0
         self.scale, self.trust = np.ones(bits), np.ones(bits)
 
-    def margins(self, data: np.ndarray, off: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+    def margins(self, data: np.ndarray, off: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
         """Mean log-odds of each bit, by row; pieces of ``chunk`` bytes bound the memory for long texts."""
-        rows = len(off) - 1
-        total, seen = np.zeros((rows, self.code.shape[1])), np.zeros(rows)
-        for features in grams(data, off):
-            for a in range(0, len(data), chunk):
-                part = features[a : a + chunk]
-                own = np.clip(off - a, 0, len(part))
-                total += _per_row(self.weights[part], own)
-                seen += _per_row((part != 32).astype(np.float32), own)
+        total, seen = np.zeros((len(off) - 1, self.code.shape[1])), np.zeros(len(off) - 1)
+        for r, s in row_groups(off):
+            own = off[r : s + 1] - off[r]
+            for features in grams(data[off[r] : off[s]], own):
+                for a in range(0, len(features), chunk):
+                    part = features[a : a + chunk]
+                    inside = np.clip(own - a, 0, len(part))
+                    total[r:s] += _per_row(self.weights[part], inside)
+                    seen[r:s] += _per_row((part != 32).astype(np.float32), inside)
         return total / np.maximum(seen, 1)[:, None]
 
     def calibrate(self, sums: np.ndarray, squares: np.ndarray, wrong: np.ndarray, n: int) -> None:
@@ -127,8 +132,10 @@ def train(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
     """A model from rows of (id, text, lang), of which about per_lang of each language are used."""
     spark = labelled.sparkSession
     small_batches(spark)
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}  # as many rows as languages
     langs = sorted(counts)
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; the labels may not be languages")
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))]) if langs else None
     if not langs:
         return Model([], np.zeros((0, FEATURES)))
@@ -136,14 +143,18 @@ def train(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
     sample = labelled.where(draw < share[F.col("lang")])
 
     def count(batches):
-        total = np.zeros((len(langs), FEATURES), np.int64)
+        number = {x: i for i, x in enumerate(langs)}
+        total: dict[int, np.ndarray] = {}  # of the languages that the part has
         for batch in batches:
             data, off = string_buffers(batch.column("text"))
-            lang = np.repeat([langs.index(x) for x in batch.column("lang").to_pylist()], np.diff(off))
+            own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            lang = np.repeat(own, np.diff(off))
             for features in grams(data, off):
-                total += np.bincount(lang * FEATURES + features, minlength=total.size).reshape(total.shape)
-        row, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(at, pa.int32()), pa.array(total[row, at], pa.int64())], names=["lang", "feature", "n"])
+                for k in np.unique(own).tolist():
+                    total[k] = total.get(k, 0) + np.bincount(features[lang == k], minlength=FEATURES)
+        for k, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "feature", "n"])
 
     found = sample.select("text", "lang").mapInArrow(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # languages x FEATURES at most
     table = np.zeros((len(langs), FEATURES))
@@ -196,7 +207,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
-    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.col(lang_col) != "und") & F.col(text_col).isNotNull())
     return train(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), **options)
 
 

@@ -1,7 +1,10 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from cairn.llm import lang_id
 from cairn.llm.lang_id import Model, codewords, held_out, learn, predict
 
 from .cases import edge_docs, edge_rows, empty_docs
@@ -30,6 +33,43 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def naive(model, text):
+    """Margins by a walk over the bytes, then the loss of each codeword."""
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    c = [x if x > 127 or chr(x).isalpha() else 32 for x in raw]
+    seen = [x for x in c if x != 32]
+    for i in range(len(c)):
+        if c[i : i + 2] != [32, 32]:
+            if i + 1 < len(c):
+                seen.append(256 + (c[i] << 8 | c[i + 1]))
+            if i + 2 < len(c):
+                seen.append(256 + 65536 + ((c[i] << 16 | c[i + 1] << 8 | c[i + 2]) * 2654435761 % 2**32 >> 16))
+    losses = []
+    for word in model.code:
+        total = 0.0
+        for b, want in enumerate(word):
+            margin = sum(float(model.weights[f, b]) for f in seen) / max(len(seen), 1) * model.scale[b]
+            total += model.trust[b] * math.log1p(math.exp(-margin * int(want)))
+        losses.append(total)
+    near = [math.exp(-4 * (x - min(losses))) for x in losses]
+    return model.langs[losses.index(min(losses))], max(near) / sum(near), sorted(near)[-2] > 0.8
+
+
+def test_against_a_naive_decoder(spark):
+    docs = spark.createDataFrame(list(texts(150, 6)) + [(900, "ing eau sch", None), (901, "the  12 ç-é\n\nTION", None), (902, "x", None), (903, "漢字 ok", None)], "doc_id long, text string, lang string")
+    model = learn(docs)
+    got = {r.doc_id: r for r in predict(docs.withColumn("t", F.col("text")), model).collect()}
+    for r in got.values():
+        lang, score, ambiguous = naive(model, r.t)
+        assert (r.lang_pred, r.ambiguous) == (lang, ambiguous) and abs(r.score - score) < 1e-5
+
+
+def test_too_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        learn(spark.createDataFrame(list(texts(60, 1)), "doc_id long, text string, lang string"))
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     docs = spark.createDataFrame(list(texts(120, 5)), "doc_id long, text string, lang string")
     other = docs.withColumn("lang", F.when(held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))

@@ -1,12 +1,11 @@
 import random
 
 import corpus_pipeline
-from cairn.llm import jaccard_join
-from cairn.llm.line_dedup import apply_bitmaps
 
-from .cases import words
+from .cases import HARD, hard_rows, words
 from .test_decontaminate import brute as contaminated
 from .test_jaccard_join import brute as grouped
+from .test_line_dedup import brute as lines_left
 
 
 def test_stages(spark, tmp_path):
@@ -33,7 +32,7 @@ def test_stages(spark, tmp_path):
         if name == "language_id":
             assert ids == {i for i, t in texts if t and any(c.isalpha() for c in t)}
         if name == "line_dedup":
-            assert {r.doc_id: r.text for r in docs.collect()} == {r.doc_id: r.text for r in apply_bitmaps(before).collect()}
+            assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted((i, t) for (i, _), (*_, t) in zip(texts, lines_left(texts), strict=True))
             assert sum(line in (r.text or "") for r in docs.collect()) == 1
         if name == "jaccard_join":
             want, _ = grouped(texts, 5, 80, 100)
@@ -43,4 +42,45 @@ def test_stages(spark, tmp_path):
         if name != "byte_bpe":
             assert docs.columns == columns
     assert sorted(docs.collect()) == sorted(corpus_pipeline.run(spark, str(tmp_path)).collect())
-    assert jaccard_join is not None
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    """Null and repeated ids, and columns named like those that the stages use: each stage against brute force, all columns kept."""
+    rng = random.Random(8)
+    item = words(rng, 30, "klmnopq")
+    rows = hard_rows() + [(i, words(rng, 40, "uvwxyz"), "fr", "s", 1, *hard_rows()[0][5:]) for i in range(60, 90)]
+    rows += [(None, f"x {item} y", "en", *rows[0][3:]), (8, f"{item} z", "en", *rows[0][3:])]
+    docs = spark.createDataFrame(rows, HARD)
+    items = [(1, item), (None, "not there at all"), (1, words(rng, 9, "klmn"))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in docs.collect()]
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        names, docs = docs.columns, spark.read.parquet(f"{tmp_path}/{k}")
+        after = [tuple(r) for r in docs.collect()]
+        same = lambda a, b: sorted(a, key=str) == sorted(b, key=str)
+        texts = [r[:2] for r in before]
+        if name == "byte_bpe":
+            assert len(after) == len(before) and same([r[0] for r in after], [r[0] for r in before])
+            continue
+        assert docs.columns == names
+        if name == "language_id":
+            lang = names.index("lang")
+            bare = lambda r: r[:lang] + r[lang + 1 :]  # noqa: B023, E731
+            assert {bare(r) for r in after} <= {bare(r) for r in before if r[1] and any(c.isalpha() for c in r[1])} and len(after) > 30
+        if name == "line_dedup":
+            n = names.index("n_chars")
+            want = [(r[0], t, *r[2:n], len(t) if d else r[n], *r[n + 1 :]) for r, (_, d, t) in zip(before, lines_left(texts), strict=True)]
+            assert same(after, want) and any(d for _, d, _ in lines_left(texts))
+        if name == "jaccard_join":
+            group, _ = grouped([x for x in texts if x[0] is not None], 5, 80, 100)
+            assert same(after, [r for r in before if r[0] is None or group[r[0]] == r[0]])
+        if name == "decontamination":
+            clean = [r for r in before if not contaminated([r[:2]], items)]
+            assert same(after, clean) and len(clean) < len(before)
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], HARD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
