@@ -109,7 +109,7 @@ def rich_types(words: Column) -> Column:
     number = lambda w: w.rlike(r"^\p{N}+s?$")
 
     def step(done: Column, i: Column) -> Column:
-        w, before = F.get(words, i), F.element_at(done, -1)
+        w, before = F.get(words, i), F.try_element_at(done, F.lit(-1))
         org = F.exists(F.slice(words, i + 1, F.lit(4)), lambda x: F.lower(x).isin(*tx.ORG_SUFFIXES))
         named = F.when(org, "ORG").when(F.coalesce(before, F.lit("")).isin(*tx.LOCATION_PREPS), "PLACE").when(F.coalesce(before, F.lit("")).isin("PERSON_NAME", *tx.PERSON_TITLES), "PERSON_NAME").otherwise("ENTITY")
         year = w.rlike(r"^(?:1[0-9]{3}|20[0-9]{2}|2100)s?$")

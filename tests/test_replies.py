@@ -160,7 +160,7 @@ def rich(w):
 
 
 def test_rich_windows(spark):
-    texts = ["In May 1999 Dr Ana Maria Silva met Otto in Bern near Alpha Beta Company", "In June 1850s Dr Tom Reed met Ida in Rome near Old Mill School", "The King Carl saw 12 of them from Lima", None, "", "In July 2001 Dr Eva Lind met Kai in Oslo near New Sea Club"]
+    texts = ["In May 1999 Dr Ana Maria Silva met Otto in Bern near Alpha Beta Company", "In June 1850s Dr Tom Reed met Ida in Rome near Old Mill School", "Otto saw The King Carl and 12 of them from Lima", None, "", "In July 2001 Dr Eva Lind met Kai in Oslo near New Sea Club"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r.id: r.t for r in rows.select("id", mine.rich_types(tx.tokens(F.col("text"))).alias("t")).collect()}
     assert got == {i: rich(re.findall(r"[\w-]+", t or "")) for i, t in enumerate(texts)}
