@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch_dir, stored
+
 LANE_BITS = 60
 #: Lanes of the engine's vectors (10,020 bits) and of small ones that SQL checks.
 LANES, SMALL = 167, 2
@@ -261,10 +263,13 @@ def query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[list]:
 def nearest(rows: DataFrame, queries: DataFrame, k: int, distance, dtype, out: str, query_bytes: int, keep_self: bool = True) -> DataFrame:
     """qid, id, distance: for each part of rows (id, v) its k rows of least distance for each query (qid, v).
 
-    distance(queries, rows) gives a matrix; a query's own row is left out unless keep_self.
+    distance(queries, rows) gives a matrix; a query's own row is left out unless keep_self. Where one pass
+    isn't enough the rows are written once, so that what made them isn't done again for each pass.
     """
     spark, found = rows.sparkSession, None
-    for block in query_blocks(queries, query_bytes):
+    for k_th, block in enumerate(query_blocks(queries, query_bytes)):
+        if k_th == 1:
+            rows = stored(rows, f"{scratch_dir(spark)}/rows")
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], dtype)))
         part = rows.mapInArrow(_best(shared, k, distance, dtype, keep_self, out.split()[0]), f"qid long, id long, {out}")
         found = part if found is None else found.unionAll(part)

@@ -104,7 +104,7 @@ def rendered_facts(spark, sf):
     """Facts through each template: sentences for tests of extraction."""
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     made = F.array(*[F.format_string(t, "n_name", "r_name") for t in TEMPLATES])
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_name", F.posexplode(made).alias("template", "sentence"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_name", F.posexplode(made).alias("template", "sentence"))
 
 
 @query(r"SELECT conv_id, run, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,3}')) AS run FROM conversations) GROUP BY 1, 2")

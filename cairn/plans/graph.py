@@ -47,7 +47,7 @@ _NATIONS = f"SELECT n_name, r_name, {', '.join(f'{x} AS l{i}' for i, x in enumer
 
 def _nations(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_name", "r_name", hv.atom(F.col("n_name")).alias("hv"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name", hv.atom(F.col("n_name")).alias("hv"))
 
 
 @query(f"SELECT key AS r_name, {_LANES} FROM ({_bundle_sql(_NATIONS, 'r_name')})")
