@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import read, spread
+from ..sources.tables import discard, read, scratch_dir, spread, stored  # noqa: F401  (for the operators)
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,50 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(read(spark, sf_dir, name))
 
 
-def _file_system(spark: SparkSession, path: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared checkpoint folder of the session; it goes when the driver ends.
-
-    The cluster names that folder in spark.checkpoint.dir. Only where it is unset
-    (tests on one machine) a folder under the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    top = f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
-    fs, path = _file_system(spark, top)
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return top
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for p in paths:
-        fs, path = _file_system(spark, p)
-        fs.delete(path, True)
-
-
-#: Makes Spark delete a write's shuffle files when it is done, for nothing reads them again.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet in a shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), elementwise."""
     x = x ^ (x >> np.uint64(30))
