@@ -133,7 +133,7 @@ def recalled_frames(spark, sf):
     return wo.recalled(_story(spark).withColumn("qid", F.lit(1)), F.lit("lamp")).select("id")
 
 
-NOTES = literal("n", "id int, text string", [(1, "intro line\n## Facts\n# a comment\nThe Po is long.\nUser: how long?\nTelp: very\n## Empty\n## Last one\nUser: hi\nTelp: hello\nTelp: again"), (2, "no sections"), (3, None)])
+NOTES = literal("n", "id int, text string", [(1, "intro line\n## Facts\n# a comment\nThe Po is long.\nUser: how long?\nReply: very\n## Empty\n## Last one\nUser: hi\nReply: hello\nReply: again"), (2, "no sections"), (3, None)])
 
 
 @query(r"""WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM """ + NOTES.sql + r"""), s AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS n FROM l)
@@ -148,13 +148,13 @@ def markdown_sections(spark, sf):
 
 
 @query(r"""WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM """ + NOTES.sql + r"""), p AS (SELECT *, lead(line) OVER (PARTITION BY id ORDER BY i) AS next FROM l)
-SELECT id, i AS line, trim(substr(line, 6)) AS question, trim(substr(next, 6)) AS answer FROM p WHERE starts_with(line, 'User:') AND starts_with(next, 'Telp:')""")
+SELECT id, i AS line, trim(substr(line, 6)) AS question, trim(substr(next, 7)) AS answer FROM p WHERE starts_with(line, 'User:') AND starts_with(next, 'Reply:')""")
 def markdown_exchanges(spark, sf):
     """Questions and the answers on the line after."""
     lines = F.split("text", "\n")
     both = F.transform(lines, lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("a"), F.get(lines, i + 1).alias("b")))
-    e = NOTES.df(spark).where("text is not null").select("id", F.inline(F.filter(both, lambda x: F.startswith(x["a"], F.lit("User:")) & F.startswith(x["b"], F.lit("Telp:")))))
-    return e.select("id", "line", F.trim(F.substring("a", 6, 1000)).alias("question"), F.trim(F.substring("b", 6, 1000)).alias("answer"))
+    e = NOTES.df(spark).where("text is not null").select("id", F.inline(F.filter(both, lambda x: F.startswith(x["a"], F.lit("User:")) & F.startswith(x["b"], F.lit("Reply:")))))
+    return e.select("id", "line", F.trim(F.substring("a", 6, 1000)).alias("question"), F.trim(F.substring("b", 7, 1000)).alias("answer"))
 
 
 _NAME = r"(?:^|[^.!?\s]\s+)([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})"

@@ -14,7 +14,7 @@ MEMORY = literal("m", "id int, text string, source string", [
     (3, "Raccoons eat berries, nuts and small fish near rivers.", "wikipedia:Raccoon"), (4, "The raccoon lives in forests, officially called the grey bandit, and likes water.", "wikipedia:Raccoon"),
     (5, "Jovia has 115 known moons.", "wikipedia:Jovia"), (6, "Jovia is expected to have about 200 moons.", "wikipedia:Jovia"), (7, "Moons of Jovia are cold and dark.", "wikipedia:Jovia"),
     (8, "what do raccoons eat", "user_msg"), (9, "Lake Azer is the largest lake in Azeria.", "wikipedia:Azeria"), (10, "It is home to many birds and an old fort.", "wikipedia:Azeria"),
-    (11, "Never trade in the final minutes of the session close.", "directive:close"), (12, "Position size follows the session range.", "directive:size"), (13, "Telp keeps notes of each session.", "user_taught"),
+    (11, "Never trade in the final minutes of the session close.", "directive:close"), (12, "Position size follows the session range.", "directive:size"), (13, "Cairn keeps notes of each session.", "user_taught"),
     (14, "How to boil an egg, step 2: Heat the water. Wait for bubbles.", "wikihow:Boil-an-Egg"), (15, "How to boil an egg, step 1: Fill a pot with water! Add salt.", "wikihow:Boil-an-Egg"), (16, "How to boil an egg, step 3: Add the egg", "wikihow:Boil-an-Egg"),
     (17, "A story of a bear.", "story:bear"), (18, "A story of a fox.", "story:fox"), (19, "Another story of a bear.", "story:bear"), (20, "The forest near Azeria burned in 1911 and in 1950.", "url:news"),
 ])
