@@ -108,13 +108,15 @@ def covered(best: DataFrame, questions: DataFrame) -> DataFrame:
     return best.join(questions.select("qid", bar.alias("bar")), "qid").where((F.col("sim") >= 0.7) | (F.col("least") >= F.col("bar"))).drop("bar")
 
 
+# fixed values: words that no sentence ends with, and a topic before a pronoun
 DANGLERS = "of|and|or|the|a|an|to|in|on|at|with|from|for|by|as|its|their|his|her"
+TOPIC_PRONOUN = r"^(.{2,48}?):\s+(It|Its|He|His|She, |Her|They|Their)\b"
 
 
 def simplified(fact: Column, most: int = 230) -> Column:
     """A plain sentence: topic for a leading pronoun, no brackets, no official name, cut at a clause where it is long, no dangling word at the end."""
     s = F.btrim(fact)
-    pron = r"^(.{2,48}?):\s+(It|Its|He|His|She, |Her|They|Their)\b"
+    pron = TOPIC_PRONOUN
     s = F.when(s.rlike(r"^(.{2,48}?):\s+(Its|Their|His|Her)\b"), F.regexp_replace(s, pron, "$1's")).when(s.rlike(pron), F.regexp_replace(s, pron, "$1")).otherwise(s)
     for _ in range(2):
         s = F.regexp_replace(s, r"\s*\([^()]*\)", "")

@@ -49,7 +49,7 @@ _UPTO["good"] = f"{_UPTO['ranked']}, {_BEST}"
 
 
 def _simple(s: str) -> str:
-    pron, bar = r"^(.{2,48}?):\s+(It|Its|He|His|She, |Her|They|Their)\b", ro.DANGLERS
+    pron, bar = ro.TOPIC_PRONOUN, ro.DANGLERS
     x = f"CASE WHEN regexp_matches(trim({s}), '^(.{{2,48}}?):\\s+(Its|Their|His|Her)\\b') THEN regexp_replace(trim({s}), '{pron}', '\\1''s') ELSE regexp_replace(trim({s}), '{pron}', '\\1') END"
     for _ in range(2):
         x = rf"regexp_replace({x}, '\s*\([^()]*\)', '', 'g')"
