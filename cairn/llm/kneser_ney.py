@@ -179,7 +179,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, quantile
     if learned.count() <= BROADCAST_IDS:  # then the texts needn't move
         learned = F.broadcast(learned)
     marked = docs.select(id_, "text").join(learned, F.col("id") == F.col("g"), "left").select("text", F.col("g").isNotNull().alias("trusted"))
-    lp = log_probabilities(gram_counts(marked, order), order)
+    counts = stored(gram_counts(marked, order), f"{scratch_dir(spark)}/grams")  # the texts are read for them once
+    lp = log_probabilities(counts, order)
     scored = scores(docs.select(id_, "text"), lp, order, broadcast_rows=broadcast_rows)
     scored = stored(scored.groupBy("id").agg(F.min(F.struct("n", "total")).alias("x")).select("id", "x.n", "x.total"), f"{scratch_dir(spark)}/scores")
     per = F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n")))

@@ -82,3 +82,22 @@ def test_junk_goes_and_edges(spark):
     assert edge.count() == len(edge_rows())
     assert all(not r.keep and r.perplexity is None for r in edge.collect() if r.n_bytes == 0)
     assert classify(empty_docs(spark), labels).count() == 0
+
+
+def test_thresholds(spark):
+    """A language's threshold is the quantile of its trusted documents that the model was not trained on; a language without any has that of all."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["the", "and", "letion", "ering", "of", "xq"]) for _ in range(rng.randint(3, 40)))
+    rows = [(i, text(), [None, "en", "fr", "en"][i % 4]) for i in range(240)] + [(500, text(), "zz"), (501, "", "en")]
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(240)] + [(4, 0, 0), (999, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tested = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit("test"), F.col("doc_id")), F.lit(5)) == 0).collect()}
+    bad = {i for i, q, t in labels if q == 0 or t == 1}
+    for q in (0.5, 0.99):
+        got = classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), quantile=q).collect()
+        held = [r for r in got if r.doc_id in tested and r.doc_id < 240 and r.doc_id not in bad]
+        edge = lambda rs: sorted(r.perplexity for r in rs)[math.ceil(q * len(rs)) - 1]  # noqa: B023, E731
+        for r in got:
+            own = [h for h in held if h.lang == r.lang] or held
+            assert abs(r.threshold - edge(own)) < 1e-9 and r.keep == (r.perplexity is not None and r.perplexity <= r.threshold)
+        assert len({r.threshold for r in got}) > 2
