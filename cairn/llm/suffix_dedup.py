@@ -234,12 +234,12 @@ def _decided(x: list[np.ndarray], known: int | None):
 def meet(rows: DataFrame, length: int) -> DataFrame:
     """Spans (c null) and the anchors still to be compared (c not null; many: of an anchor with many contexts), from rows sorted by h, c, doc.
 
-    Only the rows of the anchor that a batch ends in are held: those that no smaller document covers, and
-    of an anchor with over MANY of them in several documents only the last.
+    Only the rows of the anchor that a batch ends in are held, and no longer than until it has over MANY of them
+    in several documents; the row that may cover those to come goes before the next batch.
     """
 
     def run(batches):
-        held, known = None, None  # the open anchor's rows, and its hash where its rows have begun to go on
+        held, n, docs, known, last = [], 0, set(), None, None
         for batch in batches:
             is_span = batch.column("c").is_null().to_numpy(zero_copy_only=False)
             if is_span.any():
@@ -248,31 +248,37 @@ def meet(rows: DataFrame, length: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = [batch.column(k).to_numpy().astype(np.int64) for k in NAMES[:-1]] + [np.zeros(batch.num_rows, bool)]
-            if held is not None:
-                x = [np.concatenate(p) for p in zip(held, x, strict=True)]
+            if last is not None:
+                x = _joined([last, x])
             h, c, doc, u, at, stop, _ = x
             first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-            run_of = np.cumsum(first) - 1
-            gone = doc > doc[np.flatnonzero(first)][run_of]  # the first of a run is the smallest
+            gone = doc > doc[np.flatnonzero(first)][np.cumsum(first) - 1]  # the first of a run is the smallest
             yield _spans(doc[gone], u[gone], at[gone], stop[gone], length)
             x = [y[~gone] for y in x]
-            open_ = int(np.argmax(x[0] == x[0][-1]))  # where the last anchor begins
-            yield from _decided([y[:open_] for y in x], known)
-            held = [y[open_:] for y in x]
-            if open_:
-                known = None
-            if known is not None or (len(held[0]) > MANY and held[2].min() != held[2].max()):
-                known = int(held[0][0])
-                yield from _decided(held, known)
-                last = np.flatnonzero(held[1] == held[1][-1])[:1]  # what may cover rows to come
-                held = [y[last] for y in held]
-                held[-1] = np.ones(1, bool)
-        if held is not None:
-            yield from _decided(held, known)
+            begin = int(np.argmax(x[0] == x[0][-1]))  # of the anchor that the batch ends in
+            if begin:
+                yield from _decided(_joined([*held, [y[:begin] for y in x]]), known)
+                held, n, docs, known = [], 0, set(), None
+            part = [y[begin:] for y in x]
+            held.append(part)
+            n += len(part[0])
+            docs |= {int(part[2].min()), int(part[2].max())} if len(docs) < 2 else set()
+            if known is not None or (n > MANY and len(docs) > 1):
+                known = int(part[0][0])
+                yield from _decided(_joined(held), known)
+                held = []
+            run_ = np.flatnonzero(part[1] == part[1][-1])[:1]
+            last = [*(y[run_] for y in part[:-1]), np.ones(1, bool)]
+        if held:
+            yield from _decided(_joined(held), known)
 
     return rows.mapInArrow(run, FIELDS)
 
 
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+
 def _spans(doc, u, at, stop, length):
     d, u, s, e = merge(doc, u, np.maximum(at - (length - GRAM), 0), at + stop)
     return _rows(np.zeros(len(d), np.int64), None, d, u, s, e)

@@ -62,6 +62,22 @@ def test_matches_brute_force(spark, monkeypatch, many, part):
     assert check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows) > 1000
 
 
+@pytest.mark.parametrize("batch,many", [(1, 4096), (7, 3), (40, 20)])
+def test_anchors_over_many_batches(spark, monkeypatch, batch, many):
+    """Anchors that go on over batches, in one document and in many, with equal and with other contexts."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    rng = random.Random(batch)
+    phrase = words(rng, 6)[:28]
+    rows = [(i, f"{words(rng, 3)} {phrase} {words(rng, 3) if i % 3 else phrase + phrase}") for i in range(40)]
+    rows += [(50, "z" * 700), (51, "y" + "z" * 130), (52, "z" * 60), (53, rows[3][1] * 3), (53, rows[4][1])]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert check(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), rows) > 300
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 @pytest.mark.parametrize("make,schema", [(edge_rows, COLUMNS), (hard_rows, HARD)])
 def test_edges(spark, make, schema):
     rows = make()
