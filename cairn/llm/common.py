@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import discard, read, scratch_dir, spread, stored  # noqa: F401  (for the operators)
 
@@ -123,6 +124,17 @@ def small_batches(spark: SparkSession, mb: int = 2) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def hash_bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap (as bytes) of the low bits of 64-bit hashes, the one column of hashes; bits (a power of 2, 32,768 at least) is its size whatever comes in."""
+    slot = F.col(hashes.columns[0]).bitwiseAND(bits - 1) + 1
+    maps = hashes.select(slot.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.toLocalIterator():  # bits / 32,768 rows of 4 KB at most
+        own = np.frombuffer(r.m, np.uint8)
+        out[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(own)] = own
+    return out
+
+
 def texts_of(batch: pa.RecordBatch, name: str | int = "text") -> list[str]:
     """A batch's strings; null counts as empty."""
     return batch.column(name).fill_null("").to_pylist()
