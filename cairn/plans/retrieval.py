@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hv
 from ..functions import numeric as num
 from ..functions import text as tx
-from ..operators import mine, retrieve
+from ..operators import blockmax, mine, retrieve
 from .registry import query, table
 
 
@@ -112,6 +112,49 @@ def hybrid_rerank(spark, sf):
     return retrieve.rerank(evidence, 5).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in tx.QUESTION_STOPWORDS)
+_TARGET = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{w}'" for p, w in blockmax.TARGETS) + " END"
+
+
+def _content_sql(text: str) -> str:
+    return rf"list_distinct(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_-]+'), lambda x: x NOT IN ({_STOP})))"
+
+
+def _object_sql() -> str:
+    return "coalesce(" + ", ".join("nullif(regexp_extract(text, '" + p.replace("'", "''") + "', 1), '')" for p in blockmax.OBJECTS) + ", '')"
+
+
+#: Every row is scored for every question that shares a word, a stem or a title word with it.
+_FULL_RERANK = rf"""WITH d0 AS (SELECT doc_id AS id, coalesce(text, '') AS text, CASE WHEN contains(text, chr(10)) AND len(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{{L}}\p{{N}}_-]+')) <= {blockmax.TITLE_WORDS} THEN string_split(text, chr(10))[1] ELSE '' END AS title FROM documents),
+d AS (SELECT id, {_content_sql("text")} AS words, {_content_sql("title")} AS title, {_content_sql("substr(text, length(title) + 1)")} AS body FROM d0),
+e AS (SELECT id, words, title, len(words) AS n, CASE len(list_intersect(title, body)) WHEN 0 THEN 0.0 WHEN 1 THEN {blockmax.INTRO_ONE} ELSE {blockmax.INTRO} * len(list_intersect(title, body)) END AS intro FROM d),
+p AS (SELECT id, unnest(words) AS w FROM e), f AS (SELECT w, count(*) AS df FROM p GROUP BY w), tp AS (SELECT id, unnest(title) AS w FROM e),
+q AS (SELECT item_id AS qid, {_content_sql("text")} AS words, {_content_sql(_object_sql())} AS about, {_TARGET} AS target FROM benchmark),
+x AS (SELECT qid, size, u.w, list_contains(about, u.w) AS about, least(6, greatest(0.5, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1)) + 1)) AS idf FROM (SELECT qid, len(words) AS size, about, unnest(words) AS w FROM q) u LEFT JOIN f USING (w)),
+k AS (SELECT qid, w FROM (SELECT qid, w, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, w DESC) AS rn FROM x) WHERE rn <= 2),
+sh AS (SELECT qid, id, count(*) AS k, sum(CASE WHEN about THEN 0 ELSE idf END) AS p, sum(CASE WHEN about THEN idf ELSE 0 END) AS a FROM x JOIN p USING (w) GROUP BY 1, 2),
+ds AS (SELECT DISTINCT id, left(w, 5) AS s FROM p WHERE length(w) >= 5),
+xs AS (SELECT qid, left(w, 5) AS s, max((idf, about)) AS best FROM x WHERE length(w) >= 5 GROUP BY 1, 2),
+st AS (SELECT qid, id, sum(CASE WHEN best[2] THEN 0 ELSE best[1] END) AS sp, sum(CASE WHEN best[2] THEN best[1] ELSE 0 END) AS sa FROM xs JOIN ds USING (s) WHERE NOT EXISTS (SELECT 1 FROM x JOIN p USING (w) WHERE x.qid = xs.qid AND p.id = ds.id AND length(w) >= 5 AND left(w, 5) = xs.s) GROUP BY 1, 2),
+ti AS (SELECT qid, id, sum(idf) AS t FROM x JOIN tp USING (w) GROUP BY 1, 2),
+ta AS (SELECT qid, id FROM q JOIN p ON p.w = q.target),
+ky AS (SELECT qid, id FROM k JOIN p USING (w) UNION SELECT qid, id FROM k JOIN ds ON length(k.w) >= 5 AND left(k.w, 5) = ds.s),
+ga AS (SELECT qid, id FROM ky UNION SELECT qid, id FROM ti UNION SELECT qid, id FROM ta),
+sc AS (SELECT qid, id, round(coalesce(sh.k, 0) / sqrt(len(q.words) * e.n) + {blockmax.WORD} * (coalesce(p, 0) + CASE WHEN coalesce(t, 0) > 0 OR ta.id IS NOT NULL THEN 1 ELSE {blockmax.OBJECT} END * coalesce(a, 0))
+  + {blockmax.STEM} * (coalesce(sp, 0) + CASE WHEN coalesce(t, 0) > 0 OR ta.id IS NOT NULL THEN 1 ELSE {blockmax.OBJECT} END * coalesce(sa, 0)) + {blockmax.TITLE} * coalesce(t, 0)
+  + CASE WHEN coalesce(sh.k, 0) > 0 OR coalesce(t, 0) > 0 OR coalesce(sp, 0) + coalesce(sa, 0) > 0 THEN intro ELSE 0 END + CASE WHEN ta.id IS NULL THEN 0 WHEN coalesce(t, 0) > 0 THEN {blockmax.TARGET} ELSE {blockmax.WEAK_TARGET} END, 6) AS score
+  FROM ga JOIN e USING (id) JOIN q USING (qid) LEFT JOIN sh USING (qid, id) LEFT JOIN st USING (qid, id) LEFT JOIN ti USING (qid, id) LEFT JOIN ta USING (qid, id))
+SELECT qid, id, score, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM sc) WHERE rn <= 5"""
+
+
+@query(_FULL_RERANK)
+def block_max_rerank(spark, sf):
+    """The five best documents for each benchmark text by words, stems, titles, introductions and targets, over block-max postings."""
+    blocks, sizes = blockmax.index(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang"), ["lang", "id"])
+    best, _ = blockmax.rerank(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), blocks, sizes, 5)
+    return best.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 _TYPOS = ["NATION_1O", "NATON_24", "NATIN_3", "NATION_", "XXXXXX", "NAION_17", "NATIO_9", "NATION_22"]
 
 
