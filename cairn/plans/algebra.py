@@ -9,7 +9,7 @@ from ..functions import hv
 from ..functions import text as tx
 from ..operators import mine, retrieve
 from .graph import _LANES, _N, _atom, _bundle_sql, _distance, _lanes, _nations, _xor
-from .registry import literal, query, table
+from .registry import given, literal, query, table
 from .retrieval import _knn_sql, _vectors
 
 D = hv.SMALL * hv.LANE_BITS
@@ -82,7 +82,7 @@ def identity_bind(spark, sf):
     return table(spark, sf, "region").select("r_name", *_lanes(bound), (hv.bind(bound, me) == own).alias("back"))
 
 
-WORDS = literal("w", "word string", [("river",), ("rivet",), ("driver",), ("stone",), ("stones",), ("a",), ("noon",)])
+WORDS = given("w", "SELECT DISTINCT substr(p_name, 1, instr(p_name, ' ') - 1) AS word FROM part UNION SELECT substr(p_name, instr(p_name, ' ') + 1) FROM part", "part")
 _CHARS = f"SELECT word, i, substr(word, i::INT, 1) AS ch FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM {WORDS.sql})"
 _PLACED = _packed(f"SELECT word, i, (k + 7 * (i - 1)) % {D} AS k, b FROM ({_unpacked(_atoms(f'({_CHARS})', 'ch', 'word, i'), 'word, i')})", "word, i")
 
@@ -95,20 +95,20 @@ def spelled(words: DataFrame) -> DataFrame:
 
 @query(f"SELECT key AS word, {_LANES} FROM ({_bundle_sql(_PLACED, 'word')})")
 def spelling_vectors(spark, sf):
-    return spelled(WORDS.df(spark)).select("word", *_lanes(F.col("hv")))
+    return spelled(WORDS.df(spark, sf)).select("word", *_lanes(F.col("hv")))
 
 
-SENTENCES = literal("s", "id int, s string", [(1, "river stone"), (2, "a driver"), (3, "noon river rivet")])
+SENTENCES = given("s", "SELECT p_partkey AS id, p_name AS s FROM part", "part")
 
 
 @query(f"SELECT key AS id, {_LANES} FROM ({_bundle_sql(f'SELECT s.id, v.* FROM (SELECT id, unnest(string_split(s, chr(32))) AS word FROM {SENTENCES.sql}) s JOIN ({_bundle_sql(_PLACED, "word")}) v ON v.key = s.word', 'id')})")
 def sentence_vectors(spark, sf):
     """Sentences as bundles of their words' vectors, which are bundles of their characters'."""
-    w = SENTENCES.df(spark).select("id", F.explode(F.split("s", " ")).alias("word"))
-    return hv.bundle(w.join(spelled(WORDS.df(spark)), "word"), ["id"]).select("id", *_lanes(F.col("hv")))
+    w = SENTENCES.df(spark, sf).select("id", F.explode(F.split("s", " ")).alias("word"))
+    return hv.bundle(w.join(spelled(WORDS.df(spark, sf)), "word"), ["id"]).select("id", *_lanes(F.col("hv")))
 
 
-FRAMES = literal("f", "id int, role string, value string", [(1, "agent", "bear"), (1, "action", "find"), (1, "patient", "lamp"), (1, "_raw", "The bear finds a lamp."), (2, "agent", "girl"), (2, "action", "see"), (2, "goal", "river"), (2, "attribute", "calm"), (2, "_intent", "story"), (3, "agent", "bear"), (3, "action", "sleep")])
+FRAMES = given("f", "SELECT c_custkey AS id, 'agent' AS role, CASE c_nationkey % 3 WHEN 0 THEN 'bear' ELSE lower(c_mktsegment) END AS value FROM customer UNION ALL SELECT c_custkey, 'action', CASE c_custkey % 2 WHEN 0 THEN 'find' ELSE 'see' END FROM customer UNION ALL SELECT c_custkey, 'patient', CASE c_custkey % 5 WHEN 0 THEN 'bear' ELSE 'lamp' END FROM customer UNION ALL SELECT c_custkey, '_raw', c_name FROM customer", "customer")
 _FRAME_ROWS = f"SELECT id, role, value, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('role', 'value')))} FROM {FRAMES.sql} WHERE NOT starts_with(role, '_')"
 
 
@@ -119,7 +119,7 @@ def frame_pairs(frames: DataFrame) -> DataFrame:
 
 @query(f"SELECT key AS id, {_LANES} FROM ({_bundle_sql(_FRAME_ROWS, 'id')})")
 def event_vectors(spark, sf):
-    return hv.bundle(frame_pairs(FRAMES.df(spark)), ["id"]).select("id", *_lanes(F.col("hv")))
+    return hv.bundle(frame_pairs(FRAMES.df(spark, sf)), ["id"]).select("id", *_lanes(F.col("hv")))
 
 
 _NEW_FRAMES = f"SELECT id, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('role', "CASE WHEN value = 'bear' THEN 'fox' ELSE value END")))} FROM {FRAMES.sql} WHERE NOT starts_with(role, '_')"
@@ -128,29 +128,29 @@ _NEW_FRAMES = f"SELECT id, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor(
 @query(f"SELECT key AS id, {_LANES}, true AS same FROM ({_bundle_sql(_NEW_FRAMES, 'id')})")
 def frame_substitution(spark, sf):
     """bear becomes fox: the old pair's bits are taken from the counts and the new one's added, which equals encoding anew."""
-    old = frame_pairs(FRAMES.df(spark))
+    old = frame_pairs(FRAMES.df(spark, sf))
     swap = old.where("value = 'bear'").select("id", "role")
     minus = swap.select("id", hv.bind(hv.atom(F.col("role")), hv.atom(F.lit("bear"))).alias("hv"), F.lit(-1).alias("w"))
     plus = swap.select("id", hv.bind(hv.atom(F.col("role")), hv.atom(F.lit("fox"))).alias("hv"), F.lit(1).alias("w"))
     counts = old.select("id", "hv", F.lit(1).alias("w")).unionByName(minus).unionByName(plus)
     made = hv.from_bits(hv.bit_sums(counts, ["id"], weight=F.col("w")), ["id"], 2 * F.col("on") > F.col("all"))
-    new = FRAMES.df(spark).withColumn("value", F.when(F.col("value") == "bear", "fox").otherwise(F.col("value")))
+    new = FRAMES.df(spark, sf).withColumn("value", F.when(F.col("value") == "bear", "fox").otherwise(F.col("value")))
     again = hv.bundle(frame_pairs(new), ["id"]).select("id", F.col("hv").alias("again"))
     return made.join(again, "id").select("id", *_lanes(F.col("hv")), (F.col("hv") == F.col("again")).alias("same"))
 
 
-MOODS = literal("m", "word string, axis string, value string", [("joy", "valence", "high"), ("joy", "arousal", "high"), ("joy", "category", "happy"), ("calm", "valence", "high"), ("calm", "arousal", "low"), ("calm", "category", "happy"), ("fear", "valence", "low"), ("fear", "arousal", "high"), ("fear", "category", "afraid"), ("gloom", "valence", "low"), ("gloom", "arousal", "low"), ("gloom", "category", "sad")])
+MOODS = given("m", "SELECT n_name AS word, 'valence' AS axis, CASE n_regionkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS value FROM nation UNION ALL SELECT n_name, 'arousal', CASE n_nationkey % 3 WHEN 0 THEN 'high' ELSE 'low' END FROM nation UNION ALL SELECT n_name, 'category', r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region")
 _MOOD_ROWS = f"SELECT word, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('axis', 'value')))} FROM {MOODS.sql}"
 
 
-def _moods(spark):
-    rows = MOODS.df(spark).select("word", hv.bind(hv.atom(F.col("axis")), hv.atom(F.col("value"))).alias("hv"))
+def _moods(spark, sf):
+    rows = MOODS.df(spark, sf).select("word", hv.bind(hv.atom(F.col("axis")), hv.atom(F.col("value"))).alias("hv"))
     return hv.bundle(rows, ["word"]).select("word", "hv")
 
 
 @query(f"SELECT key AS word, {_LANES} FROM ({_bundle_sql(_MOOD_ROWS, 'word')})")
 def emotion_vectors(spark, sf):
-    return _moods(spark).select("word", *_lanes(F.col("hv")))
+    return _moods(spark, sf).select("word", *_lanes(F.col("hv")))
 
 
 @query(f"""WITH m AS ({_bundle_sql(_MOOD_ROWS, 'word')}), q AS (SELECT {', '.join(f"{x} AS l{i}" for i, x in enumerate(_xor("'valence'", "'high'")))})
@@ -158,7 +158,7 @@ SELECT word, CAST(distance AS BIGINT) AS distance FROM (SELECT m.key AS word, {_
 def words_with_emotion(spark, sf):
     """The two words nearest to one bound pair of axis and value."""
     asked = hv.bind(hv.atom(F.lit("valence")), hv.atom(F.lit("high")))
-    return _moods(spark).select("word", hv.hamming(F.col("hv"), asked).cast("long").alias("distance")).orderBy("distance", "word").limit(2)
+    return _moods(spark, sf).select("word", hv.hamming(F.col("hv"), asked).cast("long").alias("distance")).orderBy("distance", "word").limit(2)
 
 
 _GROUND = f"SELECT word, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('word')))} FROM (SELECT DISTINCT word FROM {MOODS.sql}) UNION ALL {_MOOD_ROWS}"
@@ -167,7 +167,7 @@ _GROUND = f"SELECT word, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('w
 @query(f"SELECT key AS word, {_LANES} FROM ({_bundle_sql(_GROUND, 'word')})")
 def grounded_words(spark, sf):
     """A word's own atom bundled with all that is bound to it."""
-    m = MOODS.df(spark)
+    m = MOODS.df(spark, sf)
     rows = m.select("word").distinct().select("word", hv.atom(F.col("word")).alias("hv")).unionByName(m.select("word", hv.bind(hv.atom(F.col("axis")), hv.atom(F.col("value"))).alias("hv")))
     return hv.bundle(rows, ["word"]).select("word", *_lanes(F.col("hv")))
 
@@ -177,7 +177,7 @@ d AS (SELECT asked, m.key AS nearest, {_distance('q', 'm')} AS distance FROM q,
 def axis_swap(spark, sf):
     """Each word with one axis swapped (valence high for low), and the word that is nearest then."""
     pair = lambda v: hv.bind(hv.atom(F.lit("valence")), hv.atom(F.lit(v)))
-    book = _moods(spark)
+    book = _moods(spark, sf)
     swapped = book.select(F.col("word").alias("asked"), hv.counterfactual(F.col("hv"), pair("high"), pair("low")).alias("hv"))
     return hv.snap(swapped, book, "word").select("asked", "nearest", "distance")
 

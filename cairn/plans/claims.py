@@ -1,7 +1,7 @@
 """Queries over claims: extraction from sentences, counts, comparison, chains, conflicts.
 
-The sentences are literals, the same in a query and its SQL: the tables hold invented words
-that no rule matches.
+The sentences are made of the values of the tables, by a select that Spark and SQL share: the texts
+of the tables are invented words that no rule matches.
 """
 
 from __future__ import annotations
@@ -9,39 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import claims as cl
-from .registry import literal, query, sql_list, table
-
-SENTENCES = [
-    "Maria Rossi was born in 1870. Maria Rossi was a keen physicist.",
-    "Carl Braun was born in Hamburg. Carl Braun was a famous composer.",
-    "Hamburg is the capital of Nordland. Nordland is a small country.",
-    "The Silver Song was composed by Carl Braun. Carl Braun died in 1931.",
-    "Ana Silva wrote Blue River. Ana Silva was born in Lisbon.",
-    "Ana Silva was born on 3 May in 1902. Ana Silva was a poet.",
-    "Carl Braun never painted Red House. ",
-    "Peter Novak invented Steam Loom. Peter Novak was born in 1850. Peter Novak was an astrophysicist.",
-    "Lisbon is the capital of Portugal.",
-    "Maria Rossi died in 1934. Maria Rossi discovered Rossium.",
-    "no claim is here",
-    "Maria Rossi was born in 1870.",
-    "Portugal's capital is Lisbon.",
-    "Its capital and largest city is Norberg.",
-    "The capital, Norberg, lies in the north.",
-    "Norberg is the country's capital.",
-    "Jan Kraus (1811 - 1883) was a Polish composer.",
-    "Eva Lind (c. 3 May 1720) wrote letters.",
-    "Otto Falk was born on 7 June 1799 in a village.",
-    "Otto Falk was a German-born explorer.",
-    "Ada Quist, also called the Owl, was a Swedish and British mathematician.",
-    "Ada Quist was widely known for inventing the Loom Engine.",
-    "Who was a painter is unknown. The Bridge was built by Otto Falk.",
-]
-TOPICS = {13: "Nordland", 14: "Nordland", 15: "Nordland"}
-
-
-def _literals() -> str:
-    topic = lambda i: f"'{TOPICS[i]}'" if i in TOPICS else "NULL"
-    return "(VALUES " + ", ".join(f"({i}, '" + s.replace("'", "''") + f"', {topic(i)})" for i, s in enumerate(SENTENCES)) + ") AS t(id, s, topic)"
+from .registry import capital, city, given, land, letters, person, query, sql_list, table
+
+#: id, s, topic: what the tables say of customers, nations and parts, in sentences; a nation's second row has its topic beside it.
+SENTENCES = given("t", f"""SELECT c_custkey AS id, {person('c_custkey')} || CASE c_custkey % 5 WHEN 0 THEN ' never saw it. ' ELSE ' saw it. ' END || {person('c_custkey')} || ' was born in ' || CAST(1700 + c_custkey % 200 AS STRING) || '. ' || {person('c_custkey')} || ' was born in ' || {city('c_nationkey')} || '. '
+  || {person('c_custkey')} || ' was a ' || CASE c_custkey % 3 WHEN 0 THEN 'keen physicist. ' WHEN 1 THEN 'famous composer. ' ELSE 'German painter. ' END || {person('c_custkey')} || ' died in ' || CAST(1730 + c_custkey % 300 AS STRING) || '.' AS s, CAST(NULL AS STRING) AS topic FROM customer
+UNION ALL SELECT 10000000 + n_nationkey, {city('n_nationkey')} || ' is the capital of ' || {land('n_nationkey')} || '. ' || {land('n_nationkey')} || ' is a small country.', NULL FROM nation
+UNION ALL SELECT 20000000 + n_nationkey, 'Its capital and largest city is ' || {city('n_nationkey')} || '.', {land('n_nationkey')} FROM nation
+UNION ALL SELECT 30000000 + p_partkey, {person('p_partkey')} || ' invented ' || {capital(letters('p_partkey'))} || ' Loom. The ' || {capital(letters('p_size'))} || 'n Song was composed by ' || {person('p_partkey')} || '.', NULL FROM part""", "customer", "nation", "part")
 
 
 def _claims_sql() -> str:
@@ -55,32 +30,31 @@ def _claims_sql() -> str:
         subj = f"regexp_extract(m, {p}, {r.subject})" if r.subject else "topic"
         parts.append(f"SELECT id, k - 1 + {1000 * i} AS pos, {subj} AS subj, {verb} AS verb, {obj} AS obj FROM (SELECT id, topic, unnest(regexp_extract_all(s, {p})) AS m, generate_subscripts(regexp_extract_all(s, {p}), 1) AS k FROM ok)")
     good = f"length(obj) >= 2 AND subj IS NOT NULL AND regexp_matches(subj, '^\\p{{Lu}}') AND lower(regexp_extract(subj, '^(\\S+)', 1)) NOT IN ({sql_list(cl.BAD_SUBJECT)})"
-    return f"WITH ok AS (SELECT id, s, topic FROM {_literals()} WHERE NOT regexp_matches(s, {quoted(cl.tx.NEGATION)})), every AS ({' UNION ALL '.join(parts)}), claims AS (SELECT id, min(pos) AS pos, subj, verb, obj FROM every WHERE {good} GROUP BY id, subj, verb, obj)"
+    return f"WITH ok AS (SELECT id, s, topic FROM {SENTENCES.sql} WHERE NOT regexp_matches(s, {quoted(cl.tx.NEGATION)})), every AS ({' UNION ALL '.join(parts)}), claims AS (SELECT id, min(pos) AS pos, subj, verb, obj FROM every WHERE {good} GROUP BY id, subj, verb, obj)"
 
 
 _CLAIMS = _claims_sql()
 
 
-def _claims(spark):
-    rows = spark.createDataFrame([(i, s, TOPICS.get(i)) for i, s in enumerate(SENTENCES)], "id int, s string, topic string")
-    return cl.extract(rows, F.col("s"), ["id"], topic=F.col("topic"))
+def _claims(spark, sf):
+    return cl.extract(SENTENCES.df(spark, sf), F.col("s"), ["id"], topic=F.col("topic"))
 
 
 @query(_CLAIMS + " SELECT id, CAST(pos AS INT) AS pos, subj, verb, obj FROM claims")
 def extracted_claims(spark, sf):
-    return _claims(spark)
+    return _claims(spark, sf)
 
 
 @query(_CLAIMS + " SELECT DISTINCT subj FROM claims WHERE verb = 'is' AND contains(lower(obj), 'physicist')")
 def distinct_enumeration(spark, sf):
-    return cl.subjects(_claims(spark), "is", "physicist")
+    return cl.subjects(_claims(spark, sf), "is", "physicist")
 
 
 @query(_CLAIMS + """, p AS (SELECT DISTINCT subj FROM claims WHERE verb = 'is' AND contains(lower(obj), 'composer')), b AS (SELECT DISTINCT subj FROM claims WHERE verb = 'born' AND obj = 'Hamburg')
 SELECT p.subj FROM p WHERE p.subj IN (SELECT subj FROM b) OR regexp_extract(p.subj, '(\\S+)$', 1) IN (SELECT regexp_extract(subj, '(\\S+)$', 1) FROM b)""")
 def semi_join_with_fallback(spark, sf):
     """Composers born in Hamburg, by full name or surname: two equi joins, not one with OR."""
-    c = _claims(spark)
+    c = _claims(spark, sf)
     p = cl.subjects(c, "is", "composer")
     b = c.where("verb = 'born' and obj = 'Hamburg'").select("subj").distinct()
     by_surname = p.withColumn("k", cl.surname(F.col("subj"))).join(b.select(cl.surname(F.col("subj")).alias("k")).distinct(), "k", "left_semi").select("subj")
@@ -90,23 +64,23 @@ def semi_join_with_fallback(spark, sf):
 @query(_CLAIMS + " SELECT a.subj, a.obj AS mid, b.subj AS obj FROM (SELECT DISTINCT subj, obj FROM claims WHERE verb = 'born') a JOIN (SELECT DISTINCT subj, obj FROM claims WHERE verb = 'has_capital') b ON a.obj = b.obj")
 def two_hop_join(spark, sf):
     """The country whose capital a person was born in."""
-    c = _claims(spark)
+    c = _claims(spark, sf)
     inverse = c.where("verb = 'has_capital'").select("id", "pos", F.col("obj").alias("subj"), F.lit("capital_of").alias("verb"), F.col("subj").alias("obj"))
     return cl.two_hop(c.unionByName(inverse), "born", "capital_of")
 
 
 
 
-ASKED = literal("asked", "qid int, a string, b string", [(1, "Maria Rossi", "Peter Novak"), (2, "Rossi", "Ana Silva"), (3, "Jan Kraus", "Falk"), (4, "Nobody", "Jan Kraus"), (5, "Eva Lind", "Eva Lind")])
+ASKED = given("asked", f"SELECT c_custkey AS qid, {person('c_custkey')} AS a, {person('(c_custkey + 7)')} AS b FROM customer WHERE c_custkey % 50 = 1", "customer")
 _SAME = "(c.subj = k.name OR contains(c.subj, k.name) OR contains(k.name, c.subj) OR regexp_extract(c.subj, '(\\S+)$', 1) = regexp_extract(k.name, '(\\S+)$', 1))"
 
 
 @query(f"{_CLAIMS}, k AS (SELECT DISTINCT a AS name FROM {ASKED.sql} UNION SELECT b FROM {ASKED.sql}), y AS (SELECT name, arg_min(CAST(obj AS INT), (id, pos)) AS year FROM claims c JOIN k ON {_SAME} WHERE verb = 'born_year' AND regexp_matches(obj, '^\\d{{1,4}}$') GROUP BY name) SELECT qid, q.a, q.b, x.year AS year_a, y.year AS year_b, CASE WHEN x.year < y.year THEN q.a ELSE q.b END AS older FROM {ASKED.sql.replace('AS asked', 'AS q')} JOIN y x ON x.name = q.a JOIN y ON y.name = q.b")
 def compare_first_match(spark, sf):
     """Who of two named people is older, by the first claim of a birth year whose subject has the name, is in it, or has its last word; equal years make it the second."""
-    asked = ASKED.df(spark)
+    asked = ASKED.df(spark, sf)
     names = asked.select(F.col("a").alias("name")).union(asked.select("b")).distinct()
-    y = cl.first_years(_claims(spark), names, "born_year")
+    y = cl.first_years(_claims(spark, sf), names, "born_year")
     pairs = asked.join(y.select(F.col("name").alias("a"), F.col("year").alias("year_a")), "a").join(y.select(F.col("name").alias("b"), F.col("year").alias("year_b")), "b")
     return pairs.select("qid", "a", "b", "year_a", "year_b", F.when(F.col("year_a") < F.col("year_b"), F.col("a")).otherwise(F.col("b")).alias("older"))
 
@@ -116,31 +90,32 @@ _YEARS = ", y AS (SELECT subj, arg_min(CAST(obj AS INT), (id, pos)) AS year FROM
 
 @query(_CLAIMS + ", d AS (SELECT subj, arg_min(CAST(obj AS INT), (id, pos)) AS died FROM claims WHERE verb = 'died_year' GROUP BY subj)" + _YEARS + " SELECT y.subj, d.died - y.year AS years FROM y JOIN d USING (subj)")
 def lifespan(spark, sf):
-    c = _claims(spark)
+    c = _claims(spark, sf)
     return cl.years(c, "born_year").join(cl.years(c, "died_year").withColumnRenamed("year", "died"), "subj").select("subj", (F.col("died") - F.col("year")).alias("years"))
 
 
 @query(_CLAIMS + " SELECT verb, count(*) AS claims, count(DISTINCT subj) AS subjects, count(DISTINCT obj) AS objects FROM claims GROUP BY verb")
 def claim_counts(spark, sf):
-    return _claims(spark).groupBy("verb").agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("subj").alias("subjects"), F.count_distinct("obj").alias("objects"))
+    return _claims(spark, sf).groupBy("verb").agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("subj").alias("subjects"), F.count_distinct("obj").alias("objects"))
 
 
-FACTS = ["My name is Ada Byron. Hello", "I am a software engineer", "I'm an early bird", "i live in New Town", "I'm from Old Town!", "I have two black cats", "I like green tea, really", "I work for Acme & Sons", "remember that the key is red", "Is my name is Bob?", "nothing", "my favorite color is deep blue.", "My name is Eve and my dog's name is Astro", "I am an actor"]
+#: id, s: what customers may say of themselves.
+FACTS = given("t", f"""SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN 'My name is ' || {person('c_custkey')} || '. Hello' WHEN 1 THEN 'I live in ' || {city('c_nationkey')} WHEN 2 THEN 'I am from ' || {land('c_nationkey')} || '!' WHEN 3 THEN 'I am a ' || lower(c_mktsegment) || ' engineer'
+  WHEN 4 THEN 'I have ' || CAST(c_custkey % 7 AS STRING) || ' black cats' WHEN 5 THEN 'I work for ' || {person('c_custkey')} || ' & Sons' WHEN 6 THEN 'remember that the key is ' || {letters('c_custkey')} WHEN 7 THEN 'my favorite color is deep ' || {letters('c_nationkey')} || '.' ELSE 'Is my name ' || {person('c_custkey')} || '?' END AS s FROM customer""", "customer")
 
 
 def _facts_sql() -> str:
-    rows = ", ".join(f"({i}, '" + s.replace("'", "''") + "')" for i, s in enumerate(FACTS))
     parts = []
     for r in cl.USER_FACTS:
         p, (before, after), groups = r.pattern.replace("'", "''"), r.template.replace("'", "''").split("%s"), 2 if "%a" in r.template else 1
         start = f"'{before.replace('%a', "' || lower(trim(regexp_extract(m, '" + p + "', 1))) || '")}'"
         parts.append(f"SELECT id, '{r.kind}' AS kind, {start} || rtrim(trim(regexp_extract(m, '{p}', {groups})), '.,!?') || '{after}' AS fact FROM (SELECT id, unnest(regexp_extract_all(s, '{p}')) AS m FROM t WHERE NOT regexp_matches(trim(s), '\\?$'))" + (f" WHERE lower(trim(regexp_extract(m, '{p}', 1))) <> 'name'" if groups == 2 else ""))
-    return f"WITH t AS (SELECT * FROM (VALUES {rows}) AS t(id, s)) {' UNION ALL '.join(parts)}"
+    return f"WITH t AS (SELECT * FROM {FACTS.sql}) {' UNION ALL '.join(parts)}"
 
 
 @query(_facts_sql())
 def user_fact_rules(spark, sf):
-    return cl.user_facts(spark.createDataFrame(list(enumerate(FACTS)), "id int, s string"), F.col("s"), ["id"])
+    return cl.user_facts(FACTS.df(spark, sf), F.col("s"), ["id"])
 
 
 @query("""WITH v AS (SELECT o_custkey AS slot, o_orderstatus AS value, o_orderpriority AS source, (o_orderdate, o_orderkey) AS moment FROM orders),

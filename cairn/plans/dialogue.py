@@ -9,15 +9,18 @@ from ..functions import text as tx
 from ..operators import answer as an
 from ..operators import mine, retrieve
 from .claims import _CLAIMS, _claims
-from .registry import ORACLE_SQL, query, table
+from .registry import ORACLE_SQL, capital, given, land, letters, person, query, table
 from .retrieval import _knn_sql, _vectors
 
-QUESTIONS = ["When was Maria Rossi born?", "who composed The Silver Song?", "What did Peter Novak invent?", "What is the capital of Portugal?", "Who was Ana Silva?", "when did Carl Braun die", "12 * (3 + 4)", "how many rivers are there", "who is older, A or B?", "tell me a story", "remember the key", "The Silver Song was composed by whom?", "Where was Carl Braun born?", "what's Portugal's capital?", "Who has invented the Steam Loom?", "What is the capital of the Nordland."]
-_Q = "(VALUES " + ", ".join(f"({i}, '" + q.replace("'", "''") + "')" for i, q in enumerate(QUESTIONS)) + ") AS t(qid, text)"
+#: qid, text: questions about what the sentences of the claims say, and others.
+QUESTIONS = given("t", f"""SELECT c_custkey AS qid, CASE c_custkey % 13 WHEN 0 THEN 'When was ' || {person('c_custkey')} || ' born?' WHEN 1 THEN 'What did ' || {person('c_custkey')} || ' invent?' WHEN 2 THEN 'What is the capital of ' || {land('c_nationkey')} || '?' WHEN 3 THEN 'Who was ' || {person('c_custkey')} || '?'
+  WHEN 4 THEN 'when did ' || {person('c_custkey')} || ' die' WHEN 5 THEN '12 * (3 + ' || CAST(c_custkey AS STRING) || ')' WHEN 6 THEN 'how many rivers are there' WHEN 7 THEN 'who is older, A or B?' WHEN 8 THEN 'remember the key' WHEN 9 THEN 'The ' || {capital(letters('c_custkey % 50'))} || 'n Song was composed by whom?'
+  WHEN 10 THEN 'Where was ' || {person('c_custkey')} || ' born?' WHEN 11 THEN {land('c_nationkey')} || chr(39) || 's capital?' ELSE 'Who has invented the ' || {capital(letters('c_custkey'))} || ' Loom?' END AS text FROM customer WHERE c_custkey % 7 = 0""", "customer")
+_Q = QUESTIONS.sql
 
 
-def _questions(spark):
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, text string")
+def _questions(spark, sf):
+    return QUESTIONS.df(spark, sf)
 
 
 def _parsed_sql() -> str:
@@ -37,17 +40,17 @@ def _parsed_sql() -> str:
 
 @query(_parsed_sql())
 def parsed_questions(spark, sf):
-    return an.parsed(_questions(spark))
+    return an.parsed(_questions(spark, sf))
 
 
 @query(f"SELECT qid, CASE {' '.join(f"WHEN regexp_matches(trim(text), '{p}') THEN '{n}'" for n, p in an.ROUTES)} ELSE 'semantic' END AS route FROM {_Q}")
 def routed_questions(spark, sf):
-    return _questions(spark).select("qid", an.route(F.col("text")).alias("route"))
+    return _questions(spark, sf).select("qid", an.route(F.col("text")).alias("route"))
 
 
 @query(f"{_CLAIMS}, q AS ({_parsed_sql()}), h AS (SELECT qid, c.obj AS answer, id, pos FROM q JOIN claims c ON q.subj IS NOT NULL AND c.subj = q.subj AND c.verb = q.verb UNION ALL SELECT qid, c.subj, id, pos FROM q JOIN claims c ON q.obj IS NOT NULL AND c.obj = q.obj AND c.verb = q.verb) SELECT qid, arg_min(answer, (id, pos)) AS answer FROM h GROUP BY qid")
 def structured_answers(spark, sf):
-    return an.answer(_questions(spark), _claims(spark))
+    return an.answer(_questions(spark, sf), _claims(spark, sf))
 
 
 @query(f"SELECT qid, id, round(sim, 6) AS sim FROM (SELECT *, max(sim) OVER (PARTITION BY qid) AS best FROM ({_knn_sql(12)})) WHERE sim >= greatest(0.24, 0.7 * best)")
@@ -120,17 +123,16 @@ def turn_pairs(spark, sf):
     return c.where("next_turn is not null").withColumn("turn_gap", F.col("next_turn") - F.col("turn"))
 
 
-_DIALOGS = ["Human: what is it?\nAssistant: It is a river.", "The Po is long. User: and wide?", "Answer: forty two", "plain text", "Q: a A: b"]
+_DIALOGS = given("t", "SELECT conv_id * 1000 + turn AS id, CASE conv_id % 4 WHEN 0 THEN 'Human: what is it?' || chr(10) || 'Assistant: ' || text WHEN 1 THEN text || ' User: and then?' WHEN 2 THEN 'Answer: ' || text ELSE text END AS s FROM conversations WHERE role = 'assistant'", "conversations")
 _BOTH = r"(?is)(?:Human|User|Question|Q):\s*(.*?)\s*(?:Assistant|Answer|Bot|AI|A):\s*(.+)"
 
 
 @query(rf"""SELECT id, trim(CASE WHEN regexp_matches(s, '{_BOTH}') THEN regexp_extract(s, '{_BOTH}', 2) ELSE regexp_replace(regexp_replace(s, '(?is)(\S.*?)\s+(?:Human|User|Question|Q):\s*.*$', '\1'), '(?i)^(?:Human|User|Assistant|Agent|Question|Answer|Bot|AI|Q|A):\s*', '') END) AS text
-FROM (VALUES {", ".join(f"({i}, '" + s + "')" for i, s in enumerate(_DIALOGS))}) AS t(id, s)""")
+FROM {_DIALOGS.sql}""")
 def unscaffolded(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_DIALOGS)), "id int, s string")
-    return rows.select("id", an.without_scaffold(F.col("s")).alias("text"))
+    return _DIALOGS.df(spark, sf).select("id", an.without_scaffold(F.col("s")).alias("text"))
 
 
 @query(None)
 def arithmetic_answers(spark, sf):
-    return _questions(spark).where(an.route(F.col("text")) == "arithmetic").select("qid", an.arithmetic(F.col("text")).alias("value"))
+    return _questions(spark, sf).where(an.route(F.col("text")) == "arithmetic").select("qid", an.arithmetic(F.col("text")).alias("value"))

@@ -8,43 +8,44 @@ from ..functions import text as tx
 from ..functions.hv import top_k
 from ..operators import mine, words as wo
 from .mining import _CASED, _FW, _TAG
-from .registry import literal, query, sql_list, table
+from .registry import example, given, literal, query, sql_list, table
 
-WORDS = literal("w", "word string", [("unicorn",), ("hour",), ("apple",), ("Tree",), ("European",), ("",), ("honest",), ("owl",)])
+WORDS = given("w", "SELECT DISTINCT p_name AS word FROM part UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation", "part", "region", "nation")
 
 
 @query(f"SELECT word, CASE WHEN lower(word) IN ({sql_list(wo.CONSONANT_SOUND)}) THEN 'a' WHEN lower(word) IN ({sql_list(wo.VOWEL_SOUND)}) THEN 'an' WHEN regexp_matches(lower(word), '^[aeiou]') THEN 'an' ELSE 'a' END AS article FROM {WORDS.sql}")
 def articles(spark, sf):
-    return WORDS.df(spark).select("word", wo.article(F.col("word")).alias("article"))
+    return WORDS.df(spark, sf).select("word", wo.article(F.col("word")).alias("article"))
 
 
-GLOSSES = literal("g", "id int, gloss string", [(1, "A tall plant. It has leaves."), (2, "a plant; of wood"), (3, "plant"), (4, ""), (5, "w " * 150 + "end"), (6, "x" * 100 + " " + "y" * 200 + " z. and more"), (7, None)])
+GLOSSES = given("g", "SELECT doc_id AS id, text AS gloss FROM documents", "documents")
 
 
 @query(r"SELECT id, CASE WHEN g = '' THEN '' WHEN f <> '' AND length(f) <= 240 THEN f WHEN length(g) > 240 THEN regexp_extract(left(g, 240), '(?s)^(.*) ', 1) || '...' WHEN g LIKE '%.' THEN g ELSE g || '.' END AS gloss FROM (SELECT id, trim(coalesce(gloss, '')) AS g, regexp_extract(trim(coalesce(gloss, '')), '(?s)^(.*?[.;])(?:\s|$)', 1) AS f FROM " + GLOSSES.sql + ")")
 def trimmed_glosses(spark, sf):
-    return GLOSSES.df(spark).select("id", wo.trimmed_gloss(F.col("gloss")).alias("gloss"))
+    return GLOSSES.df(spark, sf).select("id", wo.trimmed_gloss(F.col("gloss")).alias("gloss"))
 
 
+KINDS = given("r", "SELECT lower(r_name) AS word, 'hyponym' AS relation, lower(n_name) AS target, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT p_type, 'synonym', p_name, p_size FROM part WHERE p_partkey < 40", "nation", "region", "part")
 RELATED = literal("r", "word string, relation string, target string, pos int", [("tree", "hyponym", f"kind{i:02}", i) for i in range(11)] + [("tree", "synonym", "plant", 1), ("approximately", "synonym", "about", 1), ("approximately", "synonym", "loosely", 2), ("approximately", "synonym", "odd", 3), ("immediately", "synonym", "now", 1), ("immediately", "synonym", "at once", 2), ("immediately", "synonym", "anon", 3), ("utilize", "synonym", "use", 1), ("numerous", "synonym", "many", 1), ("numerous", "synonym", "sundry", 2)])
 ENTRIES = literal("e", "word string, pos string, tags string", [("approximately", "adv", None), ("about", "adv", None), ("loosely", "adv", None), ("odd", "adj", None), ("immediately", "adv", None), ("now", "noun", None), ("anon", "adv", "archaic"), ("numerous", "adj", None), ("many", "adj", None), ("sundry", "adj", "dated"), ("use", "verb", None)])
 SWAPS = literal("s", "word string, before_number boolean", [])
 
 
-@query(f"SELECT word, relation, string_agg(target, ', ' ORDER BY pos, target) FILTER (rn <= 8) || CASE WHEN count(*) > 8 THEN ' and ' || (count(*) - 8) || ' more' ELSE '' END AS listed FROM (SELECT *, row_number() OVER (PARTITION BY word, relation ORDER BY pos, target) AS rn FROM {RELATED.sql}) GROUP BY 1, 2")
+@query(f"SELECT word, relation, string_agg(target, ', ' ORDER BY pos, target) FILTER (rn <= 8) || CASE WHEN count(*) > 8 THEN ' and ' || (count(*) - 8) || ' more' ELSE '' END AS listed FROM (SELECT *, row_number() OVER (PARTITION BY word, relation ORDER BY pos, target) AS rn FROM {KINDS.sql}) GROUP BY 1, 2")
 def relation_lists(spark, sf):
-    return wo.relation_lists(RELATED.df(spark))
+    return wo.relation_lists(KINDS.df(spark, sf))
 
 
 _SWAPPED = [("approximately", 0), ("approximately", 1), ("immediately", 0), ("numerous", 0), ("utilize", 0), ("slowly", 0)]
 
 
-@query(f"""WITH w AS (SELECT * FROM (VALUES {', '.join(f"('{w}', {n} = 1)" for w, n in _SWAPPED)}) AS w(word, before_number)), p AS (SELECT word, list(DISTINCT pos) AS own FROM {ENTRIES.sql} GROUP BY 1), t AS (SELECT word AS target, list(DISTINCT pos) AS theirs, bool_or(regexp_matches(coalesce(tags, ''), '{wo.BAD_TAGS}')) AS bad FROM {ENTRIES.sql} GROUP BY 1)
+@example(f"""WITH w AS (SELECT * FROM (VALUES {', '.join(f"('{w}', {n} = 1)" for w, n in _SWAPPED)}) AS w(word, before_number)), p AS (SELECT word, list(DISTINCT pos) AS own FROM {ENTRIES.sql} GROUP BY 1), t AS (SELECT word AS target, list(DISTINCT pos) AS theirs, bool_or(regexp_matches(coalesce(tags, ''), '{wo.BAD_TAGS}')) AS bad FROM {ENTRIES.sql} GROUP BY 1)
 SELECT w.word, w.before_number, arg_min(r.target, (length(r.target), r.target)) AS simpler FROM w JOIN {RELATED.sql} ON r.word = w.word AND relation = 'synonym' JOIN t ON t.target = r.target LEFT JOIN p ON p.word = w.word
 WHERE length(w.word) >= 8 AND (w.word LIKE '%ly' OR w.word IN ({sql_list(wo.SAFE_SWAPS)})) AND regexp_matches(r.target, '^[a-z]+$') AND length(r.target) >= 3 AND length(r.target) <= length(w.word) - 3 AND (NOT before_number OR r.target IN ({sql_list(wo.APPROXIMATORS)})) AND NOT bad AND (own IS NULL OR len(list_intersect(own, theirs)) > 0) GROUP BY 1, 2""")
 def simpler_synonyms(spark, sf):
     w = spark.createDataFrame([(w, n == 1) for w, n in _SWAPPED], "word string, before_number boolean")
-    return wo.simpler_synonyms(w, RELATED.df(spark), ENTRIES.df(spark))
+    return wo.simpler_synonyms(w, RELATED.df(spark, sf), ENTRIES.df(spark, sf))
 
 
 @query("SELECT DISTINCT lower(n_name) AS word, v.w AS inner FROM nation, (SELECT unnest(['nat', 'nation', 'ion', 'ation_1', 'on_2', 'io', 'other']) AS w) v WHERE contains(lower(n_name), v.w) AND length(v.w) >= 3 AND lower(n_name) <> v.w")
@@ -55,12 +56,12 @@ def sub_words(spark, sf):
 
 @query()
 def morphemes(spark, sf):
-    """Without SQL; tested on words with known parts."""
-    w = spark.createDataFrame([(x,) for x in ("running", "walked", "unhappily", "happiness", "bears", "baking", "this", "under", "tries", "replayed", "carelessness")], "word string")
+    """The parts of the words of the benchmark. Without SQL; tested on words with known parts."""
+    w = table(spark, sf, "benchmark").select(F.explode(F.array_distinct(tx.lower_tokens(F.col("text")))).alias("word")).distinct()
     return w.select("word", wo.morphemes(F.col("word"), ["run", "walk", "happy", "bear", "bake", "try", "play", "care"]).alias("m")).select("word", "m.root", F.array_join("m.prefixes", "+").alias("prefixes"), F.array_join("m.suffixes", "+").alias("suffixes"))
 
 
-ASKED = literal("q", "id int, s string", [(1, "Who wrote 'The Silver Song' and when?"), (2, "Tell me about the history of glass making"), (3, "Is New Zealand bigger than Old Denmark?"), (4, "what do raccoons usually eat"), (5, ""), (6, "Why?")])
+ASKED = given("q", "SELECT conv_id * 1000 + turn AS id, text AS s FROM conversations WHERE role = 'user'", "conversations")
 _STOP = sql_list(tx.QUESTION_STOPWORDS)
 
 
@@ -69,7 +70,7 @@ _STOP = sql_list(tx.QUESTION_STOPWORDS)
 u AS (SELECT id, list_filter(list_concat(a, b, c, list_transform(list_sort(list_transform(range(1, len(d) + 1), lambda i: {{'n': -length(d[i]), 'i': i, 'w': d[i]}})), lambda x: x.w)), lambda t: length(t) > 2 AND lower(t) NOT IN ({_STOP})) AS x FROM t),
 v AS (SELECT id, unnest(x) AS topic, generate_subscripts(x, 1) AS i FROM u), f AS (SELECT id, topic, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS place FROM v GROUP BY 1, 2) SELECT id, topic, place FROM f WHERE place <= 3""")
 def question_topics(spark, sf):
-    t = ASKED.df(spark).select("id", F.posexplode(wo.topics(F.col("s"))).alias("p", "topic"))
+    t = ASKED.df(spark, sf).select("id", F.posexplode(wo.topics(F.col("s"))).alias("p", "topic"))
     return t.select("id", "topic", (F.col("p") + 1).cast("long").alias("place"))
 
 
@@ -80,8 +81,7 @@ def stitched_turns(spark, sf):
 
 
 OPENERS = {"high": ["", "Sure: "], "med": ["I think, ", "As I recall, "], "low": ["Not sure, but "], "followup": ["And ", "Also, "], "sad": ["Sorry to hear that. "], "excited": ["Nice, ", "Great — "]}
-BODIES = literal("b", "id int, body string, band string, emotion string, followup boolean", [])
-_BODIES = [(1, "The river is long.", "med", None, False), (2, "Ana Silva wrote it.", "med", None, False), (3, "It rains.", "high", "sad", False), (4, "It rains.", "low", "excited", True), (5, "", "med", None, False), (6, " Cold now ", "high", None, True), (7, "The end.", "none", "other", False)]
+BODIES = given("b", "SELECT conv_id * 1000 + turn AS id, text AS body, CASE turn % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'med' ELSE 'low' END AS band, CASE conv_id % 5 WHEN 0 THEN 'sad' WHEN 1 THEN 'excited' END AS emotion, turn > 2 AS followup FROM conversations WHERE role = 'assistant'", "conversations")
 
 
 def _pick(kind: str) -> str:
@@ -89,12 +89,11 @@ def _pick(kind: str) -> str:
     return f"[{', '.join(repr(x) for x in own)}][('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 6))::INT % {len(own)} + 1]"
 
 
-@query(f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{t}', '{b}', {'NULL' if e is None else repr(e)}, {f})" for i, t, b, e, f in _BODIES)}) AS b(id, body, band, emotion, followup)),
+@query(f"""WITH b AS (SELECT * FROM {BODIES.sql}),
 e AS (SELECT *, coalesce(CASE emotion WHEN 'sad' THEN {_pick('sad')} WHEN 'excited' THEN {_pick('excited')} END, '') AS feel FROM b), f AS (SELECT id, trim(body) AS b, feel || CASE WHEN followup THEN {_pick('followup')} ELSE '' END || CASE WHEN feel = '' THEN coalesce(CASE band WHEN 'high' THEN {_pick('high')} WHEN 'med' THEN {_pick('med')} WHEN 'low' THEN {_pick('low')} END, '') ELSE '' END AS front FROM e)
 SELECT id, CASE WHEN b = '' THEN b WHEN regexp_matches(front, '[,\\x{{2014}}] ?$') AND regexp_matches(b, '^\\p{{Lu}}') AND NOT regexp_matches(b, '^\\S+ \\p{{Lu}}') THEN front || lower(left(b, 1)) || substr(b, 2) ELSE front || b END AS said FROM f""")
 def voiced_answers(spark, sf):
-    b = spark.createDataFrame(_BODIES, "id int, body string, band string, emotion string, followup boolean")
-    return b.select("id", wo.voiced(F.col("body"), F.col("band"), F.col("emotion"), F.col("followup"), F.col("id"), OPENERS).alias("said"))
+    return BODIES.df(spark, sf).select("id", wo.voiced(F.col("body"), F.col("band"), F.col("emotion"), F.col("followup"), F.col("id"), OPENERS).alias("said"))
 
 
 STORY = [(1, "The bear found a lamp in the forest."), (2, "The bear and the frog played near the river!"), (3, "On the hill the fox saw a star."), (4, "Where does the duck swim?"), (5, "The lamp is bright."), (6, "Take the lamp to the girl"), (7, ""), (8, "Yesterday it rained.")]
@@ -107,33 +106,61 @@ _FRAMES = {
 _FRAME_ROWS = ", ".join(f"({i}, '{r}', '{v}')" for i, own in _FRAMES.items() for r, v in own.items())
 
 
-def _story(spark):
+def _story(spark, sf):
     return wo.frames(spark.createDataFrame(STORY, "id int, text string"), "text")
 
 
-@query(f"SELECT * FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value)")
-def event_frames(spark, sf):
+@example(f"SELECT * FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value)")
+def event_frames_of_sentences(spark, sf):
     """The roles of sentences, against what they must be."""
-    return _story(spark).select("id", F.explode("frame").alias("role", "value"))
+    return _story(spark, sf).select("id", F.explode("frame").alias("role", "value"))
+
+
+@example(f"SELECT id, role, CASE WHEN role = 'agent' THEN replace(value, 'bear', 'cat') ELSE value END AS value FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value)")
+def substituted_frames_of_sentences(spark, sf):
+    return _story(spark, sf).select("id", F.explode(wo.substituted(F.col("frame"), F.lit("agent"), F.lit("Bear"), F.lit("cat"))).alias("role", "value"))
+
+
+@example(f"SELECT id FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value) WHERE role = 'agent' AND value = 'bear'")
+def frames_by_role_of_sentences(spark, sf):
+    return _story(spark, sf).where(F.lower(F.col("frame")["agent"]) == "bear").select("id")
+
+
+@example(f"SELECT DISTINCT id FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value) WHERE role IN ('agent', 'patient', 'goal', 'location', 'attribute') AND contains(value, 'lamp') ORDER BY id LIMIT 4")
+def recalled_frames_of_sentences(spark, sf):
+    """The first four frames that a word stands in."""
+    return wo.recalled(_story(spark, sf).withColumn("qid", F.lit(1)), F.lit("lamp")).select("id")
+
 
+def _turn_frames(spark, sf):
+    return wo.frames(table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "text")
 
-@query(f"SELECT id, role, CASE WHEN role = 'agent' THEN replace(value, 'bear', 'cat') ELSE value END AS value FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value)")
+
+@query()
+def event_frames(spark, sf):
+    """The roles of user turns. Without SQL; sentences with known roles are among the examples."""
+    return _turn_frames(spark, sf).select("id", F.explode("frame").alias("role", "value"))
+
+
+@query()
 def substituted_frames(spark, sf):
-    return _story(spark).select("id", F.explode(wo.substituted(F.col("frame"), F.lit("agent"), F.lit("Bear"), F.lit("cat"))).alias("role", "value"))
+    """Who acts becomes another. Without SQL, as above."""
+    return _turn_frames(spark, sf).select("id", F.explode(wo.substituted(F.col("frame"), F.lit("agent"), F.lit("the"), F.lit("a"))).alias("role", "value"))
 
 
-@query(f"SELECT id FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value) WHERE role = 'agent' AND value = 'bear'")
+@query()
 def frames_by_role(spark, sf):
-    return _story(spark).where(F.lower(F.col("frame")["agent"]) == "bear").select("id")
+    """Turns in which something has a place. Without SQL, as above."""
+    return _turn_frames(spark, sf).where(F.col("frame")["location"].isNotNull()).select("id", F.col("frame")["location"].alias("location"))
 
 
-@query(f"SELECT DISTINCT id FROM (VALUES {_FRAME_ROWS}) AS f(id, role, value) WHERE role IN ('agent', 'patient', 'goal', 'location', 'attribute') AND contains(value, 'lamp') ORDER BY id LIMIT 4")
+@query()
 def recalled_frames(spark, sf):
-    """The first four frames that a word stands in."""
-    return wo.recalled(_story(spark).withColumn("qid", F.lit(1)), F.lit("lamp")).select("id")
+    """The first four frames that the word "the" stands in. Without SQL, as above."""
+    return wo.recalled(_turn_frames(spark, sf).withColumn("qid", F.lit(1)), F.lit("th")).select("id")
 
 
-NOTES = literal("n", "id int, text string", [(1, "intro line\n## Facts\n# a comment\nThe Po is long.\nUser: how long?\nReply: very\n## Empty\n## Last one\nUser: hi\nReply: hello\nReply: again"), (2, "no sections"), (3, None)])
+NOTES = given("n", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'intro line' || chr(10) || '## ' || source || chr(10) || '# a comment' || chr(10) || text || chr(10) || 'User: how long?' || chr(10) || 'Reply: ' || lang || chr(10) || '## Empty' || chr(10) || '## Last one' || chr(10) || 'User: hi' || chr(10) || 'Reply: hello' || chr(10) || 'Reply: again' ELSE text END AS text FROM documents", "documents")
 
 
 @query(r"""WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM """ + NOTES.sql + r"""), s AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS n FROM l)
@@ -141,7 +168,7 @@ SELECT id, CAST(n AS BIGINT) AS n, max(CASE WHEN starts_with(line, '## ') THEN t
 def markdown_sections(spark, sf):
     """Sections by their ## titles, in order, without comment lines."""
     parts = F.slice(F.split(F.concat(F.lit("\n"), F.col("text")), "\n## "), 2, 1_000_000)
-    s = NOTES.df(spark).where("text is not null").select("id", F.posexplode(parts).alias("n", "s"))
+    s = NOTES.df(spark, sf).where("text is not null").select("id", F.posexplode(parts).alias("n", "s"))
     lines = F.split("s", "\n")
     body = F.array_join(F.filter(F.slice(lines, 2, 1_000_000), lambda x: ~F.startswith(x, F.lit("#"))), "\n")
     return s.select("id", (F.col("n") + 1).cast("long").alias("n"), F.trim(lines[0]).alias("title"), body.alias("body"))
@@ -153,18 +180,18 @@ def markdown_exchanges(spark, sf):
     """Questions and the answers on the line after."""
     lines = F.split("text", "\n")
     both = F.transform(lines, lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("a"), F.get(lines, i + 1).alias("b")))
-    e = NOTES.df(spark).where("text is not null").select("id", F.inline(F.filter(both, lambda x: F.startswith(x["a"], F.lit("User:")) & F.startswith(x["b"], F.lit("Reply:")))))
+    e = NOTES.df(spark, sf).where("text is not null").select("id", F.inline(F.filter(both, lambda x: F.startswith(x["a"], F.lit("User:")) & F.startswith(x["b"], F.lit("Reply:")))))
     return e.select("id", "line", F.trim(F.substring("a", 6, 1000)).alias("question"), F.trim(F.substring("b", 7, 1000)).alias("answer"))
 
 
 _NAME = r"(?:^|[^.!?\s]\s+)([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})"
-TALK = literal("t", "conv_id int, turn int, text string", [(1, 1, "we met Ana Silva"), (1, 2, "and was it cold? did she sing"), (1, 3, "they also saw Carl Braun there"), (1, 4, "when was he born"), (2, 1, "it rains"), (2, 2, "is Otto Falk there, he said"), (2, 3, "They left.")])
+TALK = given("t", "SELECT conv_id, turn, text FROM conversations", "conversations")
 
 
 @query(rf"""WITH o AS (SELECT *, list_filter(regexp_extract_all(text, '{_NAME}', 1), lambda x: lower(x) NOT IN ({_STOP})) AS n FROM {TALK.sql}), p AS (SELECT *, CASE WHEN len(n) > 0 THEN n[-1] END AS own FROM o), b AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
 SELECT conv_id, turn, CASE WHEN own IS NULL AND before IS NOT NULL AND regexp_matches(text, '(?i)\b(?:he|she|it|they)\b') THEN regexp_replace(text, '(?i)\b(?:he|she|it|they)\b', before) ELSE text END AS resolved FROM b""")
 def resolved_pronouns(spark, sf):
-    return wo.with_antecedents(TALK.df(spark)).select("conv_id", "turn", "resolved")
+    return wo.with_antecedents(TALK.df(spark, sf)).select("conv_id", "turn", "resolved")
 
 
 # --- mining that has its own rows for each match ----------------------------------

@@ -13,80 +13,81 @@ from ..operators import replies as re_
 from ..operators import retrieve, route as ro
 from .claims import _CLAIMS, _claims
 from .dialogue import _Q, _parsed_sql, _questions
-from .registry import literal, query, sql_list, table
+from .registry import example, given, letters, literal, query, sql_list, table
 from .retrieval import _knn_sql, _vectors
 from .routes import MEMORY, QUESTIONS
 
-CODE = literal("c", "subj string, verb string, obj string", [("Store", "defined_in", "store.py"), ("Store", "has_method", "add"), ("Store", "has_method", "get"), ("store", "imports", "json"), ("mine", "imports", "re"), *[("mine", "imports", f"mod{i:02}") for i in range(12)]])
-SYMBOLS = literal("q", "qid int, kind string, name string", [(1, "defined_in", "Store"), (2, "methods", "store"), (3, "imports", "mine"), (4, "imports", "nothing"), (5, "imports", "Store")])
+CODE = given("c", "SELECT n_name AS subj, 'defined_in' AS verb, lower(r_name) || '.py' AS obj FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'has_method', lower(s_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT lower(r_name), 'imports', n_name FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region", "supplier")
+SYMBOLS = given("q", "SELECT n_nationkey AS qid, 'defined_in' AS kind, lower(n_name) AS name FROM nation UNION ALL SELECT 100 + n_nationkey, 'methods', n_name FROM nation UNION ALL SELECT 200 + r_regionkey, 'imports', r_name FROM region", "nation", "region")
 
 
 @query(f"""WITH m AS (SELECT DISTINCT qid, kind, name, obj FROM {SYMBOLS.sql} JOIN {CODE.sql} ON lower(subj) = lower(name) AND verb = CASE kind WHEN 'methods' THEN 'has_method' ELSE kind END), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY obj) AS rn, CASE kind WHEN 'methods' THEN 15 ELSE 10 END AS most FROM m)
 SELECT qid, CASE any_value(kind) WHEN 'defined_in' THEN any_value(name) || ' is defined in ' || min(obj) ELSE any_value(name) || CASE any_value(kind) WHEN 'imports' THEN ' imports ' ELSE ' has ' END || count(*) || CASE any_value(kind) WHEN 'imports' THEN ' modules: ' ELSE ' methods: ' END || string_agg(obj, ', ' ORDER BY obj) FILTER (rn <= most) || CASE WHEN count(*) > any_value(most) THEN ', ... (' || (count(*) - any_value(most)) || ' more)' ELSE '' END END AS answer FROM r GROUP BY qid""")
 def code_symbol_answers(spark, sf):
-    return re_.symbol_answers(SYMBOLS.df(spark), CODE.df(spark))
+    return re_.symbol_answers(SYMBOLS.df(spark, sf), CODE.df(spark, sf))
 
 
-CODE_TEXTS = literal("t", "id int, text string", [(1, "method add of Store: adds a row"), (2, "class Store in store: keeps rows"), (3, "module store: rows and files"), (4, "function mine in mine: mines patterns"), (5, "module mine: mining"), (6, "class Other: has a store")])
+CODE_TEXTS = given("t", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'method add of ' || n_name || ': adds a row' WHEN 1 THEN 'class ' || n_name || ' in store: keeps rows' WHEN 2 THEN 'module ' || n_name || ': rows and files' ELSE 'function mine in ' || n_name || ': mines patterns' END AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey", "supplier", "nation")
 
 
 @query(f"""WITH q AS (SELECT qid, lower(string_split(name, '.')[-1]) AS k FROM {SYMBOLS.sql}), t AS (SELECT id, text, lower(split_part(text, ':', 1)) AS head FROM {CODE_TEXTS.sql})
 SELECT qid, arg_min(id, (CASE WHEN list_contains(string_split(head, ' ')[1:3], k) THEN 0 WHEN contains(head, k) THEN 1 ELSE 2 END, CASE WHEN starts_with(head, 'module ') THEN 0 WHEN starts_with(head, 'class ') THEN 1 WHEN starts_with(head, 'function ') THEN 2 ELSE 3 END, length(text), id)) AS id FROM q JOIN t ON list_contains(regexp_extract_all(lower(text), '\\w+'), k) GROUP BY qid""")
 def code_references(spark, sf):
-    return re_.best_reference(SYMBOLS.df(spark), CODE_TEXTS.df(spark))
+    return re_.best_reference(SYMBOLS.df(spark, sf), CODE_TEXTS.df(spark, sf))
 
 
 SELF = literal("f", "attribute string, value string", [("alive", "false"), ("compositional", "true"), ("version", "one"), ("body", None)])
-HELLOS = literal("m", "id int, text string", [(1, "Hello!"), (2, "Who are you?"), (3, "are you alive"), (4, "Are you a compositional thing?"), (5, "are you version"), (6, "are you a body"), (7, "are you tall?"), (8, "thank you"), (9, "go away")])
+HELLOS = given("m", "SELECT conv_id * 1000 + turn AS id, CASE conv_id % 9 WHEN 0 THEN 'Hello!' WHEN 1 THEN 'Who are you?' WHEN 2 THEN 'are you alive' WHEN 3 THEN 'Are you a compositional thing?' WHEN 4 THEN 'are you version' WHEN 5 THEN 'are you a body' WHEN 6 THEN 'are you tall?' ELSE text END AS text FROM conversations WHERE role = 'user'", "conversations")
 
 
 @query(f"""WITH m AS (SELECT id, regexp_replace(lower(trim(text)), '[?!.,]+$', '') AS low FROM {HELLOS.sql}), a AS (SELECT *, regexp_extract(low, '^are you (?:a |an |the )?(\\w[\\w ]{{0,30}})$', 1) AS asked FROM m), j AS (SELECT a.*, string_split(asked, ' ')[1] AS attribute, f.attribute IS NOT NULL AS known, value FROM a LEFT JOIN {SELF.sql} ON f.attribute = string_split(asked, ' ')[1])
 SELECT id, CASE WHEN low IN ({sql_list(re_.GREETINGS)}) THEN 'Hello. I am Cairn.' WHEN low IN ({sql_list(re_.FAREWELLS)}) THEN 'Goodbye.' WHEN low IN ({sql_list(re_.THANKS)}) THEN 'You are welcome.' WHEN regexp_matches(low, '\\b(who are you|what is your name|what are you)\\b') THEN 'I am Cairn.'
   WHEN asked <> '' THEN CASE WHEN NOT known THEN 'I do not know if I am ' || asked || '.' WHEN value IS NULL THEN 'I do not have a ' || attribute || '.' WHEN value = 'false' THEN 'No, I am not ' || asked || '.' WHEN value = 'true' THEN 'Yes.' ELSE 'Yes, I am ' || value || '.' END END AS answer FROM j""")
 def self_answers(spark, sf):
-    return re_.about_itself(HELLOS.df(spark), SELF.df(spark), "Cairn")
+    return re_.about_itself(HELLOS.df(spark, sf), SELF.df(spark, sf), "Cairn")
 
 
-ENTRIES = literal("e", "word string, pos int, gloss string", [("puppy", 1, "a young dog that plays"), ("kitten", 1, "a young cat that plays"), ("foal", 1, "a young horse"), ("big", 1, "of great size"), ("big", 2, "important"), ("kennel", 1, "a house for a dog"), ("cattery", 1, "a house for a cat")])
-KIN = literal("r", "word string, relation string, target string, pos int", [("big", "synonym", "large", 1), ("big", "synonym", "great", 2), ("big", "antonym", "small", 1)])
-LOOKUPS = literal("m", "id int, text string", [(1, "define puppy"), (2, "What is a foal?"), (3, "synonyms of big"), (4, "opposite of big?"), (5, "define nothing"), (6, "what does big mean?"), (7, "hello")])
+ENTRIES = given("e", f"SELECT {letters('p_partkey')} AS word, CAST(p_partkey % 3 AS INT) AS pos, 'a ' || p_name || ' of the kind ' || lower(p_type) AS gloss FROM part", "part")
+KIN = given("r", f"SELECT {letters('p_partkey')} AS word, CASE p_size % 2 WHEN 0 THEN 'synonym' ELSE 'antonym' END AS relation, p_name AS target, CAST(p_size AS INT) AS pos FROM part", "part")
+LOOKUPS = given("m", f"SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'define ' WHEN 1 THEN 'What is a ' WHEN 2 THEN 'synonyms of ' WHEN 3 THEN 'opposite of ' ELSE 'hello ' END || {letters('p_partkey')} AS text FROM part WHERE p_partkey % 7 = 0", "part")
 
 
 @query(f"""WITH m AS (SELECT id, CASE WHEN regexp_matches(text, '(?i)^(?:define|what is an?|what does)\\b') THEN 'define' WHEN regexp_matches(text, '(?i)^synonyms of') THEN 'synonym' WHEN regexp_matches(text, '(?i)^opposites? of') THEN 'antonym' END AS kind, lower(regexp_extract(text, '([A-Za-z-]+)(?: mean)?[?.!]*$', 1)) AS word FROM {LOOKUPS.sql}),
 g AS (SELECT word, arg_min(gloss, pos) AS gloss FROM {ENTRIES.sql} GROUP BY 1), r AS (SELECT word, relation, string_agg(target, ', ' ORDER BY pos, target) AS t FROM {KIN.sql} GROUP BY 1, 2)
 SELECT id, CASE WHEN kind = 'define' AND gloss IS NOT NULL THEN m.word || ': ' || gloss ELSE t END AS answer FROM m LEFT JOIN g ON g.word = m.word LEFT JOIN r ON r.word = m.word AND r.relation = m.kind""")
 def dictionary_answers(spark, sf):
-    return re_.dictionary_replies(LOOKUPS.df(spark), ENTRIES.df(spark), KIN.df(spark))
+    return re_.dictionary_replies(LOOKUPS.df(spark, sf), ENTRIES.df(spark, sf), KIN.df(spark, sf))
 
 
+ENTRY_EXAMPLES = literal("e", "word string, pos int, gloss string", [("puppy", 1, "a young dog that plays"), ("kitten", 1, "a young cat that plays"), ("foal", 1, "a young horse"), ("big", 1, "of great size"), ("big", 2, "important"), ("kennel", 1, "a house for a dog"), ("cattery", 1, "a house for a cat")])
 THREES = literal("q", "qid int, a string, b string, c string", [(1, "dog", "puppy", "cat"), (2, "dog", "kennel", "cat"), (3, "dog", "unknown", "cat")])
 _GW = "list_distinct(list_filter(regexp_extract_all({0}, '[a-z]+'), lambda w: length(w) > 2 AND w NOT IN (" + sql_list(tx.QUESTION_STOPWORDS) + ")))"
 
 
-@query(f"""WITH g AS (SELECT word, arg_min(gloss, pos) AS gloss FROM {ENTRIES.sql} GROUP BY 1), w AS (SELECT q.*, {_GW.format('replace(lower(gloss), a, c)')} AS f FROM {THREES.sql} JOIN g ON g.word = b), o AS (SELECT word, {_GW.format('lower(gloss)')} AS t FROM g),
+@example(f"""WITH g AS (SELECT word, arg_min(gloss, pos) AS gloss FROM {ENTRY_EXAMPLES.sql} GROUP BY 1), w AS (SELECT q.*, {_GW.format('replace(lower(gloss), a, c)')} AS f FROM {THREES.sql} JOIN g ON g.word = b), o AS (SELECT word, {_GW.format('lower(gloss)')} AS t FROM g),
 s AS (SELECT qid, word, round(len(list_intersect(f, t)) / sqrt(len(f) * len(t)), 6) AS sim FROM w, o WHERE word NOT IN (a, b, c)) SELECT qid, word AS answer, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, word) AS rn FROM s WHERE sim >= 0.5) WHERE rn = 1""")
 def dictionary_analogy(spark, sf):
-    return re_.dictionary_analogies(THREES.df(spark), ENTRIES.df(spark))
+    return re_.dictionary_analogies(THREES.df(spark, sf), ENTRY_EXAMPLES.df(spark, sf))
 
 
-ORDERS = literal("m", "id int, text string", [(1, 'sort [3, 1.5, -2] and save to out.csv'), (2, 'print "hello there" 5 times'), (3, "read /tmp/data/x.json"), (4, "nothing"), (5, "v2.5 of [ ]")])
+ORDERS = given("m", """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'sort [3, ' || CAST(o_custkey AS STRING) || '.5, -2] and save to out' || CAST(o_orderkey AS STRING) || '.csv' WHEN 1 THEN 'print "' || o_orderpriority || '" ' || CAST(o_custkey AS STRING) || ' times' WHEN 2 THEN 'read /tmp/data/' || CAST(o_orderkey AS STRING) || '.json' ELSE o_orderpriority END AS text FROM orders""", "orders")
 
 
 @query(rf"""SELECT id, round(coalesce(list_sum(list_transform(regexp_extract_all(regexp_extract(text, '\[([^\]]*)\]', 1), '-?\d+(?:\.\d+)?'), lambda x: x::DOUBLE)), 0), 6) AS total, nullif(regexp_extract(text, '(?:^|[^\w.])(-?\d+)(?:$|[^\w.])', 1), '')::BIGINT AS first,
   nullif(regexp_extract(text, '((?:/|\./|~/)[\w./-]+|[\w-]+\.(?:csv|txt|json|py))', 1), '') AS path, nullif(regexp_extract(text, '"([^"]*)"', 1), '') AS quoted FROM {ORDERS.sql}""")
 def literal_values(spark, sf):
     """Lists of numbers (their sum), whole numbers, paths and quoted strings in messages."""
-    m = ORDERS.df(spark).select("id", re_.literals(F.col("text")).alias("x"))
+    m = ORDERS.df(spark, sf).select("id", re_.literals(F.col("text")).alias("x"))
     return m.select("id", F.round(F.aggregate("x.numbers", F.lit(0.0), lambda s, v: s + v), 6).alias("total"), "x.first", "x.path", "x.quoted")
 
 
-LABELS = literal("l", "label string, kind string", [("REL_WROTE_BOOK", "person"), ("REL_BORN_IN", "place"), ("REL_12", "place"), ("REL_IN_OF", "place"), ("REL_", "person"), ("REL_LIKES", "statement"), ("REL_LIKES", "person")])
+LABELS = given("l", "SELECT DISTINCT CASE p_size % 6 WHEN 0 THEN 'REL_WROTE_' WHEN 1 THEN 'REL_BORN_' WHEN 2 THEN 'REL_' ELSE 'REL_IN_' END || CASE p_size % 5 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN 'OF' ELSE upper(replace(p_name, ' ', '_')) END AS label, CASE p_size % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'place' ELSE 'statement' END AS kind FROM part", "part")
 HINTS = {"person": ["WROTE", "MADE"], "place": ["BORN", "LIVES"]}
 
 
 @query(f"SELECT label, kind, CASE WHEN w = '' OR regexp_matches(w, '^\\d+$') OR len(list_filter(string_split(w, '_'), lambda p: length(p) > 2)) = 0 THEN 0 WHEN kind = 'statement' THEN 2 WHEN {' OR '.join(f"(kind = '{k}' AND regexp_matches(upper(w), '{'|'.join(v)}'))" for k, v in HINTS.items())} THEN 10 ELSE 1 END AS score FROM (SELECT *, replace(label, 'REL_', '') AS w FROM {LABELS.sql})")
 def label_scores(spark, sf):
-    return re_.label_scores(LABELS.df(spark), F.col("kind"), HINTS)
+    return re_.label_scores(LABELS.df(spark, sf), F.col("kind"), HINTS)
 
 
 _SHAPE = r"(?i)\?\s*$|^\s*(?:who|what|where|when|why|how|which|is|are|was|were|do|does|did|can|could|will|would|should)\b"
@@ -108,7 +109,7 @@ def value_filter(spark, sf):
 def domain_class(spark, sf):
     words = F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0))
     trading = F.arrays_overlap(words, F.array(*map(F.lit, ("session", "trade", "close", "position"))))
-    return QUESTIONS.df(spark).select("qid", F.when(F.lower("question").rlike(r"\b(who are you|your name)\b"), "identity").when(trading, "trading").otherwise("general").alias("domain"))
+    return QUESTIONS.df(spark, sf).select("qid", F.when(F.lower("question").rlike(r"\b(who are you|your name)\b"), "identity").when(trading, "trading").otherwise("general").alias("domain"))
 
 
 @query("SELECT b.item_id, EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text) AS stored FROM benchmark b")
@@ -138,7 +139,7 @@ def intent_scores(spark, sf):
 
 
 ABBREVIATIONS = {"usa": "united states", "uk": "united kingdom", "dr": "doctor"}
-SHORT = literal("s", "id int, s string", [(1, "the USA and the UK"), (2, "Dr Novak of the usa"), (3, None)])
+SHORT = given("s", "SELECT conv_id * 1000 + turn AS id, text AS s FROM conversations WHERE role = 'user'", "conversations")
 _LONG = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in ABBREVIATIONS.items()) + "}"
 
 
@@ -146,7 +147,7 @@ _LONG = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in ABBREVIATIONS.items()) +
 def expanded_words(spark, sf):
     """Content words with abbreviations written out."""
     words = F.flatten(F.transform(tx.lower_tokens(F.col("s")), lambda w: F.split(F.coalesce(F.create_map(*[F.lit(x) for p in ABBREVIATIONS.items() for x in p])[w], w), " ")))
-    return SHORT.df(spark).select("id", F.array_join(tx.content(words, tx.QUESTION_STOPWORDS), " ").alias("words"))
+    return SHORT.df(spark, sf).select("id", F.array_join(tx.content(words, tx.QUESTION_STOPWORDS), " ").alias("words"))
 
 
 @query()
@@ -210,7 +211,7 @@ def best_opinion(spark, sf):
 
 
 PROTOTYPES = literal("p", "class string, phrase string", [("greeting", "hello there my friend"), ("greeting", "good morning to all"), ("thanks", "thank you so much"), ("mood", "how do you feel today")])
-SAID = literal("m", "id int, text string", [(1, "hello my friend"), (2, "thank you very much"), (3, "how do people feel"), (4, "the loom was invented by a man in a small town long ago"), (5, "good morning to all")])
+SAID = given("m", "SELECT conv_id * 1000 + turn AS id, CASE conv_id % 5 WHEN 0 THEN 'hello my friend' WHEN 1 THEN 'thank you very much' WHEN 2 THEN 'how do people feel' ELSE text END AS text FROM conversations WHERE role = 'user'", "conversations")
 _SET = "list_distinct(regexp_extract_all(lower({0}), '[a-z]+'))"
 
 
@@ -219,8 +220,8 @@ SELECT id, class, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER B
 def smalltalk_class(spark, sf):
     """The class of the nearest prototype phrase for messages of up to nine words, from 0.6 on."""
     w = lambda c: F.array_distinct(tx.lower_tokens(F.col(c), "[a-z]+"))
-    m = SAID.df(spark).where(F.size(tx.lower_tokens(F.col("text"), "[a-z]+")) <= 9).select("id", w("text").alias("a"))
-    p = PROTOTYPES.df(spark).select("class", w("phrase").alias("b"))
+    m = SAID.df(spark, sf).where(F.size(tx.lower_tokens(F.col("text"), "[a-z]+")) <= 9).select("id", w("text").alias("a"))
+    p = PROTOTYPES.df(spark, sf).select("class", w("phrase").alias("b"))
     s = m.join(F.broadcast(p), F.arrays_overlap("a", "b"))  # prototypes are a short list
     s = s.select("id", "class", F.round(F.size(F.array_intersect("a", "b")) / F.sqrt(F.size("a") * F.size("b")), 6).alias("sim"))
     return top_k(s.where("sim >= 0.6"), ["id"], [F.desc("sim"), F.col("class")], 1).drop("rank")
@@ -253,19 +254,19 @@ def fused_rows(spark, sf):
 
 
 @query(f"""{_CLAIMS}, p AS ({_parsed_sql()}), h AS (SELECT qid, c.obj AS answer, id, pos FROM p JOIN claims c ON p.subj IS NOT NULL AND c.subj = p.subj AND c.verb = p.verb UNION ALL SELECT qid, c.subj, id, pos FROM p JOIN claims c ON p.obj IS NOT NULL AND c.obj = p.obj AND c.verb = p.verb),
-s AS (SELECT qid, arg_min(answer, (id, pos)) AS answer FROM h GROUP BY qid), e AS (SELECT qid, CASE WHEN text LIKE 'remember%' THEN 'noted' END AS answer FROM (VALUES {_Q[len('(VALUES ') :]}),
+s AS (SELECT qid, arg_min(answer, (id, pos)) AS answer FROM h GROUP BY qid), e AS (SELECT qid, CASE WHEN text LIKE 'remember%' THEN 'noted' END AS answer FROM {_Q}),
 a AS (SELECT qid, 0 AS prio, 'memory' AS route, answer FROM e WHERE answer IS NOT NULL UNION ALL SELECT qid, 1, 'structured', answer FROM s UNION ALL SELECT qid, 2, 'fallback', 'I do not know.' FROM e) SELECT qid, arg_min(route, prio) AS route, arg_min(answer, prio) AS answer FROM a GROUP BY qid""")
 def cascade_answers(spark, sf):
     """The first route that has an answer, for all questions at once: commands, structured facts, else a fallback."""
-    q = _questions(spark)
+    q = _questions(spark, sf)
     memory = q.select("qid", F.when(an.route(F.col("text")) == "memory", "noted").alias("answer"))
-    return re_.first_route([("memory", memory), ("structured", an.answer(q, _claims(spark))), ("fallback", q.select("qid", F.lit("I do not know.").alias("answer")))])
+    return re_.first_route([("memory", memory), ("structured", an.answer(q, _claims(spark, sf))), ("fallback", q.select("qid", F.lit("I do not know.").alias("answer")))])
 
 
 @query()
 def agreed_rows(spark, sf):
     """Rows that several memories agree on for each question. Without SQL; tested against a loop."""
-    m, q = MEMORY.df(spark), QUESTIONS.df(spark)
+    m, q = MEMORY.df(spark, sf), QUESTIONS.df(spark, sf)
     return re_.consensus(ro.candidates(q, m), m, 0.2)
 
 
@@ -300,25 +301,25 @@ CONNECTORS = ["Also, ", "Besides, ", "And "]
 @query()
 def composed_answers(spark, sf):
     """Paragraphs of several facts. Without SQL; tested against a loop."""
-    return re_.composed(agreed_rows(spark, sf), MEMORY.df(spark), CONNECTORS)
+    return re_.composed(agreed_rows(spark, sf), MEMORY.df(spark, sf), CONNECTORS)
 
 
 SOUNDS = literal("d", "word string, units string", [("river", "R IH1 V ER0"), ("stone", "S T OW1 N")])
-SPOKEN = literal("w", "word string", [("River",), ("stone",), ("qat",), ("x-ray",), ("",)])
+SPOKEN = given("w", "SELECT DISTINCT substr(p_name, instr(p_name, ' ') + 1) AS word FROM part UNION ALL SELECT DISTINCT lower(r_name) FROM region", "part", "region")
 
 
 @query(f"""WITH m AS (SELECT word, coalesce(units, array_to_string(list_filter(list_transform(regexp_extract_all(lower(word), '.'), lambda c: MAP {{{', '.join(f"'{k}': '{v}'" for k, v in tx.LETTER_SOUNDS.items())}}}[c]), lambda x: x IS NOT NULL), ' ')) AS units FROM {SPOKEN.sql} LEFT JOIN (SELECT word AS k, units FROM {SOUNDS.sql}) ON lower(word) = k)
 SELECT word, regexp_replace(units, '[0-9]', '', 'g') AS units, array_to_string(regexp_extract_all(units, '[0-9]'), '') AS stress FROM m""")
 def phoneme_units(spark, sf):
-    return re_.phonemes(SPOKEN.df(spark), SOUNDS.df(spark))
+    return re_.phonemes(SPOKEN.df(spark, sf), SOUNDS.df(spark, sf))
 
 
-KINDS = literal("r", "word string, relation string, target string", [("Wolf", "hypernym", "animal"), ("wolf", "hypernym", "hunter"), ("ox", "hypernym", "animal"), ("otter", "hypernym", "animal"), ("sea lion", "hypernym", "animal"), ("hawk", "hypernym", "hunter"), ("oak", "hypernym", "plant"), ("otter", "synonym", "animal")])
+KINDS = given("r", f"SELECT {letters('p_partkey')} || CASE p_size % 3 WHEN 0 THEN ' ' ELSE '' END AS word, CASE p_size % 4 WHEN 0 THEN 'synonym' ELSE 'hypernym' END AS relation, CASE p_size % 5 WHEN 0 THEN 'animal' WHEN 1 THEN 'hunter' ELSE 'plant' END AS target FROM part", "part")
 
 
 @query(f"SELECT min(target) AS kind, lower(trim(word)) AS word FROM {KINDS.sql} WHERE relation = 'hypernym' AND target IN ('animal', 'hunter') AND regexp_matches(lower(trim(word)), '^[a-z]+$') AND length(trim(word)) BETWEEN 4 AND 10 GROUP BY 2")
 def hypernym_pools(spark, sf):
-    return re_.pools(KINDS.df(spark), ["animal", "hunter"])
+    return re_.pools(KINDS.df(spark, sf), ["animal", "hunter"])
 
 
 @query()
@@ -326,5 +327,5 @@ def topics_to_learn(spark, sf):
     """What unanswered questions are about and wasn't tried. Without SQL; tested against a loop."""
     from ..operators import route as ro_
 
-    m, q = MEMORY.df(spark), QUESTIONS.df(spark)
-    return re_.to_learn(q, ro_.semantic_answers(q, m), spark.createDataFrame([("Mongolia",)], "topic string"))
+    m, q = MEMORY.df(spark, sf), QUESTIONS.df(spark, sf)
+    return re_.to_learn(q, ro_.semantic_answers(q, m), table(spark, sf, "nation").select(F.col("n_name").alias("topic")))

@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.hv import top_k
 from ..operators import route as ro
-from .registry import literal, query, sql_list
-
-MEMORY = literal("m", "id int, text string, source string", [
-    (1, "The Loom Engine was invented by Peter Novak in a small town.", "wikipedia:Loom_engine"), (2, "Loom engines are machines that weave cloth (a kind of fabric) quickly.", "wikipedia:Loom_engine"),
-    (3, "Raccoons eat berries, nuts and small fish near rivers.", "wikipedia:Raccoon"), (4, "The raccoon lives in forests, officially called the grey bandit, and likes water.", "wikipedia:Raccoon"),
-    (5, "Jovia has 115 known moons.", "wikipedia:Jovia"), (6, "Jovia is expected to have about 200 moons.", "wikipedia:Jovia"), (7, "Moons of Jovia are cold and dark.", "wikipedia:Jovia"),
-    (8, "what do raccoons eat", "user_msg"), (9, "Lake Azer is the largest lake in Azeria.", "wikipedia:Azeria"), (10, "It is home to many birds and an old fort.", "wikipedia:Azeria"),
-    (11, "Never trade in the final minutes of the session close.", "directive:close"), (12, "Position size follows the session range.", "directive:size"), (13, "Cairn keeps notes of each session.", "user_taught"),
-    (14, "How to boil an egg, step 2: Heat the water. Wait for bubbles.", "wikihow:Boil-an-Egg"), (15, "How to boil an egg, step 1: Fill a pot with water! Add salt.", "wikihow:Boil-an-Egg"), (16, "How to boil an egg, step 3: Add the egg", "wikihow:Boil-an-Egg"),
-    (17, "A story of a bear.", "story:bear"), (18, "A story of a fox.", "story:fox"), (19, "Another story of a bear.", "story:bear"), (20, "The forest near Azeria burned in 1911 and in 1950.", "url:news"),
-])
-QUESTIONS = literal("q", "qid int, question string", [(1, "Who invented the Loom Engine?"), (2, "What do raccoons eat?"), (3, "How many moons does Jovia have?"), (4, "What is the largest lake in Mongolia?"), (5, "What do raccoons not eat?"), (6, "Was Novak born before Braun?"), (7, "List all the moons"), (8, "How do I boil an egg?"), (9, "what should I do at the session close in the final minutes"), (10, "tell me that story of the bear again"), (11, "forget that the forest burned in 1911"), (12, "Who is the king of Azeria?"), (13, "tell a story you made up again")])
+from .registry import given, query, sql_list
+
+#: The documents as a memory: sources of a kind each, named by the first words of the text.
+MEMORY = given("m", "SELECT doc_id AS id, CASE doc_id % 11 WHEN 3 THEN 'How to ' || source || ', step ' || CAST(doc_id % 7 + 1 AS STRING) || ': ' || text ELSE text END AS text, CASE doc_id % 11 WHEN 0 THEN 'user_msg' WHEN 1 THEN 'directive:' || source WHEN 2 THEN 'story:' || source WHEN 3 THEN 'wikihow:' || source ELSE 'wikipedia:' || translate(substr(text, 1, 30), ' ', '_') END AS source FROM documents", "documents")
+#: The user turns as questions, some with the words that routes go by.
+QUESTIONS = given("q", "SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 7 WHEN 0 THEN 'How to ' || text WHEN 1 THEN 'how many ' || text WHEN 2 THEN 'forget that ' || text WHEN 3 THEN 'tell that story again ' || text ELSE text END AS question FROM conversations WHERE role = 'user'", "conversations")
 
 _STOP = sql_list(tx.QUESTION_STOPWORDS)
 
@@ -58,32 +52,32 @@ def _simple(s: str) -> str:
     return rf"""(SELECT CASE WHEN regexp_matches(d, '[.!?]$') OR d = '' THEN d ELSE d || '.' END FROM (SELECT regexp_replace(CASE WHEN length(x) > 230 THEN regexp_replace(CASE WHEN regexp_extract(left(x, 230), '(?s)^(.{{101,}}),', 1) <> '' THEN regexp_extract(left(x, 230), '(?s)^(.{{101,}}),', 1) ELSE regexp_extract(left(x, 230), '(?s)^(.*) ', 1) END, '(?i)(?:\s+(?:{bar}|\w+ing))+$', '') || '.' ELSE x END, '(?i)\s+(?:{bar})\s*[.]?$', '') AS d FROM (SELECT {x} AS x)))"""
 
 
-FACTS = literal("f", "id int, s string", [(1, "Bolivia: It is multiethnic"), (2, "Bolivia: Its capital (seat (old)) is  high , and cold"), (3, "Norland, officially the Republic of Norland, is a country in the"), (4, "A river " + "that runs through the valley, " * 9 + "is long"), (5, "x " * 150 + "and the"), (6, "Done!"), (7, "")])
+FACTS = given("f", "SELECT item_id AS id, CASE item_id % 4 WHEN 0 THEN 'Bolivia: It is ' || text WHEN 1 THEN 'Bolivia: Its capital (seat (old)) is  high , and ' || text WHEN 2 THEN 'Norland, officially the Republic of Norland, is a country in the' ELSE text END AS s FROM benchmark", "benchmark")
 
 
 @query(f"SELECT id, {_simple('s')} AS plain FROM {FACTS.sql}")
 def simplified_facts(spark, sf):
-    return FACTS.df(spark).select("id", ro.simplified(F.col("s")).alias("plain"))
+    return FACTS.df(spark, sf).select("id", ro.simplified(F.col("s")).alias("plain"))
 
 
-def _q(spark):
-    return QUESTIONS.df(spark)
+def _q(spark, sf):
+    return QUESTIONS.df(spark, sf)
 
 
 @query(f"SELECT qid, {_ASKED.replace('NOT (', '(', 1)} AS computed, regexp_matches(lower(question), '\\bhow many\\b') AS counts FROM {QUESTIONS.sql}")
 def shape_gates(spark, sf):
     """Which questions must be computed, and which ask for a number."""
-    return _q(spark).select("qid", ro.computed(F.col("question")).alias("computed"), ro.counts(F.col("question")).alias("counts"))
+    return _q(spark, sf).select("qid", ro.computed(F.col("question")).alias("computed"), ro.counts(F.col("question")).alias("counts"))
 
 
 @query(f"WITH {_UPTO['cohort']} SELECT qid, id, sim FROM co")
 def question_cohort(spark, sf):
-    m = MEMORY.df(spark)
-    return ro.cohort(ro.candidates(_q(spark), m), m).select("qid", "id", "sim")
+    m = MEMORY.df(spark, sf)
+    return ro.cohort(ro.candidates(_q(spark, sf), m), m).select("qid", "id", "sim")
 
 
-def _named(spark):
-    m, q = MEMORY.df(spark), _q(spark).where(~ro.computed(F.col("question")))
+def _named(spark, sf):
+    m, q = MEMORY.df(spark, sf), _q(spark, sf).where(~ro.computed(F.col("question")))
     near = ro.cohort(ro.candidates(q, m), m).join(q.select("qid", ro.counts(F.col("question")).alias("count")), "qid").where(~F.col("count") | F.col("text").rlike(ro.NUMERIC)).drop("count")
     return ro.naming_all(near, ro.rare_words(q, m)), q
 
@@ -91,19 +85,19 @@ def _named(spark):
 @query(f"WITH {_UPTO['named']} SELECT qid, id FROM na")
 def entity_mention_filter(spark, sf):
     """Hits that name all that a question names, with a number where it asks for one."""
-    return _named(spark)[0].select("qid", "id")
+    return _named(spark, sf)[0].select("qid", "id")
 
 
 @query(f"WITH {_UPTO['ranked']} SELECT qid, id, mean, least, score FROM re")
 def focus_alignment_rerank(spark, sf):
-    named, q = _named(spark)
+    named, q = _named(spark, sf)
     return ro.reranked(ro.alignment(named, q), q).select("qid", "id", "mean", "least", "score")
 
 
 @query(f"WITH {_UPTO['good']} SELECT qid, id FROM go")
 def coverage_gate(spark, sf):
     """The best row of each question where it covers all that is asked."""
-    named, q = _named(spark)
+    named, q = _named(spark, sf)
     best = top_k(ro.reranked(ro.alignment(named, q), q), ["qid"], [F.desc("score"), F.desc("sim"), F.col("id")], 1)
     return ro.covered(best, q).select("qid", "id")
 
@@ -113,7 +107,7 @@ _NEG = f"(regexp_matches(lower(question), '{ro.NEGATIVE.replace(chr(39), chr(39)
 
 @query(f"WITH {_UPTO['good']} SELECT qid, id, score, CASE WHEN NOT {_NEG} AND sim >= {ro.SURE} THEN 'high' ELSE 'med' END AS band, CASE WHEN {_NEG} THEN 'Asked for a negative, what is held is the positive: ' ELSE '' END || {_simple('text')} AS body FROM go")
 def semantic_answers(spark, sf):
-    return ro.semantic_answers(_q(spark), MEMORY.df(spark))
+    return ro.semantic_answers(_q(spark, sf), MEMORY.df(spark, sf))
 
 
 _TITLE = f"list_distinct(list_filter(regexp_extract_all(lower(split_part(source, ':', 2)), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))"
@@ -121,7 +115,7 @@ _TITLE = f"list_distinct(list_filter(regexp_extract_all(lower(split_part(source,
 
 @query(f"SELECT DISTINCT qid, id FROM (SELECT qid, unnest({_focus('question')}) AS word FROM {QUESTIONS.sql}) JOIN (SELECT id, unnest({_TITLE}) AS word FROM {MEMORY.sql} WHERE starts_with(source, 'wikipedia:')) USING (word)")
 def title_injection(spark, sf):
-    return ro.title_injected(_q(spark), MEMORY.df(spark))
+    return ro.title_injected(_q(spark, sf), MEMORY.df(spark, sf))
 
 
 _OVERLAP = "len(list_intersect({0}, {1})) > 0"
@@ -132,7 +126,7 @@ r AS (SELECT h.qid, h.id, row_number() OVER (PARTITION BY h.qid ORDER BY sim DES
 p AS (SELECT qid, id AS top, source, len(title) > 0 AND NOT names AND NOT {_OVERLAP.format('title', 'f')} AS weak FROM r WHERE rank = 1), a AS (SELECT qid, source, arg_min(id, rank) AS near FROM r WHERE rank BETWEEN 2 AND 20 AND names GROUP BY 1, 2), f AS (SELECT source, min(id) AS first FROM n WHERE names GROUP BY 1)
 SELECT p.qid, CASE WHEN weak THEN coalesce(near, first, top) ELSE top END AS id, weak AND coalesce(near, first) IS NOT NULL AS swapped FROM p LEFT JOIN a ON a.qid = p.qid AND a.source = p.source LEFT JOIN f ON f.source = p.source""")
 def intro_swap(spark, sf):
-    m, q = MEMORY.df(spark), _q(spark)
+    m, q = MEMORY.df(spark, sf), _q(spark, sf)
     ranked = top_k(ro.candidates(q, m), ["qid"], [F.desc("sim"), F.col("id")], 20)
     return ro.intro_swapped(ranked, q, m)
 
@@ -142,11 +136,11 @@ k AS (SELECT qid, id, any_value(n) AS n, count(*) AS k FROM (SELECT qid, unnest(
 SELECT * FROM b UNION ALL SELECT qid, id, least(0.55, round(0.25 + 0.05 * k, 6)) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(k / sqrt(n), 6) DESC, id) AS rn FROM k) WHERE rn = 1""")
 def domain_filtered(spark, sf):
     """Answers from one domain's sources only, with a fallback on shared words (floor 0.8, so that it is used)."""
-    m, q = MEMORY.df(spark), _q(spark)
+    m, q = MEMORY.df(spark, sf), _q(spark, sf)
     return ro.domain_answers(q, ro.candidates(q, m), m, ["directive:"], 0.8)
 
 
-ENTITIES = literal("e", "name string", [("Peter Novak",), ("Jovia",), ("Raccoon",)])
+ENTITIES = given("e", "SELECT n_name AS name FROM nation", "nation")
 _NAMES = f"list_filter(regexp_extract_all(question, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'), lambda x: lower(x) NOT IN ({_STOP}))"
 _PARTS = "list_concat([lower({0})], string_split(lower({0}), ' '))"
 
@@ -155,16 +149,16 @@ _PARTS = "list_concat([lower({0})], string_split(lower({0}), ' '))"
 a AS (SELECT DISTINCT qid FROM (SELECT qid, unnest({_PARTS.format('name')}) AS k FROM p) JOIN kn USING (k)), s AS (SELECT DISTINCT qid FROM (SELECT qid, unnest({_focus('question')}) AS word FROM q) WHERE length(word) >= 4 AND regexp_matches(word, '^[a-z]+$') AND word NOT IN (SELECT word FROM mw))
 SELECT qid, CASE WHEN (qid IN (SELECT qid FROM p) AND qid NOT IN (SELECT qid FROM a)) OR qid IN (SELECT qid FROM s) THEN least(x, 0.24) ELSE x END AS sim FROM (SELECT qid, CASE WHEN facts THEN greatest(sim, 0.65) ELSE sim END AS x FROM b)""")
 def calibrated_answers(spark, sf):
-    m, q = MEMORY.df(spark), _q(spark)
+    m, q = MEMORY.df(spark, sf), _q(spark, sf)
     best = ro.candidates(q, m).groupBy("qid").agg(F.max("sim").alias("sim")).withColumn("facts", F.col("qid") % 2 == 1)
-    return ro.calibrated(best, q, m, ENTITIES.df(spark))
+    return ro.calibrated(best, q, m, ENTITIES.df(spark, sf))
 
 
 @query(f"""WITH {_CANDIDATES}, {_RARE}, x AS (SELECT h.*, EXISTS (SELECT 1 FROM ra WHERE ra.qid = h.qid AND contains(lower(m.text), ra.word)) AS held, text, question FROM h JOIN m USING (id) JOIN q USING (qid))
 SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rn FROM x WHERE sim >= CASE WHEN held THEN 0.32 ELSE 0.55 END AND (NOT regexp_matches(question, '\\d') OR len(list_intersect(regexp_extract_all(question, '\\d+'), regexp_extract_all(text, '\\d+'))) > 0)) WHERE rn <= 5 AND qid = 11""")
 def semantic_forget(spark, sf):
     """What a command to forget takes away."""
-    m, q = MEMORY.df(spark), _q(spark).where("qid = 11")
+    m, q = MEMORY.df(spark, sf), _q(spark, sf).where("question like 'forget%'")
     return ro.to_forget(q, ro.candidates(q, m), m)
 
 
@@ -173,13 +167,13 @@ t AS (SELECT source, min(title) AS title FROM s GROUP BY 1), q AS (SELECT qid, {
 b AS (SELECT qid, source, title, round(len(list_intersect(f, w)) / sqrt(len(f) * len(w)), 6) AS sim FROM q, (SELECT *, {_focus('title')} AS w FROM t)), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, source) AS rn FROM b WHERE sim >= 0.6) WHERE rn = 1)
 SELECT qid, any_value(c.title) AS title, count(*) AS steps, string_agg(n || '. ' || CASE WHEN regexp_extract(s, '^(.*?[.!?])(?:\s|$)', 1) = '' THEN s ELSE regexp_extract(s, '^(.*?[.!?])(?:\s|$)', 1) END, ' ' ORDER BY n) AS body, greatest(count(*) - 5, 0) AS rest FROM c JOIN s USING (source) GROUP BY qid""")
 def procedure_answers(spark, sf):
-    return ro.procedures(_q(spark), MEMORY.df(spark))
+    return ro.procedures(_q(spark, sf), MEMORY.df(spark, sf))
 
 
 @query(f"""WITH s AS (SELECT id, split_part(source, ':', 2) AS seed FROM {MEMORY.sql} WHERE starts_with(source, 'story:')), q AS (SELECT qid, lower(question) AS low FROM {QUESTIONS.sql} WHERE regexp_matches(lower(question), '\\b(again|you told|you made up|that story)\\b') AND contains(lower(question), 'story'))
 SELECT qid, coalesce((SELECT max(id) FROM s WHERE list_contains(regexp_extract_all(low, '[a-z]+'), seed)), (SELECT max(id) FROM s)) AS id FROM q""")
 def story_recall(spark, sf):
-    return ro.told_story(_q(spark), MEMORY.df(spark))
+    return ro.told_story(_q(spark, sf), MEMORY.df(spark, sf))
 
 
 @query(f"WITH {_UPTO['good']} SELECT qid, id, 'rank ' || rank || ' of ' || n || ': ' || source AS why FROM (SELECT qid, id, source, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sim DESC, id) AS rank, count(*) OVER (PARTITION BY qid) AS n FROM re) WHERE rank <= 5")
@@ -187,7 +181,7 @@ def explained_ranks(spark, sf):
     """The five best of each question with their place and source."""
     from pyspark.sql import Window
 
-    named, q = _named(spark)
+    named, q = _named(spark, sf)
     r = ro.reranked(ro.alignment(named, q), q)
     w = Window.partitionBy("qid")
     r = r.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), F.desc("sim"), "id"))).where("rank <= 5")

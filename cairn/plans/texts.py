@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..functions import text as tx
-from .registry import query, sql_list, table
+from .registry import example, given, query, sql_list, table
 
 _SENT = r"""list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(31), 'g'), chr(31)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: length(s) > 0)"""
 _T = r"""trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
@@ -119,7 +119,7 @@ def _literals(rows: list[str], name: str) -> str:
     return "(VALUES " + ", ".join("(" + str(i) + ", '" + r.replace("'", "''") + "')" for i, r in enumerate(rows)) + f") AS t(id, {name})"
 
 
-@query(rf"""WITH q AS (SELECT id AS qid, q AS text FROM {_literals(_QUESTIONS, "q")}), a AS (SELECT id AS aid, a FROM {_literals(_ANSWERS, "a")}),
+@example(rf"""WITH q AS (SELECT id AS qid, q AS text FROM {_literals(_QUESTIONS, "q")}), a AS (SELECT id AS aid, a FROM {_literals(_ANSWERS, "a")}),
 k AS (SELECT qid, text AS q, CASE WHEN text = '' THEN 'general' {_case(tx.QUESTION_TYPES)} ELSE 'general' END AS qtype FROM q),
 f AS (SELECT qid, aid, qtype, a, list_filter(regexp_extract_all(lower(q), '[a-z][a-z''-]+'), lambda w: length(w) >= 3 AND NOT list_contains([{sql_list(tx.QUESTION_STOPWORDS)}], w)) AS subject, regexp_extract_all(lower(a), '[a-z][a-z''-]+') AS words FROM k, a)
 SELECT qid, aid, qtype, CASE WHEN a = '' THEN false {" ".join(f"WHEN qtype = '{k}' THEN regexp_matches(trim(a), '{p.replace(chr(39), chr(39) * 2)}')" + (" OR regexp_matches(trim(a), '" + tx.ANSWER_SHAPES["person"] + "')" if k == "place" else "") for k, p in tx.ANSWER_SHAPES.items())}
@@ -180,14 +180,14 @@ def emotion_keywords(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.keyword_class(F.col("text"), EMOTIONS).alias("emotion"))
 
 
-_DATED = ["He was born on 15 February 1564 and died on 8 January 1642.", "She lived March 4, 1815 to November 27, 1852.", "The 12 Foo 1800 meeting", "On 31 December 999 and July 4 1776", "no date here"]
+_DATED = given("t", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'ordered on 15 February ' || CAST(1560 + o_custkey % 400 AS STRING) || ' and sent on 8 January 1642.' WHEN 1 THEN 'from March 4, ' || CAST(1800 + o_custkey % 200 AS STRING) || ' to November 27, 1852.' WHEN 2 THEN 'The 12 Foo 1800 meeting' ELSE 'On ' || CAST(1 + o_custkey % 40 AS STRING) || ' December 999 and July 4 1776' END AS s FROM orders", "orders")
 
 
-@query(rf"""WITH t AS (SELECT id, s FROM {_literals(_DATED, "s")}), x AS (SELECT id, unnest(regexp_extract_all(s, '\d{{1,2}}\s+[A-Za-z]+\s+\d{{3,4}}|[A-Za-z]+\s+\d{{1,2}},?\s+\d{{3,4}}')) AS x FROM t),
+@query(rf"""WITH t AS (SELECT id, s FROM {_DATED.sql}), x AS (SELECT id, unnest(regexp_extract_all(s, '\d{{1,2}}\s+[A-Za-z]+\s+\d{{3,4}}|[A-Za-z]+\s+\d{{1,2}},?\s+\d{{3,4}}')) AS x FROM t),
 p AS (SELECT id, regexp_extract(x, '(\d{{3,4}})$', 1)::INT AS y, list_position([{sql_list(num.MONTHS)}], lower(regexp_extract(x, '[A-Za-z]+')))::INT AS m, CASE WHEN regexp_matches(x, '^\d') THEN regexp_extract(x, '^\d+') ELSE regexp_extract(x, '[A-Za-z]\s+(\d{{1,2}})', 1) END::INT AS d FROM x)
 SELECT id, y, m, d FROM p WHERE m > 0 AND d BETWEEN 1 AND 31""")
 def date_parse(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_DATED)), "id int, s string")
+    rows = _DATED.df(spark, sf)
     return rows.select("id", F.inline(num.dates(F.col("s"))))
 
 
@@ -197,16 +197,16 @@ def age_between(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", num.age(part("o_orderdate"), part(F.lit("2024-06-15").cast("timestamp"))).alias("age"))
 
 
-_MEASURES = ["The tower has a height of 330 metres.", "The bridge has a length of 2.7 km in all.", "The whale has a mass of 140 tonnes.", "The moon has a diameter of 3,474 kilometres.", "The star has a radius of 0.7 million km.", "The plane flies at a speed of 560 mph.", "Nothing here"]
+_MEASURES = given("t", "SELECT p_partkey AS id, 'The ' || p_name || CASE p_size % 6 WHEN 0 THEN ' has a height of ' || CAST(p_size AS STRING) || ' metres.' WHEN 1 THEN ' has a length of ' || CAST(p_size AS STRING) || '.7 km in all.' WHEN 2 THEN ' has a mass of 1,' || CAST(100 + p_size AS STRING) || ' tonnes.' WHEN 3 THEN ' has a radius of 0.7 million km.' WHEN 4 THEN ' flies at a speed of ' || CAST(p_size AS STRING) || ' mph.' ELSE ' is here' END AS s FROM part", "part")
 _MEASURE = r"(height|length|mass|diameter|radius|speed) of ([0-9][0-9,.]*[0-9]|[0-9]) ?(thousand|million|billion|trillion)? ?([a-z/]+)"
 _UNITS = {**num.LENGTH, **num.MASS, **num.SPEED}
 
 
-@query(rf"""WITH t AS (SELECT id, s FROM {_literals(_MEASURES, "s")}), m AS (SELECT id, regexp_extract(s, '{_MEASURE}', 1) AS dim, replace(regexp_extract(s, '{_MEASURE}', 2), ',', '') AS x, regexp_extract(s, '{_MEASURE}', 3) AS scale, regexp_extract(s, '{_MEASURE}', 4) AS unit FROM t WHERE regexp_matches(s, '{_MEASURE}')),
+@query(rf"""WITH t AS (SELECT id, s FROM {_MEASURES.sql}), m AS (SELECT id, regexp_extract(s, '{_MEASURE}', 1) AS dim, replace(regexp_extract(s, '{_MEASURE}', 2), ',', '') AS x, regexp_extract(s, '{_MEASURE}', 3) AS scale, regexp_extract(s, '{_MEASURE}', 4) AS unit FROM t WHERE regexp_matches(s, '{_MEASURE}')),
 u AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _UNITS.items())}) AS u(unit, f)), c AS (SELECT * FROM (VALUES ('', 1.0::DOUBLE), {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in num.SCALE.items())}) AS c(scale, g))
 SELECT id, dim, round(x::DOUBLE * g * f, 6) AS si FROM m JOIN u USING (unit) JOIN c USING (scale)""")
 def unit_convert(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_MEASURES)), "id int, s string").where(F.col("s").rlike(_MEASURE))
+    rows = _MEASURES.df(spark, sf).where(F.col("s").rlike(_MEASURE))
     part = lambda k: F.regexp_extract("s", _MEASURE, k)
     value = F.replace(part(2), F.lit(","), F.lit("")).cast("double") * F.coalesce(num.lookup(part(3), num.SCALE), F.lit(1.0)) * num.lookup(part(4), _UNITS)
     return rows.select("id", part(1).alias("dim"), F.round(value, 6).alias("si")).where("si is not null")
