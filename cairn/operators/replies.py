@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.hv import top_k
+from ..sources.tables import scratch_dir, stored
 
 
 def symbol_answers(asked: DataFrame, claims: DataFrame) -> DataFrame:
@@ -93,6 +95,23 @@ def first_route(routes: list[tuple[str, DataFrame]]) -> DataFrame:
     return every.groupBy("qid").agg(F.min_by(F.struct("route", "answer"), F.struct("prio", "answer")).alias("x")).select("qid", "x.route", "x.answer")
 
 
+def staged(turns: DataFrame, routes: list[tuple[str, Callable[[DataFrame], DataFrame]]], fallback: str) -> DataFrame:
+    """qid, route, answer: one row for each turn (qid, question), from the first route that answers it.
+
+    A route is a function of the turns that no earlier one has answered, (qid, question), to answers (qid, answer; the least
+    of several counts), so that dear routes run for the turns that are left only. The turns left are
+    written after each route, and a null answer is none.
+    """
+    spark, top = turns.sparkSession, scratch_dir(turns.sparkSession)
+    left, found = stored(turns.select("qid", "question"), f"{top}/turns"), []
+    for i, (name, route) in enumerate(routes):
+        given = route(left).where("answer is not null").groupBy("qid").agg(F.min("answer").alias("answer")).join(left.select("qid"), "qid", "left_semi")
+        found.append(stored(given.select("qid", F.lit(name).alias("route"), "answer"), f"{top}/found{i}"))
+        left = stored(left.join(found[-1].select("qid"), "qid", "left_anti"), f"{top}/left{i}")
+    found.append(left.select("qid", F.lit("fallback").alias("route"), F.lit(fallback).alias("answer")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def by_mode(mode: str, handlers: dict) -> DataFrame:
     """The frame that the handler of a mode makes; "hybrid" runs all handlers and unites their rows."""
     if mode == "hybrid":

@@ -140,7 +140,7 @@ def semantic_answers(questions: DataFrame, memory: DataFrame) -> DataFrame:
     good = covered(best, asked).join(asked, "qid")
     plain = simplified(F.col("text"))
     negative = F.lower("question").rlike(NEGATIVE) & ~F.lower("text").rlike(NEGATIVE)
-    body = F.when(negative, F.concat(F.lit("Asked for a negative, what is held is the positive: "), plain)).otherwise(plain)
+    body = F.concat(F.when(negative, "Asked for a negative, what is held is the positive: ").otherwise(""), plain)
     return good.select("qid", "id", "score", F.when(~negative & (F.col("sim") >= SURE), "high").otherwise("med").alias("band"), body.alias("body"))
 
 

@@ -10,9 +10,9 @@ from ..operators import route as ro
 from .registry import given, query, sql_list
 
 #: The documents as a memory: sources of a kind each, named by the first words of the text.
-MEMORY = given("m", "SELECT doc_id AS id, CASE doc_id % 11 WHEN 3 THEN 'How to ' || source || ', step ' || CAST(doc_id % 7 + 1 AS STRING) || ': ' || text ELSE text END AS text, CASE doc_id % 11 WHEN 0 THEN 'user_msg' WHEN 1 THEN 'directive:' || source WHEN 2 THEN 'story:' || source WHEN 3 THEN 'wikihow:' || source ELSE 'wikipedia:' || translate(substr(text, 1, 30), ' ', '_') END AS source FROM documents", "documents")
-#: The user turns as questions, some with the words that routes go by.
-QUESTIONS = given("q", "SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 7 WHEN 0 THEN 'How to ' || text WHEN 1 THEN 'how many ' || text WHEN 2 THEN 'forget that ' || text WHEN 3 THEN 'tell that story again ' || text ELSE text END AS question FROM conversations WHERE role = 'user'", "conversations")
+MEMORY = given("m", "SELECT doc_id AS id, CASE doc_id % 11 WHEN 3 THEN 'How to ' || source || ', step ' || CAST(doc_id % 7 + 1 AS STRING) || ': ' || replace(text, chr(10), ' ') ELSE text END AS text, CASE doc_id % 11 WHEN 0 THEN 'user_msg' WHEN 1 THEN 'directive:' || source WHEN 2 THEN 'story:' || source WHEN 3 THEN 'wikihow:' || source ELSE 'wikipedia:' || translate(substr(text, 1, 30), ' ', '_') END AS source FROM documents", "documents")
+#: The user turns as questions, some with the words that routes go by, and what the benchmark asks.
+QUESTIONS = given("q", "SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 7 WHEN 0 THEN 'How to ' || text WHEN 1 THEN 'how many ' || text WHEN 2 THEN 'forget that ' || text WHEN 3 THEN 'tell that story again ' || text ELSE text END AS question FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - item_id, 'what is ' || text FROM benchmark UNION ALL SELECT -1000000 - doc_id, 'How to ' || source || '?' FROM documents WHERE doc_id % 100 = 3", "conversations", "benchmark", "documents")
 
 _STOP = sql_list(tx.QUESTION_STOPWORDS)
 
@@ -23,8 +23,8 @@ def _focus(text: str) -> str:
 
 _ECHO = "regexp_matches(coalesce(source, ''), '^(user_msg|agent_response|conversation_turn|image:|video:)')"
 _ASKED = "NOT (" + " OR ".join(f"regexp_matches(lower(question), '{p}')" for p in ro.COMPUTED) + ")"
-_CANDIDATES = f"""m AS (SELECT * FROM {MEMORY.sql}), q AS (SELECT * FROM {QUESTIONS.sql}), mw AS (SELECT id, unnest({_focus('text')}) AS word, len({_focus('text')}) AS m FROM m),
-c AS (SELECT qid, id, round(count(*) / sqrt(any_value(n) * any_value(m)), 6) AS sim FROM (SELECT qid, unnest({_focus('question')}) AS word, len({_focus('question')}) AS n FROM q) JOIN mw USING (word) GROUP BY 1, 2),
+_CANDIDATES = f"""m AS (SELECT * FROM {MEMORY.sql}), q AS (SELECT * FROM {QUESTIONS.sql}), fm AS MATERIALIZED (SELECT id, {_focus('text')} AS f FROM m), fq AS MATERIALIZED (SELECT qid, {_focus('question')} AS f FROM q), mw AS MATERIALIZED (SELECT id, unnest(f) AS word, len(f) AS m FROM fm),
+c AS (SELECT qid, id, round(count(*) / sqrt(any_value(n) * any_value(m)), 6) AS sim FROM (SELECT qid, unnest(f) AS word, len(f) AS n FROM fq) JOIN mw USING (word) GROUP BY 1, 2),
 h AS (SELECT qid, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rn FROM c) WHERE rn <= 48)"""
 _COHORT = f"""{_CANDIDATES}, k AS (SELECT * FROM (SELECT h.*, text, source, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rn FROM h JOIN m USING (id) WHERE NOT {_ECHO}) WHERE rn <= 14),
 co AS (SELECT qid, id, text, source, sim FROM (SELECT *, max(sim) OVER (PARTITION BY qid) AS best FROM k) WHERE best >= {ro.FLOOR} AND sim >= greatest(0.8 * {ro.FLOOR}, 0.7 * best))"""
@@ -162,7 +162,7 @@ def semantic_forget(spark, sf):
     return ro.to_forget(q, ro.candidates(q, m), m)
 
 
-@query(rf"""WITH s AS (SELECT source, regexp_extract(text, '^How to (.+?), step (\d+): (.+)$', 1) AS title, regexp_extract(text, '^How to (.+?), step (\d+): (.+)$', 2)::INT AS n, regexp_extract(text, '^How to (.+?), step (\d+): (.+)$', 3) AS s FROM {MEMORY.sql} WHERE starts_with(source, 'wikihow:')),
+@query(rf"""WITH s AS (SELECT source, regexp_extract(text, '^How to (.+?), step (\d+): (.+)$', 1) AS title, TRY_CAST(nullif(regexp_extract(text, '^How to (.+?), step (\d+): (.+)$', 2), '') AS INT) AS n, regexp_extract(text, '^How to (.+?), step (\d+): (.+)$', 3) AS s FROM {MEMORY.sql} WHERE starts_with(source, 'wikihow:') AND regexp_matches(text, '^How to (.+?), step (\d+): (.+)$')),
 t AS (SELECT source, min(title) AS title FROM s GROUP BY 1), q AS (SELECT qid, {_focus('question')} AS f FROM {QUESTIONS.sql} WHERE regexp_matches(lower(question), '^how (?:do|can|to)\b')),
 b AS (SELECT qid, source, title, round(len(list_intersect(f, w)) / sqrt(len(f) * len(w)), 6) AS sim FROM q, (SELECT *, {_focus('title')} AS w FROM t)), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, source) AS rn FROM b WHERE sim >= 0.6) WHERE rn = 1)
 SELECT qid, any_value(c.title) AS title, count(*) AS steps, string_agg(n || '. ' || CASE WHEN regexp_extract(s, '^(.*?[.!?])(?:\s|$)', 1) = '' THEN s ELSE regexp_extract(s, '^(.*?[.!?])(?:\s|$)', 1) END, ' ' ORDER BY n) AS body, greatest(count(*) - 5, 0) AS rest FROM c JOIN s USING (source) GROUP BY qid""")
