@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hv
 from ..functions import numeric as num
 from ..functions import text as tx
-from ..operators import blockmax, mine, retrieve
-from .registry import query, table
+from ..operators import blockmax, mine, retrieve, subcodes
+from .registry import ORACLE_SQL, query, table
 
 
 def _vectors(spark, sf):
@@ -203,6 +203,15 @@ def hamming_knn(spark, sf):
     return k.select("qid", "id", "distance", F.col("rank").cast("long").alias("rank"), F.round(hv.sim_pm1(F.col("distance"), hv.SMALL), 6).alias("sim_pm1"))
 
 
+@query(ORACLE_SQL["hamming_knn"])
+def hamming_knn_index(spark, sf):
+    """The same over a stored index of sub-codes: no pass over the rows, and no query goes through the driver."""
+    rows = _record(spark, sf).select(F.col("c_custkey").alias("id"), "hv")
+    index = subcodes.index(rows, 5, hv.SMALL)
+    k = subcodes.nearest(index, rows.where("id % 100 = 0").withColumnRenamed("id", "qid"), 5, hv.SMALL)
+    return k.select("qid", "id", "distance", F.col("rank").cast("long").alias("rank"), F.round(hv.sim_pm1(F.col("distance"), hv.SMALL), 6).alias("sim_pm1"))
+
+
 def _document_words(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.lower_tokens(F.col("text")).alias("words"))
 
