@@ -186,14 +186,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, order: int = ORDER, quantile
     per = F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n")))
     full = docs.select(id_, "lang").join(scored.select("id", "n", per.alias("perplexity")), "id", "left")
     held = full.where(tested & F.col("perplexity").isNotNull()).join(good, F.col("id") == F.col("g"))
-    # a row for each language and one for all: as many as languages
-    edges = held.rollup("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("t"), F.grouping("lang").alias("all")).collect()
-    default = next((r.t for r in edges if r["all"] and r.t is not None), float("inf"))
-    threshold = F.lit(default)
-    for r in edges:
-        if not r["all"]:
-            threshold = F.when(F.col("lang").eqNullSafe(F.lit(r.lang)), r.t).otherwise(threshold)
-    return full.select(F.col("id").alias("doc_id"), "lang", F.coalesce("n", F.lit(0)).alias("n_bytes"), "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"))
+    edges = held.rollup("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("t"), F.grouping("lang").alias("all"))
+    edges = stored(edges.withColumnRenamed("lang", "l"), f"{scratch_dir(spark)}/edges")
+    default = edges.where("all = 1 and t is not null").first()
+    own = full.join(edges.where("all = 0").select("l", "t"), F.col("lang").eqNullSafe(F.col("l")), "left")
+    threshold = F.coalesce("t", F.lit(default.t if default else float("inf")))
+    return own.select(F.col("id").alias("doc_id"), "lang", F.coalesce("n", F.lit(0)).alias("n_bytes"), "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"))
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

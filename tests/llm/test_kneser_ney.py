@@ -101,3 +101,19 @@ def test_thresholds(spark):
             own = [h for h in held if h.lang == r.lang] or held
             assert abs(r.threshold - edge(own)) < 1e-9 and r.keep == (r.perplexity is not None and r.perplexity <= r.threshold)
         assert len({r.threshold for r in got}) > 2
+
+
+def test_many_languages(spark):
+    """5,000 languages and a null one: thresholds are a joined table."""
+    rows = [(i, f"text {i % 7} of some kind {i}", None if i % 50 == 0 else f"l{i % 5001}") for i in range(15_003)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(15_003)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tested = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit("test"), F.col("doc_id")), F.lit(5)) == 0).collect()}
+    got = classify(docs, labels).collect()
+    most = {}
+    for r in got:
+        if r.doc_id in tested:
+            most[r.lang] = max(most.get(r.lang, 0), r.perplexity)
+    assert len(got) == len(rows) and None in most and len(most) > 2000
+    assert all(abs(r.threshold - most[r.lang]) < 1e-9 for r in got if r.lang in most)
+    assert len({r.threshold for r in got if r.lang not in most}) == 1
