@@ -27,7 +27,8 @@ Edge cases: null text, empty text or no words: empty set, linked with nothing, i
 component; fewer words than n: the whole sequence is one token; repeated rows are equal
 sets; rows that repeat a doc_id with other texts are one node, whose links are those of
 any of its rows; a null doc_id is left out of links and is its own (null) component; an
-empty table gives no rows; further columns are carried by ``keep_first``.
+empty table gives no rows; texts of any length are read whole; further columns are carried by ``keep_first``,
+which decides by row, not by id.
 """
 
 from __future__ import annotations
@@ -278,10 +279,25 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the least of their component (one document of each group of near copies)."""
-    made = linked_components(docs, id_col=id_col, text_col=text_col, **options)
-    lost = made.where("component_id <> id").select("id").distinct()
-    return docs.join(lost, docs[id_col].cast("long") == lost["id"], "left_anti")
+    """The rows of docs without near copies: of each group of linked texts the row of the least id stays (of several, one), the same of equal rows.
+
+    A row counts by its id and text together (a 64-bit hash of both), so other texts under its id are not
+    touched. Rows without an id, and those without words, all stay.
+    """
+    node = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    top = scratch_dir(docs.sparkSession)
+    made = linked_components(docs.select(node.alias("_node"), F.col(text_col).alias("text")), id_col="_node", **options)
+    made = stored(made.where("id is not null and n_shingles > 0").select("id", F.col("component_id").alias("c")), f"{top}/made")
+    several = made.groupBy("c").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("c")
+    members = stored(made.join(several, "c"), f"{top}/members")
+    named = docs.select(node.alias("id"), F.col(id_col).cast("long").alias("i"))
+    best = members.join(named, "id").groupBy("c").agg(F.min(F.struct("i", "id")).alias("b")).select("c", "b.id")
+    first = stored(members.join(best, ["c", "id"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")), f"{top}/first")
+    lost = members.join(first, "id", "left_anti").select("id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), node.alias("_node"))
+    rows = rows.join(lost, F.col("_node") == lost["id"], "left_anti").join(first.where("n > 1"), F.col("_node") == F.col("id"), "left")
+    one = rows.where("n is not null").groupBy("_node").agg(F.min_by("_row", F.struct(F.xxhash64("_row"), F.col("_row").cast("string"))).alias("_row"))
+    return rows.where("n is null").select("_row").unionByName(one.select("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -74,6 +74,24 @@ def test_edges(spark):
     assert linked_components(empty_docs(spark)).count() == 0
 
 
+def rows_left(rows, k, num, den):
+    """Which rows (id, text, ...) stay: one of each group of linked texts, that of the least id; rows without id or words all do."""
+    live = [r for r in rows if r[0] is not None and shingles(r[1], k)]
+    texts = sorted({r[:2] for r in live})
+    group, _ = brute(list(enumerate(t for _, t in texts)), k, num, den)
+    return {texts[i] for i, c in group.items() if i == c}, [r for r in rows if r[0] is None or not shingles(r[1], k)]
+
+
+def test_keep_first_by_row(spark):
+    """A text of its own under a repeated id stays where another text of that id goes, and equal rows leave one."""
+    rng = random.Random(4)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(1, a, "x"), (2, a + " end", "x"), (2, b, "x"), (3, c, "x"), (3, c, "x"), (3, c, "y"), (3, b + " fin", "z"), (4, None, "x"), (4, None, "x"), (None, a, "x"), (5, " ", "x")] + [(9, a, "x")] * 50
+    got = sorted((tuple(r)[:2] for r in keep_first(spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)).collect()), key=str)
+    kept, always = rows_left(rows, 5, 80, 100)
+    assert got == sorted([*kept, *[r[:2] for r in always]], key=str) and (2, b) in kept and (2, a + " end") not in kept
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (205, 200), (200, 203)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
