@@ -23,7 +23,8 @@ chance of 2^-64 among those of one anchor); the texts of what is left are compar
 
 Edge cases: a null or empty text, or one under 50 bytes, loses nothing; rows that repeat a
 doc_id, with equal or other texts, take nothing from each other, as neither id is smaller, and each gets its own result; a
-null doc_id takes no part and loses nothing; an empty table gives no rows; further
+null doc_id takes no part and loses nothing; equal rows are cut alike and compared once; texts of any length are read whole, as
+one array of bytes; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -366,11 +367,21 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
 # --- the operator -------------------------------------------------------------
 
 
+def each_once(docs: DataFrame, path: str) -> DataFrame:
+    """docs (doc, u, text) with rows that are repeated taken once; only the texts of such rows move."""
+    again = stored(docs.groupBy("doc", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "u"), path)
+    if again.isEmpty():
+        return docs
+    once = docs.join(again, ["doc", "u"], "left_semi").groupBy("doc", "u").agg(F.first("text").alias("text"))
+    return docs.join(again, ["doc", "u"], "left_anti").unionByName(once)
+
+
 def covered_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     """doc, u and spans (array of start and stop, not yet merged) of the texts (doc, u: a hash that tells the texts of a doc apart, text) that lose bytes."""
     spark = docs.sparkSession
     small_batches(spark)
     top = scratch_dir(spark)
+    docs = each_once(docs, f"{top}/again")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size) // PART_BYTES)
     sorted_ = anchor_rows(docs, length).repartition(parts, "h").sortWithinPartitions("h", "c", "doc")

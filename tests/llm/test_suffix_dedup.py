@@ -83,3 +83,24 @@ def test_edges(spark, make, schema):
     rows = make()
     assert check(spark.createDataFrame(rows, schema).repartition(3), [r[:2] for r in rows]) > 0
     assert cut_documents(empty_docs(spark)).count() == 0
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    """Contexts don't grow with the copies of a row under one id, and each copy gets the same result."""
+    rng = random.Random(6)
+    base = words(rng, 60)
+    near = base[:150] + "#" + base[151:]
+    made = []
+    cut = suffix_dedup.cut_contexts
+
+    def counted(*args):
+        made.append(cut(*args).count())
+        return cut(*args)
+
+    monkeypatch.setattr(suffix_dedup, "cut_contexts", counted)
+    for copies in (2, 60):
+        rows = [(1, base)] + [(2, near)] * copies + [(3, words(rng, 40))]
+        got = cut_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == copies + 2 and len({tuple(r) for r in got if r.doc_id == 2}) == 1
+        assert [(r.n_removed, bytes(r.kept).decode()) for r in got if r.doc_id == 1] == [(0, base)] and all(r.n_removed > 100 for r in got if r.doc_id == 2)
+    assert made[0] == made[1]
