@@ -9,7 +9,7 @@ from ..functions import hv
 from ..functions import text as tx
 from ..operators import mine, retrieve
 from .graph import _LANES, _N, _atom, _bundle_sql, _distance, _lanes, _nations, _xor
-from .registry import given, literal, query, table
+from .registry import example, given, literal, query, table
 from .retrieval import _knn_sql, _vectors
 
 D = hv.SMALL * hv.LANE_BITS
@@ -370,7 +370,7 @@ _SIZES = [3, 7, 15, 31, 63]
 _CAPACITY = f"(SELECT n, i, 'item' || i AS label FROM (SELECT unnest({_SIZES}) AS n), (SELECT unnest(range(0, 63)) AS i) WHERE i < n) t"
 
 
-@query(f"""WITH m AS ({_atoms(_CAPACITY, 'label', 'n, label')}), b AS ({_bundle_sql('SELECT n, l0, l1 FROM m', 'n')}), o AS ({_atoms("(SELECT 'other' || unnest(range(0, 200)) AS label) t", 'label', 'label')}),
+@example(f"""WITH m AS ({_atoms(_CAPACITY, 'label', 'n, label')}), b AS ({_bundle_sql('SELECT n, l0, l1 FROM m', 'n')}), o AS ({_atoms("(SELECT 'other' || unnest(range(0, 200)) AS label) t", 'label', 'label')}),
 f AS (SELECT b.key AS n, min({_distance('b', 'o')}) AS far FROM b, o GROUP BY 1), d AS (SELECT m.n, {_distance('m', 'b')} AS d FROM m JOIN b ON b.key = m.n)
 SELECT d.n, count(*) AS items, round(avg(CASE WHEN d < far THEN 1.0 ELSE 0 END), 6) AS recall FROM d JOIN f USING (n) GROUP BY 1""")
 def capacity_curve(spark, sf):

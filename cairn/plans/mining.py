@@ -148,15 +148,10 @@ def cross_validated_pairs_documents(spark, sf):
     return mine.cross_validated(mine.typed_triples(_docs(spark, sf), tx.tokens(F.col("text"))))
 
 
-@query(f"""WITH p AS (SELECT lang, source, unnest(w[1:6]) AS w, generate_subscripts(w[1:6], 1) - 1 AS pos FROM (SELECT lang, source, {_CASED} AS w FROM documents))
+@query(f"""WITH d AS (SELECT lang, source, w, min(len(w)) OVER (PARTITION BY lang, source) AS least FROM (SELECT lang, source, {_CASED} AS w FROM documents)), p AS (SELECT lang, source, unnest(w[1:least]) AS w, generate_subscripts(w[1:least], 1) - 1 AS pos FROM d)
 SELECT lang, source, pos, count(DISTINCT w) AS n FROM p GROUP BY 1, 2, 3 HAVING count(DISTINCT w) > 1 AND bool_and(NOT list_contains({_FW}, lower(w)))""")
 def slot_detection(spark, sf):
-    return mine.slots(_docs(spark, sf), ["lang", "source"], tx.tokens(F.col("text")), 6).select("lang", "source", F.col("pos").cast("long").alias("pos"), "n")
-
-
-@query()
-def slot_detection_whole(spark, sf):
-    """The places of slot_detection up to the end of each group's shortest text (slot_detection and its SQL read six words)."""
+    """Places where the texts of a language and source differ and all have content words, up to the end of the group's shortest text."""
     return mine.slots(_docs(spark, sf), ["lang", "source"], tx.tokens(F.col("text"))).select("lang", "source", F.col("pos").cast("long").alias("pos"), "n")
 
 

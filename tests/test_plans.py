@@ -97,6 +97,6 @@ def test_slots_up_to_the_shortest_text(spark, tmp_path):
             at = [t[pos] for t in texts]
             if len(set(at)) > 1 and not any(x.lower() in tx.FUNCTION_WORDS for x in at):
                 want.append((*g, pos, len(set(at))))
-    got = [tuple(r) for r in QUERIES["slot_detection_whole"](spark, sf).collect()]
+    got = [tuple(r) for r in QUERIES["slot_detection"](spark, sf).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {("en", "a", 6, 2), ("en", "a", 7, 2), ("en", "a", 9, 2)} <= set(got) and not any(r[1] == "b" and r[2] > 1 for r in got)
