@@ -20,7 +20,8 @@ white space becomes one space.
 Edge cases: null or empty html, or a page without text: an empty text with 0 characters;
 unclosed, stray or nested tags never fail (a closing tag without an opening one is
 ignored; a head that isn't closed ends where the body's content begins; an embedded element that is
-closed in its own tag, or never, hides nothing); repeated rows get equal rows; an empty table gives no rows; further columns are
+closed in its own tag, or never, hides nothing; attributes are read as the HTML standard reads them, odd quotes included);
+pages of any length are read whole, in time by their length; repeated rows get equal rows; an empty table gives no rows; further columns are
 carried, those named like an output are replaced.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -57,25 +59,75 @@ HEAD = RAW | EMBEDDED | {"head", "meta", "link", "base", "html"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"button", "caption", "legend", "option", "select", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | EMBEDDED}
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+NESTED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in EMBEDDED}
+BETWEEN, ATTRIBUTE, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+#: Elements of a path at most: the innermost ones.
+DEPTH = 64
 WORD = re.compile(r"[a-z]+")
 
 
-def _label(tag: str, attributes: str) -> str:
+def attributes(page: str, pos: int) -> tuple[int, list[str], bool]:
+    """Where the tag whose attributes begin at pos ends, the values of its class, id and role, and whether it closes itself.
+
+    Names and values are told apart as the HTML standard does: a quote inside a name is a part of it, a value may be bare or in quotes,
+    and a tag that the page ends in takes the rest along.
+    """
+    values, n = [], len(page)
+    while True:
+        begin, pos = pos, BETWEEN.match(page, pos).end()
+        if pos >= n:
+            return n, values, False
+        if page[pos] == ">":
+            return pos + 1, values, page[begin:pos].rstrip().endswith("/")
+        end = ATTRIBUTE.match(page, pos).end()
+        name, pos = page[pos:end].lower(), end
+        equals = EQUALS.match(page, pos)
+        if not equals:
+            continue
+        pos = equals.end()
+        if page[pos : pos + 1] in ('"', "'"):
+            end = page.find(page[pos], pos + 1)
+            end = n if end < 0 else end
+            value, pos = page[pos + 1 : end], min(end + 1, n)
+        else:
+            end = BARE.match(page, pos).end()
+            value, pos = page[pos:end], end
+        if name in ("class", "id", "role"):
+            values.append(value)
+
+
+def _label(tag: str, values: list[str]) -> str:
     """An element in a path: its tag and the lower-case words of its class, id and role."""
-    if not attributes or attributes.isspace():
+    if not values:
         return tag
-    words = [w for _, v in ATTRIBUTE.findall(attributes) for w in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())]
+    words = [w for v in values for w in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())]
     return ".".join([tag, *dict.fromkeys(words)])
 
 
+def _after(page: str, tag: str, pos: int) -> int | None:
+    """Where an embedded element that begins before pos ends, elements of its name inside it counted; None if it doesn't."""
+    depth = 1
+    for m in NESTED[tag].finditer(page, pos):
+        if m[1]:
+            depth -= 1
+        elif not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def blocks(page: str) -> list[tuple[str, str, float]]:
-    """(path, text, share of the text inside links) of the leaf blocks, in page order."""
+    """(path, text, share of the text inside links) of the leaf blocks, in page order; a path has DEPTH elements at most.
+
+    The page is read once: each tag is parsed where it stands, and what is open is counted by name.
+    """
     out: list[tuple[str, str, float]] = []
-    stack: list[str] = []  # labels
+    path: list[str] = []  # labels of the open block elements
     tags: list[str] = []
+    open_: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
     at = 0
@@ -85,74 +137,95 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append(("/".join(x for x, t in zip(stack, tags, strict=True) if t in BLOCK), whole, min(1.0, linked / len(whole))))
+                out.append(("/".join(path[-DEPTH:]), whole, min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
-    def close(to: int):
-        del stack[to:], tags[to:]
+    def close(tag: str):
+        """Close the innermost element of the name and all inside it."""
+        while True:
+            last = tags.pop()
+            open_[last] -= 1
+            if last in BLOCK:
+                path.pop()
+            if last == tag:
+                return
 
     def piece(upto: int):
         nonlocal linked
         own = page[at:upto]
-        if "head" in tags:
+        if open_["head"]:
             if own.isspace():
                 return
-            close(tags.index("head"))  # text ends the head
+            close("head")  # text ends the head
         text.append(own)
-        if "a" in tags:
+        if open_["a"]:
             linked += len(own.strip())
 
     endless: set[str] = set()  # elements that aren't closed any more
-    pos = 0
-    while m := TOKEN.search(page, pos):
-        if m.start() > at:
-            piece(m.start())
-        at = pos = m.end()
-        tag = m[2]
-        if tag is None:
+    pos, n = 0, len(page)
+    while (pos := page.find("<", pos)) >= 0:
+        closing = page.startswith("</", pos)
+        name = NAME.match(page, pos + 1 + closing)
+        comment = page.startswith(("<!", "<?"), pos) or (closing and not name and pos + 2 < n)
+        if not name and not comment:
+            pos += 1
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in tags:
-                to = len(tags) - 1 - tags[::-1].index(tag)
-                if not BLOCK.isdisjoint(tags[to:]):
+        if pos > at:
+            piece(pos)
+        if comment:
+            long = page.startswith("<!--", pos)
+            end = page.find("-->" if long else ">", pos + (2 if long else 1))
+            at = pos = n if end < 0 else end + (3 if long else 1)
+            continue
+        tag = name[0].lower()
+        end, values, closed = attributes(page, name.end())
+        at = pos = end
+        if closing:
+            if open_[tag]:
+                k = len(tags) - 1
+                while tags[k] != tag and tags[k] not in BLOCK:
+                    k -= 1
+                if tags[k] in BLOCK:
                     flush()
-                close(to)
+                close(tag)
+            continue
+        if tag in EMBEDDED:  # its content is no text of the page
+            if tag not in endless and not closed:
+                end = _after(page, tag, pos)
+                if end is None:
+                    endless.add(tag)
+                else:
+                    at = pos = end
             continue
-        if tag in ENDS:  # its content is no text of the page
-            if tag in EMBEDDED and (tag in endless or m[3].rstrip().endswith("/")):
-                continue
-            end = ENDS[tag].search(page, pos)
-            if end:
-                at = pos = end.end()
-            elif tag in EMBEDDED:
-                endless.add(tag)
-            else:
-                at = pos = len(page)
+        if tag in RAW:
+            m = ENDS[tag].search(page, pos)
+            at = pos = m.end() if m else n
             continue
-        if "head" in tags and tag not in HEAD:
-            close(tags.index("head"))
+        if open_["head"] and tag not in HEAD:
+            close("head")
         if tag in BLOCK:
             flush()
         if tag in ("br", "hr"):
             text.append(" ")
         if tag in VOID:
             continue
-        if tag in ENDS_P and "p" in tags:
-            close(len(tags) - 1 - tags[::-1].index("p"))
-        elif tag in CLOSES and tags:
-            for i in range(len(tags) - 1, -1, -1):
-                if tags[i] in CLOSES[tag]:
-                    close(i)
+        if tag in ENDS_P and open_["p"]:
+            close("p")
+        elif tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
+            for k in range(len(tags) - 1, -1, -1):
+                if tags[k] in CLOSES[tag]:
+                    close(tags[k])
                     break
-                if tags[i] in ("ul", "ol", "dl", "table", "select"):
+                if tags[k] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            stack.append(_label(tag, m[3]))
+        if not closed or tag in BLOCK:
+            if tag in BLOCK:
+                path.append(_label(tag, values))
             tags.append(tag)
-    if at < len(page):
-        piece(len(page))
+            open_[tag] += 1
+    if at < n:
+        piece(n)
     flush()
     return out
 
@@ -458,7 +531,8 @@ def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
     h = F.xxhash64(F.lit("sample"), F.col(id_col))
     small = pages.where(F.octet_length(html_col) <= SAMPLE_BYTES).select(h.alias("h"), F.col(html_col).alias("page"))
     edge = small.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    few = small.where(F.col("h") <= edge).dropDuplicates(["h"]).collect() if edge is not None else []  # sample rows at most
+    # of pages with one hash (repeated ids) that of the least hash of its html: sample rows at most
+    few = small.where(F.col("h") <= edge).groupBy("h").agg(F.min_by("page", F.struct(F.xxhash64("page"), "page")).alias("page")).collect() if edge is not None else []
     return train(sorted(r.page for r in few))
 
 

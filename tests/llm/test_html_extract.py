@@ -1,9 +1,12 @@
 import os
+import random
 import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
+from cairn.llm import html_extract
 from cairn.llm.html_extract import Labeller, blocks, extract, learn, made_up, nameless, train
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><div class="logo">Site name</div></header>
@@ -40,6 +43,80 @@ def test_no_quadratic_scan():
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<p title="5" disk">Main text one</p>', ["Main text one"]), ("<p title='a>b' x='>'>one<p y=\"'\">two", ["one", "two"]), ("<svg><svg></svg> leak </svg><p>ok", ["ok"]), ("<svg><svg/><g/></svg>ok", ["ok"]), ("<template><template>x</template>y</template>z", ["z"]),
+    ("<p class=a/b>x</p>", ["x"]), ("a < b <3 </> c", ["a < b <3 c"]), ("x<!bogus>y<?z>w<!-- > -->v", ["xywv"]), ("x<!-- never", ["x"]), ("x<p a=\"never", ["x"]), ("<p =x=y z>t", ["t"]), ("<br/>a<img/>b", ["ab"]), ("a<div/>b</div>c", ["a", "b", "c"]),
+])
+def test_tags_as_the_standard_reads_them(html, want):
+    assert [t for _, t, _ in blocks(html)] == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<div>x", "<p title='", "<li><div>", "<svg>", "</p", "<b>", "<!--", "<td><table>", "<script>", '<a b="c'])
+def test_time_by_length(unit):
+    """Ten times the page takes about ten times as long."""
+    times = []
+    for n in (4_000, 40_000):
+        began = time.time()
+        found = blocks(unit * n)
+        times.append(time.time() - began)
+        assert all(p.count("/") < 64 for p, _, _ in found)
+    assert times[1] < 30 * max(times[0], 0.02)
+
+
+def walker(page):
+    """Texts of the blocks of well-formed pages, by the standard library's parser."""
+    out, text, hidden = [], [], []
+
+    class Walk(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in html_extract.BLOCK and not hidden:
+                out.append("".join(text))
+                text.clear()
+            if tag == "br" and not hidden:
+                text.append(" ")
+            if tag in html_extract.RAW | html_extract.EMBEDDED:
+                hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCK and not hidden:
+                out.append("".join(text))
+                text.clear()
+            if hidden and hidden[-1] == tag:
+                hidden.pop()
+
+        def handle_data(self, data):
+            if not hidden:
+                text.append(data)
+
+    walk = Walk()
+    walk.feed(page)
+    walk.close()
+    return [" ".join(x.split()) for x in [*out, "".join(text)] if x.split()]
+
+
+def test_against_a_tree_walker():
+    rng = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.25:
+            return rng.choice([" some text ", "a &amp; b", "x<br>y", "<!-- no <p> -->", "5 &lt; 6 ", "<img src=a>", ""])
+        tag = rng.choice(["div", "section", "b", "a", "i", "ul", "span", "script", "svg", "article"])
+        inner = "var a = 1" if tag == "script" else "".join(tree(depth - 1) for _ in range(rng.randint(1, 3)))
+        return f"<{tag} {rng.choice(['', 'class=one', 'id=' + chr(34) + 'two > 1' + chr(34), 'title=' + chr(39) + 'it' + chr(34) + 's' + chr(39)])}>{inner}</{tag}>"
+
+    for _ in range(400):
+        page = "".join(tree(5) for _ in range(3))
+        assert [t for _, t, _ in blocks(page)] == walker(page), page
+
+
+def test_sample_of_repeated_ids(spark):
+    """One page of each id is learned from, whatever the order of rows."""
+    rows = [(1, f"<article><p>text number {i} of the page</p></article><nav>menu {i}</nav>") for i in range(9)] + [(2, PAGE)]
+    make = lambda own: learn(spark.createDataFrame(own, "page_id long, html string").repartition(3))
+    a, b = make(rows), make(rows[::-1])
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
 def test_main_text_only(model):
     found = blocks(PAGE)
     text = " ".join(t for (_, t, _), q in zip(found, model.predict([found])[0], strict=True) if q > 0.5)
