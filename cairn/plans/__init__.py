@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import algebra, claims, codebooks, dialogue, events, graph, knowledge, language, memory, mining, replies, retrieval, routes, texts, turns  # noqa: F401  they register their queries
+from . import algebra, claims, clustering, codebooks, dialogue, events, graph, knowledge, language, memory, mining, replies, retrieval, routes, texts, turns  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 
