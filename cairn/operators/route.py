@@ -224,10 +224,14 @@ def procedures(questions: DataFrame, memory: DataFrame, least: float = 0.6, show
     return head.select("qid", "title", "steps", F.array_join(F.transform("l", lambda x: x["line"]), " ").alias("body"), F.greatest(F.col("steps") - shown, F.lit(0)).cast("long").alias("rest"))
 
 
+# fixed values: what asks for a story told before
+TOLD = r"\b(again|you told|you made up|that story)\b"
+
+
 def told_story(questions: DataFrame, memory: DataFrame) -> DataFrame:
     """qid, id: the latest story row whose name stands in the question, else the latest of all."""
     s = memory.where(F.startswith("source", F.lit("story:"))).select("id", F.element_at(F.split("source", ":", 2), -1).alias("seed"))
-    q = questions.where(F.lower("question").rlike(r"\b(again|you told|you made up|that story)\b") & F.contains(F.lower("question"), F.lit("story"))).select("qid", F.lower("question").alias("low"))
+    q = questions.where(F.lower("question").rlike(TOLD) & F.contains(F.lower("question"), F.lit("story"))).select("qid", F.lower("question").alias("low"))
     named = q.select("qid", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z]+"), F.lit(0)))).alias("seed")).join(s, "seed").groupBy("qid").agg(F.max("id").alias("named"))
     last = s.agg(F.max("id").alias("last"))  # one row
     return q.join(named, "qid", "left").join(F.broadcast(last), F.lit(True)).select("qid", F.coalesce("named", "last").alias("id")).where("id is not null")

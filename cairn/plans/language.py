@@ -99,7 +99,7 @@ def voiced_answers(spark, sf):
 STORY = [(1, "The bear found a lamp in the forest."), (2, "The bear and the frog played near the river!"), (3, "On the hill the fox saw a star."), (4, "Where does the duck swim?"), (5, "The lamp is bright."), (6, "Take the lamp to the girl"), (7, ""), (8, "Yesterday it rained.")]
 _FRAMES = {
     1: {"_intent": "statement", "agent": "bear", "action": "found", "patient": "lamp", "location": "forest"}, 2: {"_intent": "exclamation", "agent": "bear and frog", "action": "played", "location": "river"},
-    3: {"_intent": "statement", "location": "hill", "agent": "fox", "action": "saw", "patient": "star"}, 4: {"_intent": "question", "question": "where", "agent": "duck", "action": "swim"},
+    3: {"_intent": "command", "location": "hill", "agent": "fox", "action": "saw", "patient": "star"}, 4: {"_intent": "question", "question": "where", "agent": "duck", "action": "swim"},
     5: {"_intent": "statement", "agent": "lamp", "action": "is", "attribute": "bright"}, 6: {"_intent": "command", "agent": "take", "action": "the", "patient": "lamp", "goal": "girl"}, 7: {"_intent": "empty"},
     8: {"_intent": "statement", "time": "yesterday", "agent": "it", "action": "rained"},
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.hv import top_k
 
+# fixed values: pronouns that a sentence may begin with, and where a title ends
 PRONOUN = r"(?i)^(it|its|they|their|he|she|his|her|this|these) "
 TITLE = r"^(.{2,48}?)\s+(?:is|was|are|were)\b"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: relation fields of the dump
-RELATIONS = ("synonyms", "antonyms", "hypernyms", "hyponyms", "holonyms", "meronyms", "derived", "related", "coordinate_terms")
+RELATIONS = ("synonyms", "antonyms", "hypernyms", "hyponyms", "derived", "related", "meronyms", "holonyms", "coordinate_terms")
 _WORDS = "array<struct<word:string>>"
 _REL = ", ".join(f"{r} {_WORDS}" for r in RELATIONS)
 _REL_IN = ", ".join(f"{r}: {_WORDS}" for r in RELATIONS)
