@@ -304,6 +304,32 @@ def feed_forward(spark, sf):
     return hv.snap(out, book, "r_name").select("n_name", F.col("nearest").alias("out"), "distance", (F.col("distance") <= D * 4 // 10).alias("sure"))
 
 
+_ZONE = "CASE r_regionkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END"
+_STACK = f"""WITH k1 AS ({_bundle_sql(f"SELECT 1 AS one, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('n_name', 'r_name')))} FROM nation JOIN region ON n_regionkey = r_regionkey", 'one')}),
+k2 AS ({_bundle_sql(f"SELECT 1 AS one, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('r_name', _ZONE)))} FROM region", 'one')}),
+r AS ({_atoms('region', 'r_name', 'r_name')}), z AS ({_atoms("(SELECT unnest(['even', 'odd']) AS zone)", 'zone', 'zone')}), q1 AS (SELECT n_name, {', '.join(f"xor(k1.l{i}, {_atom('n_name', i)}) AS l{i}" for i in _N)} FROM nation, k1),
+m AS (SELECT n_name, arg_min(r_name, (distance, r_name)) AS mid FROM (SELECT n_name, r_name, {_distance('q1', 'r')} AS distance FROM q1, r) GROUP BY 1), q2 AS (SELECT n_name, mid, {', '.join(f"xor(k2.l{i}, {_atom('mid', i)}) AS l{i}" for i in _N)} FROM m, k2),
+q3 AS (SELECT n_name, {', '.join(f'xor(k2.l{i}, q1.l{i}) AS l{i}' for i in _N)} FROM q1, k2), o AS (SELECT n_name, any_value(mid) AS mid, arg_min(zone, (distance, zone)) AS out FROM (SELECT n_name, mid, zone, {_distance('q2', 'z')} AS distance FROM q2, z) GROUP BY 1)"""
+
+
+@query(f"{_STACK} SELECT n_name, mid, out, raw FROM o JOIN (SELECT n_name, arg_min(zone, (distance, zone)) AS raw FROM (SELECT n_name, zone, {_distance('q3', 'z')} AS distance FROM q3, z) GROUP BY 1) USING (n_name)")
+def layer_stack(spark, sf):
+    """Two layers, nation to region to zone: each commits to its nearest output before the next one; raw goes through both keys and is cleaned up at the end only."""
+    n, r = _nations(spark, sf), table(spark, sf, "region")
+    zone = F.when(F.col("r_regionkey") % 2 == 0, "even").otherwise("odd")
+    regions = r.select("r_name", hv.atom(F.col("r_name")).alias("hv"))
+    zones = r.select(zone.alias("zone")).distinct().select("zone", hv.atom(F.col("zone")).alias("hv"))
+    one = lambda pairs, name: hv.bundle(pairs.select(F.lit(1).alias("one"), "hv"), ["one"]).select(F.col("hv").alias(name))
+    k1 = one(n.select(hv.bind(F.col("hv"), hv.atom(F.col("r_name"))).alias("hv")), "k1")
+    k2 = one(r.select(hv.bind(hv.atom(F.col("r_name")), hv.atom(zone)).alias("hv")), "k2")
+    first = n.join(F.broadcast(k1), F.lit(True)).select("n_name", hv.bind(F.col("hv"), F.col("k1")).alias("hv"))  # a key is one row
+    mid = hv.snap(first, regions, "r_name").select("n_name", F.col("nearest").alias("mid"))
+    second = mid.join(F.broadcast(k2), F.lit(True)).select("n_name", "mid", hv.bind(hv.atom(F.col("mid")), F.col("k2")).alias("hv"))
+    through = first.join(F.broadcast(k2), F.lit(True)).select("n_name", hv.bind(F.col("hv"), F.col("k2")).alias("hv"))
+    raw = hv.snap(through, zones, "zone").select("n_name", F.col("nearest").alias("raw"))
+    return hv.snap(second, zones, "zone").select("n_name", F.col("nearest").alias("out")).join(mid, "n_name").join(raw, "n_name").select("n_name", "mid", "out", "raw")
+
+
 _CHAIN = "(SELECT s_name, unnest(['WORLD', r_name, n_name]) AS a, unnest(['level0', 'level1', 'level2']) AS level FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) t"
 _TAXON = _bundle_sql(f"SELECT s_name, {', '.join(f'{x} AS l{i}' for i, x in enumerate(_xor('level', 'a')))} FROM {_CHAIN}", "s_name")
 

@@ -238,6 +238,16 @@ def next_letters(spark, sf):
     return best.join(total, "context").select("context", "next", F.round(F.col("n") / F.col("s"), 6).alias("p"))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), p AS (SELECT line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
+n AS (SELECT line, next, count(*) AS n FROM p WHERE next IS NOT NULL AND trim(line) <> '' GROUP BY 1, 2) SELECT line, arg_min(next, (-n, next)) AS next, max(n) AS n, CAST(sum(n) AS BIGINT) AS seen FROM n GROUP BY 1 HAVING sum(n) >= 2""")
+def next_lines(spark, sf):
+    """The likeliest line after each line that goes on twice or more: pairs of lines as partial counts."""
+    lines = table(spark, sf, "documents").select(F.explode(F.array(F.split("text", "\n"))).alias("x"))
+    pairs = lines.select(F.inline(F.transform("x", lambda a, i: F.struct(a.alias("line"), F.get("x", i + 1).alias("next"))))).where("next is not null and trim(line) <> ''")
+    n = pairs.groupBy("line", "next").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("line").agg(F.min_by("next", F.struct(-F.col("n"), F.col("next"))).alias("next"), F.max("n").alias("n"), F.sum("n").alias("seen")).where("seen >= 2")
+
+
 def _beams_sql(steps: int, width: int) -> str:
     tok = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')"
     out = f"""WITH g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS g FROM (SELECT {tok} AS w FROM benchmark)), n AS (SELECT g[1] AS context, g[2] AS next, count(*) AS n FROM g GROUP BY 1, 2),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.hv import top_k
 from ..operators import route as ro
-from .registry import given, query, sql_list
+from .registry import given, query, sql_list, table
 
 #: The documents as a memory: sources of a kind each, named by the first words of the text.
 MEMORY = given("m", "SELECT doc_id AS id, CASE doc_id % 11 WHEN 3 THEN 'How to ' || source || ', step ' || CAST(doc_id % 7 + 1 AS STRING) || ': ' || replace(text, chr(10), ' ') ELSE text END AS text, CASE doc_id % 11 WHEN 0 THEN 'user_msg' WHEN 1 THEN 'directive:' || source WHEN 2 THEN 'story:' || source WHEN 3 THEN 'wikihow:' || source ELSE 'wikipedia:' || translate(substr(text, 1, 30), ' ', '_') END AS source FROM documents", "documents")
@@ -118,6 +118,12 @@ def title_injection(spark, sf):
     return ro.title_injected(_q(spark, sf), MEMORY.df(spark, sf))
 
 
+@query(f"SELECT conv_id, turn, regexp_matches(text, '{ro.NUMERIC}') AS numeric, len(regexp_extract_all(text, '{ro.NUMERIC}')) AS n FROM conversations WHERE text IS NOT NULL")
+def numeric_evidence(spark, sf):
+    """Which turns tell a number, in digits or words, and how many."""
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").rlike(ro.NUMERIC).alias("numeric"), F.size(F.regexp_extract_all("text", F.lit(ro.NUMERIC), F.lit(0))).cast("long").alias("n"))
+
+
 _OVERLAP = "len(list_intersect({0}, {1})) > 0"
 
 
