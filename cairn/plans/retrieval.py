@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hv
 from ..functions import numeric as num
 from ..functions import text as tx
-from ..operators import blockmax, mine, retrieve, subcodes
+from ..operators import blockmax, retrieve, subcodes
+from ..sources.tables import scratch_dir, stored
 from .registry import ORACLE_SQL, query, table
 
 
@@ -78,16 +79,23 @@ def zero_shot_labels(spark, sf):
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')"
 
 
+def _postings(spark, sf):
+    """The inverted index of the documents, written once, and the idf of its words."""
+    d = table(spark, sf, "documents")
+    index = stored(retrieve.postings(d, "doc_id", tx.lower_tokens(F.col("text"))), f"{scratch_dir(spark)}/postings")
+    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return index, df.select("token", num.idf(F.lit(d.count()), F.col("df")).alias("idf"))
+
+
 @query(f"""WITH p AS (SELECT doc_id AS id, unnest(list_distinct({_TOK})) AS token FROM documents), d AS (SELECT token, least(6, greatest(0.5, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1)) AS idf FROM p GROUP BY token),
 q AS (SELECT DISTINCT unnest({_TOK}) AS token FROM benchmark), w AS (SELECT token FROM q JOIN d USING (token) WHERE idf >= 4 AND length(token) >= 4)
 SELECT token, id, rn AS rank FROM (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY id) AS rn FROM p JOIN w USING (token)) WHERE rn <= 8""")
 def content_injection(spark, sf):
     """The first eight documents that hold each rare word of the benchmark."""
-    d = table(spark, sf, "documents")
     words = tx.lower_tokens(F.col("text"))
-    df = mine.document_frequency(d, words).select("token", num.idf(F.lit(d.count()), F.col("df")).alias("idf"))
+    index, df = _postings(spark, sf)
     rare = table(spark, sf, "benchmark").select(F.explode(words).alias("token")).distinct().join(df, "token").where((F.col("idf") >= 4) & (F.length("token") >= 4)).select("token")
-    return retrieve.first_holders(retrieve.postings(d, "doc_id", words), rare, 8).select("token", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieve.first_holders(index, rare, 8).select("token", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH p AS (SELECT doc_id AS id, unnest(list_distinct({_TOK})) AS token FROM documents), d AS (SELECT token, least(6, greatest(0.5, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1)) AS idf FROM p GROUP BY token),
@@ -97,10 +105,8 @@ s AS (SELECT qid, id, 0.05 * idf AS weight FROM x JOIN p USING (token) UNION ALL
 SELECT qid, id, score, rn AS rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM (SELECT qid, id, round(sum(weight), 6) AS score FROM s GROUP BY 1, 2)) WHERE rn <= 5""")
 def hybrid_rerank(spark, sf):
     """The five best documents for each benchmark text: 0.05 idf for a shared rare word, 0.04 idf for one that only shares a stem."""
-    d = table(spark, sf, "documents")
     words = tx.lower_tokens(F.col("text"))
-    df = mine.document_frequency(d, words).select("token", num.idf(F.lit(d.count()), F.col("df")).alias("idf"))
-    index = retrieve.postings(d, "doc_id", words)
+    index, df = _postings(spark, sf)
     x = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(words)).alias("token")).join(df, "token").where("idf >= 3")
     whole = x.join(index, "token").select("qid", "id", "token", "idf")
     stem = F.left("token", F.lit(5)).alias("stem")
@@ -219,8 +225,8 @@ def _document_words(spark, sf):
 @query()
 def document_vectors_knn(spark, sf):
     """The three documents nearest to each query document (ids divisible by 100) by full-width bundles of their words."""
-    d = _document_words(spark, sf)
-    return hv.knn(hv.text_vectors(d), hv.text_vectors(d.where("id % 100 = 0")).withColumnRenamed("id", "qid"), 3)
+    v = stored(hv.text_vectors(_document_words(spark, sf)), f"{scratch_dir(spark)}/vectors")  # made once, for rows and queries
+    return hv.knn(v, v.where("id % 100 = 0").withColumnRenamed("id", "qid"), 3)
 
 
 _SMALL_VECTORS = rf"""WITH w AS (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_-]+')) AS t FROM documents) GROUP BY 1, 2),
