@@ -110,14 +110,35 @@ def bind_all(pairs: Column, role, value) -> Column:
     return F.transform(pairs, lambda x: bind(atom(role(x)), atom(value(x))))
 
 
-def snap(rows: DataFrame, book: DataFrame, label: str, hv: str = "hv") -> DataFrame:
-    """rows with nearest (a label of the book: label, hv) and distance, ties to the lower label. The book is a codebook: a few atoms, gathered in one row."""
+#: Atoms of a codebook that is gathered in one row and broadcast.
+BOOK = 4096
+
+
+def snap(rows: DataFrame, book: DataFrame, label: str, hv: str = "hv", lanes: int = SMALL) -> DataFrame:
+    """rows with nearest (a label of the book: label, hv) and distance, ties to the lower label.
+
+    A book of up to ``BOOK`` atoms goes along with the rows as one row; a larger one becomes an index of sub-codes, with the same result.
+    """
+    if book.limit(BOOK + 1).count() > BOOK:
+        return _snap_by_index(rows, book, label, hv, lanes)
     whole = book.groupBy().agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col(hv).alias("hv"))).alias("_book"))
     near = F.array_min(F.transform("_book", lambda b: F.struct(hamming(F.col(hv), b["hv"]).alias("d"), b["label"].alias("label"))))
     found = rows.join(F.broadcast(whole), F.lit(True)).withColumn("_near", near)
     return found.select(*rows.columns, F.col("_near.label").alias("nearest"), F.col("_near.d").cast("long").alias("distance"))
 
 
+def _snap_by_index(rows: DataFrame, book: DataFrame, label: str, hv: str, lanes: int) -> DataFrame:
+    from ..operators import store, subcodes
+
+    top = scratch_dir(rows.sparkSession)
+    none = rows.sparkSession.createDataFrame([], "id long")
+    numbered = stored(store.with_new_ids(none, book.select(F.col(label).alias("_label"), F.col(hv).alias("hv")), ["_label"]), f"{top}/book")
+    asked = stored(rows.withColumn("_qid", F.monotonically_increasing_id()), f"{top}/rows")
+    best = subcodes.nearest(subcodes.index(numbered.select("id", "hv"), 1, lanes), asked.select(F.col("_qid").alias("qid"), F.col(hv).alias("hv")), 1, lanes)
+    named = best.join(numbered.select("id", "_label"), "id").select(F.col("qid").alias("_qid"), F.col("_label").alias("nearest"), "distance")
+    return asked.join(named, "_qid").select(*rows.columns, "nearest", "distance")
+
+
 def majority3(a: Column, b: Column, c: Column) -> Column:
     """The bundle of three vectors: each bit that two of them have."""
     two = F.zip_with(a, b, lambda x, y: F.struct(x.bitwiseAND(y).alias("both"), x.bitwiseOR(y).alias("one")))

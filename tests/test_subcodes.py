@@ -1,5 +1,6 @@
 import random
 
+from cairn.functions import hv
 from cairn.operators import subcodes
 
 
@@ -24,3 +25,15 @@ def test_fewer_rows_than_asked(spark):
     index = subcodes.index(spark.createDataFrame([(1, [5, 5])], "id long, hv array<long>"), 3, 2)
     got = subcodes.nearest(index, spark.createDataFrame([(7, [5, 4]), (8, [0, 0])], "qid long, hv array<long>"), 3, 2).collect()
     assert sorted((r.qid, r.id, r.distance, r["rank"]) for r in got) == [(7, 1, 1, 1), (8, 1, 4, 1)]
+
+
+def test_a_large_codebook_gives_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    code = lambda: [rng.getrandbits(60), rng.getrandbits(60)]
+    book = [(f"w{i}", code()) for i in range(12)]
+    book.append(("v", book[4][1]))  # a tie: the lower label
+    rows = [(i, [book[i % 13][1][0] ^ (1 << i), book[i % 13][1][1]]) for i in range(20)] + [(30, book[4][1]), (31, code())]
+    b, r = spark.createDataFrame(book, "label string, hv array<long>"), spark.createDataFrame(rows, "key long, hv array<long>")
+    want = sorted(map(str, hv.snap(r, b, "label").collect()))
+    monkeypatch.setattr(hv, "BOOK", 5)
+    assert sorted(map(str, hv.snap(r, b, "label").collect())) == want and "nearest='v'" in "".join(want)
