@@ -26,7 +26,7 @@ nothing; repeated rows give repeated pairs of a document row and an item once ea
 doc_id or item_id is a value like others; an empty table gives no rows; an item table with repeated ids counts each row's text, and
 of the texts of one id that a document row contains the one that shares most gives the
 row (the shorter of two that share as much). ``drop_contaminated`` decides by row, not by id, and
-carries all columns, whatever their names.
+carries all columns, whatever their names; ``contained`` returns ids only. Texts of any length are read whole.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ Edge cases: a text that is null or empty has no n-grams, a null perplexity and i
 kept; no trusted text at all: perplexities come from the uniform base alone and nothing
 is above the threshold; a null language is a language of its own; repeated rows get equal rows, and rows that
 repeat an id with other texts the least of their results; a null id has no perplexity; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; texts of any length are read whole; extra columns are ignored. There may be any number of languages.
 """
 
 from __future__ import annotations

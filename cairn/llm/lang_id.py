@@ -16,7 +16,8 @@ every other ASCII byte a space.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and not ambiguous;
 repeated rows get equal rows; texts labelled ``und`` are not learned from; no labelled text at all makes every text ``und``; a single
-learned language is predicted with score 1; an empty table gives no rows; further
+learned language is predicted with score 1; of languages whose codewords lose equally the first by name is
+predicted, and the text is ambiguous; texts of any length are read whole; an empty table gives no rows; further
 columns are carried, those named like an output are replaced.
 """
 

@@ -13,7 +13,7 @@ positions (array of start and length).
 Edge cases: a null or empty text is one empty line; keys shorter than ``min_chars``
 code points never drop; rows that repeat a doc_id count as one document and, with
 equal texts, get equal bitmaps; a null doc_id is a document of its own that is below
-all others; an empty table gives no rows; extra columns are carried, ``keep_bitmaps``
+all others; texts and lines of any length are read whole; an empty table gives no rows; extra columns are carried, ``keep_bitmaps``
 replaces those named n_lines, n_dropped and keep, ``apply_bitmaps`` none.
 """
 
