@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents.
+
+Edge cases: rows count one by one, by their id and text: a repeated id is no reason to go, and of equal rows
+the n-gram stage keeps one. Null and empty texts, and those without letters, end in the first stage; null ids, and nulls in
+other columns, go through; texts are read whole, whatever their length; an empty table, or an empty benchmark, gives what it must
+(no rows, or no document dropped); columns of any name are carried up to the last stage.
 """
 
 from __future__ import annotations
