@@ -12,7 +12,7 @@ from ..operators import claims as cl
 from .registry import capital, city, given, land, letters, person, query, sql_list, table
 
 #: id, s, topic: what the tables say of customers, nations and parts, in sentences; a nation's second row has its topic beside it.
-SENTENCES = given("t", f"""SELECT c_custkey AS id, {person('c_custkey')} || CASE c_custkey % 5 WHEN 0 THEN ' never saw it. ' ELSE ' saw it. ' END || {person('c_custkey')} || ' was born in ' || CAST(1700 + c_custkey % 200 AS STRING) || '. ' || {person('c_custkey')} || ' was born in ' || {city('c_nationkey')} || '. '
+SENTENCES = given("t", f"""SELECT c_custkey AS id, {person('c_custkey')} || CASE c_custkey % 7 WHEN 3 THEN ' never saw it. ' ELSE ' saw it. ' END || {person('c_custkey')} || ' was born in ' || CAST(1700 + c_custkey % 200 AS STRING) || '. ' || {person('c_custkey')} || ' was born in ' || {city('c_nationkey')} || '. '
   || {person('c_custkey')} || ' was a ' || CASE c_custkey % 3 WHEN 0 THEN 'keen physicist. ' WHEN 1 THEN 'famous composer. ' ELSE 'German painter. ' END || {person('c_custkey')} || ' died in ' || CAST(1730 + c_custkey % 300 AS STRING) || '.' AS s, CAST(NULL AS STRING) AS topic FROM customer
 UNION ALL SELECT 10000000 + n_nationkey, {city('n_nationkey')} || ' is the capital of ' || {land('n_nationkey')} || '. ' || {land('n_nationkey')} || ' is a small country.', NULL FROM nation
 UNION ALL SELECT 20000000 + n_nationkey, 'Its capital and largest city is ' || {city('n_nationkey')} || '.', {land('n_nationkey')} FROM nation
@@ -71,7 +71,7 @@ def two_hop_join(spark, sf):
 
 
 
-ASKED = given("asked", f"SELECT c_custkey AS qid, {person('c_custkey')} AS a, {person('(c_custkey + 7)')} AS b FROM customer WHERE c_custkey % 50 = 1", "customer")
+ASKED = given("asked", f"SELECT c_custkey AS qid, {person('c_custkey')} AS a, {person('(c_custkey + 7)')} AS b FROM customer WHERE c_custkey % 100 = 0", "customer")
 _SAME = "(c.subj = k.name OR contains(c.subj, k.name) OR contains(k.name, c.subj) OR regexp_extract(c.subj, '(\\S+)$', 1) = regexp_extract(k.name, '(\\S+)$', 1))"
 
 

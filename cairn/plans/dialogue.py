@@ -15,7 +15,7 @@ from .retrieval import _knn_sql, _vectors
 #: qid, text: questions about what the sentences of the claims say, and others.
 QUESTIONS = given("t", f"""SELECT c_custkey AS qid, CASE c_custkey % 13 WHEN 0 THEN 'When was ' || {person('c_custkey')} || ' born?' WHEN 1 THEN 'What did ' || {person('c_custkey')} || ' invent?' WHEN 2 THEN 'What is the capital of ' || {land('c_nationkey')} || '?' WHEN 3 THEN 'Who was ' || {person('c_custkey')} || '?'
   WHEN 4 THEN 'when did ' || {person('c_custkey')} || ' die' WHEN 5 THEN '12 * (3 + ' || CAST(c_custkey AS STRING) || ')' WHEN 6 THEN 'how many rivers are there' WHEN 7 THEN 'who is older, A or B?' WHEN 8 THEN 'remember the key' WHEN 9 THEN 'The ' || {capital(letters('c_custkey % 50'))} || 'n Song was composed by whom?'
-  WHEN 10 THEN 'Where was ' || {person('c_custkey')} || ' born?' WHEN 11 THEN {land('c_nationkey')} || chr(39) || 's capital?' ELSE 'Who has invented the ' || {capital(letters('c_custkey'))} || ' Loom?' END AS text FROM customer WHERE c_custkey % 7 = 0""", "customer")
+  WHEN 10 THEN 'Where was ' || {person('c_custkey')} || ' born?' WHEN 11 THEN {land('c_nationkey')} || chr(39) || 's capital?' ELSE 'Who has invented the ' || {capital(letters('c_custkey'))} || ' Loom?' END AS text FROM customer""", "customer")
 _Q = QUESTIONS.sql
 
 

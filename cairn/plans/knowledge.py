@@ -53,7 +53,7 @@ def inverse_relations(spark, sf):
     return r.groupBy("target", "relation").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"), F.count(F.lit(1)).alias("n"))
 
 
-YEARS = given("y", f"SELECT {person('c_custkey')} AS topic, CASE WHEN c_custkey % 3 > 0 THEN CAST(1700 + c_custkey % 200 AS INT) END AS born, CASE WHEN c_custkey % 4 > 0 THEN CAST(1760 + c_custkey % 200 AS INT) END AS died FROM customer WHERE c_nationkey < 5", "customer")
+YEARS = given("y", f"SELECT {person('c_custkey')} AS topic, CASE WHEN c_custkey % 3 > 0 THEN CAST(1700 + c_custkey % 200 AS INT) END AS born, CASE WHEN c_custkey % 4 > 0 THEN CAST(1760 + c_custkey % 200 AS INT) END AS died FROM customer", "customer")
 _OVERLAY = f"{_CLAIMS}, x AS (SELECT topic AS subj, 'born_year' AS verb, CAST(born AS VARCHAR) AS obj, 'dates' AS origin FROM {YEARS.sql} WHERE born IS NOT NULL UNION ALL SELECT topic, 'died_year', CAST(died AS VARCHAR), 'dates' FROM {YEARS.sql} WHERE died IS NOT NULL)"
 
 
@@ -108,7 +108,7 @@ def kg_lookup(spark, sf):
     return fa.kg_facts(GRAPH_QUESTIONS.df(spark, sf), _graph(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
-ANALOGIES = given("a", f"SELECT c_custkey AS qid, {person('c_custkey')} AS a, CASE c_custkey % 3 WHEN 0 THEN {city('c_nationkey')} WHEN 1 THEN CAST(1700 + c_custkey % 200 AS STRING) ELSE 'nothing' END AS b, {person('(c_custkey + 8)')} AS c FROM customer WHERE c_custkey % 100 = 3", "customer")
+ANALOGIES = given("a", f"SELECT c_custkey AS qid, {person('c_custkey')} AS a, CASE c_custkey % 3 WHEN 0 THEN {city('c_nationkey')} WHEN 1 THEN CAST(1700 + c_custkey % 200 AS STRING) ELSE 'nothing' END AS b, {person('(c_custkey + 8)')} AS c FROM customer WHERE c_custkey % 100 = 0", "customer")
 _HOLDS = "(contains(lower({0}), lower({1})) OR contains(lower({1}), lower({0})))"
 
 
@@ -122,7 +122,7 @@ def solved_analogies(spark, sf):
 _THING = lambda key: f"('Z' || {letters(key)} || 'omo')"
 SIZES = given("t", f"""SELECT p_partkey AS id, {_THING('p_partkey')} || CASE p_partkey % 4 WHEN 0 THEN ' has a diameter of ' || CAST(p_size AS STRING) || ',100 km. It is grey.' WHEN 1 THEN ' has a mass of ' || CAST(p_size AS STRING) || '.5 thousand tonnes and a height of 3.3 metres.' WHEN 2 THEN ' is fast. ' || {_THING('p_partkey')} || ' has a speed of ' || CAST(p_size AS STRING) || ' mph.'
   ELSE ': the length is about ' || CAST(p_size AS STRING) || ' metres.' END AS text FROM part""", "part")
-PAIRS = given("p", f"SELECT p_partkey AS qid, {_THING('p_partkey')} AS a, {_THING('(p_partkey + 4)')} AS b, CASE p_partkey % 4 WHEN 0 THEN 'bigger' WHEN 1 THEN 'lighter' WHEN 2 THEN 'faster' ELSE 'longer' END AS verb FROM part WHERE p_partkey % 37 = 0", "part")
+PAIRS = given("p", f"SELECT p_partkey AS qid, {_THING('p_partkey')} AS a, {_THING('(p_partkey + 4)')} AS b, CASE p_partkey % 4 WHEN 0 THEN 'bigger' WHEN 1 THEN 'lighter' WHEN 2 THEN 'faster' ELSE 'longer' END AS verb FROM part", "part")
 
 
 def _magnitude_sql() -> str:
@@ -197,9 +197,9 @@ def role_as_of(spark, sf):
     return fa.role_in(fa.role_claims(ROLES.df(spark, sf), "president", "Nordland"), 2015)
 
 
-LIVES = given("t", f"""SELECT CAST(c_custkey AS INT) AS id, CASE c_custkey % 5 WHEN 0 THEN {person('c_custkey')} || ' (3 May ' || CAST(1800 + c_custkey % 90 AS STRING) || ' - 9 June ' || CAST(1870 + c_custkey % 90 AS STRING) || ') was a poet.' WHEN 1 THEN {person('c_custkey')} || ' was born on 1 January ' || CAST(1800 + c_custkey % 90 AS STRING) || '.'
+LIVES = given("t", f"""SELECT CAST(c_custkey AS INT) AS id, CASE c_custkey % 7 WHEN 0 THEN {person('c_custkey')} || ' (3 May ' || CAST(1800 + c_custkey % 90 AS STRING) || ' - 9 June ' || CAST(1870 + c_custkey % 90 AS STRING) || ') was a poet.' WHEN 1 THEN {person('c_custkey')} || ' was born on 1 January ' || CAST(1800 + c_custkey % 90 AS STRING) || '.'
   WHEN 2 THEN {person('c_custkey')} || ' met friends on 5 May 1880 and died on 7 July 1931.' WHEN 3 THEN 'Nobody knows ' || {person('c_custkey')} || '.' ELSE {person('c_custkey')} || ', born in 12 March ' || CAST(1800 + c_custkey % 90 AS STRING) || ', wrote songs.' END AS text FROM customer""", "customer")
-SUBJECTS = given("s", f"SELECT {person('c_custkey')} AS subject FROM customer WHERE c_custkey % 13 = 0", "customer")
+SUBJECTS = given("s", f"SELECT {person('c_custkey')} AS subject FROM customer WHERE c_custkey % 100 = 0", "customer")
 _DATE = r"\d{1,2}\s+[A-Za-z]+\s+\d{3,4}|[A-Za-z]+\s+\d{1,2},?\s+\d{3,4}"
 _DATES = rf"""WITH x AS (SELECT id, text, x, i FROM (SELECT id, text, unnest(regexp_extract_all(text, '{_DATE}')) AS x, generate_subscripts(regexp_extract_all(text, '{_DATE}'), 1) AS i FROM {LIVES.sql})),
 p AS (SELECT id, i, regexp_extract(x, '(\d{{3,4}})$', 1)::INT AS y, list_position([{sql_list(num.MONTHS)}], lower(regexp_extract(x, '[A-Za-z]+')))::INT AS m, CASE WHEN regexp_matches(x, '^\d') THEN regexp_extract(x, '^\d+') ELSE regexp_extract(x, '[A-Za-z]\s+(\d{{1,2}})', 1) END::INT AS d FROM x),

@@ -26,7 +26,7 @@ def trimmed_glosses(spark, sf):
     return GLOSSES.df(spark, sf).select("id", wo.trimmed_gloss(F.col("gloss")).alias("gloss"))
 
 
-KINDS = given("r", "SELECT lower(r_name) AS word, 'hyponym' AS relation, lower(n_name) AS target, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT p_type, 'synonym', p_name, p_size FROM part WHERE p_partkey < 40", "nation", "region", "part")
+KINDS = given("r", "SELECT lower(r_name) AS word, 'hyponym' AS relation, lower(n_name) AS target, n_nationkey AS pos FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT p_type, 'synonym', p_name, p_size FROM part", "nation", "region", "part")
 RELATED = literal("r", "word string, relation string, target string, pos int", [("tree", "hyponym", f"kind{i:02}", i) for i in range(11)] + [("tree", "synonym", "plant", 1), ("approximately", "synonym", "about", 1), ("approximately", "synonym", "loosely", 2), ("approximately", "synonym", "odd", 3), ("immediately", "synonym", "now", 1), ("immediately", "synonym", "at once", 2), ("immediately", "synonym", "anon", 3), ("utilize", "synonym", "use", 1), ("numerous", "synonym", "many", 1), ("numerous", "synonym", "sundry", 2)])
 ENTRIES = literal("e", "word string, pos string, tags string", [("approximately", "adv", None), ("about", "adv", None), ("loosely", "adv", None), ("odd", "adj", None), ("immediately", "adv", None), ("now", "noun", None), ("anon", "adv", "archaic"), ("numerous", "adj", None), ("many", "adj", None), ("sundry", "adj", "dated"), ("use", "verb", None)])
 SWAPS = literal("s", "word string, before_number boolean", [])

@@ -49,7 +49,7 @@ def self_answers(spark, sf):
 
 ENTRIES = given("e", f"SELECT {letters('p_partkey')} AS word, CAST(p_partkey % 3 AS INT) AS pos, 'a ' || p_name || ' of the kind ' || lower(p_type) AS gloss FROM part", "part")
 KIN = given("r", f"SELECT {letters('p_partkey')} AS word, CASE p_size % 2 WHEN 0 THEN 'synonym' ELSE 'antonym' END AS relation, p_name AS target, CAST(p_size AS INT) AS pos FROM part", "part")
-LOOKUPS = given("m", f"SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'define ' WHEN 1 THEN 'What is a ' WHEN 2 THEN 'synonyms of ' WHEN 3 THEN 'opposite of ' ELSE 'hello ' END || {letters('p_partkey')} AS text FROM part WHERE p_partkey % 7 = 0", "part")
+LOOKUPS = given("m", f"SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'define ' WHEN 1 THEN 'What is a ' WHEN 2 THEN 'synonyms of ' WHEN 3 THEN 'opposite of ' ELSE 'hello ' END || {letters('p_partkey')} AS text FROM part", "part")
 
 
 @query(f"""WITH m AS (SELECT id, CASE WHEN regexp_matches(text, '(?i)^(?:define|what is an?|what does)\\b') THEN 'define' WHEN regexp_matches(text, '(?i)^synonyms of') THEN 'synonym' WHEN regexp_matches(text, '(?i)^opposites? of') THEN 'antonym' END AS kind, lower(regexp_extract(text, '([A-Za-z-]+)(?: mean)?[?.!]*$', 1)) AS word FROM {LOOKUPS.sql}),

@@ -12,7 +12,7 @@ from .registry import given, query, sql_list, table
 #: The documents as a memory: sources of a kind each, named by the first words of the text.
 MEMORY = given("m", "SELECT doc_id AS id, CASE doc_id % 11 WHEN 3 THEN 'How to ' || source || ', step ' || CAST(doc_id % 7 + 1 AS STRING) || ': ' || replace(text, chr(10), ' ') ELSE text END AS text, CASE doc_id % 11 WHEN 0 THEN 'user_msg' WHEN 1 THEN 'directive:' || source WHEN 2 THEN 'story:' || source WHEN 3 THEN 'wikihow:' || source ELSE 'wikipedia:' || translate(substr(text, 1, 30), ' ', '_') END AS source FROM documents", "documents")
 #: The user turns as questions, some with the words that routes go by, and what the benchmark asks.
-QUESTIONS = given("q", "SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 7 WHEN 0 THEN 'How to ' || text WHEN 1 THEN 'how many ' || text WHEN 2 THEN 'forget that ' || text WHEN 3 THEN 'tell that story again ' || text ELSE text END AS question FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - item_id, 'what is ' || text FROM benchmark UNION ALL SELECT -1000000 - doc_id, 'How to ' || source || '?' FROM documents WHERE doc_id % 100 = 3", "conversations", "benchmark", "documents")
+QUESTIONS = given("q", "SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 7 WHEN 0 THEN 'How to ' || text WHEN 1 THEN 'how many ' || text WHEN 2 THEN 'forget that ' || text WHEN 3 THEN 'tell that story again ' || text ELSE text END AS question FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - item_id, 'what is ' || text FROM benchmark UNION ALL SELECT -1000000 - doc_id, 'How to ' || source || '?' FROM documents WHERE doc_id % 100 = 0", "conversations", "benchmark", "documents")
 
 _STOP = sql_list(tx.QUESTION_STOPWORDS)
 
