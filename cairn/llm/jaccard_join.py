@@ -293,11 +293,16 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     named = docs.select(node.alias("id"), F.col(id_col).cast("long").alias("i"))
     best = members.join(named, "id").groupBy("c").agg(F.min(F.struct("i", "id")).alias("b")).select("c", "b.id")
     first = stored(members.join(best, ["c", "id"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")), f"{top}/first")
-    lost = members.join(first, "id", "left_anti").select("id").distinct()
+    # written, so that Spark knows how few they are and need not move the texts
+    lost = stored(members.join(first, "id", "left_anti").select("id").distinct(), f"{top}/lost")
+    again = stored(first.where("n > 1"), f"{top}/again")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), node.alias("_node"))
-    rows = rows.join(lost, F.col("_node") == lost["id"], "left_anti").join(first.where("n > 1"), F.col("_node") == F.col("id"), "left")
-    one = rows.where("n is not null").groupBy("_node").agg(F.min_by("_row", F.struct(F.xxhash64("_row"), F.col("_row").cast("string"))).alias("_row"))
-    return rows.where("n is null").select("_row").unionByName(one.select("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = rows.join(lost, F.col("_node") == lost["id"], "left_anti")
+    out = [F.col("_row")[c].alias(c) for c in docs.columns]
+    if again.isEmpty():
+        return rows.select(*out)
+    one = rows.join(again, F.col("_node") == F.col("id"), "left_semi").groupBy("_node").agg(F.min_by("_row", F.struct(F.xxhash64("_row"), F.col("_row").cast("string"))).alias("_row"))
+    return rows.join(again, F.col("_node") == F.col("id"), "left_anti").select(*out).unionByName(one.select(*out))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
