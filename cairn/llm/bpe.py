@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import lean, small_batches, texts_of
 
 #: Bytes of pieces from which a row merges all pairs of its minimum rank in a round, and pieces kept in a worker's cache.
-LONG, CACHED = 64, 400_000
+LONG, CACHED = 64, 100_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -260,7 +260,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, *, text_col: str =
                 cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *made])
 
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def decode_documents(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -275,7 +275,7 @@ def decode_documents(df: DataFrame, path: str, pattern: str, *, ids_col: str = "
             text = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*keep, text_col])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(lean(run), schema)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

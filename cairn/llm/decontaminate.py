@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, row_groups, scratch_dir, shingles, small_batches, stored, string_buffers, word_bounds, word_hashes
+from .common import lean, longs, row_groups, scratch_dir, shingles, small_batches, stored, string_buffers, word_bounds, word_hashes
 
 #: Signature rows (32 bytes each) and bytes of item texts that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 1 << 20, 1 << 26
@@ -73,7 +73,7 @@ def signatures(items: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 m = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * m, pa.int64()), longs(np.full(m, width[i])), longs(np.full(m, n.bit_length())), longs(own), longs(np.full(m, n))], names=["number", "width", "part", "hash", "n"])
 
-    return items.select("number", "text").mapInArrow(run, "number long, width long, part long, hash long, n long")
+    return items.select("number", "text").mapInArrow(lean(run), "number long, width long, part long, hash long, n long")
 
 
 def _words(text: str) -> list[bytes]:
@@ -106,7 +106,7 @@ def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-    return rows.mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_shared long")
+    return rows.mapInArrow(lean(run), "doc_id long, item_id long, n_shingles long, n_shared long")
 
 
 class Search:
@@ -189,11 +189,11 @@ class Search:
                 cols = list(zip(*out, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "doc_id", "_t", "_u", "item_id", "n_shingles", "n_shared"])
 
-        found = keyed.mapInArrow(hashes, "d long, t long, u long, part long, width long, hash long").join(self.signature, ["part", "width", "hash"]).select("d", "t", "u", "number", "width").distinct()
+        found = keyed.mapInArrow(lean(hashes), "d long, t long, u long, part long, width long, hash long").join(self.signature, ["part", "width", "hash"]).select("d", "t", "u", "number", "width").distinct()
         each = keyed.withColumn("row", F.monotonically_increasing_id())
         same = F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("_t")) & (F.col("u") == F.col("_u"))
         full = found.join(each, same).join(self.given.withColumnRenamed("text", "wanted"), "number")
-        hits = full.mapInArrow(check, "row long, doc_id long, _t long, _u long, item_id long, n_shingles long, n_shared long")
+        hits = full.mapInArrow(lean(check), "row long, doc_id long, _t long, _u long, item_id long, n_shingles long, n_shared long")
         best = hits.groupBy("row", "doc_id", "_t", "_u", "item_id").agg(F.max(F.struct("n_shared", (-F.col("n_shingles")).alias("less"))).alias("best"))
         return best.select("doc_id", "_t", "_u", "item_id", (-F.col("best.less")).alias("n_shingles"), F.col("best.n_shared").alias("n_shared"))
 
@@ -229,7 +229,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_i
             clean[[r for r, _ in search.local(batch.column(at))]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

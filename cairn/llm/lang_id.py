@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, row_groups, schema_of, small_batches, string_buffers
+from .common import LOWER, lean, row_groups, schema_of, small_batches, string_buffers
 
 #: Labelled texts of a language that are learned from, at most (on average), and hash bits of triples.
 PER_LANG, TRIPLE_BITS = 2000, 16
@@ -157,7 +157,7 @@ def train(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "feature", "n"])
 
-    found = sample.select("text", "lang").mapInArrow(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # languages x FEATURES at most
+    found = sample.select("text", "lang").mapInArrow(lean(count), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # languages x FEATURES at most
     table = np.zeros((len(langs), FEATURES))
     table[found.lang.to_numpy(), found.feature.to_numpy()] = found.n.to_numpy()
     model = Model(langs, table)
@@ -171,7 +171,7 @@ def train(labelled: DataFrame, *, per_lang: int = PER_LANG) -> Model:
             bits = np.arange(m.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bits, m.sum(0), (m * m).sum(0), (m <= 0).sum(0).astype(np.float64), np.full(len(bits), float(len(m))))], names=["bit", "s", "q", "e", "n"])
 
-    stats = sample.select("text", "lang").mapInArrow(test, "bit long, s double, q double, e double, n double").groupBy("bit").agg(*[F.sum(c).alias(c) for c in "sqen"]).orderBy("bit").toPandas()
+    stats = sample.select("text", "lang").mapInArrow(lean(test), "bit long, s double, q double, e double, n double").groupBy("bit").agg(*[F.sum(c).alias(c) for c in "sqen"]).orderBy("bit").toPandas()
     if len(stats):
         model.calibrate(stats.s.to_numpy(), stats.q.to_numpy(), stats.e.to_numpy(), int(stats.n.iloc[0]))
     return model
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     schema = ", ".join([*([schema_of(docs, keep)] if keep else []), *(f"{k} {v}" for k, v in made.items())])
-    return docs.select(*keep, letters.alias("_letters"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, letters.alias("_letters"), F.col(text_col).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
