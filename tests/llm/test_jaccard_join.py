@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -121,3 +122,39 @@ def test_one_token_in_many_unlike_documents(spark):
     rows.append((2000, rows[7][1] + " end"))
     got = linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=3, num=85, den=100).collect()
     assert {r.id: r.component_id for r in got} == {i: 7 if i == 2000 else i for i in range(2001)}
+
+
+def shuffled(spark, after):
+    """Bytes that the stages later than after have shuffled, and the last stage."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    new = [s for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() > after]
+    return sum(s.shuffleWriteBytes() for s in new), max([after, *(s.stageId() for s in new)])
+
+
+def test_disk_of_each_write(spark, monkeypatch):
+    """Where nothing is broadcast, what one write shuffles (Spark frees it afterwards) is little over the size of the prefixes."""
+    rng = random.Random(6)
+    passage = words(rng, 6)
+    rows = [(i, words(rng, 200, "abcdefghijklmnop") + (f" {passage}" if i % 5 == 0 else "")) for i in range(4000)]
+    rows += [(4000 + i, rows[i][1] + " end") for i in range(60)]
+    last, size, moved = shuffled(spark, -1)[1], {}, {}
+    write = jaccard_join.stored
+
+    def stored(df, path):
+        nonlocal last
+        _, last = shuffled(spark, last)
+        out = write(df, path)
+        moved[path], last = shuffled(spark, last)
+        size[Path(path).name] = sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.id: r.component_id for r in got} == {i: i - 4000 if i >= 4000 else i for i in range(4060)}
+    assert size["prefixes"] > 500_000 and max(moved.values()) < 2.2 * size["prefixes"]
