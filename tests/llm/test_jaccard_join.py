@@ -133,12 +133,10 @@ def shuffled(spark, after):
     return sum(s.shuffleWriteBytes() for s in new), max([after, *(s.stageId() for s in new)])
 
 
-def test_disk_of_each_write(spark, monkeypatch):
-    """Where nothing is broadcast, what one write shuffles (Spark frees it afterwards) is little over the size of the prefixes."""
-    rng = random.Random(6)
-    passage = words(rng, 6)
-    rows = [(i, words(rng, 200, "abcdefghijklmnop") + (f" {passage}" if i % 5 == 0 else "")) for i in range(4000)]
-    rows += [(4000 + i, rows[i][1] + " end") for i in range(60)]
+def writes(spark, monkeypatch, path, rows, broadcast, **options):
+    """Components by id, and by name of each table that jaccard_join writes: its bytes, and the bytes shuffled for it."""
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
     last, size, moved = shuffled(spark, -1)[1], {}, {}
     write = jaccard_join.stored
 
@@ -146,15 +144,36 @@ def test_disk_of_each_write(spark, monkeypatch):
         nonlocal last
         _, last = shuffled(spark, last)
         out = write(df, path)
-        moved[path], last = shuffled(spark, last)
-        size[Path(path).name] = sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+        name = Path(path).name
+        moved[name], last = shuffled(spark, last)
+        size[name] = sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
         return out
 
     monkeypatch.setattr(jaccard_join, "stored", stored)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        got = linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        got = linked_components(docs, **options).collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert {r.id: r.component_id for r in got} == {i: i - 4000 if i >= 4000 else i for i in range(4060)}
-    assert size["prefixes"] > 500_000 and max(moved.values()) < 2.2 * size["prefixes"]
+    return {r.id: r.component_id for r in got}, size, moved
+
+
+def test_disk_of_each_write(spark, monkeypatch, tmp_path):
+    """Where nothing is broadcast, what one write shuffles (Spark frees it afterwards) is little over the size of the prefixes."""
+    rng = random.Random(6)
+    passage = words(rng, 6)
+    rows = [(i, words(rng, 200, "abcdefghijklmnop") + (f" {passage}" if i % 5 == 0 else "")) for i in range(4000)]
+    rows += [(4000 + i, rows[i][1] + " end") for i in range(60)]
+    got, size, moved = writes(spark, monkeypatch, f"{tmp_path}/docs", rows, "-1")
+    assert got == {i: i - 4000 if i >= 4000 else i for i in range(4060)}
+    assert size["prefixes"] > 500_000 and max(moved.values()) < 2.2 * size["prefixes"], (size, moved)
+
+
+def test_few_copies_move_no_prefixes(spark, monkeypatch, tmp_path):
+    """The form of op10, with more documents than may be broadcast and few copies: prefixes are written where they are made."""
+    rng = random.Random(7)
+    rows = [(i, words(rng, 100, "abcdefghijklmnop")) for i in range(4000)]
+    rows += [(4000 + i, rows[i][1]) for i in range(40)]
+    got, size, moved = writes(spark, monkeypatch, f"{tmp_path}/docs", rows, "16k", k=3, num=90, den=100)
+    assert got == {i: i - 4000 if i >= 4000 else i for i in range(4040)}
+    assert size["prefixes"] > 200_000 and moved["prefixes"] < 0.1 * size["prefixes"], (size, moved)
