@@ -65,3 +65,8 @@ def clock_answer(question: Column, now: Column | None = None) -> Column:
     t = F.current_timestamp() if now is None else now
     low = F.lower(question)
     return F.when(low.rlike(r"\bwhat time\b|\bthe time\b"), F.date_format(t, "HH:mm")).when(low.rlike(r"\bwhat day\b|\bweekday\b"), F.date_format(t, "EEEE")).when(low.rlike(r"\bwhat year\b"), F.date_format(t, "yyyy")).when(low.rlike(r"\bdate\b|\btoday\b"), F.date_format(t, "d MMMM yyyy"))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded half away from zero as a float is: times a power of ten, to a whole number, and back. What is just below zero becomes -0.0, as in SQL."""
+    return F.signum(x) * F.round(F.abs(x) * 10.0**digits) / 10.0**digits
