@@ -136,13 +136,13 @@ def typed_windows(rows: DataFrame, words: Column, least: int = 4, most: int = 7,
     return w.groupBy(F.array_join("w", " ").alias("pattern")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
 
 
-def typed_triples(rows: DataFrame, words: Column, least: int = 4, most: int = 5) -> DataFrame:
-    """s, label, o, n: first and last entity of a window, labelled by its first three literal content words."""
+def typed_triples(rows: DataFrame, words: Column, least: int = 4, most: int = 5, upper=F.upper) -> DataFrame:
+    """s, label, o, n: first and last entity of a window, labelled by its first three literal content words, in upper case by ``upper``."""
     both = held(typed(rows, words), [], z=F.arrays_zip("w", "t"))
     v = both.select(F.explode(F.flatten(F.array(*[_pieces(F.col("z"), n) for n in range(least, most + 1)]))).alias("v"))
     entity = F.filter("v", lambda x: x["t"] == "ENTITY")
     literal = F.filter("v", lambda x: ~x["t"].isin("ENTITY", "NUMBER") & ~x["t"].isin(tx.TYPED_FUNCTION_WORDS))
-    label = F.concat(F.lit("REL_"), F.array_join(F.transform(F.slice(literal, 1, 3), lambda x: F.upper(x["t"])), "_"))
+    label = F.concat(F.lit("REL_"), F.array_join(F.transform(F.slice(literal, 1, 3), lambda x: upper(x["t"])), "_"))
     v = v.where((F.size(entity) >= 2) & (F.size(literal) >= 1))
     out = v.select(F.element_at(entity, 1)["w"].alias("s"), label.alias("label"), F.element_at(entity, -1)["w"].alias("o"))
     return out.groupBy("s", "label", "o").agg(F.count(F.lit(1)).alias("n"))

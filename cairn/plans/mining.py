@@ -109,12 +109,12 @@ r AS (SELECT e[1].w AS s, 'REL_' || array_to_string(list_transform(l[1:3], lambd
 
 @query(_TRIPLES + " SELECT s, label, o, count(*) AS n FROM r GROUP BY 1, 2, 3")
 def typed_triples(spark, sf):
-    return mine.typed_triples(table(spark, sf, "benchmark"), tx.tokens(F.col("text")))
+    return mine.typed_triples(table(spark, sf, "benchmark"), tx.tokens(F.col("text")), upper=tx.simple_upper)
 
 
 @query(_TRIPLES + " SELECT least(s, o) AS s, greatest(s, o) AS o, count(DISTINCT label) AS labels FROM r GROUP BY 1, 2 HAVING count(DISTINCT label) >= 2")
 def cross_validated_pairs(spark, sf):
-    return mine.cross_validated(mine.typed_triples(table(spark, sf, "benchmark"), tx.tokens(F.col("text"))))
+    return mine.cross_validated(mine.typed_triples(table(spark, sf, "benchmark"), tx.tokens(F.col("text")), upper=tx.simple_upper))
 
 
 def _over_documents(name: str, table_name: str = "benchmark") -> str:
@@ -145,7 +145,7 @@ def typed_triples_documents(spark, sf):
 
 @query(_over_documents("cross_validated_pairs"))
 def cross_validated_pairs_documents(spark, sf):
-    return mine.cross_validated(mine.typed_triples(_docs(spark, sf), tx.tokens(F.col("text"))))
+    return mine.cross_validated(mine.typed_triples(_docs(spark, sf), tx.tokens(F.col("text")), upper=tx.simple_upper))
 
 
 @query(f"""WITH d AS (SELECT lang, source, w, min(len(w)) OVER (PARTITION BY lang, source) AS least FROM (SELECT lang, source, {_CASED} AS w FROM documents)), p AS (SELECT lang, source, unnest(w[1:least]) AS w, generate_subscripts(w[1:least], 1) - 1 AS pos FROM d)
